@@ -1,10 +1,12 @@
 """The text operators' queries by name, and the SQL that checks them."""
 
-from . import jaccard
+from . import jaccard, substrings
 
 QUERIES = {
+    "op5_substring_dedup": substrings.op5_substring_dedup,
     "op9_ngram_jaccard_join": jaccard.op9_ngram_jaccard_join,
 }
 ORACLES = {
+    "op5_substring_dedup": substrings.ORACLE,
     "op9_ngram_jaccard_join": jaccard.ORACLE,
 }
