@@ -1,12 +1,18 @@
 """The text operators' queries by name, and the SQL that checks them."""
 
-from . import jaccard, substrings
+from . import bpe, jaccard, sharding, substrings, topk, warc
 
 QUERIES = {
+    "op2_byte_bpe": bpe.op2_byte_bpe,
     "op5_substring_dedup": substrings.op5_substring_dedup,
+    "op6_bounded_ring": sharding.op6_bounded_ring,
+    "op8_warc": warc.op8_warc,
     "op9_ngram_jaccard_join": jaccard.op9_ngram_jaccard_join,
+    "op10_exact_topk": topk.op10_exact_topk,
 }
 ORACLES = {
     "op5_substring_dedup": substrings.ORACLE,
+    "op8_warc": warc.ORACLE,
     "op9_ngram_jaccard_join": jaccard.ORACLE,
+    "op10_exact_topk": topk.ORACLE,
 }
