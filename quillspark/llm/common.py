@@ -10,16 +10,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Tables up to this many bytes (measured on their written files) may be broadcast; larger ones are joined by a shuffle.
 BROADCAST_BYTES = 48 << 20
-#: Words that a worker's word-hash cache holds before it starts anew.
-CACHE_WORDS = 400_000
-#: Words that are handled in one stretch of numpy work.
-STRETCH_WORDS = 250_000
+#: Bytes of text that are handled in one stretch of numpy work; a longer document makes a longer stretch.
+STRETCH_BYTES = 2 << 20
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -72,19 +69,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # ---- inside tasks -------------------------------------------------------------------------------------------------
 
 
-class WordHashes(dict):
-    """64-bit hash of each word (bytes), kept for the words met most recently."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit numbers (the splitmix64 finaliser)."""
     x = x ^ (x >> np.uint64(30))
@@ -106,8 +90,9 @@ def shingle_hashes(h: np.ndarray, k: int = 5) -> np.ndarray:
     return mix(out + np.uint64(width))
 
 
-def shingle_set(h: np.ndarray, k: int = 5) -> np.ndarray:
-    return np.unique(shingle_hashes(h, k))
+def sorted_set(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
 
 
 def digest16(data: bytes) -> bytes:
@@ -124,16 +109,84 @@ def as_bytes(df: DataFrame, *keep: str, text: str = "text") -> DataFrame:
     return df.select(*keep, F.col(text).cast("binary").alias("text"))
 
 
-def stretches(docs: list[list[bytes]]) -> Iterator[tuple[int, int]]:
-    """Ranges of documents with about STRETCH_WORDS words together; a longer document is alone."""
-    begin, words = 0, 0
-    for i, d in enumerate(docs):
-        if words and words + len(d) > STRETCH_WORDS:
-            yield begin, i
-            begin, words = i, 0
-        words += len(d)
-    if begin < len(docs):
-        yield begin, len(docs)
+#: Classes of bytes; a word is a run of one class, and class 0 separates. Here: what ASCII white space separates.
+SPACES = (~np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])).astype(np.uint8)
+#: Letters, digits and non-ASCII bytes; all other bytes separate.
+MARKS = np.isin(np.arange(256), [*b"0123456789", *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]).astype(np.uint8)
+#: As MARKS, but runs of marks other than white space are words too.
+PIECES = np.where(MARKS == 1, 1, np.where(SPACES == 1, 2, 0)).astype(np.uint8)
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[0x41:0x5B] += 0x20
+_P = 0x5851F42D4C957F2D  # odd, so that it has an inverse modulo 2^64
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _power_tables(n: int) -> list[np.ndarray]:
+    """Powers of _P and of its inverse, for n places at least."""
+    if len(_powers[0]) < n:
+        for i, p in enumerate((_P, pow(_P, -1, 1 << 64))):
+            steps = np.full(max(n, STRETCH_BYTES + (STRETCH_BYTES >> 2)), p, np.uint64)
+            steps[0] = 1
+            _powers[i] = np.cumprod(steps)
+    return _powers
+
+
+def _segments(edge: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of about STRETCH_BYTES that begin and end at edges, so that no word is cut."""
+    begin, n = 0, len(edge)
+    while begin < n:
+        end = begin + STRETCH_BYTES
+        if end < n:
+            near = np.flatnonzero(edge[begin + 1 : end + 1])
+            if len(near):
+                end = begin + 1 + int(near[-1])
+            else:
+                later = np.flatnonzero(edge[end:])
+                end = end + int(later[0]) if len(later) else n
+        yield begin, min(end, n)
+        begin = end
+
+
+def hashed(column: pa.Array, fold: bool = False, classes: np.ndarray = SPACES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Over stretches of rows a to b of a binary column: (a, b, hashes of all their words in order, words per row).
+    fold lower-cases A-Z. A word's hash is a polynomial of its bytes modulo 2^64 together with its length, scrambled;
+    it is the same in every task. Null is empty."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    offsets = np.frombuffer(column.buffers()[1], np.int64 if column.type == pa.large_binary() else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    a = 0
+    while a < len(column):
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + STRETCH_BYTES)) - 1)
+        buf = data[offsets[a] : offsets[b]]
+        begin = offsets[a : b + 1] - offsets[a]
+        if fold:
+            buf = _FOLD[buf]
+        n = len(buf)
+        kind = classes[buf]
+        inside = kind > 0
+        edge = np.zeros(n + 1, bool)  # a word can begin here: where the class changes or a row begins
+        edge[1:-1] = kind[1:] != kind[:-1]
+        edge[begin] = True
+        edge[n] = True
+        s, e = np.flatnonzero(inside & edge[:-1]), np.flatnonzero(inside & edge[1:]) + 1
+        parts = []
+        for x, y in _segments(edge[:-1]) if n > 2 * STRETCH_BYTES else ((0, n),):
+            power, inverse = _power_tables(y - x + 1)
+            total = np.zeros(y - x + 1, np.uint64)
+            np.cumsum((buf[x:y].astype(np.uint64) + np.uint64(1)) * power[: y - x], out=total[1:])
+            i, j = np.searchsorted(s, (x, y))
+            si, ei = s[i:j] - x, e[i:j] - x
+            parts.append(mix((total[ei] - total[si]) * inverse[si] + (ei - si).astype(np.uint64) * _MULT))
+        yield a, b, parts[0] if len(parts) == 1 else np.concatenate([np.empty(0, np.uint64), *parts]), np.diff(np.searchsorted(s, begin))
+        a = b
+
+
+def shingle_lists(h: np.ndarray, sizes: np.ndarray, k: int = 5) -> list[np.ndarray]:
+    """shingle_hashes of each row's words."""
+    ends = np.cumsum(sizes)
+    all_k = shingle_hashes(h, k) if len(h) >= k else h[:0]
+    return [all_k[e - n : e - k + 1] if n >= k else shingle_hashes(h[e - n : e], k) for e, n in zip(ends.tolist(), sizes.tolist())]
 
 
 def list_column(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.ListArray:

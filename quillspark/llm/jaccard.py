@@ -36,13 +36,11 @@ def frequent_ngrams(docs: DataFrame, k: int = SHINGLE_WORDS, most: int = FREQUEN
     """Hashes of the n-grams in most documents, ascending by count; at most `most`. Counts come from all documents."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = C.WordHashes()
         for batch in batches:
-            lists = [x.lower().split() for x in C.texts(batch)]
-            for a, b in C.stretches(lists):
-                sets = [C.shingle_set(words.of(x), k) for x in lists[a:b] if x]
-                if sets:
-                    s = np.sort(np.concatenate(sets))
+            for _, _, h, sizes in C.hashed(batch.column(0), fold=True):
+                sets = [C.sorted_set(x) for x in C.shingle_lists(h, sizes, k)]
+                s = np.sort(np.concatenate(sets))
+                if len(s):
                     first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
                     n = np.diff(np.append(first, len(s)))
                     m = n >= FREQUENT_IN_STRETCH
@@ -58,31 +56,26 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, k: int, percent: int) -> Da
     place = np.argsort(frequent)
     ordered = frequent[place]
 
+    def cut(s: np.ndarray) -> np.ndarray:
+        p = len(s) - _least_overlap(len(s), percent) + 1
+        if not len(ordered):
+            return s[:p]
+        hot = ordered[np.minimum(np.searchsorted(ordered, s), len(ordered) - 1)] == s
+        rare = s[~hot][:p]
+        if len(rare) < p:
+            late = s[hot]
+            rank = place[np.searchsorted(ordered, late)]
+            rare = np.concatenate([rare, late[np.argsort(rank)[: p - len(rare)]]])
+        return rare
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = C.WordHashes()
         for batch in batches:
-            ids = batch.column(0)
-            n, sigs, cut = [], [], []
-            for text in C.texts(batch):
-                s = C.shingle_set(words.of(text.lower().split()), k)
-                size = len(s)
-                n.append(size)
-                sigs.append(C.digest16(s.tobytes()) if size else None)
-                p = size - _least_overlap(size, percent) + 1 if size else 0
-                if len(ordered) and size:
-                    at = np.searchsorted(ordered, s)
-                    hot = ordered[np.minimum(at, len(ordered) - 1)] == s
-                    rare = s[~hot][:p]
-                    if len(rare) < p:
-                        hs = s[hot]
-                        rank = place[np.searchsorted(ordered, hs)]
-                        rare = np.concatenate([rare, hs[np.argsort(rank)[: p - len(rare)]]])
-                    cut.append(rare)
-                else:
-                    cut.append(s[:p])
-            flat = np.concatenate(cut).view(np.int64) if cut else np.empty(0, np.int64)
-            prefix = C.list_column(flat, np.array([len(c) for c in cut], np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int32()), pa.array(sigs, pa.binary()), prefix], ["doc_id", "n", "sig", "prefix"])
+            for a, b, h, sizes in C.hashed(batch.column(1), fold=True):
+                sets = [C.sorted_set(x) for x in C.shingle_lists(h, sizes, k)]
+                sigs = [C.digest16(s.tobytes()) if len(s) else None for s in sets]
+                cuts = [cut(s) if len(s) else s for s in sets]
+                prefix = C.list_column(np.concatenate(cuts).view(np.int64), np.array([len(c) for c in cuts]), pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int32()), pa.array(sigs, pa.binary()), prefix], ["doc_id", "n", "sig", "prefix"])
 
     return C.as_bytes(docs, "doc_id").mapInArrow(run, "doc_id long, n int, sig binary, prefix array<long>")
 
@@ -129,21 +122,41 @@ def _overlaps(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep]), pa.array(both, pa.int32())], ["a", "b", "common"])
 
 
-def _link(docs: DataFrame, pairs: DataFrame, scratch: C.Scratch, name: str, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b), which were saved, that link."""
+def _possible(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Of rows (a, b, n_a, n_b, prefix_a, prefix_b): pairs whose overlap can still be large enough. Of the n-grams that
+    both documents have, those up to the earlier of the two prefixes' ends are in both prefixes."""
+    for batch in batches:
+        a, b, na, nb = (batch.column(c).to_numpy() for c in range(4))
+        pa_, pb = batch.column(4), batch.column(5)
+        keep = []
+        for j in range(len(a)):
+            x, y = pa_[j].values.to_numpy(), pb[j].values.to_numpy()
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            most = both + max(na[j] - len(x), nb[j] - len(y))
+            if (100 + percent) * int(most) >= percent * (int(na[j]) + int(nb[j])):
+                keep.append(j)
+        yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
+
+
+def _link(docs: DataFrame, rows: DataFrame, pairs: DataFrame, scratch: C.Scratch, name: str, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b), which were saved, that link. rows has the prefixes."""
+    side = lambda c, table: rows.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("prefix").alias(f"p_{c}")).join(scratch.small(table, f"{name}-{c}"), c, "left_semi")
+    lone = {c: scratch.save(pairs.select(c).distinct(), f"{name}-{c}") for c in "ab"}
+    both = pairs.join(side("b", lone["b"]), "b").join(side("a", lone["a"]), "a").select("a", "b", "n_a", "n_b", "p_a", "p_b")
+    pairs = scratch.save(both.mapInArrow(lambda it: _possible(it, percent), "a long, b long").distinct(), f"{name}-left")
     ids = scratch.save(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), f"{name}-ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = C.WordHashes()
         for batch in batches:
-            sets = [C.shingle_set(words.of(t.lower().split()), k).tobytes() for t in C.texts(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "s"])
+            for x, y, h, sizes in C.hashed(batch.column(1), fold=True):
+                sets = [C.sorted_set(s).tobytes() for s in C.shingle_lists(h, sizes, k)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(x, y - x), pa.array(sets, pa.binary())], ["id", "s"])
 
     wanted = C.as_bytes(docs, "doc_id").join(scratch.small(ids, f"{name}-ids"), "doc_id", "left_semi")
-    sets = scratch.save(wanted.mapInArrow(run, "id long, s binary").dropDuplicates(["id"]), f"{name}-sets")
+    sets = scratch.save(wanted.mapInArrow(run, "id long, s binary"), f"{name}-sets")
     both = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("set_b")), "b").join(sets.select(F.col("id").alias("a"), F.col("s").alias("set_a")), "a")
-    links = scratch.save(both.select("a", "b", "set_a", "set_b").mapInArrow(lambda it: _overlaps(it, percent), "a long, b long, common int"), f"{name}-links")
-    scratch.drop(f"{name}-ids", f"{name}-sets")
+    links = scratch.save(both.select("a", "b", "set_a", "set_b").mapInArrow(lambda it: _overlaps(it, percent), "a long, b long, common int").distinct(), f"{name}-links")
+    scratch.drop(f"{name}-ids", f"{name}-sets", f"{name}-left", f"{name}-a", f"{name}-b")
     return links
 
 
@@ -164,7 +177,7 @@ def jaccard_components(docs: DataFrame, scratch: C.Scratch, k: int = SHINGLE_WOR
 
     stars = shared.where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
     stars = scratch.save(stars, "stars")
-    links = _link(docs, stars, scratch, "first", k, percent)
+    links = _link(valid, rows, stars, scratch, "first", k, percent)
     labels = C.components(links, scratch, "near")
 
     # what is left: pairs that share an n-gram of both prefixes, allowed by size, in components still apart
@@ -179,7 +192,7 @@ def jaccard_components(docs: DataFrame, scratch: C.Scratch, k: int = SHINGLE_WOR
     rest = fits.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     rest = scratch.save(rest, "rest")
     if rest.limit(1).count():
-        links = scratch.save(links.union(_link(docs, rest, scratch, "second", k, percent)), "links")
+        links = scratch.save(links.union(_link(valid, rows, rest, scratch, "second", k, percent)), "links")
         labels = C.components(links, scratch, "all")
     scratch.drop("shared", "marked", "stars", "rest")
 

@@ -109,29 +109,18 @@ def window_hashes(h: np.ndarray, width: int, multiplier: int) -> np.ndarray:
         size *= 2
 
 
-def _laid(lists: list[list[bytes]], words: C.WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.array([len(x) for x in lists], np.int64)
-    flat = [w for x in lists for w in x]
-    return words.of(flat), sizes
-
-
 def _anchor_rows(docs: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = C.WordHashes()
         for batch in batches:
-            texts = [x.split() for x in C.texts(batch)]
-            keep = [i for i, x in enumerate(texts) if len(x) >= window]
-            lists, ids = [texts[i] for i in keep], batch.column(0).take(pa.array(keep, pa.int64()))
-            del texts
-            for a, b in C.stretches(lists):
-                h, sizes = _laid(lists[a:b], words)
+            for a, b, h, sizes in C.hashed(batch.column(1)):
                 ends = np.cumsum(sizes)
                 at, key = anchors(h, sizes, window)
                 of = np.searchsorted(ends, at, side="right")
                 each = np.bincount(of, minlength=len(sizes))
-                sig = [C.digest16(x.tobytes()) for x in np.split(h, ends[:-1])]
+                sig = [C.digest16(h[e - n : e].tobytes()) for e, n in zip(ends.tolist(), sizes.tolist())]
                 pos = (at - (ends - sizes)[of]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(sig, pa.binary()), C.list_column(key.view(np.int64), each, pa.int64()), C.list_column(pos, each, pa.int32())], ["doc_id", "sig", "key", "pos"])
+                out = pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sig, pa.binary()), C.list_column(key.view(np.int64), each, pa.int64()), C.list_column(pos, each, pa.int32())], ["doc_id", "sig", "key", "pos"])
+                yield out.filter(pa.array(sizes >= window))
 
     return C.as_bytes(docs, "doc_id").mapInArrow(run, "doc_id long, sig binary, key array<long>, pos array<int>")
 
@@ -140,11 +129,9 @@ def _window_rows(docs: DataFrame, window: int) -> DataFrame:
     """doc_id, pos, h1, h2 of each window around one of the document's shared anchors (column at)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = C.WordHashes()
         for batch in batches:
-            lists, ids, shared = [x.split() for x in C.texts(batch)], batch.column(0).to_numpy(), batch.column(2)
-            for a, b in C.stretches(lists):
-                h, sizes = _laid(lists[a:b], words)
+            ids, shared = batch.column(0).to_numpy(), batch.column(2)
+            for a, b, h, sizes in C.hashed(batch.column(1)):
                 if len(h) < window:
                     continue
                 begin = np.cumsum(sizes) - sizes
