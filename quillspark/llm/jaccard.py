@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -27,6 +27,13 @@ FREQUENT = 50_000
 FREQUENT_IN_STRETCH = 4
 
 
+#: Members of an n-gram's group, least by a hash of the id, that all of the group are first compared with.
+PIVOTS = 5
+
+#: Turns of such comparisons, each in another order, before all pairs that are still apart are taken.
+TURNS = 1
+
+
 def _least_overlap(n, percent: int):
     """ceil(percent / 100 * n) in integers."""
     return -(-percent * n // 100)
@@ -81,31 +88,39 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, k: int, percent: int) -> Da
 
 
 def _shared(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Of rows (g, n, id) sorted by them: those whose n-gram two ids or more have, with a pivot: the first id of the
-    group whose size still allows a link with the row. Holds one row between batches, however large a group is."""
+    """Of rows (g, n, id, label) sorted by g: those whose n-gram two ids or more have, with partners: of the first PIVOTS
+    ids of the group, those before the row that have another label and a size that allows a link with it. Holds that
+    many ids and one row between batches, however large a group is."""
     prev, given = None, False  # the last row of the batch before; whether it was given out
-    pivot = (0, 0)
+    pivots: list[tuple[int, int, int]] = []
     for batch in batches:
-        cols = [batch.column(c).to_numpy() for c in range(3)]
+        cols = [batch.column(c).to_numpy() for c in range(4)]
         if not len(cols[0]):
             continue
         if prev is not None:
             cols = [np.concatenate([[x], y]) for x, y in zip(prev, cols)]
-        g, n, i = cols
+        g, n, i, label = cols
         same = g[1:] == g[:-1]
         member = np.concatenate([[prev is not None and given], same]) | np.concatenate([same, [False]])
-        out: list[tuple[int, int, int, int]] = []
-        for j in np.flatnonzero(member):
-            nj, ij = int(n[j]), int(i[j])
+        rows, ids, sizes, each = [], [], [], []
+        begins = np.concatenate([[True], ~same]).tolist()
+        for j in np.flatnonzero(member).tolist():
+            nj, ij, lj = int(n[j]), int(i[j]), int(label[j])
             if j == 0 and prev is not None and given:
                 continue
-            if j == 0 or g[j] != g[j - 1] or pivot[1] < _least_overlap(nj, percent):
-                pivot = (ij, nj)
-            out.append((int(g[j]), nj, ij, pivot[0]))
+            if begins[j]:
+                pivots = []
+            fit = [p for p in pivots if p[2] != lj and 100 * min(p[1], nj) >= percent * max(p[1], nj)]
+            if len(pivots) < PIVOTS:
+                pivots.append((ij, nj, lj))
+            rows.append(j)
+            each.append(len(fit))
+            ids += [p[0] for p in fit]
+            sizes += [p[1] for p in fit]
         prev, given = [c[-1] for c in cols], bool(len(g) > 1 and same[-1]) or (len(g) == 1 and given)
-        if out:
-            a = np.array(out, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1].astype(np.int32)), pa.array(a[:, 2]), pa.array(a[:, 3])], ["g", "n", "id", "pivot"])
+        if rows:
+            lists = [C.list_column(np.array(x, t), np.array(each), k) for x, t, k in ((ids, np.int64, pa.int64()), (sizes, np.int32, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([pa.array(g[rows]), pa.array(n[rows].astype(np.int32)), pa.array(i[rows]), *lists], ["g", "n", "id", "partners", "partner_ns"])
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -122,28 +137,15 @@ def _overlaps(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep]), pa.array(both, pa.int32())], ["a", "b", "common"])
 
 
-def _possible(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Of rows (a, b, n_a, n_b, prefix_a, prefix_b): pairs whose overlap can still be large enough. Of the n-grams that
-    both documents have, those up to the earlier of the two prefixes' ends are in both prefixes."""
-    for batch in batches:
-        a, b, na, nb = (batch.column(c).to_numpy() for c in range(4))
-        pa_, pb = batch.column(4), batch.column(5)
-        keep = []
-        for j in range(len(a)):
-            x, y = pa_[j].values.to_numpy(), pb[j].values.to_numpy()
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            most = both + max(na[j] - len(x), nb[j] - len(y))
-            if (100 + percent) * int(most) >= percent * (int(na[j]) + int(nb[j])):
-                keep.append(j)
-        yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
+def _enough(common: str, n_a: str, n_b: str, percent: int) -> Column:
+    """Whether a pair with so many n-grams common to both prefixes can still link. Of the n-grams that both have, those
+    up to the earlier of the two prefixes' ends are in both prefixes; what is left of a set is ceil(t * n) - 1."""
+    rest = lambda n: f"(({percent} * {n} + 99) div 100 - 1)"
+    return F.expr(f"{100 + percent} * ({common} + greatest({rest(n_a)}, {rest(n_b)})) >= {percent} * ({n_a} + {n_b})")
 
 
-def _link(docs: DataFrame, rows: DataFrame, pairs: DataFrame, scratch: C.Scratch, name: str, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b), which were saved, that link. rows has the prefixes."""
-    side = lambda c, table: rows.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("prefix").alias(f"p_{c}")).join(scratch.small(table, f"{name}-{c}"), c, "left_semi")
-    lone = {c: scratch.save(pairs.select(c).distinct(), f"{name}-{c}") for c in "ab"}
-    both = pairs.join(side("b", lone["b"]), "b").join(side("a", lone["a"]), "a").select("a", "b", "n_a", "n_b", "p_a", "p_b")
-    pairs = scratch.save(both.mapInArrow(lambda it: _possible(it, percent), "a long, b long").distinct(), f"{name}-left")
+def _link(docs: DataFrame, pairs: DataFrame, scratch: C.Scratch, name: str, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b), which were saved, that link."""
     ids = scratch.save(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), f"{name}-ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +158,7 @@ def _link(docs: DataFrame, rows: DataFrame, pairs: DataFrame, scratch: C.Scratch
     sets = scratch.save(wanted.mapInArrow(run, "id long, s binary"), f"{name}-sets")
     both = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("set_b")), "b").join(sets.select(F.col("id").alias("a"), F.col("s").alias("set_a")), "a")
     links = scratch.save(both.select("a", "b", "set_a", "set_b").mapInArrow(lambda it: _overlaps(it, percent), "a long, b long, common int").distinct(), f"{name}-links")
-    scratch.drop(f"{name}-ids", f"{name}-sets", f"{name}-left", f"{name}-a", f"{name}-b")
+    scratch.drop(f"{name}-ids", f"{name}-sets")
     return links
 
 
@@ -172,29 +174,41 @@ def jaccard_components(docs: DataFrame, scratch: C.Scratch, k: int = SHINGLE_WOR
     rows = scratch.save(_prefixes(docs, frequent_ngrams(valid, k), k, percent), "rows")
     classes = rows.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.min_by("prefix", "doc_id").alias("prefix"))
     incidence = classes.select(F.explode("prefix").alias("g"), "n", "id")
-    blocks = incidence.repartition("g").sortWithinPartitions("g", "n", "id")
-    shared = scratch.save(blocks.mapInArrow(lambda it: _shared(it, percent), "g long, n int, id long, pivot long"), "shared")
-
-    stars = shared.where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-    stars = scratch.save(stars, "stars")
-    links = _link(valid, rows, stars, scratch, "first", k, percent)
-    labels = C.components(links, scratch, "near")
-
-    # what is left: pairs that share an n-gram of both prefixes, allowed by size, in components still apart
-    marked = shared.select("g", "n", "id").join(labels, "id", "left").select("g", "n", "id", F.coalesce("label", "id").alias("label"))
-    mixed = marked.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("g")
-    marked = scratch.save(marked.join(mixed, "g"), "marked")
+    blocks = incidence.repartition("g").select("g", "n", "id", F.col("id").alias("label"))
+    links, done, labels = None, None, None
+    for turn in range(TURNS):
+        # likely links to the few that come first in every group, in another order each turn
+        ordered = blocks.sortWithinPartitions("g", F.xxhash64("id", F.lit(turn)), "id")
+        met = scratch.save(ordered.mapInArrow(lambda it: _shared(it, percent), "g long, n int, id long, partners array<long>, partner_ns array<int>"), f"shared{turn}")
+        if not turn:
+            shared = met.select("g", "n", "id")
+        met = met.select("id", "n", F.explode(F.arrays_zip("partners", "partner_ns")).alias("p")).select("id", "n", F.col("p.partners").alias("other"), F.col("p.partner_ns").alias("other_n"))
+        met = met.groupBy("id", "n", "other", "other_n").agg(F.count("*").alias("common")).where(_enough("common", "n", "other_n", percent))
+        stars = met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+        stars = scratch.save(stars if done is None else stars.join(done, ["a", "b"], "left_anti"), f"stars{turn}")
+        new = _link(valid, stars, scratch, f"turn{turn}", k, percent)
+        links, done = (new, stars) if done is None else (links.union(new), done.union(stars))
+        labels = C.components(links, scratch, f"near{turn}")
+        # what is left to do: n-grams whose group has components apart
+        marked = scratch.save(shared.join(labels, "id", "left").select("g", "n", "id", F.coalesce("label", "id").alias("label")), f"labelled{turn}")
+        mixed = scratch.save(marked.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("g"), f"mixed{turn}")
+        marked = scratch.save(marked.join(mixed, "g"), f"marked{turn}")
+        scratch.drop(f"labelled{turn}", f"mixed{turn}", *([f"shared{turn}"] if turn else ["shared0"]), *([f"marked{turn - 1}"] if turn else []))
+        shared, blocks = marked.select("g", "n", "id"), marked.repartition("g")
+
+    # the product itself, for pairs in components still apart
     parts = marked.select("g", "label").distinct()
     apart = parts.join(parts.withColumnRenamed("label", "other"), "g").where("label < other")
     left = apart.join(marked.select("g", "label", F.col("id").alias("x"), F.col("n").alias("nx")), ["g", "label"])
     wide = left.join(marked.select("g", F.col("label").alias("other"), F.col("id").alias("y"), F.col("n").alias("ny")), ["g", "other"])
     fits = wide.where(F.expr(f"100 * least(nx, ny) >= {int(percent)} * greatest(nx, ny)"))
-    rest = fits.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    product = fits.groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("common")).where(_enough("common", "nx", "ny", percent))
+    rest = product.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).join(done, ["a", "b"], "left_anti")
     rest = scratch.save(rest, "rest")
     if rest.limit(1).count():
-        links = scratch.save(links.union(_link(valid, rows, rest, scratch, "second", k, percent)), "links")
+        links = scratch.save(links.union(_link(valid, rest, scratch, "second", k, percent)), "links")
         labels = C.components(links, scratch, "all")
-    scratch.drop("shared", "marked", "stars", "rest")
+    scratch.drop(f"marked{TURNS - 1}", "rest")
 
     degree = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("n_links"))
     names = rows.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("id"))
