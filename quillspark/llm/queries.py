@@ -1,9 +1,12 @@
 """The text operators' queries by name, and the SQL that checks them."""
 
-from . import bpe, jaccard, sharding, substrings, topk, warc
+from . import bpe, decontam, jaccard, licenses, quality, sharding, substrings, topk, warc
 
 QUERIES = {
+    "op1_importance_resampling": quality.op1_importance_resampling,
     "op2_byte_bpe": bpe.op2_byte_bpe,
+    "op3_license_scan": licenses.op3_license_scan,
+    "op4_decontamination": decontam.op4_decontamination,
     "op5_substring_dedup": substrings.op5_substring_dedup,
     "op6_bounded_ring": sharding.op6_bounded_ring,
     "op8_warc": warc.op8_warc,

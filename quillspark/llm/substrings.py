@@ -153,8 +153,9 @@ def _window_rows(docs: DataFrame, window: int) -> DataFrame:
     return C.as_bytes(docs, "doc_id", "at").select("doc_id", "text", "at").mapInArrow(run, "doc_id long, pos int, h1 long, h2 int")
 
 
-def _cut(docs: DataFrame, window: int) -> DataFrame:
-    """Removes the words that windows at `starts` cover, or all words if `whole`."""
+def _cut(docs: DataFrame, window: int, rest: str = "") -> DataFrame:
+    """Of (doc_id, text, whole, starts) and a column rest of any type: removes the words that windows at `starts` cover,
+    or all words if `whole`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,9 +175,10 @@ def _cut(docs: DataFrame, window: int) -> DataFrame:
                     words = [w for w, x in zip(words, out.tolist()) if not x]
                 gone.append(n[-1] - len(words))
                 kept.append(b" ".join(words))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_words", "n_removed", "kept"])
+            out = [batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary())]
+            yield pa.RecordBatch.from_arrays(out + batch.columns[4:], ["doc_id", "n_words", "n_removed", "kept", "rest"][: len(out) + bool(rest)])
 
-    return docs.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept binary")
+    return docs.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept binary" + f", rest {rest}" * bool(rest))
 
 
 def repeated_windows(docs: DataFrame, scratch: C.Scratch, window: int = WINDOW_WORDS) -> DataFrame:
@@ -219,6 +221,23 @@ def remove_repeats(docs: DataFrame, scratch: C.Scratch, window: int = WINDOW_WOR
     return _cut(both, window).select("doc_id", "n_words", "n_removed", F.col("kept").cast("string").alias("kept_text"))
 
 
+def without_repeats(docs: DataFrame, scratch: C.Scratch, window: int = WINDOW_WORDS) -> DataFrame:
+    """The rows with their own columns: text is what remove_repeats() keeps where it removes words, else unchanged;
+    n_chars, if there is one, follows a changed text."""
+    gone = repeated_windows(docs, scratch, window)
+    gone = scratch.small(gone, "gone")
+    marked = docs.join(gone, "doc_id", "left")
+    same = marked.where("whole is null").select(docs.columns)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    names = [f"c{i}" for i in range(len(rest))]  # columns of the table may have the names of ours
+    hit = docs.select("doc_id", F.col("text").cast("binary").alias("text"), *(F.col(f"`{c}`").alias(n) for c, n in zip(rest, names))).join(gone, "doc_id")
+    packed = hit.select("doc_id", "text", "whole", "starts", F.struct(*names).alias("rest")) if rest else hit.select("doc_id", "text", "whole", "starts", F.lit(None).cast("int").alias("rest"))
+    cut = _cut(packed, window, packed.schema["rest"].dataType.simpleString()).withColumn("text", F.col("kept").cast("string"))
+    length = F.char_length("text").cast("long")
+    columns = [F.col(c) if c in ("doc_id", "text") else (length if c == "n_chars" else F.col(f"rest.{names[rest.index(c)]}")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns]
+    return same.unionByName(cut.select(columns))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = remove_repeats(C.table(spark, sf_dir, "documents"), C.Scratch(spark, "substrings"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
