@@ -147,14 +147,25 @@ def _segments(edge: np.ndarray) -> Iterator[tuple[int, int]]:
         begin = end
 
 
+def folded(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z lower-cased."""
+    return _FOLD[data]
+
+
+def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and bytes of a binary column, without copying them."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    kind = np.int64 if column.type == pa.large_binary() else np.int32
+    offsets = np.frombuffer(column.buffers()[1] or bytes(8), kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return offsets, np.frombuffer(column.buffers()[2] or b"", np.uint8)
+
+
 def hashed(column: pa.Array, fold: bool = False, classes: np.ndarray = SPACES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Over stretches of rows a to b of a binary column: (a, b, hashes of all their words in order, words per row).
     fold lower-cases A-Z. A word's hash is a polynomial of its bytes modulo 2^64 together with its length, scrambled;
     it is the same in every task. Null is empty."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    offsets = np.frombuffer(column.buffers()[1], np.int64 if column.type == pa.large_binary() else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    offsets, data = buffers(column)
     a = 0
     while a < len(column):
         b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + STRETCH_BYTES)) - 1)

@@ -1,6 +1,6 @@
 """The text operators' queries by name, and the SQL that checks them."""
 
-from . import bpe, decontam, jaccard, licenses, quality, sharding, substrings, topk, warc
+from . import bpe, decontam, jaccard, langid, licenses, quality, sharding, substrings, topk, warc
 
 QUERIES = {
     "op1_importance_resampling": quality.op1_importance_resampling,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_decontamination": decontam.op4_decontamination,
     "op5_substring_dedup": substrings.op5_substring_dedup,
     "op6_bounded_ring": sharding.op6_bounded_ring,
+    "op7_language_id": langid.op7_language_id,
     "op8_warc": warc.op8_warc,
     "op9_ngram_jaccard_join": jaccard.op9_ngram_jaccard_join,
     "op10_exact_topk": topk.op10_exact_topk,
