@@ -1,4 +1,6 @@
 """All queries of the engine by name, with the SQL that checks them."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import pricing, series, stores  # noqa: F401  they register their queries
+from .base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
