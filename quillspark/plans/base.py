@@ -57,6 +57,14 @@ FROM {orders} WHERE extract(doy FROM o_orderdate) % 97 <> 0 GROUP BY substr(o_or
 UNION ALL
 SELECT CASE WHEN o_orderpriority < '4' THEN 'low' ELSE 'all' END, CAST(o_orderdate AS DATE), sum(floor(o_totalprice) / CAST(64 AS DOUBLE)), count(*), min(o_orderkey)
 FROM {orders} WHERE extract(doy FROM o_orderdate) % 97 <> 0 GROUP BY CASE WHEN o_orderpriority < '4' THEN 'low' ELSE 'all' END, CAST(o_orderdate AS DATE)""",
+    "fx_stmt_daily": """
+SELECT event_type AS asset, concat('m', CAST(user_id % 4 AS VARCHAR(9))) AS metric, day, sum(v) AS value, count(*) AS n, min(event_id) AS id
+FROM {fx_events} WHERE NOT (event_type = 'click' AND user_id % 4 = 3 AND extract(day FROM day) = 24) GROUP BY event_type, concat('m', CAST(user_id % 4 AS VARCHAR(9))), day""",
+    "fx_stmt_levels": """
+SELECT event_type AS asset, max(CASE WHEN user_id % 5 = 0 THEN v END) / 64 + 1 AS price, sum(v) * 4 AS total_supply,
+  CASE WHEN min(event_id) % 2 = 0 THEN sum(v) END AS circulating, sum(CASE WHEN user_id % 3 = 0 THEN v END) AS staked, CASE WHEN min(event_id) % 3 = 0 THEN sum(v) / 2 END AS locked,
+  sum(CASE WHEN user_id % 10 = 0 THEN v END) AS emission, max(v) AS release_rate, CASE WHEN min(event_id) % 2 = 1 THEN min(v) + 8 END AS release_cap, count(*) / CAST(8 AS DOUBLE) AS run_rate
+FROM {fx_events} GROUP BY event_type""",
     "fx_transfers": """
 SELECT CAST(l_orderkey AS BIGINT) * 8 + l_linenumber AS transfer_id, l_returnflag AS token, l_linestatus AS sink, l_suppkey % 50 AS sender,
   CAST(l_shipdate AS DATE) AS day, CAST(l_orderkey % 24 AS INTEGER) AS hour, floor(l_extendedprice) / CAST(64 AS DOUBLE) AS amount
