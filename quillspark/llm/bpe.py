@@ -2,19 +2,18 @@
 
 The ranks come from a file that is a parameter; nothing is trained. A text is split by the pattern into pre-tokens.
 Within a pre-token the next merge is that of the least rank, leftmost first. Positions wait in one bucket per rank; a
-bitmap has a bit for each rank whose bucket holds any, and two levels of summary words above it, so that the least
-rank is found by three find-first-set steps however long the pre-token is. Positions form a linked list; entries of
-pairs that a merge has changed stay in their buckets and are skipped when they come up.
+bitmap has a bit for each rank whose bucket holds any, in words of WORD bits, and a summary has a bit for each word in
+use, so that the least rank is found by two find-first-set steps however long the pre-token is. Positions form a linked
+list; entries of pairs that a merge has changed stay in their buckets and are skipped when they come up.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from heapq import heappop, heappush
 
 import numpy as np
 import public_tokenizers
@@ -26,137 +25,111 @@ from pyspark.sql import functions as F
 from . import common as C
 
 RANKS_FILE = "byte_bpe_50k.tiktoken"
-#: Encoded pieces that a worker keeps; it starts anew when full.
-CACHE_PIECES = 400_000
+#: Encoded pieces in each of a worker's two generations of kept ones.
+CACHE_PIECES = 300_000
 #: Longer pieces are encoded without being kept.
 CACHE_CHARS = 64
+#: Texts that are handled together.
+TEXTS = 500
 
 #: The white space of Unicode (property White_Space), as the pattern's \s has it.
 _SPACE = "\t-\r \x85\xa0  -     　"
 #: Cuts a text where no pre-token can reach across: before the last white-space character that precedes a word.
 _PIECES = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
-_BITS = 64
-
-
-class RankQueue:
-    """Buckets of positions by rank, with a bitmap of the ranks in use and summaries of its words on every level."""
-
-    def __init__(self, ranks: int):
-        self.levels: list[list[int]] = []
-        n = ranks
-        while True:
-            n = -(-n // _BITS)
-            self.levels.append([0] * n)
-            if n == 1:
-                break
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heapq.heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        for words in self.levels:
-            rank, bit = divmod(rank, _BITS)
-            before = words[rank]
-            words[rank] = before | 1 << bit
-            if before:
-                break
-
-    def pop(self) -> tuple[int, int] | None:
-        """The least rank and its leftmost position."""
-        if not self.levels[-1][0]:
-            return None
-        at = 0
-        for words in reversed(self.levels):
-            word = words[at]
-            at = at * _BITS + (word & -word).bit_length() - 1
-        bucket = self.buckets[at]
-        position = heapq.heappop(bucket)
-        if not bucket:
-            del self.buckets[at]
-            rank = at
-            for words in self.levels:
-                rank, bit = divmod(rank, _BITS)
-                words[rank] &= ~(1 << bit)
-                if words[rank]:
-                    break
-        return at, position
+#: Bits in a word of the bitmap: 1 << 8.
+WORD = 256
+_BIT = [1 << i for i in range(WORD)]
+
+
+class Kept(dict):
+    """Results of f for the keys met lately: when a generation is full, the one before it goes."""
+
+    def __init__(self, f):
+        self.f, self.before = f, {}
+
+    def __missing__(self, key):
+        value = self.before.get(key)
+        if value is None:
+            value = self.f(key)
+        if len(key) <= CACHE_CHARS:
+            if len(self) >= CACHE_PIECES:
+                self.before = dict(self)
+                self.clear()
+            self[key] = value
+        return value
 
 
 class Vocabulary:
-    """Ranks of byte strings, and the encoding of pieces of text by them."""
+    """Ranks of byte strings, and the encoding of texts by them. Ids are kept as 32-bit numbers laid end to end."""
 
     def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.bytes_of = {b: a for a, b in self.ranks.items()}
-        self.size = max(self.bytes_of) + 1
+        self.size = max(self.ranks.values()) + 1
+        self.bytes_of = [b""] * self.size
+        for part, rank in self.ranks.items():
+            self.bytes_of[rank] = part
         self.pattern = regex.compile(pattern.replace(r"\s\p{L}", _SPACE + r"\p{L}").replace(r"\s", f"[{_SPACE}]").replace(r"\S", f"[^{_SPACE}]"))
-        self.queue = RankQueue(self.size)
-        self.pretokens: dict[str, tuple[int, ...]] = {}
-        self.pieces: dict[str, tuple[tuple[int, ...], int]] = {}
+        self.words = [0] * -(-self.size // WORD)
+        self.pretokens = Kept(lambda x: self.merge(x.encode()))
+        self.pieces = Kept(lambda x: b"".join(map(self.pretokens.__getitem__, self.pattern.findall(x))))
 
-    def merge(self, data: bytes) -> tuple[int, ...]:
+    def merge(self, data: bytes) -> bytes:
         """Ids of one pre-token."""
-        ranks = self.ranks
-        if (whole := ranks.get(data)) is not None:
-            return (whole,)
-        n = len(data)
-        end = list(range(1, n + 1))  # of the part that begins at each position
+        get, n = self.ranks.get, len(data)
+        if (whole := get(data)) is not None:
+            return whole.to_bytes(4, "little")
+        end = list(range(1, n + 1))  # of the part that begins at each position; -1: none does any more
         before = list(range(-1, n - 1))
-        alive = bytearray(b"\x01") * n
-        queue, get = self.queue, ranks.get
-        push, pop = queue.push, queue.pop
+        words, used, buckets = self.words, 0, {}  # the bitmap is empty between calls
         for i in range(n - 1):
-            if (r := get(data[i : i + 2])) is not None:
-                push(r, i)
-        while (top := pop()) is not None:
-            rank, i = top
+            r = get(data[i : i + 2])
+            if r is not None:
+                if r in buckets:
+                    buckets[r].append(i)  # in order, which is a heap
+                else:
+                    buckets[r] = [i]
+                    words[r >> 8] |= _BIT[r & 255]
+                    used |= 1 << (r >> 8)
+        while used:
+            w = (used & -used).bit_length() - 1
+            word = words[w]
+            low = word & -word
+            rank = (w << 8) + low.bit_length() - 1
+            bucket = buckets[rank]
+            i = heappop(bucket)
+            if not bucket:
+                del buckets[rank]
+                words[w] = word = word ^ low
+                if not word:
+                    used ^= 1 << w
             j = end[i]
-            if not alive[i] or j >= n or get(data[i : (k := end[j])]) != rank:
+            if j < 0 or j >= n or get(data[i : (k := end[j])]) != rank:
                 continue  # stale
-            alive[j] = 0
+            end[j] = -1
             end[i] = k
+            b = before[i]
             if k < n:
                 before[k] = i
-                if (r := get(data[i : end[k]])) is not None:
-                    push(r, i)
-            if i and (r := get(data[(b := before[i]) : k])) is not None:
-                push(r, b)
+            for at, to in ((i, end[k] if k < n else 0), (b, k if b >= 0 else 0)):
+                if to and (r := get(data[at:to])) is not None:
+                    if r in buckets:
+                        heappush(buckets[r], at)
+                    else:
+                        buckets[r] = [at]
+                        words[r >> 8] |= _BIT[r & 255]
+                        used |= 1 << (r >> 8)
         out, i = [], 0
         while i < n:
-            out.append(ranks[data[i : end[i]]])
+            out.append(self.ranks[data[i : end[i]]])
             i = end[i]
-        return tuple(out)
-
-    def encode_piece(self, piece: str) -> tuple[int, ...]:
-        out: list[int] = []
-        for x in self.pattern.findall(piece):
-            ids = self.pretokens.get(x)
-            if ids is None:
-                ids = self.merge(x.encode())
-                if len(x) <= CACHE_CHARS:
-                    if len(self.pretokens) >= CACHE_PIECES:
-                        self.pretokens.clear()
-                    self.pretokens[x] = ids
-            out += ids
-        return tuple(out)
-
-    def encode(self, text: str) -> list[tuple[int, ...]]:
-        """Ids of the text's pieces in order."""
-        known, out = self.pieces, []
-        for piece in _PIECES.findall(text):
-            ids = known.get(piece)
-            if ids is None:
-                ids = self.encode_piece(piece)
-                if len(piece) <= CACHE_CHARS:
-                    if len(known) >= CACHE_PIECES:
-                        known.clear()
-                    known[piece] = ids
-            out.append(ids)
-        return out
+        return np.array(out, "<i4").tobytes()
+
+    def encode(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, _PIECES.findall(text)))
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
 
 
 @lru_cache(2)
@@ -175,15 +148,14 @@ def encode(docs: DataFrame, *keep: str, path: str | None = None, pattern: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path, pattern)
-        for batch in batches:
-            last = batch.num_columns - 1
-            flat, each = [], []
-            for text in batch.column(last).to_pylist():
-                ids = list(chain.from_iterable(v.encode(text or "")))
-                each.append(len(ids))
-                flat.append(np.array(ids, np.int32))
-            ids = C.list_column(np.concatenate(flat) if flat else np.empty(0, np.int32), np.array(each, np.int64), pa.int32())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:last], ids], [*batch.schema.names[:last], "ids"])
+        for whole in batches:
+            last = whole.num_columns - 1
+            for at in range(0, len(whole), TEXTS):
+                batch = whole.slice(at, TEXTS)
+                ids = [v.encode(text or "") for text in batch.column(last).to_pylist()]
+                each = np.array([len(x) // 4 for x in ids], np.int64)
+                ids = C.list_column(np.frombuffer(b"".join(ids), "<i4"), each, pa.int32())
+                yield pa.RecordBatch.from_arrays([*batch.columns[:last], ids], [*batch.schema.names[:last], "ids"])
 
     narrow = docs.select(*keep, F.col("text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema[:-1])
@@ -195,11 +167,13 @@ def decode(encoded: DataFrame, path: str | None = None, pattern: str = public_to
     path = path or public_tokenizers.path(RANKS_FILE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = vocabulary(path, pattern).bytes_of.__getitem__
-        for batch in batches:
-            ids = batch.column(batch.schema.get_field_index("ids"))
-            out = [b"".join(map(part, x.values.to_numpy().tolist())) if x.is_valid else b"" for x in ids]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "decoded"])
+        v, none = vocabulary(path, pattern), np.empty(0, np.int32)
+        for whole in batches:
+            for at in range(0, len(whole), TEXTS):
+                batch = whole.slice(at, TEXTS)
+                ids = batch.column(batch.schema.get_field_index("ids"))
+                out = [v.decode(x.values.to_numpy() if x.is_valid else none) for x in ids]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "decoded"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
     return encoded.mapInArrow(run, f"{schema}, decoded binary")
