@@ -29,13 +29,14 @@ def window_sums(daily: DataFrame, end: str, days: int) -> DataFrame:
 
 
 def line_values(lines: DataFrame, sums: DataFrame) -> DataFrame:
-    """lines with term and prior_term (weighted window sums, null where incomplete) and mix. lines are configuration;
+    """lines with term and prior_term (weighted window sums, null where incomplete), mix, and flow (the metric's whole
+    window sum). lines are configuration;
     sums have a row for each series."""
     one = lambda c, p: sums.select("asset", F.col("metric").alias(c), F.col("total").alias(f"{p}_total"), F.col("prior").alias(f"{p}_prior"))
     out = lines.join(one("metric", "m"), ["asset", "metric"], "left").join(one("by_metric", "b"), ["asset", "by_metric"], "left").join(one("over_metric", "o"), ["asset", "over_metric"], "left")
     mix = F.when(F.col("o_total") != 0, F.col("b_total") / F.col("o_total"))
     weight = F.when(F.col("kind") == "apportion", F.col("weight") * mix).when(F.col("kind") == "terms", F.col("weight"))
-    return out.withColumns({"mix": F.when(F.col("kind") == "apportion", mix), "term": F.col("m_total") * weight, "prior_term": F.col("m_prior") * weight}).drop("m_total", "m_prior", "b_total", "b_prior", "o_total", "o_prior")
+    return out.withColumns({"mix": F.when(F.col("kind") == "apportion", mix), "term": F.col("m_total") * weight, "prior_term": F.col("m_prior") * weight, "flow": F.col("m_total")}).drop("m_total", "m_prior", "b_total", "b_prior", "o_total", "o_prior")
 
 
 def to_year(total: Column, days: int) -> Column:
@@ -120,7 +121,7 @@ def holder_lines(values: DataFrame, levels: DataFrame, days: int) -> DataFrame:
     alike = alike.join(size, key).where("n = set_size and kinds = 1 and n > 1").select(*key, "first")
     rows = rows.join(alike, key, "left")
     own = F.when(F.col("kind") == "level", F.col("level")).otherwise(to_year(F.col("term"), days))
-    whole = F.when(F.col("first").isNotNull(), to_year(F.col("term") / F.col("mix"), days)).otherwise(own)
+    whole = F.when(F.col("first").isNotNull(), to_year(F.col("flow"), days)).otherwise(own)
     out = rows.withColumns({"gross": own, "unit_gross": whole, "unit": F.col("first").isNull() | (F.col("line") == F.col("first"))})
     out = out.join(F.broadcast(levels.select("asset", "price", "total_supply", "staked", "locked")), "asset", "left")
     out = out.withColumn("net", F.col("unit_gross") * (1 - F.col("haircut"))).withColumn("n", recipients(F.col("base")))

@@ -163,3 +163,22 @@ def rule_violations(spark, sf):
     share = lines.select((F.col("l_orderkey").cast("long") * 8 + F.col("l_linenumber")).alias("line"), (F.col("l_discount") * 20).alias("share")).where("not (share > 0 and share <= 1)")
     alone = fx(spark, sf, "orders").where("o_orderkey < 2000").join(lines.where("l_linenumber = 1").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_anti")
     return share.select("line", F.lit("share outside (0, 1]").alias("problem")).unionByName(alone.select(F.col("o_orderkey").cast("long").alias("line"), F.lit("no line").alias("problem")))
+
+
+@query("query_read_only", "SELECT o_orderstatus, count(*) AS n, max(o_orderkey) AS last_key FROM orders GROUP BY o_orderstatus")
+def query_read_only(spark, sf):
+    from ..sources.readonly import read_only
+
+    return read_only(spark, "select o_orderstatus, count(*) as n, max(o_orderkey) as last_key from {orders} group by o_orderstatus;", orders=fx(spark, sf, "orders"))
+
+
+@query("snapshot_envelope", """
+b AS (SELECT asset_id, concat('{"asset":"', asset_id, '","metrics":{', string_agg(concat('"', metric_key, '":', n), ',' ORDER BY metric_key), '}}') AS body FROM (SELECT asset_id, metric_key, count(*) AS n FROM fx_readings GROUP BY 1, 2) GROUP BY asset_id)
+---
+SELECT asset_id, body, sha256(body) AS digest FROM b""")
+def snapshot_envelope(spark, sf):
+    """Canonical JSON (keys in order) of each asset, with its digest."""
+    counts = fx(spark, sf, "fx_readings").groupBy("asset_id", "metric_key").agg(F.count("*").alias("n"))
+    metrics = counts.groupBy("asset_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric_key", "n")))).alias("metrics"))  # metrics of an asset
+    body = metrics.select("asset_id", F.to_json(F.struct(F.col("asset_id").alias("asset"), "metrics")).alias("body"))
+    return body.withColumn("digest", F.sha2("body", 256))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import series as T
 from ..operators import statement as I
 from .base import fx, query
 
@@ -103,7 +102,7 @@ def stmt_sections(spark, sf):
 
 
 @query("stmt_revenue_growth", CTE + f"""
-SELECT asset, round(sum(term) * 365 / {DAYS}, 6) AS annualized, round(CASE WHEN count(term) = count(*) AND count(prior_term) = count(*) AND sum(prior_term) > 0 THEN sum(term) / sum(prior_term) - 1 END, 9) AS change
+SELECT asset, round(CASE WHEN count(term) = count(*) THEN sum(term) END * 365 / {DAYS}, 6) AS annualized, round(CASE WHEN count(term) = count(*) AND count(prior_term) = count(*) AND sum(prior_term) > 0 THEN sum(term) / sum(prior_term) - 1 END, 9) AS change
 FROM ln WHERE section = 'revenue' AND line <> 'rev_c' GROUP BY asset""")
 def stmt_revenue_growth(spark, sf):
     s = I.sections(_values(spark, sf).where("section = 'revenue' and line <> 'rev_c'"), DAYS)
@@ -241,5 +240,5 @@ w AS (SELECT asset, metric, sum(value) FILTER (WHERE day > DATE '{END}' - {DAYS}
 ---
 SELECT asset, metric, CASE WHEN n = {2 * DAYS} AND pri > 0 THEN cur / pri - 1 END AS change FROM w""")
 def stmt_reported_growth(spark, sf):
-    g = T.growth(fx(spark, sf, "fx_stmt_daily"), DAYS, "asset", "metric")
-    return g.where(f"day = date'{END}'").select("asset", "metric", "change")
+    sums = I.window_sums(fx(spark, sf, "fx_stmt_daily"), END, DAYS)
+    return sums.select("asset", "metric", F.when(F.col("prior") > 0, F.col("total") / F.col("prior") - 1).alias("change"))
