@@ -30,6 +30,8 @@ FREQUENT_IN_STRETCH = 4
 #: Members of an n-gram's group, least by a hash of the id, that all of the group are first compared with.
 PIVOTS = 5
 
+#: Members of a component in a block of the product's columns.
+COLUMN_BLOCK = 2048
 #: Turns of such comparisons, each in another order, before all pairs that are still apart are taken.
 TURNS = 1
 
@@ -123,6 +125,47 @@ def _shared(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([pa.array(g[rows]), pa.array(n[rows].astype(np.int32)), pa.array(i[rows]), *lists], ["g", "n", "id", "partners", "partner_ns"])
 
 
+def _product(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Of rows (x, nx, label, other, block, y, ny) sorted by x, other and block, y and ny being lists: how often each
+    pair (x, y) whose sizes allow a link comes, if it is often enough. Between batches the rows of one x and block are held: a list for each
+    of its n-grams at most."""
+
+    def counted(t: pa.Table) -> pa.RecordBatch:
+        t = t.combine_chunks()
+        lists = t.column("y").combine_chunks()
+        each = lists.value_lengths().to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(t)), each)
+        x, y = t.column("x").to_numpy()[row], lists.flatten().to_numpy()
+        nx, ny = t.column("nx").to_numpy()[row], t.column("ny").combine_chunks().flatten().to_numpy()
+        fits = np.flatnonzero(100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny))
+        order = fits[np.lexsort((y[fits], x[fits]))]
+        xs, ys = x[order], y[order]
+        first = np.flatnonzero(np.concatenate([[True], (xs[1:] != xs[:-1]) | (ys[1:] != ys[:-1])])) if len(xs) else np.empty(0, np.int64)
+        n = np.diff(np.append(first, len(xs))).astype(np.int32)
+        at = order[first]
+        rest = np.maximum(percent * nx[at].astype(np.int64) + 99, percent * ny[at].astype(np.int64) + 99) // 100 - 1
+        some = (100 + percent) * (n + rest) >= percent * (nx[at].astype(np.int64) + ny[at])  # as _enough()
+        at, n = at[some], n[some]
+        cols = [x[at], y[at], nx[at], ny[at], t.column("label").to_numpy()[row[at]], t.column("other").to_numpy()[row[at]], n]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["x", "y", "nx", "ny", "label", "other", "common"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        key = np.stack([batch.column(c).to_numpy() for c in ("x", "other", "block")])
+        last = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0))
+        begin = int(last[-1]) + 1 if len(last) else 0  # of the last key's rows
+        if held and (begin or any(held[-1].column(c)[-1].as_py() != batch.column(c)[0].as_py() for c in ("x", "other", "block"))):
+            yield counted(pa.Table.from_batches([*held, batch.slice(0, begin)]))
+            held = []
+        elif begin:
+            yield counted(pa.Table.from_batches([batch.slice(0, begin)]))
+        held.append(batch.slice(begin))
+    if held:
+        yield counted(pa.Table.from_batches(held))
+
+
 def _overlaps(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Exact products of candidate rows (a, b, set_a, set_b): pairs that link, with their overlap."""
     for batch in batches:
@@ -196,18 +239,32 @@ def jaccard_components(docs: DataFrame, scratch: C.Scratch, k: int = SHINGLE_WOR
         scratch.drop(f"labelled{turn}", f"mixed{turn}", *([f"shared{turn}"] if turn else ["shared0"]), *([f"marked{turn - 1}"] if turn else []))
         shared, blocks = marked.select("g", "n", "id"), marked.repartition("g")
 
-    # the product itself, for pairs in components still apart
-    parts = marked.select("g", "label").distinct()
-    apart = parts.join(parts.withColumnRenamed("label", "other"), "g").where("label < other")
-    left = apart.join(marked.select("g", "label", F.col("id").alias("x"), F.col("n").alias("nx")), ["g", "label"])
-    wide = left.join(marked.select("g", F.col("label").alias("other"), F.col("id").alias("y"), F.col("n").alias("ny")), ["g", "other"])
-    fits = wide.where(F.expr(f"100 * least(nx, ny) >= {int(percent)} * greatest(nx, ny)"))
-    product = fits.groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("common")).where(_enough("common", "nx", "ny", percent))
-    rest = product.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).join(done, ["a", "b"], "left_anti")
+    # the product itself, for pairs in components still apart: rows of the smaller component meet the members of the
+    # larger one in blocks of about COLUMN_BLOCK, so that a large component costs a row of the join for a block
+    sizes = marked.select("id", "label").distinct().groupBy("label").agg(F.count("*").alias("size"))
+    sizes = scratch.save(sizes, "sizes")
+    rows_of = marked.select("g", "n", "id", "label").join(scratch.small(sizes, "sizes"), "label")
+    block = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / COLUMN_BLOCK)).cast("int").alias("block")
+    columns = rows_of.groupBy("g", F.col("label").alias("other"), F.col("size").alias("other_size"), block).agg(F.collect_list(F.struct("id", "n")).alias("y"))
+    met = rows_of.join(columns, "g").where("size < other_size or (size = other_size and label < other)")
+    met = met.select(F.col("id").alias("x"), F.col("n").alias("nx"), "label", "other", "block", F.col("y.id").alias("y"), F.col("y.n").alias("ny"))
+    met = met.repartition("x", "other", "block").sortWithinPartitions("x", "other", "block")
+    product = met.mapInArrow(lambda it: _product(it, percent), "x long, y long, nx int, ny int, label long, other long, common int")
+    rest = product.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "label", "other", "common").join(done, ["a", "b"], "left_anti")
     rest = scratch.save(rest, "rest")
     if rest.limit(1).count():
-        links = scratch.save(links.union(_link(valid, rest, scratch, "second", k, percent)), "links")
-        labels = C.components(links, scratch, "all")
+        # the best pair of every two components first, then all pairs in components still apart
+        best = rest.groupBy("label", "other").agg(F.max_by(F.struct("a", "b"), F.struct("common", -F.col("a"), -F.col("b"))).alias("p"))
+        best = scratch.save(best.select("p.a", "p.b"), "best")
+        links = links.union(_link(valid, best, scratch, "best", k, percent))
+        labels = C.components(links, scratch, "closer")
+        at = lambda c: labels.select(F.col("id").alias(c), F.col("label").alias(f"of_{c}"))
+        apart = rest.select("a", "b").join(at("a"), "a", "left").join(at("b"), "b", "left").where("coalesce(of_a, a) <> coalesce(of_b, b)")
+        last = scratch.save(apart.select("a", "b").join(best, ["a", "b"], "left_anti"), "last")
+        if last.limit(1).count():
+            links = scratch.save(links.union(_link(valid, last, scratch, "last", k, percent)), "links")
+            labels = C.components(links, scratch, "all")
+        scratch.drop("last", "best")
     scratch.drop(f"marked{TURNS - 1}", "rest")
 
     degree = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("n_links"))

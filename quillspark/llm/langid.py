@@ -109,7 +109,7 @@ def text_evidence(rows: DataFrame, model: Model, markup: bool) -> DataFrame:
                 column = pa.array([markup_text(x or b"") for x in column.to_pylist()], pa.binary())
             for a, b, offsets, data in _stretches(column):
                 f, row = _trigrams(offsets, data)
-                ll = np.stack([np.bincount(row, logs[f, j], minlength=b - a) for j in range(width)], axis=1)
+                ll = np.stack([np.bincount(row, logs[f, j], minlength=b - a) for j in range(width)], axis=1).astype(np.float64)
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:last]), C.list_column(ll.ravel(), np.full(b - a, width), pa.float64())], [*batch.schema.names[:last], "ll"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1])

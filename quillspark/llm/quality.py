@@ -19,11 +19,13 @@ from . import common as C
 
 #: Hashed features of the models.
 BUCKETS = 1 << 14
-#: Added to each count of a bucket.
-SMOOTHING = 0.5
+#: Added to each bucket's count in the target, and to the count that all documents make one expect there: what the
+#: target has hardly had a chance to show doesn't speak against a document.
+SMOOTHING = 20.0
 #: Keys are weight / TEMPERATURE + noise: low, so that noise decides between documents of nearly equal weight only.
 TEMPERATURE = 0.05
-#: k counts the documents whose weight is at least this quantile of the target's weights, less the margin.
+#: k counts the documents whose weight is at least this quantile of the target's weights, less the margin. For that, the
+#: weight of a target document is taken without its own counts in the target, as for a document that has no label.
 TARGET_QUANTILE, MARGIN = 0.001, 1.0
 #: The k-th key is found by histograms of so many bins; that many keys of the last bin are read.
 BINS = 1024
@@ -38,9 +40,9 @@ def _features(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return buckets.astype(np.int64), np.concatenate([row, row[1:][pair]])
 
 
-def log_ratios(docs: DataFrame, target: Column) -> np.ndarray:
-    """Log of target probability over raw probability of each bucket; target tells a document of the target (null: no).
-    Counts are over all documents; BUCKETS sums come to the driver."""
+def models(docs: DataFrame, target: Column) -> tuple[np.ndarray, np.ndarray]:
+    """Of each bucket: its count in the target, and what its count in all documents makes one expect there. target tells
+    a document of the target (null: no). Counts are over all documents; BUCKETS sums come to the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, BUCKETS), np.int64)
@@ -57,25 +59,31 @@ def log_ratios(docs: DataFrame, target: Column) -> np.ndarray:
     raw, wanted = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in sums:
         raw[r.f], wanted[r.f] = r.raw, r.target
-    part = lambda x: np.log((x + SMOOTHING) / (x.sum() + SMOOTHING * BUCKETS))
-    return part(wanted) - part(raw)
+    return wanted, raw * (wanted.sum() / max(1.0, raw.sum()))
 
 
-def weights(docs: DataFrame, ratios: np.ndarray, *keep: str) -> DataFrame:
-    """The kept columns, n_features and log_weight of each row; 0 without words."""
+def weights(docs: DataFrame, target: np.ndarray, expected: np.ndarray) -> DataFrame:
+    """doc_id, good, n_features, log_weight (0 without words) and unseen_weight of each row of (doc_id, good, text): of
+    target documents (good) the weight without their own counts, else null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ratios = np.log((target + SMOOTHING) / (expected + SMOOTHING))
         for batch in batches:
-            last = batch.num_columns - 1
-            for a, b, h, sizes in C.hashed(batch.column(last), classes=C.PIECES):
+            chosen = batch.column(1).fill_null(False).to_numpy(zero_copy_only=False).astype(bool)
+            for a, b, h, sizes in C.hashed(batch.column(2), classes=C.PIECES):
                 f, row = _features(h, sizes)
-                w = np.bincount(row, ratios[f], minlength=b - a)
+                w = np.bincount(row, ratios[f], minlength=b - a).astype(np.float64)
                 n = np.bincount(row, minlength=b - a)
-                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:last]), pa.array(n), pa.array(w)], [*batch.schema.names[:last], "n_features", "log_weight"])
+                own = chosen[a:b][row]
+                key, count = np.unique(row[own] * BUCKETS + f[own], return_counts=True)
+                bucket = key % BUCKETS
+                unseen = count * np.log((target[bucket] - count + SMOOTHING) / (expected[bucket] + SMOOTHING))
+                unseen = np.bincount(key // BUCKETS, unseen, minlength=b - a).astype(np.float64)
+                yield pa.RecordBatch.from_arrays(
+                    [*(c.slice(a, b - a) for c in batch.columns[:2]), pa.array(n), pa.array(w), pa.array(unseen, mask=~chosen[a:b])], ["doc_id", "good", "n_features", "log_weight", "unseen_weight"]
+                )
 
-    narrow = C.as_bytes(docs, *keep)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema[:-1])
-    return narrow.mapInArrow(run, f"{schema}, n_features long, log_weight double")
+    return C.as_bytes(docs, "doc_id", "good").mapInArrow(run, "doc_id long, good boolean, n_features long, log_weight double, unseen_weight double")
 
 
 def gumbel(*by: str) -> Column:
@@ -117,11 +125,10 @@ def resample(docs: DataFrame, labels: DataFrame, scratch: C.Scratch, k: int | No
     good = labels.groupBy("doc_id").agg(((F.min("quality") == 1) & (F.max("toxic") == 0)).alias("good"))
     good = scratch.save(good.where("doc_id is not null"), "labels")
     marked = docs.select("doc_id", "text").join(scratch.small(good, "labels"), "doc_id", "left")
-    ratios = log_ratios(marked, F.col("good"))
-    rows = weights(marked, ratios, "doc_id", "good").withColumn("key", F.col("log_weight") / temperature + gumbel("doc_id", "n_features"))
+    rows = weights(marked, *models(marked, F.col("good"))).withColumn("key", F.col("log_weight") / temperature + gumbel("doc_id", "n_features"))
     rows = scratch.save(rows, "weights")
     if k is None:
-        least = rows.where("good").agg(F.percentile_approx("log_weight", TARGET_QUANTILE, 10_000)).first()[0]
+        least = rows.where("good").agg(F.percentile_approx("unseen_weight", TARGET_QUANTILE, 10_000)).first()[0]
         k = rows.count() if least is None else rows.where(F.col("log_weight") >= least - MARGIN).count()
     bar = kth_highest(rows, k)
     if bar is not None:

@@ -226,8 +226,7 @@ def without_repeats(docs: DataFrame, scratch: C.Scratch, window: int = WINDOW_WO
     n_chars, if there is one, follows a changed text."""
     gone = repeated_windows(docs, scratch, window)
     gone = scratch.small(gone, "gone")
-    marked = docs.join(gone, "doc_id", "left")
-    same = marked.where("whole is null").select(docs.columns)
+    same = docs.join(gone.select("doc_id"), "doc_id", "left_anti").select(docs.columns)
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     names = [f"c{i}" for i in range(len(rest))]  # columns of the table may have the names of ours
     hit = docs.select("doc_id", F.col("text").cast("binary").alias("text"), *(F.col(f"`{c}`").alias(n) for c, n in zip(rest, names))).join(gone, "doc_id")
