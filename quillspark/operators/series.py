@@ -151,7 +151,7 @@ def flow_total(daily: DataFrame, first: str, last: str, *by: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.sum("value").alias("total"), (F.datediff(hi, lo) + 1 - F.count_distinct("day")).alias("missing_days"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
 
 
-def covered_days(rows: DataFrame) -> Column:
+def covered_days() -> Column:
     """Days that a row of period_days days ending before observed_hour covers, as day numbers."""
     return F.sequence(F.expr("cast((observed_hour - period_days * 24) div 24 as bigint)"), F.expr("(observed_hour - 1) div 24"))
 

@@ -1,6 +1,6 @@
 """All queries of the engine by name, with the SQL that checks them."""
 
-from . import checks, pricing, scans, series, statement, stores, streams  # noqa: F401  they register their queries
+from . import chain, checks, pricing, scans, series, statement, stores, streams  # noqa: F401  they register their queries
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
