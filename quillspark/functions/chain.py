@@ -5,12 +5,13 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType
 
 #: Base-58 digits.
 BASE58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def units_to_number(raw: pd.Series, decimals: pd.Series) -> pd.Series:
     """Base units as text over 10^decimals; whole part and fraction are divided apart. Null for what is no number."""
 
@@ -24,13 +25,13 @@ def units_to_number(raw: pd.Series, decimals: pd.Series) -> pd.Series:
     return pd.Series([one(t, int(d)) for t, d in zip(raw, decimals)], dtype="float64").where(raw.notna(), None)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def wrapped_difference(later: pd.Series, earlier: pd.Series, bits: pd.Series) -> pd.Series:
     """later - earlier of counters as text that wrap around at 2^bits."""
     return pd.Series([None if a is None or b is None else float((int(a) - int(b)) % (1 << int(n))) for a, b, n in zip(later, earlier, bits)], dtype="float64")
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def base58_bytes(text: pd.Series) -> pd.Series:
     """How many bytes a base-58 text stands for, null if it is none."""
 

@@ -123,7 +123,7 @@ def holder_lines(values: DataFrame, levels: DataFrame, days: int) -> DataFrame:
     own = F.when(F.col("kind") == "level", F.col("level")).otherwise(to_year(F.col("term"), days))
     whole = F.when(F.col("first").isNotNull(), to_year(F.col("flow"), days)).otherwise(own)
     out = rows.withColumns({"gross": own, "unit_gross": whole, "unit": F.col("first").isNull() | (F.col("line") == F.col("first"))})
-    out = out.join(F.broadcast(levels.select("asset", "price", "total_supply", "staked", "locked")), "asset", "left")
+    out = out.join(levels.select("asset", "price", "total_supply", "staked", "locked"), "asset", "left")
     out = out.withColumn("net", F.col("unit_gross") * (1 - F.col("haircut"))).withColumn("n", recipients(F.col("base")))
     paid = F.when((F.col("n") > 0) & (F.col("price") > 0), F.col("net") / (F.col("n") * F.col("price")))
     return out.withColumn("yield", paid).select("asset", "line", "section", "kind", "bucket", "unit", "gross", "unit_gross", "net", "yield")

@@ -217,7 +217,7 @@ def stmt_method_split(spark, sf):
     rows = fx(spark, sf, "fx_stmt_daily").where(f"day > date_sub(date'{END}', {DAYS}) and day <= date'{END}'")
     part = rows.groupBy("asset", F.expr("if(id % 3 = 0, 'measured', 'disclosed')").alias("method")).agg(F.sum("value").alias("v"))
     whole = part.groupBy("asset").agg(F.sum("v").alias("w"))
-    return part.join(F.broadcast(whole), "asset").select("asset", "method", F.round(F.col("v") / F.col("w"), 9).alias("share"))
+    return part.join(whole, "asset").select("asset", "method", F.round(F.col("v") / F.col("w"), 9).alias("share"))
 
 
 @query("stmt_header", "SELECT asset, price, price * circulating AS mcap, price * total_supply AS fdv FROM fx_stmt_levels")

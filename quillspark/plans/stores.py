@@ -247,4 +247,4 @@ def fetch_runs_top(spark, sf):
 def newest_day_checks(spark, sf):
     rows = fx(spark, sf, "fx_readings")
     last = rows.groupBy("asset_id").agg(F.max("day").alias("day"))
-    return rows.join(F.broadcast(last), ["asset_id", "day"]).groupBy("asset_id", "metric_key", "day").agg(F.count("*").alias("n"))
+    return rows.join(last, ["asset_id", "day"]).groupBy("asset_id", "metric_key", "day").agg(F.count("*").alias("n"))
