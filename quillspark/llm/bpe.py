@@ -12,7 +12,6 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from heapq import heappop, heappush
 
 import numpy as np
@@ -70,6 +69,7 @@ class Vocabulary:
         for part, rank in self.ranks.items():
             self.bytes_of[rank] = part
         self.pattern = regex.compile(pattern.replace(r"\s\p{L}", _SPACE + r"\p{L}").replace(r"\s", f"[{_SPACE}]").replace(r"\S", f"[^{_SPACE}]"))
+        self.pairs = [self.ranks.get(bytes((x, y)), -1) for x in range(256) for y in range(256)]
         self.words = [0] * -(-self.size // WORD)
         self.pretokens = Kept(lambda x: self.merge(x.encode()))
         self.pieces = Kept(lambda x: b"".join(map(self.pretokens.__getitem__, self.pattern.findall(x))))
@@ -79,12 +79,14 @@ class Vocabulary:
         get, n = self.ranks.get, len(data)
         if (whole := get(data)) is not None:
             return whole.to_bytes(4, "little")
-        end = list(range(1, n + 1))  # of the part that begins at each position; -1: none does any more
+        end = list(range(1, n + 1))  # of the part that begins at each position
         before = list(range(-1, n - 1))
+        pair = self.pairs
+        now = [pair[x << 8 | y] for x, y in zip(data, data[1:])]  # rank of the pair that begins at each position, or -1
+        now.append(-1)
         words, used, buckets = self.words, 0, {}  # the bitmap is empty between calls
-        for i in range(n - 1):
-            r = get(data[i : i + 2])
-            if r is not None:
+        for i, r in enumerate(now):
+            if r >= 0:
                 if r in buckets:
                     buckets[r].append(i)  # in order, which is a heap
                 else:
@@ -103,20 +105,33 @@ class Vocabulary:
                 words[w] = word = word ^ low
                 if not word:
                     used ^= 1 << w
-            j = end[i]
-            if j < 0 or j >= n or get(data[i : (k := end[j])]) != rank:
+            if now[i] != rank:
                 continue  # stale
-            end[j] = -1
-            end[i] = k
-            b = before[i]
+            j = end[i]
+            end[i] = k = end[j]
+            now[j] = now[i] = -1
             if k < n:
                 before[k] = i
-            for at, to in ((i, end[k] if k < n else 0), (b, k if b >= 0 else 0)):
-                if to and (r := get(data[at:to])) is not None:
+                r = get(data[i : end[k]])
+                if r is not None:
+                    now[i] = r
+                    if r in buckets:
+                        heappush(buckets[r], i)
+                    else:
+                        buckets[r] = [i]
+                        words[r >> 8] |= _BIT[r & 255]
+                        used |= 1 << (r >> 8)
+            if i:
+                b = before[i]
+                r = get(data[b:k])
+                if r is None:
+                    now[b] = -1
+                else:
+                    now[b] = r
                     if r in buckets:
-                        heappush(buckets[r], at)
+                        heappush(buckets[r], b)
                     else:
-                        buckets[r] = [at]
+                        buckets[r] = [b]
                         words[r >> 8] |= _BIT[r & 255]
                         used |= 1 << (r >> 8)
         out, i = [], 0
@@ -132,10 +147,9 @@ class Vocabulary:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
 
 
-@lru_cache(2)
 def vocabulary(path: str, pattern: str) -> Vocabulary:
     """One for each worker process."""
-    return Vocabulary(path, pattern)
+    return C.keep_in_worker(("bpe", path, pattern), lambda: Vocabulary(path, pattern))
 
 
 def encode(docs: DataFrame, *keep: str, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
@@ -145,6 +159,7 @@ def encode(docs: DataFrame, *keep: str, path: str | None = None, pattern: str =
     one is repeated. path: the ranks' file, at the same place on every machine.
     """
     path = path or public_tokenizers.path(RANKS_FILE)
+    C.short_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path, pattern)

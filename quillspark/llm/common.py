@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 #: Tables up to this many bytes (measured on their written files) may be broadcast; larger ones are joined by a shuffle.
 BROADCAST_BYTES = 48 << 20
+#: Rows in an Arrow batch of texts, where the session has Spark's own default, which is meant for short rows.
+BATCH_ROWS, _DEFAULT_ROWS = 1000, "10000"
 #: Bytes of text that are handled in one stretch of numpy work; a longer document makes a longer stretch.
-STRETCH_BYTES = 2 << 20
+STRETCH_BYTES = 1 << 20
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -31,10 +33,18 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Keeps Arrow batches of texts small; a size that the session was given stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == _DEFAULT_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 class Scratch:
     """Tables written to the shared folder; they cut lineage and survive lost executors. drop() removes what is no longer read."""
 
     def __init__(self, spark: SparkSession, name: str):
+        short_batches(spark)
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
     def path(self, table: str) -> str:
@@ -69,6 +79,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # ---- inside tasks -------------------------------------------------------------------------------------------------
 
 
+_kept: dict = {}
+
+
+def keep_in_worker(key: object, make):
+    """What make() gives, kept by the worker process for later tasks with the same key. Tasks of another operator drop
+    it, so that a worker doesn't carry caches it has no use for."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit numbers (the splitmix64 finaliser)."""
     x = x ^ (x >> np.uint64(30))
@@ -106,6 +128,7 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
 
 def as_bytes(df: DataFrame, *keep: str, text: str = "text") -> DataFrame:
     """The kept columns and the text as UTF-8 bytes in a column named text; other columns are not read."""
+    short_batches(df.sparkSession)
     return df.select(*keep, F.col(text).cast("binary").alias("text"))
 
 
@@ -165,6 +188,7 @@ def hashed(column: pa.Array, fold: bool = False, classes: np.ndarray = SPACES) -
     """Over stretches of rows a to b of a binary column: (a, b, hashes of all their words in order, words per row).
     fold lower-cases A-Z. A word's hash is a polynomial of its bytes modulo 2^64 together with its length, scrambled;
     it is the same in every task. Null is empty."""
+    _kept.clear()
     offsets, data = buffers(column)
     a = 0
     while a < len(column):

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -31,7 +31,11 @@ FREQUENT_IN_STRETCH = 4
 PIVOTS = 5
 
 #: Members of a component in a block of the product's columns.
-COLUMN_BLOCK = 2048
+COLUMN_BLOCK = 256
+#: Entries of the product's rows that are counted together.
+PRODUCT_ENTRIES = 400_000
+#: Pairs of two components that are compared before all of them.
+BEST_PAIRS = 6
 #: Turns of such comparisons, each in another order, before all pairs that are still apart are taken.
 TURNS = 1
 
@@ -127,8 +131,8 @@ def _shared(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
 
 def _product(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Of rows (x, nx, label, other, block, y, ny) sorted by x, other and block, y and ny being lists: how often each
-    pair (x, y) whose sizes allow a link comes, if it is often enough. Between batches the rows of one x and block are held: a list for each
-    of its n-grams at most."""
+    pair (x, y) whose sizes allow a link comes, if it is often enough. Rows of about
+    PRODUCT_ENTRIES entries are held, and those of one x and block: a list for each of its n-grams at most."""
 
     def counted(t: pa.Table) -> pa.RecordBatch:
         t = t.combine_chunks()
@@ -149,19 +153,22 @@ def _product(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         cols = [x[at], y[at], nx[at], ny[at], t.column("label").to_numpy()[row[at]], t.column("other").to_numpy()[row[at]], n]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["x", "y", "nx", "ny", "label", "other", "common"])
 
-    held: list[pa.RecordBatch] = []
+    held: list[pa.RecordBatch] = []  # whole rows of the keys not counted yet
+    entries = 0
     for batch in batches:
         if not len(batch):
             continue
         key = np.stack([batch.column(c).to_numpy() for c in ("x", "other", "block")])
-        last = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0))
-        begin = int(last[-1]) + 1 if len(last) else 0  # of the last key's rows
-        if held and (begin or any(held[-1].column(c)[-1].as_py() != batch.column(c)[0].as_py() for c in ("x", "other", "block"))):
-            yield counted(pa.Table.from_batches([*held, batch.slice(0, begin)]))
-            held = []
-        elif begin:
-            yield counted(pa.Table.from_batches([batch.slice(0, begin)]))
-        held.append(batch.slice(begin))
+        begins = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1]).tolist()
+        size = np.concatenate([[0], np.cumsum(batch.column("y").value_lengths().to_numpy(zero_copy_only=False))])
+        again = bool(held) and all(held[-1].column(c)[-1].as_py() == batch.column(c)[0].as_py() for c in ("x", "other", "block"))
+        at = 0
+        for begin in begins:
+            if entries + size[begin] - size[at] >= PRODUCT_ENTRIES and not (begin == 0 and again):
+                yield counted(pa.Table.from_batches([*held, batch.slice(at, begin - at)]))
+                held, entries, at = [], 0, begin
+        held.append(batch.slice(at))
+        entries += int(size[-1] - size[at])
     if held:
         yield counted(pa.Table.from_batches(held))
 
@@ -205,6 +212,31 @@ def _link(docs: DataFrame, pairs: DataFrame, scratch: C.Scratch, name: str, k: i
     return links
 
 
+def _apart(shared: DataFrame, labels: DataFrame, scratch: C.Scratch, name: str) -> DataFrame:
+    """(g, n, id, label) of the n-grams whose group has more than one label; an id without one is its own."""
+    marked = scratch.save(shared.join(labels, "id", "left").select("g", "n", "id", F.coalesce("label", "id").alias("label")), f"labelled{name}")
+    mixed = scratch.save(marked.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("g"), f"mixed{name}")
+    out = scratch.save(marked.join(mixed, "g"), f"marked{name}")
+    scratch.drop(f"labelled{name}", f"mixed{name}")
+    return out
+
+
+def _blocked_product(marked: DataFrame, sizes: DataFrame, one_block: bool, percent: int) -> DataFrame:
+    """x, y, nx, ny, label, other, common of pairs with different labels that can link. Rows of the smaller component
+    meet the members of the larger one in blocks of about COLUMN_BLOCK, so that a large component costs a row of the
+    join for a block. one_block: of components larger than a block only their first one, and no others."""
+    rows = marked.select("g", "n", "id", "label").join(sizes, "label")
+    block = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / COLUMN_BLOCK)).cast("int").alias("block")
+    columns = rows.select("g", F.col("label").alias("other"), F.col("size").alias("other_size"), block, "id", "n")
+    if one_block:
+        columns = columns.where((F.col("other_size") > COLUMN_BLOCK) & (F.col("block") == 0))
+    columns = columns.groupBy("g", "other", "other_size", "block").agg(F.collect_list(F.struct("id", "n")).alias("y"))
+    met = rows.join(columns, "g").where("size < other_size or (size = other_size and label < other)")
+    met = met.select(F.col("id").alias("x"), F.col("n").alias("nx"), "label", "other", "block", F.col("y.id").alias("y"), F.col("y.n").alias("ny"))
+    met = met.repartition("x", "other", "block").sortWithinPartitions("x", "other", "block")
+    return met.mapInArrow(lambda it: _product(it, percent), "x long, y long, nx int, ny int, label long, other long, common int")
+
+
 def jaccard_components(docs: DataFrame, scratch: C.Scratch, k: int = SHINGLE_WORDS, percent: int = THRESHOLD_PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links), n_links (verified links of the
     document's set, a lower bound where copies or whole components made further checks needless).
@@ -232,40 +264,38 @@ def jaccard_components(docs: DataFrame, scratch: C.Scratch, k: int = SHINGLE_WOR
         new = _link(valid, stars, scratch, f"turn{turn}", k, percent)
         links, done = (new, stars) if done is None else (links.union(new), done.union(stars))
         labels = C.components(links, scratch, f"near{turn}")
-        # what is left to do: n-grams whose group has components apart
-        marked = scratch.save(shared.join(labels, "id", "left").select("g", "n", "id", F.coalesce("label", "id").alias("label")), f"labelled{turn}")
-        mixed = scratch.save(marked.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("g"), f"mixed{turn}")
-        marked = scratch.save(marked.join(mixed, "g"), f"marked{turn}")
-        scratch.drop(f"labelled{turn}", f"mixed{turn}", *([f"shared{turn}"] if turn else ["shared0"]), *([f"marked{turn - 1}"] if turn else []))
+        marked = _apart(shared, labels, scratch, f"{turn}")
+        scratch.drop(f"shared{turn}", *([f"marked{turn - 1}"] if turn else []))
         shared, blocks = marked.select("g", "n", "id"), marked.repartition("g")
 
-    # the product itself, for pairs in components still apart: rows of the smaller component meet the members of the
-    # larger one in blocks of about COLUMN_BLOCK, so that a large component costs a row of the join for a block
-    sizes = marked.select("id", "label").distinct().groupBy("label").agg(F.count("*").alias("size"))
-    sizes = scratch.save(sizes, "sizes")
-    rows_of = marked.select("g", "n", "id", "label").join(scratch.small(sizes, "sizes"), "label")
-    block = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / COLUMN_BLOCK)).cast("int").alias("block")
-    columns = rows_of.groupBy("g", F.col("label").alias("other"), F.col("size").alias("other_size"), block).agg(F.collect_list(F.struct("id", "n")).alias("y"))
-    met = rows_of.join(columns, "g").where("size < other_size or (size = other_size and label < other)")
-    met = met.select(F.col("id").alias("x"), F.col("n").alias("nx"), "label", "other", "block", F.col("y.id").alias("y"), F.col("y.n").alias("ny"))
-    met = met.repartition("x", "other", "block").sortWithinPartitions("x", "other", "block")
-    product = met.mapInArrow(lambda it: _product(it, percent), "x long, y long, nx int, ny int, label long, other long, common int")
-    rest = product.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "label", "other", "common").join(done, ["a", "b"], "left_anti")
-    rest = scratch.save(rest, "rest")
-    if rest.limit(1).count():
-        # the best pair of every two components first, then all pairs in components still apart
-        best = rest.groupBy("label", "other").agg(F.max_by(F.struct("a", "b"), F.struct("common", -F.col("a"), -F.col("b"))).alias("p"))
-        best = scratch.save(best.select("p.a", "p.b"), "best")
-        links = links.union(_link(valid, best, scratch, "best", k, percent))
-        labels = C.components(links, scratch, "closer")
+    # the product itself, for pairs in components still apart: first with one block of each large component, which
+    # finds most of the links that join something to it, then with all
+    for step in ("one", "all"):
+        sizes = marked.select("id", "label").distinct().groupBy("label").agg(F.count("*").alias("size"))
+        sizes = scratch.save(sizes, f"sizes-{step}")
+        if step == "one" and not sizes.where(F.col("size") > COLUMN_BLOCK).limit(1).count():
+            continue
+        product = _blocked_product(marked, scratch.small(sizes, f"sizes-{step}"), step == "one", percent)
+        rest = product.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "label", "other", "common").join(done, ["a", "b"], "left_anti")
+        rest = scratch.save(rest, f"rest-{step}")
+        if not rest.limit(1).count():
+            continue
+        # the best pairs of every two components first
+        place = F.row_number().over(Window.partitionBy("label", "other").orderBy(F.desc("common"), "a", "b"))
+        best = scratch.save(rest.select("a", "b", place.alias("place")).where(F.col("place") <= BEST_PAIRS).select("a", "b"), f"best-{step}")
+        links, done = links.union(_link(valid, best, scratch, f"best-{step}", k, percent)), done.union(best)
+        labels = C.components(links, scratch, f"closer-{step}")
+        if step == "one":
+            marked = _apart(shared, labels, scratch, step)
+            continue
+        # then all pairs in components still apart
         at = lambda c: labels.select(F.col("id").alias(c), F.col("label").alias(f"of_{c}"))
         apart = rest.select("a", "b").join(at("a"), "a", "left").join(at("b"), "b", "left").where("coalesce(of_a, a) <> coalesce(of_b, b)")
         last = scratch.save(apart.select("a", "b").join(best, ["a", "b"], "left_anti"), "last")
         if last.limit(1).count():
             links = scratch.save(links.union(_link(valid, last, scratch, "last", k, percent)), "links")
-            labels = C.components(links, scratch, "all")
-        scratch.drop("last", "best")
-    scratch.drop(f"marked{TURNS - 1}", "rest")
+            labels = C.components(links, scratch, "final")
+    scratch.drop(f"marked{TURNS - 1}", "markedone", "rest-one", "rest-all", "last")
 
     degree = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("n_links"))
     names = rows.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("id"))

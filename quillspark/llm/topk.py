@@ -26,6 +26,8 @@ SEEDS = 1024
 QUERY_BLOCK = 512
 #: Candidates that are compared at once.
 STRETCH = 1024
+#: Candidates in a chunk that meets the blocks of queries.
+CHUNK = 8192
 #: Share of the coordinates in the partial product.
 HEAD = 4
 #: Allowance for rounding in the bounds, relative to the product of lengths.
@@ -139,9 +141,19 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scratch: C.Scratc
     grouped = scratch.save(grouped.mapInArrow(thresholds, "block int, q_ids binary, q binary, floor binary"), "blocks")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def chunk() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held).combine_chunks()
+            return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (t.column(0).to_numpy(), _matrix(t.column(1).combine_chunks(), dim))], ["x_ids", "x"])
+
         for batch in batches:
-            if len(batch):
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (batch.column(0).to_numpy(), _matrix(batch.column(1), dim))], ["x_ids", "x"])
+            held.append(batch)
+            if sum(map(len, held)) >= CHUNK:
+                yield chunk()
+                held.clear()
+        if sum(map(len, held)):
+            yield chunk()
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -501,8 +501,10 @@ def test_jaccard(spark, monkeypatch, pivots):
     assert kept == {d for d, (_, c) in got.items() if d == c}
 
 
-def test_jaccard_batches():
+@pytest.mark.parametrize("entries", [10, 400_000])
+def test_jaccard_batches(monkeypatch, entries):
     """Streams over sorted rows give the same, however the rows are cut into batches."""
+    monkeypatch.setattr(jaccard, "PRODUCT_ENTRIES", entries)
     rng = random.Random(4)
     rows = sorted((rng.randrange(12), rng.randrange(5, 8), i, rng.randrange(9)) for i in range(80))
     cut = lambda size: [pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[a : a + size]], pa.int64()) for c in range(4)], ["g", "n", "id", "label"]) for a in range(0, 80, size)]
