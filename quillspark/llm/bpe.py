@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 from collections.abc import Iterator
 from heapq import heappop, heappush
 
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 RANKS_FILE = "byte_bpe_50k.tiktoken"
-#: Encoded pieces in each of a worker's two generations of kept ones.
-CACHE_PIECES = 300_000
+#: Pieces of text, pre-tokens among them, in each of a worker's two generations of kept ones.
+CACHE_PIECES = 450_000
 #: Longer pieces are encoded without being kept.
 CACHE_CHARS = 64
 #: Texts that are handled together.
@@ -43,15 +44,15 @@ _BIT = [1 << i for i in range(WORD)]
 class Kept(dict):
     """Results of f for the keys met lately: when a generation is full, the one before it goes."""
 
-    def __init__(self, f):
-        self.f, self.before = f, {}
+    def __init__(self, f, most: int):
+        self.f, self.most, self.before = f, most, {}
 
     def __missing__(self, key):
         value = self.before.get(key)
         if value is None:
             value = self.f(key)
         if len(key) <= CACHE_CHARS:
-            if len(self) >= CACHE_PIECES:
+            if len(self) >= self.most:
                 self.before = dict(self)
                 self.clear()
             self[key] = value
@@ -69,10 +70,18 @@ class Vocabulary:
         for part, rank in self.ranks.items():
             self.bytes_of[rank] = part
         self.pattern = regex.compile(pattern.replace(r"\s\p{L}", _SPACE + r"\p{L}").replace(r"\s", f"[{_SPACE}]").replace(r"\S", f"[^{_SPACE}]"))
+        self.single = [self.ranks[bytes((x,))] for x in range(256)]
         self.pairs = [self.ranks.get(bytes((x, y)), -1) for x in range(256) for y in range(256)]
         self.words = [0] * -(-self.size // WORD)
-        self.pretokens = Kept(lambda x: self.merge(x.encode()))
-        self.pieces = Kept(lambda x: b"".join(map(self.pretokens.__getitem__, self.pattern.findall(x))))
+        self.known = Kept(self.encode_piece, CACHE_PIECES)
+
+    def encode_piece(self, piece: str) -> bytes:
+        """Ids of a piece, of one pre-token or more."""
+        if not (piece.isalpha() or (piece[0] == " " and piece[1:].isalpha())):  # else it is one: a space and letters
+            parts = self.pattern.findall(piece)
+            if len(parts) > 1:
+                return b"".join(map(self.known.__getitem__, parts))
+        return self.merge(piece.encode())
 
     def merge(self, data: bytes) -> bytes:
         """Ids of one pre-token."""
@@ -81,6 +90,7 @@ class Vocabulary:
             return whole.to_bytes(4, "little")
         end = list(range(1, n + 1))  # of the part that begins at each position
         before = list(range(-1, n - 1))
+        part = list(map(self.single.__getitem__, data))  # id of the part that begins at each position
         pair = self.pairs
         now = [pair[x << 8 | y] for x, y in zip(data, data[1:])]  # rank of the pair that begins at each position, or -1
         now.append(-1)
@@ -107,6 +117,7 @@ class Vocabulary:
                     used ^= 1 << w
             if now[i] != rank:
                 continue  # stale
+            part[i] = rank
             j = end[i]
             end[i] = k = end[j]
             now[j] = now[i] = -1
@@ -134,14 +145,14 @@ class Vocabulary:
                         buckets[r] = [b]
                         words[r >> 8] |= _BIT[r & 255]
                         used |= 1 << (r >> 8)
-        out, i = [], 0
+        out, i = array("i"), 0
         while i < n:
-            out.append(self.ranks[data[i : end[i]]])
+            out.append(part[i])
             i = end[i]
-        return np.array(out, "<i4").tobytes()
+        return out.tobytes()
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, _PIECES.findall(text)))
+        return b"".join(map(self.known.__getitem__, _PIECES.findall(text)))
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
