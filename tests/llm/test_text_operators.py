@@ -479,9 +479,9 @@ def bag_space(text):
     return [tuple(w[i : i + 5]) for i in range(len(w) - 4)] if len(w) >= 5 else ([tuple(w)] if w else [])
 
 
-@pytest.mark.parametrize("pivots", [1, 5])
-def test_jaccard(spark, monkeypatch, pivots):
-    monkeypatch.setattr(jaccard, "PIVOTS", pivots)
+@pytest.mark.parametrize("block", [2, 256])
+def test_jaccard(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "COLUMN_BLOCK", block)  # used where plans are built
     rng = random.Random(11)
     texts = []
     for group in range(12):
