@@ -22,9 +22,9 @@ from . import common as C
 SHINGLE_WORDS = 5
 THRESHOLD_PERCENT = 80
 #: Frequent n-grams come last in the common order. The list is bounded; it only steers speed, any list gives the same links.
-FREQUENT = 50_000
+FREQUENT = 100_000
 #: An n-gram is counted as frequent where one stretch of work meets it in this many documents.
-FREQUENT_IN_STRETCH = 4
+FREQUENT_IN_STRETCH = 2
 
 
 #: Members of an n-gram's group, least by a hash of the id, that all of the group are first compared with.
