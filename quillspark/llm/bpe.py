@@ -26,11 +26,11 @@ from . import common as C
 
 RANKS_FILE = "byte_bpe_50k.tiktoken"
 #: Pieces of text, pre-tokens among them, in each of a worker's two generations of kept ones.
-CACHE_PIECES = 450_000
+CACHE_PIECES = 300_000
 #: Longer pieces are encoded without being kept.
 CACHE_CHARS = 64
 #: Texts that are handled together.
-TEXTS = 500
+TEXTS = 200
 
 #: The white space of Unicode (property White_Space), as the pattern's \s has it.
 _SPACE = "\t-\r \x85\xa0  -     　"
@@ -163,8 +163,9 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
     return C.keep_in_worker(("bpe", path, pattern), lambda: Vocabulary(path, pattern))
 
 
-def encode(docs: DataFrame, *keep: str, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """The kept columns and ids (array<int>) of each row's whole text; a null text is empty and has no ids.
+def encode(docs: DataFrame, *keep: str, path: str | None = None, pattern: str = public_tokenizers.PATTERN, decoded: bool = False) -> DataFrame:
+    """The kept columns and ids (array<int>) of each row's whole text; a null text is empty and has no ids. decoded:
+    also the bytes that the ids decode to, as decode() gives them, by the same worker.
 
     Texts need no other row, so rows are encoded where they are read: no shuffle, however long a text or however often
     one is repeated. path: the ranks' file, at the same place on every machine.
@@ -180,12 +181,13 @@ def encode(docs: DataFrame, *keep: str, path: str | None = None, pattern: str =
                 batch = whole.slice(at, TEXTS)
                 ids = [v.encode(text or "") for text in batch.column(last).to_pylist()]
                 each = np.array([len(x) // 4 for x in ids], np.int64)
+                back = [pa.array([v.decode(np.frombuffer(x, "<i4")) for x in ids], pa.binary())] if decoded else []
                 ids = C.list_column(np.frombuffer(b"".join(ids), "<i4"), each, pa.int32())
-                yield pa.RecordBatch.from_arrays([*batch.columns[:last], ids], [*batch.schema.names[:last], "ids"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:last], ids, *back], [*batch.schema.names[:last], "ids", "decoded"][: last + 1 + decoded])
 
     narrow = docs.select(*keep, F.col("text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema[:-1])
-    return narrow.mapInArrow(run, f"{schema}, ids array<int>")
+    return narrow.mapInArrow(run, f"{schema}, ids array<int>" + ", decoded binary" * decoded)
 
 
 def decode(encoded: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
@@ -207,7 +209,7 @@ def decode(encoded: DataFrame, path: str | None = None, pattern: str = public_to
 
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    return decode(encode(docs, "doc_id")).select(
+    return encode(docs, "doc_id", decoded=True).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),

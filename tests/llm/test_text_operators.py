@@ -154,6 +154,10 @@ def test_bpe_query(spark, library):
         expected = sorted((str(r.doc_id), *want(r.text)) for r in docs.collect())
         assert sorted((str(r.doc_id), *tuple(r)[1:]) for r in bpe.digests(docs).collect()) == expected
     assert bpe.digests(empty(spark)).count() == 0
+    small = documents(spark, ODD)
+    apart = {r.doc_id: (r.ids, bytes(r.decoded)) for r in bpe.decode(bpe.encode(small, "doc_id")).collect()}
+    assert apart == {r.doc_id: (r.ids, bytes(r.decoded)) for r in bpe.encode(small, "doc_id", decoded=True).collect()}
+    assert apart == {i: (library.encode_ordinary(t or ""), (t or "").encode()) for i, t in enumerate(ODD)}
 
 
 # ---- 3: licences -----------------------------------------------------------------------------------------------------
