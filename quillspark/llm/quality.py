@@ -1,9 +1,10 @@
 """Importance resampling of documents towards a target text.
 
 Two generative models of hashed word and word-pair counts are fitted: one of the target (labelled documents of quality
-that are not toxic), one of all documents. A document's log weight is the log ratio of their likelihoods. Documents are
-sampled without replacement with probabilities that grow with the weight by Gumbel top-k: each key is the weight over
-the temperature plus Gumbel noise from a hash, and the k highest keys stay.
+that are not toxic), one of all documents. A document's log weight is the least log ratio of their likelihoods over
+its windows of consecutive words, so that a few words that the target lacks are not outweighed by a long ordinary text.
+Documents are sampled without replacement with probabilities that grow with the weight by Gumbel top-k: each key is the
+weight over the temperature plus Gumbel noise from a hash, and the k highest keys stay.
 """
 
 from __future__ import annotations
@@ -17,68 +18,89 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Hashed features of the models.
-BUCKETS = 1 << 14
+#: Hashed features of the models: words, then word pairs. Words have so many buckets that a rare one is seldom merged with
+#: a common one.
+WORDS, PAIRS = 1 << 20, 1 << 16
+BUCKETS = WORDS + PAIRS
 #: Added to each bucket's count in the target, and to the count that all documents make one expect there: what the
-#: target has hardly had a chance to show doesn't speak against a document.
-SMOOTHING = 20.0
+#: target has hardly had a chance to show doesn't speak against a document. Most pairs of a text are new to any target.
+WORD_SMOOTHING, PAIR_SMOOTHING = 5.0, 200.0
+#: Words of a window; a shorter text is one window.
+WINDOW = 50
 #: Keys are weight / TEMPERATURE + noise: low, so that noise decides between documents of nearly equal weight only.
 TEMPERATURE = 0.05
-#: k counts the documents whose weight is at least this quantile of the target's weights, less the margin. For that, the
-#: weight of a target document is taken without its own counts in the target, as for a document that has no label.
-TARGET_QUANTILE, MARGIN = 0.001, 1.0
+#: k counts the documents whose weight is at least this quantile of the target's weights. For that, the weight of a
+#: target document is taken without its own counts in the target, as for a document that has no label.
+TARGET_QUANTILE = 0.01
 #: The k-th key is found by histograms of so many bins; that many keys of the last bin are read.
 BINS = 1024
 
 
 def _features(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the words and word pairs of all rows, and the row of each."""
+    """Of each word of all rows: the buckets of the word and of the pair that it ends (BUCKETS: none, it begins its row),
+    and its row."""
     row = np.repeat(np.arange(len(sizes)), sizes)
-    pair = row[1:] == row[:-1]
-    two = C.shingle_hashes(h, 2)[pair] if len(h) > 1 else h[:0]
-    buckets = np.concatenate([C.mix(h), two]) % np.uint64(BUCKETS)
-    return buckets.astype(np.int64), np.concatenate([row, row[1:][pair]])
+    f = np.full((2, len(h)), BUCKETS, np.int64)
+    f[0] = C.mix(h) % np.uint64(WORDS)
+    if len(h) > 1:
+        pair = row[1:] == row[:-1]
+        f[1, 1:][pair] = WORDS + (C.shingle_hashes(h, 2)[pair] % np.uint64(PAIRS)).astype(np.int64)
+    return f, row
+
+
+def _worst(w: np.ndarray, row: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The least sum of w over WINDOW consecutive words of each row; of all its words if there are fewer."""
+    total = np.concatenate([[0.0], np.cumsum(w)])
+    end = np.cumsum(sizes)
+    least = total[np.minimum(end - sizes + WINDOW, end)] - total[end - sizes]
+    begin = np.flatnonzero(np.arange(len(w)) + WINDOW <= end[row])
+    np.minimum.at(least, row[begin], total[begin + WINDOW] - total[begin])
+    return least
 
 
 def models(docs: DataFrame, target: Column) -> tuple[np.ndarray, np.ndarray]:
     """Of each bucket: its count in the target, and what its count in all documents makes one expect there. target tells
-    a document of the target (null: no). Counts are over all documents; BUCKETS sums come to the driver."""
+    a document of the target (null: no). Counts are over all documents; BUCKETS sums at most come to the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, BUCKETS), np.int64)
+        total = np.zeros((2, BUCKETS + 1), np.int64)
         for batch in batches:
             chosen = batch.column(0).to_numpy(zero_copy_only=False).astype(bool)
             for a, b, h, sizes in C.hashed(batch.column(1), classes=C.PIECES):
                 f, row = _features(h, sizes)
-                total[0] += np.bincount(f, minlength=BUCKETS)
-                total[1] += np.bincount(f[chosen[a:b][row]], minlength=BUCKETS)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS)), pa.array(total[0]), pa.array(total[1])], ["f", "raw", "target"])
+                np.add.at(total[0], f, 1)
+                np.add.at(total[1], f[:, chosen[a:b][row]], 1)
+        some = np.flatnonzero(total[0, :BUCKETS])
+        yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(x[some]) for x in total)], ["f", "raw", "target"])
 
     chosen = docs.select(F.coalesce(target, F.lit(False)).alias("chosen"), F.col("text").cast("binary").alias("text"))
-    sums = chosen.mapInArrow(count, "f long, raw long, target long").groupBy("f").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()
+    sums = chosen.mapInArrow(count, "f long, raw long, target long").groupBy("f").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
     raw, wanted = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for r in sums:
-        raw[r.f], wanted[r.f] = r.raw, r.target
-    return wanted, raw * (wanted.sum() / max(1.0, raw.sum()))
+    f = sums.column("f").to_numpy()
+    raw[f], wanted[f] = sums.column("raw").to_numpy(), sums.column("target").to_numpy()
+    share = [wanted[x].sum() / max(1.0, raw[x].sum()) for x in (slice(WORDS), slice(WORDS, None))]
+    return wanted, raw * np.repeat(share, (WORDS, PAIRS))
 
 
 def weights(docs: DataFrame, target: np.ndarray, expected: np.ndarray) -> DataFrame:
     """doc_id, good, n_features, log_weight (0 without words) and unseen_weight of each row of (doc_id, good, text): of
-    target documents (good) the weight without their own counts, else null."""
+    target documents (good) the weight without their own counts, else null. n_features counts words and pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ratios = np.log((target + SMOOTHING) / (expected + SMOOTHING))
+        smoothing = np.repeat([WORD_SMOOTHING, PAIR_SMOOTHING], (WORDS, PAIRS))
+        ratios = np.append(np.log((target + smoothing) / (expected + smoothing)), 0.0)
         for batch in batches:
             chosen = batch.column(1).fill_null(False).to_numpy(zero_copy_only=False).astype(bool)
             for a, b, h, sizes in C.hashed(batch.column(2), classes=C.PIECES):
                 f, row = _features(h, sizes)
-                w = np.bincount(row, ratios[f], minlength=b - a).astype(np.float64)
-                n = np.bincount(row, minlength=b - a)
-                own = chosen[a:b][row]
-                key, count = np.unique(row[own] * BUCKETS + f[own], return_counts=True)
+                n = np.bincount(row[np.newaxis].repeat(2, 0)[f < BUCKETS], minlength=b - a)
+                own = f < BUCKETS
+                own &= chosen[a:b][row]
+                key, place, count = np.unique((row * BUCKETS + f)[own], return_inverse=True, return_counts=True)
                 bucket = key % BUCKETS
-                unseen = count * np.log((target[bucket] - count + SMOOTHING) / (expected[bucket] + SMOOTHING))
-                unseen = np.bincount(key // BUCKETS, unseen, minlength=b - a).astype(np.float64)
+                without = ratios[f]
+                without[own] = np.log((target[bucket] - count + smoothing[bucket]) / (expected[bucket] + smoothing[bucket]))[place]
+                w, unseen = _worst(ratios[f].sum(0), row, sizes), _worst(without.sum(0), row, sizes)
                 yield pa.RecordBatch.from_arrays(
                     [*(c.slice(a, b - a) for c in batch.columns[:2]), pa.array(n), pa.array(w), pa.array(unseen, mask=~chosen[a:b])], ["doc_id", "good", "n_features", "log_weight", "unseen_weight"]
                 )
@@ -118,7 +140,7 @@ def resample(docs: DataFrame, labels: DataFrame, scratch: C.Scratch, k: int | No
     """doc_id, log_weight, key of the documents that stay: the k highest keys; equal ones at the end stay together.
 
     labels: doc_id, quality, toxic; where rows repeat a doc_id, any bad label counts. k: None counts the documents whose
-    weight is at least that of all but a thousandth of the target, less a margin; without a target all stay. Null and
+    weight is at least that of all but a hundredth of the target; without a target all stay. Null and
     empty texts have weight 0. Rows that repeat a doc_id and text have equal keys and stay or go together. Extra columns
     are ignored.
     """
@@ -129,7 +151,7 @@ def resample(docs: DataFrame, labels: DataFrame, scratch: C.Scratch, k: int | No
     rows = scratch.save(rows, "weights")
     if k is None:
         least = rows.where("good").agg(F.percentile_approx("unseen_weight", TARGET_QUANTILE, 10_000)).first()[0]
-        k = rows.count() if least is None else rows.where(F.col("log_weight") >= least - MARGIN).count()
+        k = rows.count() if least is None else rows.where(F.col("log_weight") >= least).count()
     bar = kth_highest(rows, k)
     if bar is not None:
         rows = rows.where(F.col("key") >= bar)

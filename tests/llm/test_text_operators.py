@@ -105,6 +105,19 @@ def test_resampling_held_out(spark):
     assert np.mean(good) >= 0.98 and np.mean(bad) <= 0.15
 
 
+def test_resampling_held_out_toxic(spark):
+    """As before, for documents of quality 1 that are toxic by an insult here and there."""
+    docs, labels = spark.read.parquet(f"{SF}/../sf0.1/documents.parquet"), spark.read.parquet(f"{SF}/../sf0.1/labels.parquet")
+    kept = {r.doc_id for r in quality.resample(docs, labels.where("doc_id % 2 = 0"), scratch(spark)).collect()}
+    rest = labels.where("doc_id % 2 = 1").join(docs, "doc_id").collect()
+    insults = set("trash pathetic idiot disgusting worthless clown loser scum stupid moron".split())
+    toxic = [r.doc_id in kept for r in rest if r.toxic and len(insults & set(re.findall("[a-z]+", r.text.lower()))) >= 3]
+    assert len(toxic) >= 100 and np.mean(toxic) <= 0.1
+    assert np.mean([r.doc_id in kept for r in rest if r.quality and r.toxic]) <= 0.45
+    assert np.mean([r.doc_id in kept for r in rest if r.quality and not r.toxic]) >= 0.985
+    assert np.mean([r.doc_id in kept for r in rest if not r.quality]) <= 0.1
+
+
 def test_resampling_odd(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality.resample(odd_table(spark), labels, scratch(spark)).count() == odd_table(spark).count()
