@@ -5,7 +5,8 @@ size - ceil(t * size) + 1 of each, in any order that both follow. Documents with
 matrix. N-grams are dealt into blocks by hash; a block yields candidate pairs whose sizes allow a link, and the
 product is accumulated exactly for those pairs only. Groups of thousands of near copies are linked to one member of
 the group first; all pairs are then taken only between components that a shared n-gram still leaves apart, so that no
-link that could join two components is lost.
+link that could join two components is lost. All links are then found by exact products of all sets of a component, as
+links never leave one.
 """
 
 from __future__ import annotations
@@ -36,6 +37,10 @@ COLUMN_BLOCK = 256
 PRODUCT_ENTRIES = 400_000
 #: Pairs of two components that are compared before all of them.
 BEST_PAIRS = 6
+#: Sets in a block of the products within components.
+SET_BLOCK = 256
+#: N-grams whose products are added up at once.
+NGRAM_SLICE = 8192
 #: Turns of such comparisons, each in another order, before all pairs that are still apart are taken.
 TURNS = 1
 
@@ -237,14 +242,83 @@ def _blocked_product(marked: DataFrame, sizes: DataFrame, one_block: bool, perce
     return met.mapInArrow(lambda it: _product(it, percent), "x long, y long, nx int, ny int, label long, other long, common int")
 
 
+def _degrees(t: pa.Table, percent: int) -> pa.Table:
+    """Of sets (component, block, sig, copies, s) of one pair of blocks (i, j): sig and the copies of the sets that link
+    with it, each pair of sets in one such table only."""
+    i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+    component, block, copies = (t.column(c).to_numpy() for c in ("component", "block", "copies"))
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("s").combine_chunks()]
+    n = np.array([len(x) for x in sets])
+    grams, at, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), n)
+    shared = often[at] > 1  # by the others no two sets meet
+    place = (np.cumsum(often > 1) - 1)[at[shared]]
+    row = row[shared]
+    order = np.argsort(place, kind="stable")
+    place, row = place[order], row[order]
+    common = np.zeros((len(sets), len(sets)), np.int64)
+    for begin in range(0, int(place[-1]) + 1 if len(place) else 0, NGRAM_SLICE):
+        x, y = np.searchsorted(place, (begin, begin + NGRAM_SLICE))
+        part = np.zeros((len(sets), NGRAM_SLICE), np.float32)
+        part[row[x:y], place[x:y] - begin] = 1
+        common += (part @ part.T).astype(np.int64)
+    link = (100 * common >= percent * (n[:, None] + n[None, :] - common)) & (component[:, None] == component[None, :])
+    if i != j:
+        link &= block[:, None] != block[None, :]
+    np.fill_diagonal(link, False)
+    return pa.table({"sig": t.column("sig"), "n_links": pa.array(link @ copies)})
+
+
+def jaccard_links(docs: DataFrame, scratch: C.Scratch, k: int = SHINGLE_WORDS, percent: int = THRESHOLD_PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links: as jaccard_components(), with the exact number of other rows that each
+    row is linked with. All sets of a component are compared, in pairs of blocks of about SET_BLOCK; small components
+    share a block. Work and shuffled sets grow with the square of a component's number of different sets."""
+    valid = docs.where(F.col("doc_id").isNotNull())
+    rows = scratch.save(_with_components(docs, scratch, k, percent), "components")
+    classes = rows.where("sig is not null and doc_id is not null").groupBy("component_id", "sig").agg(F.count("*").alias("copies"), F.min("doc_id").alias("id"))
+    classes = scratch.save(classes, "classes")
+    size = scratch.save(classes.groupBy("component_id").agg(F.count("*").alias("size")).where("size > 1"), "component-sizes")
+    some = scratch.save(classes.join(scratch.small(size, "component-sizes"), "component_id"), "several")
+    total = some.where(F.col("size") <= SET_BLOCK).count()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, h, sizes in C.hashed(batch.column(1), fold=True):
+                sets = [C.sorted_set(x).tobytes() for x in C.shingle_lists(h, sizes, k)]
+                yield pa.RecordBatch.from_arrays([pa.array([C.digest16(x) if x else None for x in sets], pa.binary()), pa.array(sets, pa.binary())], ["sig", "s"])
+
+    ids = scratch.save(some.select(F.col("id").alias("doc_id")).distinct(), "several-ids")
+    sets = C.as_bytes(valid, "doc_id").join(scratch.small(ids, "several-ids"), "doc_id", "left_semi").mapInArrow(run, "sig binary, s binary")
+    sets = scratch.save(sets.groupBy("sig").agg(F.first("s").alias("s")), "several-sets")
+    blocks = F.ceil(F.col("size") / SET_BLOCK)
+    # key: the component, or a number that small components share
+    small = F.col("size") <= SET_BLOCK
+    key = F.when(small, F.pmod(F.xxhash64("component_id"), F.lit(-(-total // SET_BLOCK) or 1))).otherwise(F.col("component_id"))
+    dealt = some.select(F.col("component_id").alias("component"), "sig", "copies", small.alias("small"), key.alias("key"), blocks.alias("blocks"), F.pmod(F.xxhash64("sig"), blocks).alias("block"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    dealt = dealt.join(sets, "sig").withColumn("other", other).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    dealt = dealt.select("small", "key", "i", "j", "component", "block", "sig", "copies", "s")
+    found = dealt.groupBy("small", "key", "i", "j").applyInArrow(lambda t: _degrees(t, percent), "sig binary, n_links long")
+    degree = scratch.save(found.groupBy("sig").agg(F.sum("n_links").alias("n_links")), "degrees")
+    counted = classes.join(degree, "sig", "left").select("sig", (F.col("copies") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links"))
+    counted = scratch.save(counted, "counted")
+    out = rows.join(counted, "sig", "left")
+    return out.select("doc_id", "n_shingles", "component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).alias("n_links"))
+
+
 def jaccard_components(docs: DataFrame, scratch: C.Scratch, k: int = SHINGLE_WORDS, percent: int = THRESHOLD_PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links), n_links (verified links of the
-    document's set, a lower bound where copies or whole components made further checks needless).
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links); for the links' number see
+    jaccard_links().
 
     Rows without words are linked with nothing. Documents of one to k-1 words have one shingle. doc_id is the key: rows
     that repeat a doc_id are given out again each, and should have equal texts. A null doc_id takes no part in links
     and has a null component. Extra columns are ignored.
     """
+    return _with_components(docs, scratch, k, percent).drop("sig")
+
+
+def _with_components(docs: DataFrame, scratch: C.Scratch, k: int, percent: int) -> DataFrame:
+    """What jaccard_components() gives, and sig, a digest of the row's set (null without words)."""
     valid = docs.where(F.col("doc_id").isNotNull())
     rows = scratch.save(_prefixes(docs, frequent_ngrams(valid, k), k, percent), "rows")
     classes = rows.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.min_by("prefix", "doc_id").alias("prefix"))
@@ -297,16 +371,15 @@ def jaccard_components(docs: DataFrame, scratch: C.Scratch, k: int = SHINGLE_WOR
             labels = C.components(links, scratch, "final")
     scratch.drop(f"marked{TURNS - 1}", "markedone", "rest-one", "rest-all", "last")
 
-    degree = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("n_links"))
     names = rows.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("id"))
-    names = names.join(labels, "id", "left").join(degree, "id", "left").select("sig", F.coalesce("label", "id").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    names = names.join(labels, "id", "left").select("sig", F.coalesce("label", "id").alias("component"))
     names = scratch.save(names, "names")
     out = rows.select("doc_id", "n", "sig").join(names, "sig", "left")
     return out.select(
         "doc_id",
         F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        "sig",
     )
 
 
@@ -319,7 +392,11 @@ def keep_one(docs: DataFrame, scratch: C.Scratch) -> DataFrame:
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(C.table(spark, sf_dir, "documents"), C.Scratch(spark, "jaccard")).drop("n_links")
+    return jaccard_components(C.table(spark, sf_dir, "documents"), C.Scratch(spark, "jaccard"))
+
+
+def op9_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_links(C.table(spark, sf_dir, "documents"), C.Scratch(spark, "jaccard"))
 
 
 ORACLE = r"""

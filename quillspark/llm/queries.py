@@ -12,6 +12,7 @@ QUERIES = {
     "op7_language_id": langid.op7_language_id,
     "op8_warc": warc.op8_warc,
     "op9_ngram_jaccard_join": jaccard.op9_ngram_jaccard_join,
+    "op9_ngram_jaccard_links": jaccard.op9_ngram_jaccard_links,
     "op10_exact_topk": topk.op10_exact_topk,
 }
 ORACLES = {

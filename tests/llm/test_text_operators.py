@@ -518,6 +518,31 @@ def test_jaccard(spark, monkeypatch, block):
     assert kept == {d for d, (_, c) in got.items() if d == c}
 
 
+@pytest.mark.parametrize("block", [3, 256])
+def test_jaccard_links(spark, monkeypatch, block):
+    """Every link counts, within groups of near copies too."""
+    monkeypatch.setattr(jaccard, "SET_BLOCK", block)  # used where plans are built
+    rng = random.Random(12)
+    texts = []
+    for group in range(6):
+        base = prose(group, rng.choice([8, 60, 120]))
+        for _ in range(rng.choice([2, 12, 40])):
+            w = list(base)
+            for _ in range(rng.choice([0, 0, 1, 2, 3])):
+                w[rng.randrange(len(w))] = rng.choice("xyz")
+            texts.append(" ".join(w))
+    texts += [texts[0].upper(), "a b", "A  b", "a", "", None]
+    rng.shuffle(texts)
+    sets = [set(bag_space(t)) for t in texts]
+    linked = lambda x, y: bool(x) and 100 * len(x & y) >= 80 * len(x | y)
+    plain = [sum(linked(x, y) for j, y in enumerate(sets) if j != i) for i, x in enumerate(sets)]
+    got = {r.doc_id: r for r in jaccard.jaccard_links(documents(spark, texts), scratch(spark)).collect()}
+    assert [got[i].n_links for i in range(len(texts))] == plain
+    assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == plain_components(dict(enumerate(texts)))
+    assert sum(r.n_links for r in jaccard.jaccard_links(odd_table(spark), scratch(spark)).collect() if r.doc_id is None) == 0
+    assert jaccard.jaccard_links(empty(spark), scratch(spark)).count() == 0
+
+
 @pytest.mark.parametrize("entries", [10, 400_000])
 def test_jaccard_batches(monkeypatch, entries):
     """Streams over sorted rows give the same, however the rows are cut into batches."""
