@@ -1,11 +1,15 @@
 """Substring dedup by recompression.
 
-Each document is a string of words. Rounds replace short runs of one symbol and chosen pairs of neighbours by new
-symbols. A symbol's name is a hash of what it replaces, so every task gives equal strings equal names and no
-dictionary has to be shuffled; which pairs merge depends on the two symbols alone. Equal stretches of text therefore
-get equal symbols but for a bounded margin at either end (MARGIN words). Of the symbols that start in the part of a
-window beyond the margins, the one of least rank is the window's anchor. Spark groups the anchors by the words around
-them; windows around anchors that two documents share are then verified by a hash of all their words.
+Each document is a string of words. Rounds alternate: one replaces each maximal run of one symbol, the next each pair of
+a left and a right symbol, by a new symbol; neither has a bound on words. A symbol's name is a hash of what it replaces
+and its side in a round is a bit of its name, so both hold for the whole corpus: every task gives equal strings equal
+names, and no dictionary has to be shuffled. Whether two neighbours merge depends on these two alone.
+
+So the symbols inside a window are the same wherever it lies, but for those at its ends, which what is beside the window
+may change. Rounds go on until no window has an inner symbol left, WINDOW_WORDS / 2 rounds at most. Of the last ones the
+longest reveals the window: Spark groups these high-level symbols by name, and windows go on whose symbol two documents
+have. What each round leaves at a window's ends, with what is left in the last round, spells the window in a few symbols
+(a run counts as one with its length); Spark groups windows by that spelling, which verifies the repeat.
 """
 
 from __future__ import annotations
@@ -14,143 +18,126 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
 
 WINDOW_WORDS = 50
-#: Most words in a run symbol, and in the pair symbols of each round.
-RUN_CAP = 3
-PAIR_CAPS = (4, 6)
-#: A round can give another name to one symbol at either end of a stretch; so many words it can hold, over all rounds.
-MARGIN = RUN_CAP + RUN_CAP + PAIR_CAPS[0]
-
-_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_LOW = np.uint64(0xFFFFFFFF)
-
-
-def _runs(sym, start, length, doc, level):
-    same = (sym[1:] == sym[:-1]) & (doc[1:] == doc[:-1])
-    first = np.flatnonzero(np.concatenate([[True], ~same]))
-    count = np.diff(np.append(first, len(sym)))
-    total = count * length[first]
-    whole = (count > 1) & (total <= RUN_CAP)
-    keep = ~np.repeat(whole, count)
-    keep[first] = True
-    sym, length = sym.copy(), length.copy()
-    sym[first[whole]] = C.mix(sym[first[whole]] * _A + count[whole].astype(np.uint64) + np.uint64(level))
-    length[first[whole]] = total[whole]
-    return sym[keep], start[keep], length[keep], doc[keep]
-
-
-def _pairs(sym, start, length, doc, level, cap):
-    right = (C.mix(sym ^ np.uint64(0xC2B2AE3D27D4EB4F * level % (1 << 64))) & np.uint64(1)).astype(bool)
-    at = np.flatnonzero(~right[:-1] & right[1:] & (doc[1:] == doc[:-1]) & (length[1:] + length[:-1] <= cap))
-    keep = np.ones(len(sym), bool)
-    keep[at + 1] = False
-    name = C.mix(sym[at] * _A + sym[at + 1] * _B + np.uint64(level))
-    sym, length = sym.copy(), length.copy()
-    length[at] += length[at + 1]
-    sym[at] = name
-    return sym[keep], start[keep], length[keep], doc[keep]
-
-
-def recompress(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols after all rounds over word hashes h, where doc tells the document of each; and the word each starts at."""
-    state = (h, np.arange(len(h)), np.ones(len(h), np.int64), doc)
-    if len(h) > 1:
-        state = _runs(*state, level=1)
-        for level, cap in enumerate(PAIR_CAPS, 2):
-            if len(state[0]) > 1:
-                state = _pairs(*state, level=level, cap=cap)
-    return state[0], state[1]
-
-
-def _least(x: np.ndarray, width: int) -> np.ndarray:
-    """Least of each `width` neighbours."""
-    size, out = 1, x
-    while size * 2 <= width:
-        out = np.minimum(out[:-size], out[size:])
-        size *= 2
-    return np.minimum(out[: len(x) - width + 1], out[width - size : len(x) - size + 1]) if size < width else out
-
-
-def anchors(h: np.ndarray, sizes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of documents laid end to end in h: the words at which anchors start, and keys of the words around them."""
-    doc = np.repeat(np.arange(len(sizes)), sizes)
-    sym, start = recompress(h, doc)
-    rank = np.full(len(h), np.iinfo(np.uint64).max, np.uint64)
-    rank[start] = (C.mix(sym ^ _A) & ~_LOW) | start.astype(np.uint64)
-    span = window - 2 * MARGIN - PAIR_CAPS[-1]  # starts whose symbols end before the margin
-    begins = np.flatnonzero(np.arange(len(h)) + window <= np.repeat(np.cumsum(sizes), sizes))
-    if not len(begins):
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    at = np.unique(_least(rank, span)[begins + MARGIN] & _LOW).astype(np.int64)
-    key = np.zeros(len(at), np.uint64)
-    for j in range(-MARGIN, PAIR_CAPS[-1] + MARGIN):
-        key = key * _A + h[at + j]
-    return at, C.mix(key)
-
-
-def window_hashes(h: np.ndarray, width: int, multiplier: int) -> np.ndarray:
-    """Polynomial hash of each `width` consecutive words, by doubling."""
-    power = lambda n: np.uint64(pow(multiplier, n, 1 << 64))
-    done, out, size, block = 0, None, 1, h
-    n = len(h) - width + 1
-    while True:
-        if width & size:
-            part = block[done : done + n]
-            out = part.copy() if out is None else out * power(size) + part
-            done += size
-        if size * 2 > width:
-            return C.mix(out)
-        block = block[:-size] * power(size) + block[size:]
-        size *= 2
+#: Windows that are parsed at once, so that a round's arrays stay in the cache, and a long document takes no more memory.
+PIECE_WINDOWS = 1 << 14
+
+_A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 
 
-def _anchor_rows(docs: DataFrame, window: int) -> DataFrame:
+def rounds(h: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Over word hashes h, where first tells the first word of each document: before each round the symbols' names, their
+    lengths in words, and whether the round begins a symbol with each."""
+    sym, length, number = h, np.ones(len(h), np.int64), 0
+    while True:
+        number += 1
+        if number % 2:
+            merge = sym[1:] == sym[:-1]
+        else:
+            left = (C.mix(sym + np.uint64(number * int(_C) % (1 << 64))) & np.uint64(1)).astype(bool)
+            merge = ~left[:-1] & left[1:]
+        keep = np.concatenate([[True], ~merge | first[1:]])
+        yield sym, length, keep
+        begin = np.flatnonzero(keep)
+        last = np.append(begin[1:], len(sym)) - 1
+        several = last > begin
+        name = sym[begin]
+        name[several] = C.mix(name[several] * _A + sym[last[several]] * _B + (last - begin)[several].astype(np.uint64) * _C + np.uint64(number))
+        sym, length, first = name, np.add.reduceat(length, begin), first[begin]
+
+
+def spell(h: np.ndarray, first: np.ndarray, begin: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the windows of h that start at begin, each within one document: the symbol that reveals the window, and two
+    independent hashes of its spelling."""
+    a, b, live = begin, begin + window, np.arange(len(begin))  # the window's inner symbols are a to b - 1
+    top, one, two = (np.zeros(len(begin), np.uint64) for _ in range(3))
+    for sym, length, keep in rounds(h, first):
+        if not len(live):
+            return top, one, two
+        n, i = len(sym), np.arange(len(sym))
+        later = np.append(np.minimum.accumulate(np.where(keep, i, n)[::-1])[::-1], n)
+        x, y = later[a + 1], np.maximum.accumulate(np.where(keep, i, 0))[b - 1]
+        whole = x >= b  # the round makes one symbol of all
+        x, y = np.where(whole, b, x), np.where(whole, a, y)
+        # a to x - 1 and y to b - 1 are parts of symbols that reach to the window's ends or beyond: one symbol, a pair or a run
+        left = C.mix(sym[a] * _A + sym[x - 1] * _B + (x - a).astype(np.uint64) * _C)
+        right = C.mix(sym[y] * _B + sym[b - 1] * _A + (b - y).astype(np.uint64) * _C)
+        one[live] = C.mix(one[live] * _A + left + right * _C)
+        two[live] = (two[live] ^ (left * _B + right)) * _C
+        place = np.cumsum(keep) - 1
+        next_a, next_b = place[np.minimum(x, n - 1)], place[y]
+        on = ~whole & (next_a < next_b)
+        end = ~on
+        if end.any():
+            ends = np.stack([a[end], x[end] - 1, y[end], b[end] - 1])
+            rank = (length[ends] << 40) | (C.mix(sym[ends]) >> np.uint64(24)).astype(np.int64)
+            longest = ends[rank.argmax(0), np.arange(ends.shape[1])]
+            run = np.where(whole[end], (b - a)[end], 0)  # the window may be one run
+            top[live[end]] = C.mix(sym[longest] * _A + length[longest].astype(np.uint64) * _B + run.astype(np.uint64))
+        a, b, live = next_a[on], next_b[on], live[on]
+
+
+def windows(h: np.ndarray, sizes: np.ndarray, window: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of documents laid end to end in h, piece by piece: document and first word of each window, and what spell() gives."""
+    if len(h) < window:
+        return
+    ends = np.cumsum(sizes)
+    first = np.zeros(len(h), bool)
+    first[(ends - sizes)[sizes > 0]] = True
+    starts = np.flatnonzero(np.arange(len(h)) + window <= np.repeat(ends, sizes))
+    for k in range(0, len(starts), PIECE_WINDOWS):
+        some = starts[k : k + PIECE_WINDOWS]
+        lo, hi = some[0], some[-1] + window
+        of = np.searchsorted(ends, some, side="right")
+        yield of, some - (ends - sizes)[of], *spell(h[lo:hi], first[lo:hi], some - lo, window)
+
+
+def _symbol_rows(docs: DataFrame, window: int) -> DataFrame:
+    """doc_id, part, a digest of all words, and the distinct symbols that reveal windows, of each row with a window."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, h, sizes in C.hashed(batch.column(1)):
+            for a, b, h, sizes in C.hashed(batch.column(2)):
                 ends = np.cumsum(sizes)
-                at, key = anchors(h, sizes, window)
-                of = np.searchsorted(ends, at, side="right")
-                each = np.bincount(of, minlength=len(sizes))
                 sig = [C.digest16(h[e - n : e].tobytes()) for e, n in zip(ends.tolist(), sizes.tolist())]
-                pos = (at - (ends - sizes)[of]).astype(np.int32)
-                out = pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sig, pa.binary()), C.list_column(key.view(np.int64), each, pa.int64()), C.list_column(pos, each, pa.int32())], ["doc_id", "sig", "key", "pos"])
+                rows, keys = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+                for of, _, top, _, _ in windows(h, sizes, window):
+                    change = np.concatenate([[True], (top[1:] != top[:-1]) | (of[1:] != of[:-1])])
+                    rows.append(of[change])
+                    keys.append(top[change])
+                row, key = np.concatenate(rows), np.concatenate(keys)
+                order = np.lexsort((key, row))
+                row, key = row[order], key[order]
+                new = np.concatenate([[True], (row[1:] != row[:-1]) | (key[1:] != key[:-1])]) if len(row) else row.astype(bool)
+                lists = C.list_column(key[new].view(np.int64), np.bincount(row[new], minlength=len(sizes)), pa.int64())
+                out = pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:2]), pa.array(sig, pa.binary()), lists], ["doc_id", "part", "sig", "key"])
                 yield out.filter(pa.array(sizes >= window))
 
-    return C.as_bytes(docs, "doc_id").mapInArrow(run, "doc_id long, sig binary, key array<long>, pos array<int>")
+    return docs.mapInArrow(run, "doc_id long, part long, sig binary, key array<long>")
 
 
 def _window_rows(docs: DataFrame, window: int) -> DataFrame:
-    """doc_id, pos, h1, h2 of each window around one of the document's shared anchors (column at)."""
+    """doc_id, part, pos, h1, h2 of each window that one of the row's shared symbols (column keys) reveals."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, shared = batch.column(0).to_numpy(), batch.column(2)
-            for a, b, h, sizes in C.hashed(batch.column(1)):
-                if len(h) < window:
-                    continue
-                begin = np.cumsum(sizes) - sizes
+            ids, parts, shared = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
+            for a, b, h, sizes in C.hashed(batch.column(2)):
                 some = shared.slice(a, b - a)
-                each = some.value_lengths().to_numpy(zero_copy_only=False)
-                at = some.flatten().to_numpy() + np.repeat(begin, each)
-                ok = np.zeros(len(h) + 1, np.int64)
-                lo = np.maximum(at - (window - MARGIN - PAIR_CAPS[-1]) + 1, np.repeat(begin, each))
-                hi = np.minimum(at - MARGIN, np.repeat(begin + sizes - window, each)) + 1
-                fine = hi > lo
-                np.add.at(ok, lo[fine], 1)
-                np.add.at(ok, hi[fine], -1)
-                i = np.flatnonzero(np.cumsum(ok[:-1]) > 0)
-                of = np.searchsorted(begin + sizes, i, side="right")
-                h1 = window_hashes(h, window, 0x9E3779B97F4A7C15)[i].view(np.int64)
-                h2 = window_hashes(h, window, 0xD6E8FEB86659FD93)[i].astype(np.uint32).view(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][of]), pa.array((i - begin[of]).astype(np.int32)), pa.array(h1), pa.array(h2)], ["doc_id", "pos", "h1", "h2"])
-
-    return C.as_bytes(docs, "doc_id", "at").select("doc_id", "text", "at").mapInArrow(run, "doc_id long, pos int, h1 long, h2 int")
+                row = np.repeat(np.arange(b - a), some.value_lengths().to_numpy(zero_copy_only=False))
+                wanted = np.unique(C.mix(some.flatten().to_numpy().view(np.uint64) + row.astype(np.uint64) * _A))
+                for of, pos, top, one, two in windows(h, sizes, window):
+                    pair = C.mix(top + of.astype(np.uint64) * _A)  # by chance a window more may go on
+                    i = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, pair), len(wanted) - 1)] == pair)
+                    columns = (ids[a:b][of[i]], parts[a:b][of[i]], pos[i].astype(np.int32), one[i].view(np.int64), two[i].astype(np.uint32).view(np.int32))
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc_id", "part", "pos", "h1", "h2"])
+
+    return docs.mapInArrow(run, "doc_id long, part long, pos int, h1 long, h2 int")
 
 
 def _cut(docs: DataFrame, window: int, rest: str = "") -> DataFrame:
@@ -181,43 +168,49 @@ def _cut(docs: DataFrame, window: int, rest: str = "") -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept binary" + f", rest {rest}" * bool(rest))
 
 
+def _part(text: Column) -> Column:
+    """Tells the texts of rows that repeat a doc_id apart."""
+    return F.xxhash64(text.cast("binary"))
+
+
 def repeated_windows(docs: DataFrame, scratch: C.Scratch, window: int = WINDOW_WORDS) -> DataFrame:
-    """doc_id, whole, starts: documents of which words go. whole: a smaller doc_id has the same words (at least a
-    window of them), so all go; else starts has the windows that also start in a document of smaller doc_id."""
-    if window <= 2 * MARGIN + PAIR_CAPS[-1] + 1:
-        raise ValueError(f"a window needs more than {2 * MARGIN + PAIR_CAPS[-1] + 1} words")
-    valid = docs.where("doc_id is not null")
-    rows = scratch.save(_anchor_rows(valid, window), "anchors")
+    """doc_id, part, whole, starts: texts of which words go (part: _part() of the text). whole: a smaller doc_id has the
+    same words (at least a window of them), so all go; else starts has the windows that also start in a document of
+    smaller doc_id."""
+    valid = docs.where("doc_id is not null and text is not null").select("doc_id", _part(F.col("text")).alias("part"), F.col("text").cast("binary").alias("text"))
+    rows = scratch.save(_symbol_rows(valid, window), "symbols")
     first = scratch.save(rows.groupBy("sig").agg(F.min("doc_id").alias("first")), "first")
-    # one document of each class of equal texts stays; the others lose all words and add no window of their own
-    marked = rows.select("doc_id", "sig").join(first, "sig")
-    copies = marked.where("doc_id <> first").select("doc_id").distinct()
+    # one document of each class of equal word sequences stays; the others lose all words and add no window of their own
+    marked = rows.select("doc_id", "part", "sig").join(first, "sig")
+    copies = marked.where("doc_id <> first").select("doc_id", "part").distinct()
     own = rows.join(first.select(F.col("first").alias("doc_id"), F.col("sig").alias("own")), "doc_id").where("sig = own")
-    flat = own.select("doc_id", F.explode(F.arrays_zip("key", "pos")).alias("x")).select("doc_id", "x.key", "x.pos")
+    flat = own.select("doc_id", "part", F.explode("key").alias("key"))
     keys = flat.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key")
     keys = scratch.save(keys, "keys")
-    shared = scratch.save(flat.join(keys, "key").groupBy("doc_id").agg(F.collect_set("pos").alias("at")), "shared")
-    wanted = valid.select("doc_id", "text").join(scratch.small(shared, "shared"), "doc_id")
-    windows = scratch.save(_window_rows(wanted, window), "windows")
+    shared = scratch.save(flat.join(keys, "key").groupBy("doc_id", "part").agg(F.collect_set("key").alias("keys")), "shared")
+    wanted = valid.join(scratch.small(shared, "shared"), ["doc_id", "part"]).select("doc_id", "part", "text", "keys")
+    found = scratch.save(_window_rows(wanted, window), "windows")
     scratch.drop("keys", "shared")
-    firsts = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h1", "h2", "lo")
+    firsts = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h1", "h2", "lo")
     firsts = scratch.save(firsts, "firsts")
-    gone = windows.join(firsts, ["h1", "h2"]).where("doc_id > lo").groupBy("doc_id").agg(F.collect_set("pos").alias("starts"))
-    out = copies.select("doc_id", F.lit(True).alias("whole")).join(gone, "doc_id", "full").select("doc_id", F.coalesce("whole", F.lit(False)).alias("whole"), "starts")
+    gone = found.join(firsts, ["h1", "h2"]).where("doc_id > lo").groupBy("doc_id", "part").agg(F.collect_set("pos").alias("starts"))
+    out = copies.select("doc_id", "part", F.lit(True).alias("whole")).join(gone, ["doc_id", "part"], "full").select("doc_id", "part", F.coalesce("whole", F.lit(False)).alias("whole"), "starts")
     out = scratch.save(out, "gone")
-    scratch.drop("anchors", "first", "windows", "firsts")
+    scratch.drop("symbols", "first", "windows", "firsts")
     return out
 
 
-def remove_repeats(docs: DataFrame, scratch: C.Scratch, window: int = WINDOW_WORDS, *keep: str) -> DataFrame:
+def remove_repeats(docs: DataFrame, scratch: C.Scratch, window: int = WINDOW_WORDS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text of every row.
 
     Words are what ASCII white space separates. Null texts have none; texts shorter than a window lose nothing. Rows
-    with a null doc_id neither lose words nor make others lose any. doc_id is the key: where rows repeat a doc_id, the
-    windows of all of them count as that document's, and each row is given out. Extra columns are ignored.
+    with a null doc_id neither lose words nor make others lose any. Rows that repeat a doc_id are parts of one document:
+    each makes documents of larger doc_ids lose words, none another row of its own doc_id, and each loses words by its
+    own windows only. Extra columns are ignored.
     """
     gone = repeated_windows(docs, scratch, window)
-    both = C.as_bytes(docs, "doc_id").join(scratch.small(gone, "gone"), "doc_id", "left").select("doc_id", "text", "whole", "starts")
+    rows = C.as_bytes(docs, "doc_id").withColumn("part", _part(F.col("text")))
+    both = rows.join(scratch.small(gone, "gone"), ["doc_id", "part"], "left").select("doc_id", "text", "whole", "starts")
     return _cut(both, window).select("doc_id", "n_words", "n_removed", F.col("kept").cast("string").alias("kept_text"))
 
 
@@ -226,12 +219,13 @@ def without_repeats(docs: DataFrame, scratch: C.Scratch, window: int = WINDOW_WO
     n_chars, if there is one, follows a changed text."""
     gone = repeated_windows(docs, scratch, window)
     gone = scratch.small(gone, "gone")
-    same = docs.join(gone.select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    mine = (docs["doc_id"] == gone["doc_id"]) & (_part(docs["text"]) == gone["part"])
+    same = docs.join(gone, mine, "left_anti")
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     names = [f"c{i}" for i in range(len(rest))]  # columns of the table may have the names of ours
-    hit = docs.select("doc_id", F.col("text").cast("binary").alias("text"), *(F.col(f"`{c}`").alias(n) for c, n in zip(rest, names))).join(gone, "doc_id")
-    packed = hit.select("doc_id", "text", "whole", "starts", F.struct(*names).alias("rest")) if rest else hit.select("doc_id", "text", "whole", "starts", F.lit(None).cast("int").alias("rest"))
-    cut = _cut(packed, window, packed.schema["rest"].dataType.simpleString()).withColumn("text", F.col("kept").cast("string"))
+    packed = F.struct(*(docs[f"`{c}`"].alias(n) for c, n in zip(rest, names))) if rest else F.lit(None).cast("int")
+    hit = docs.join(gone, mine).select(docs["doc_id"], docs["text"].cast("binary").alias("text"), gone["whole"], gone["starts"], packed.alias("rest"))
+    cut = _cut(hit, window, hit.schema["rest"].dataType.simpleString()).withColumn("text", F.col("kept").cast("string"))
     length = F.char_length("text").cast("long")
     columns = [F.col(c) if c in ("doc_id", "text") else (length if c == "n_chars" else F.col(f"rest.{names[rest.index(c)]}")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns]
     return same.unionByName(cut.select(columns))

@@ -36,7 +36,7 @@ def odd_table(spark):
     """Odd texts, repeated rows, a null id, and further columns whose names operators use within."""
     docs = documents(spark, ODD + ["copy of a text"] * 3)
     docs = docs.union(docs.where("doc_id = 4")).union(spark.createDataFrame([(None, "no id", None, None, None)], DOCS))
-    return docs.withColumns({c: F.lit("x") for c in ("id", "n", "a", "b", "g", "rest", "whole", "starts", "sig", "key", "label", "kept", "ids", "c0")})
+    return docs.withColumns({c: F.lit("x") for c in ("id", "n", "a", "b", "g", "rest", "whole", "starts", "sig", "key", "label", "kept", "ids", "c0", "part", "node")})
 
 
 def empty(spark):
@@ -312,21 +312,42 @@ def test_repeats(spark):
         assert stage[d] == ((kept, len(kept)) if removed else (texts[d], len(texts[d] or "")))
 
 
-def test_anchors_are_consistent():
-    """A window's anchor has the same key wherever the window lies."""
+def test_spelling_is_the_windows_own():
+    """Symbol and spelling depend on the window's words alone, wherever it lies; other words are spelt otherwise."""
     rng = random.Random(3)
     word = {w: np.uint64(rng.getrandbits(64)) for w in "abcdefgh"}
-    hashes = lambda w: np.array([word[x] for x in w], np.uint64)
-    for _ in range(300):
+    spelt = {}
+    for _ in range(400):
         inner = [rng.choice("abcdefgh"[: rng.choice([1, 2, 8])]) for _ in range(50)]
-        keys = []
         for _ in range(2):
             left, right = ([rng.choice("abcdefgh") for _ in range(rng.randint(0, 30))] for _ in range(2))
-            h = hashes(left + inner + right)
-            at, key = substrings.anchors(h, np.array([len(h)]), 50)
-            inside = (at >= len(left) + substrings.MARGIN) & (at < len(left) + 50 - substrings.MARGIN - substrings.PAIR_CAPS[-1])
-            keys.append(set(key[inside].tolist()))
-        assert keys[0] & keys[1]
+            words = left + inner + right
+            h = np.array([word[x] for x in ["h", *words]], np.uint64)
+            got = list(substrings.windows(h, np.array([1, len(words)]), 50))
+            of, pos, *keys = (np.concatenate(x) for x in zip(*got))
+            assert of.tolist() == [1] * (len(words) - 49) and pos.tolist() == list(range(len(words) - 49))
+            for p, *key in zip(pos.tolist(), *(k.tolist() for k in keys)):
+                assert spelt.setdefault(tuple(words[p : p + 50]), key) == key
+    assert len({tuple(k[1:]) for k in spelt.values()}) == len(spelt)
+
+
+@pytest.mark.parametrize("window", [3, 50])
+def test_repeats_in_pieces(spark, monkeypatch, window):
+    monkeypatch.setattr(substrings, "PIECE_WINDOWS", 7)
+    base = prose(8, 160, words=6)
+    texts = [" ".join(base), " ".join(base[20:140]), " ".join(prose(9, 70, words=6)), " ".join(["la"] * 90), " ".join(["la"] * 60 + base[:70])]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substrings.remove_repeats(documents(spark, texts), scratch(spark), window).collect()}
+    assert got == plain_repeats(dict(enumerate(texts)), window)
+
+
+def test_repeats_of_an_id(spark):
+    """A row loses words by its own windows only, whatever other rows have its doc_id."""
+    a, b = " ".join(prose(1, 60)), " ".join(prose(2, 60))
+    rows = [(1, a), (5, a + " z"), (5, b), (5, a), (7, b + " y"), (7, b + " y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted([(1, a), (5, "z"), (5, b), (5, ""), (7, "y"), (7, "y")])
+    assert sorted((r.doc_id, r.kept_text) for r in substrings.remove_repeats(docs, scratch(spark)).collect()) == want
+    assert sorted(map(tuple, substrings.without_repeats(docs, scratch(spark)).collect())) == want
 
 
 def test_repeats_odd(spark):
@@ -338,8 +359,6 @@ def test_repeats_odd(spark):
     twice = documents(spark, [" ".join(prose(1, 80))]).union(documents(spark, [" ".join(prose(1, 80))]))
     assert [r.n_removed for r in substrings.remove_repeats(twice, scratch(spark)).collect()] == [0, 0]
     assert substrings.remove_repeats(empty(spark), scratch(spark)).count() == 0
-    with pytest.raises(ValueError):
-        substrings.repeated_windows(docs, scratch(spark), 20)
 
 
 # ---- 6: sharding -----------------------------------------------------------------------------------------------------
