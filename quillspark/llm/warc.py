@@ -1,7 +1,7 @@
 """WARC archives: writing request, response and metadata records, reading them back, and joining each transaction.
 
 Records are written by Spark's text writer and read by its binaryFile source, so any store that Spark reaches will do.
-A file holds at most PAGES_PER_FILE pages, since a file is read whole.
+A file is read whole, so long pages go to files of fewer pages: PAGES_PER_FILE.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 VERSION = "WARC/1.1"
-PAGES_PER_FILE = 400
+#: Most bytes of a page's html, and pages in a file of such pages; still longer pages have a file each.
+PAGES_PER_FILE = ((1 << 16, 400), (1 << 20, 32), (1 << 24, 2))
 #: Equal payloads of at least so many bytes become revisits.
 REVISIT_BYTES = 0
 DATE = "2024-01-01T00:00:00Z"
@@ -32,9 +33,9 @@ def payload_digest(payload: Column) -> Column:
     return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def _record_id(kind: str) -> Column:
-    """The same for the same page_id, url and payload."""
-    x = F.md5(F.concat_ws("\n", F.lit(kind), F.coalesce(F.col("page_id").cast("string"), F.lit("-")), F.coalesce("url", F.lit("-")), "digest"))
+def _record_id(kind: str, same: str, number: Column) -> Column:
+    """same: a digest of page_id, url and payload; number: tells rows apart that have it."""
+    x = F.md5(F.concat_ws("\n", F.lit(kind), F.col(same), number))
     dashed = F.concat_ws("-", *(F.substring(x, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
     return F.concat(F.lit("<urn:uuid:"), dashed, F.lit(">"))
 
@@ -46,23 +47,41 @@ def _record(kind: Column | str, record_id: str, block: Column, content_type: str
     return F.concat(F.concat_ws("\r\n", *lines), F.lit("\r\n\r\n"), block)
 
 
+def _numbered(rows: DataFrame, scratch: C.Scratch) -> DataFrame:
+    """The rows with number: of rows with the same page_id, url and payload (column same) one has "0", the others a number
+    each. Such rows are counted in each input partition and dealt out again from there, however many they are."""
+    again = scratch.save(rows.groupBy("same").agg(F.count("*").alias("n")).where("n > 1").select("same"), "again")
+    if not again.limit(1).count():
+        return rows.withColumn("number", F.lit("0"))
+    again = scratch.small(again, "again")
+    own = [c for c in rows.columns if c != "same"]
+    counted = rows.withColumn("part", F.spark_partition_id()).join(again, "same").groupBy("same", "part").agg(*(F.first(c).alias(c) for c in own), F.count("*").alias("n"))
+    counted = scratch.save(counted, "counted")
+    lead = counted.groupBy("same").agg(F.min("part").alias("lead"))
+    each = counted.join(lead, "same").withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    number = F.when((F.col("part") == F.col("lead")) & (F.col("i") == 1), "0").otherwise(F.concat_ws("-", "part", "i"))
+    return rows.join(again, "same", "left_anti").withColumn("number", F.lit("0")).unionByName(each.select("same", *own, number.alias("number")))
+
+
 def write_archives(pages: DataFrame, path: str, scratch: C.Scratch, least: int = REVISIT_BYTES) -> None:
     """One request, one response or revisit, and one metadata record for each row (page_id, url, html).
 
     The payload is the html, empty where null. Of rows with equal payloads of at least `least` bytes the one with the
-    smallest page_id is the response; rows with a null page_id are responses. Line ends in a url are removed. Rows that
-    repeat page_id, url and html are one capture. Extra columns are ignored.
+    smallest page_id is the response (all rows that repeat that page_id are); rows with a null page_id are responses.
+    Line ends in a url are removed; it need not be one. Rows that repeat page_id, url and html are a capture each. Extra
+    columns are ignored.
     """
     rows = pages.select("page_id", F.regexp_replace("url", r"[\r\n]", "").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("digest", payload_digest(F.col("html")))
-    seen = rows.where(F.octet_length("html") >= least).groupBy("digest").agg(F.min_by(F.struct("page_id", "url", "digest"), "page_id").alias("x"), F.count("*").alias("n"))
-    seen = scratch.save(seen.where("n > 1 and x.page_id is not null").select("digest", F.col("x.page_id").alias("first"), F.col("x.url").alias("first_url")), "seen")
-    rows = rows.join(scratch.small(seen, "seen"), "digest", "left")
-    rows = rows.withColumns({k: _record_id(k) for k in ("request", "response", "metadata")})
+    rows = rows.withColumn("same", F.md5(F.concat_ws("\n", F.coalesce(F.col("page_id").cast("string"), F.lit("-")), F.coalesce(F.concat(F.lit("u"), "url"), F.lit("-")), "digest")))
+    seen = rows.where((F.octet_length("html") >= least) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min(F.struct("page_id", "same")).alias("x"), F.count("*").alias("n"))
+    seen = scratch.save(seen.where("n > 1").select("digest", F.col("x.page_id").alias("first"), F.col("x.same").alias("first_same")), "seen")
+    rows = _numbered(rows, scratch).join(scratch.small(seen, "seen"), "digest", "left")
+    rows = rows.withColumns({k: _record_id(k, "same", F.col("number")) for k in ("request", "response", "metadata")})
     again = F.col("page_id") > F.col("first")
-    rows = rows.withColumn("refers", F.when(again, _refers()))
+    rows = rows.withColumn("refers", F.when(again, _record_id("response", "first_same", F.lit("0"))))
     http = F.when(again, F.lit(_HTTP)).otherwise(F.concat(F.lit(_HTTP), F.col("html")))
-    host = F.coalesce(F.parse_url("url", F.lit("HOST")), F.lit("-"))
+    host = F.coalesce(F.nullif(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1), F.lit("")), F.lit("-"))
     target = F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^#]*)", 1), F.lit("/"))
     get = F.concat(F.lit("GET "), F.when(target == "", "/").otherwise(target), F.lit(" HTTP/1.1\r\nHost: "), host, F.lit("\r\n\r\n"))
     fields = F.concat_ws("\r\n", F.concat(F.lit("page-id: "), F.col("page_id").cast("string")), F.lit(""))
@@ -75,13 +94,13 @@ def write_archives(pages: DataFrame, path: str, scratch: C.Scratch, least: int =
         ),
         _record("metadata", "metadata", fields, "application/warc-fields", to),
     ]
-    rows.select(F.concat_ws("\r\n\r\n", *records).alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", PAGES_PER_FILE).text(path)
-
-
-def _refers() -> Column:
-    """The record id of the first page's response, from its page_id and url."""
-    x = F.md5(F.concat_ws("\n", F.lit("response"), F.col("first").cast("string"), F.coalesce("first_url", F.lit("-")), "digest"))
-    return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *(F.substring(x, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))), F.lit(">"))
+    size = F.octet_length("html")
+    kind = F.coalesce(*(F.when(size <= most, i) for i, (most, _) in enumerate(PAGES_PER_FILE)), F.lit(len(PAGES_PER_FILE)))
+    present = sorted(r.kind for r in pages.select(F.coalesce("html", F.lit("")).alias("html")).select(kind.alias("kind")).distinct().collect())
+    for k in present or [0]:
+        per_file = PAGES_PER_FILE[k][1] if k < len(PAGES_PER_FILE) else 1
+        text = rows.where(kind == k).select(F.concat_ws("\r\n\r\n", *records).alias("value"))
+        text.write.mode("append").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", per_file).text(path)
 
 
 def _parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -149,11 +168,12 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "capture_id", "metadata.page_id", "response.kind", "response.refers_to", "response.payload_bytes", "response.payload_digest"
     )
     rows = scratch.save(flat, "captures")
-    scratch.drop("archives", "seen")
-    first = rows.where("kind = 'response'").select(F.col("capture_id").alias("refers_to"), F.col("page_id").alias("first"), F.col("payload_bytes").alias("first_bytes"))
-    return rows.join(first, "refers_to", "left").select(
-        "page_id", F.coalesce("payload_bytes", "first_bytes").alias("payload_bytes"), "payload_digest", F.col("kind").alias("record_type"), F.col("first").alias("refers_to")
-    )
+    scratch.drop("archives", "seen", "again", "counted")
+    out = lambda size, kind, first: ["page_id", F.col(size).alias("payload_bytes"), "payload_digest", F.lit(kind).alias("record_type"), first.alias("refers_to")]
+    responses = rows.where("kind = 'response'")
+    first = responses.select(F.col("capture_id").alias("refers_to"), F.col("page_id").alias("first"), F.col("payload_bytes").alias("first_bytes"))
+    revisits = rows.where("kind = 'revisit'").join(first, "refers_to")
+    return responses.select(*out("payload_bytes", "response", F.lit(None).cast("long"))).union(revisits.select(*out("first_bytes", "revisit", F.col("first"))))
 
 
 ORACLE = """
