@@ -65,6 +65,7 @@ def parse_expression(text: str) -> tuple[list[str], float] | None:
     """Identifiers and freedom of a licence expression (identifiers, and, or, with, parentheses), None if it is none.
 
     with binds closest, then and, then or. and: all must hold, the least freedom counts; or: one may choose, the most.
+    An expression before with gets the exception on each of its identifiers, and each identifier of one behind it counts.
     The expression ends where the text stops to be one.
     """
     out: list[tuple[list[str], float]] = []
@@ -74,7 +75,7 @@ def parse_expression(text: str) -> tuple[list[str], float] | None:
     def apply() -> None:
         op, right, left = waiting.pop(), out.pop(), out.pop()
         if op == "with":
-            out.append(([f"{left[0][-1]} with {right[0][0]}"], min(1.0, left[1] + EXCEPTION)))
+            out.append(([f"{a} with {b}" for a in left[0] for b in right[0]], min(1.0, left[1] + EXCEPTION)))
         else:
             out.append((left[0] + right[0], (min if op == "and" else max)(left[1], right[1])))
 
@@ -174,15 +175,27 @@ class Scanner:
         return found
 
 
-COLUMNS = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, expression string"
+def _outermost(hits: list[tuple[int, int]], phrases: list[list[str]]) -> set[int]:
+    """Phrases with a place (first word, phrase) that no longer phrase's place holds."""
+    spans = sorted({(p, -p - len(phrases[k]), k) for p, k in hits})
+    out, reach = set(), 0
+    for _, end, k in spans:  # of spans that begin no later, has none reached as far?
+        if -end > reach:
+            out.add(k)
+            reach = -end
+    return out
+
+
+COLUMNS = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, expressions array<string>"
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, expression of each row.
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, expressions of each row.
 
     A null or empty text has no words and no labels. score is the freedom of all that was found taken together (and),
-    NO_NOTICE if nothing was. expression: the first one after an identifier tag, null if none. Labels of an expression
-    are its identifiers. Extra columns are ignored.
+    NO_NOTICE if nothing was; a phrase inside a longer one gives its label, but the longer one's freedom counts.
+    expressions: those after identifier tags, in order. Labels of an expression are its identifiers. Extra columns are
+    ignored.
     """
     phrases = [*BASE_PHRASES, *NOTICE_PHRASES, TAG]
     labels = [*BASE_PHRASES.values(), *NOTICE_PHRASES.values(), None]
@@ -195,7 +208,8 @@ def scan(docs: DataFrame) -> DataFrame:
             for a, b, h, sizes in C.hashed(text, True, C.MARKS):
                 n = b - a
                 count = np.zeros(n, np.int64)
-                first, last, base_labels, all_labels, score, expression = ([None] * n, [None] * n, [""] * n, [""] * n, [NO_NOTICE] * n, [None] * n)
+                first, last, base_labels, all_labels, score = ([None] * n, [None] * n, [""] * n, [""] * n, [NO_NOTICE] * n)
+                expressions: list[list[str]] = [[] for _ in range(n)]
                 by_row: dict[int, list[tuple[int, int]]] = {}
                 for r, p, k in scanner.hits(h, sizes):
                     by_row.setdefault(r, []).append((p, k))
@@ -205,18 +219,18 @@ def scan(docs: DataFrame) -> DataFrame:
                         count[r], first[r], last[r] = len(places), min(places), max(places)
                     base_labels[r] = ",".join(sorted({labels[k] for _, k in hits if k < base}))
                     names = {labels[k] for _, k in hits} - {None}
-                    worth = [freedom(x) for x in names]
+                    worth = [freedom(labels[k]) for k in _outermost(hits, scanner.phrases) if labels[k]]
                     if any(labels[k] is None for _, k in hits):
                         for m in _TAG.finditer((text[a + r].as_py() or b"").lower()):
                             if got := parse_expression(m[1].decode(errors="replace")):
                                 names |= set(got[0])
                                 worth.append(got[1])
-                                expression[r] = expression[r] or m[1].decode(errors="replace").strip()
+                                expressions[r].append(m[1].decode(errors="replace").strip())
                     all_labels[r] = ",".join(sorted(names))
                     if worth:
                         score[r] = min(worth)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, n), pa.array(sizes.astype(np.int64)), pa.array(count), pa.array(first, pa.int64()), pa.array(last, pa.int64()), pa.array(base_labels), pa.array(all_labels), pa.array(score, pa.float64()), pa.array(expression, pa.string())],
+                    [batch.column(0).slice(a, n), pa.array(sizes.astype(np.int64)), pa.array(count), pa.array(first, pa.int64()), pa.array(last, pa.int64()), pa.array(base_labels), pa.array(all_labels), pa.array(score, pa.float64()), pa.array(expressions, pa.list_(pa.string()))],
                     ["doc_id", *(x.split()[0] for x in COLUMNS.split(", "))],
                 )
 
