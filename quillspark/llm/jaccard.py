@@ -384,11 +384,25 @@ def _with_components(docs: DataFrame, scratch: C.Scratch, k: int, percent: int)
 
 
 def keep_one(docs: DataFrame, scratch: C.Scratch) -> DataFrame:
-    """The documents without near copies: of each component the row with the smallest doc_id stays; rows that repeat
-    that doc_id go, rows with a null doc_id stay."""
-    kept = jaccard_components(docs, scratch).where("doc_id = component_id").select("doc_id")
-    one = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    """The documents without near copies: of each component the row with the smallest doc_id stays. Rows with a null
+    doc_id stay. Where rows repeat a doc_id with other texts, each text is a document of its own (the text of least hash
+    goes by the doc_id, the others count as later than all doc_ids); of rows that repeat doc_id and text the least by
+    all columns stays."""
+    hashed = F.xxhash64(F.col("text"))
+    texts = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min(hashed).alias("first"))
+    again = scratch.save(texts.where("n > 1").select(F.col("doc_id").alias("again"), "first"), "again")
+    several = scratch.small(again, "again")
+    single = docs.join(several, docs["doc_id"] == several["again"], "left_anti").where(docs["doc_id"].isNotNull())
+    later = F.shiftrightunsigned(F.xxhash64(docs["doc_id"], docs["text"]), 2) + F.lit(1 << 62)
+    node = F.when(F.xxhash64(docs["text"]) == several["first"], docs["doc_id"]).otherwise(later)
+    row = F.struct(*(docs[f"`{c}`"] for c in docs.columns))
+    repeated = docs.join(several, docs["doc_id"] == several["again"]).select(node.alias("node"), docs["text"].alias("text"), row.alias("row"))
+    nodes = single.select(single["doc_id"], single["text"]).union(repeated.select("node", "text"))
+    kept = jaccard_components(nodes, scratch).where("doc_id = component_id").select(F.col("doc_id").alias("kept"))
+    kept = scratch.save(kept.distinct(), "kept")
+    one = single.join(kept, single["doc_id"] == kept["kept"], "left_semi")
+    rest = repeated.join(kept, F.col("node") == F.col("kept"), "left_semi").groupBy("node").agg(F.min("row").alias("row"))
+    return one.unionByName(rest.select("row.*")).unionByName(docs.where("doc_id is null"))
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

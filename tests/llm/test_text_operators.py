@@ -191,6 +191,10 @@ def test_license_scan(spark):
         assert all(0 <= r.score <= 1 and set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) for r in got)
     assert licenses.scan(documents(spark, texts)).where("doc_id = 4").first().labels == "bsd-3-clause,gpl-2.0,mit,reserved"
     assert licenses.scan(empty(spark)).count() == 0
+    more = ["gnu lesser general public license", "lesser general public license; general public license", "SPDX-License-Identifier: MIT\nx\nSPDX-License-Identifier: ISC AND (", "apache license mozilla public license"]
+    got = {r.doc_id: r for r in licenses.scan(documents(spark, more)).collect()}
+    assert [got[i].score for i in range(4)] == [0.5, 0.4, 0.9, 0.6] and got[0].labels == "gpl,lgpl"
+    assert got[2].expressions == ["mit", "isc and ("] and got[2].labels == "isc,mit" and got[3].expressions == []
 
 
 def test_expressions():
@@ -199,6 +203,8 @@ def test_expressions():
     assert parse("(MIT AND GPL-2.0) or Apache-2.0")[1] == 0.9
     assert parse("MIT AND GPL-2.0 or Apache-2.0 and GPL-2.0")[1] == 0.4
     assert parse("GPL-2.0-or-later WITH Classpath-exception-2.0 AND MIT") == (["gpl-2.0 with classpath-exception-2.0", "mit"], 0.5)
+    assert parse("(MIT OR GPL-2.0) WITH X")[0] == ["mit with x", "gpl-2.0 with x"]
+    assert parse("GPL-2.0 WITH (A OR B)")[0] == ["gpl-2.0 with a", "gpl-2.0 with b"]
     assert parse("") is parse("and") is parse(")") is None
     assert parse("mit and") == parse("(mit") == parse("mit) or x") == (["mit"], 0.9)
 
@@ -448,11 +454,42 @@ def test_language_evidence(spark):
 def test_language_odd(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert langid.identify(odd_table(spark), pages, scratch(spark)).count() == odd_table(spark).count()
-    with pytest.raises(ValueError):
-        langid.identify(empty(spark), pages, scratch(spark))
+    assert langid.identify(empty(spark), pages, scratch(spark)).count() == 0
+    unknown = langid.identify(odd_table(spark).withColumn("lang", F.lit(None).cast("string")), pages, scratch(spark)).collect()
+    assert len(unknown) == odd_table(spark).count() and {(r.lang, r.probability) for r in unknown} == {(None, None)}
     assert langid.markup_text(b"<p>a &amp; b<script>x</script><!-- c -->d").split() == [b"a", b"&", b"b", b"d"]
 
 
+def test_language_blocks(spark, monkeypatch):
+    """However many languages there are, and however few a task holds at once."""
+    rng = random.Random(6)
+    bags = {f"l{i:03}": prose(1000 + i, 40, words=30) for i in range(9)}
+    rows = [(len(bags) * j + i, " ".join(rng.choices(bag, k=30)), code, code, 0) for j in range(4) for i, (code, bag) in enumerate(bags.items())]
+    docs = spark.createDataFrame(rows, DOCS)
+    pages = spark.createDataFrame([(7, "http://l003/", "<p>" + " ".join(bags["l005"]))], "page_id long, url string, html string")
+    found = []
+    for block in (256, 4):
+        monkeypatch.setattr(langid, "LANGUAGE_BLOCK", block)
+        got = langid.identify(docs, pages, scratch(spark)).collect()
+        assert all(r.lang == rows[r.doc_id][2] for r in got if r.doc_id is not None)
+        assert [r.text_lang for r in got if r.page_id] == ["l005"]
+        found.append(sorted(map(str, got)))
+    assert found[0] == found[1]
+
+
+def test_language_own_guess(spark):
+    """What a text adds to its host's counts doesn't come back to it as evidence."""
+    model = langid.Model(["de", "en"], [np.zeros((2, 1))])
+    columns = "id long, host string, domain string, suffix string, declared string, ll array<double>"
+    alone = spark.createDataFrame([(1, "h", "d", "s", None, [-2.0, -1.0]), (2, None, None, None, None, [-2.0, -1.0]), (3, "x", None, None, None, [-1.0, -2.0])], columns)
+    got = {r.id: r.probability for r in langid.fuse(alone, model, scratch(spark)).collect()}
+    assert abs(got[1] - got[2]) < 1e-12
+    # two counts of one host, given with two domains, are added
+    both = spark.createDataFrame([(i, "h", "ab"[i % 2], None, None, [-3.0, -1.0]) for i in range(20)] + [(50, "h", None, None, None, [0.0, 0.0])], columns)
+    last = {r.id: r for r in langid.fuse(both, model, scratch(spark)).collect()}[50]
+    assert last.lang == "en" and last.text_lang is None and abs(last.probability - (20 + 5 * 21 / 22) / 25) < 1e-12
+
+
 # ---- 8: WARC ---------------------------------------------------------------------------------------------------------
 
 
@@ -488,6 +525,29 @@ def test_warc_least_bytes(spark):
     assert kinds == {(1, "response"), (2, "response"), (None, "response"), (3, "response"), (4, "revisit")}
 
 
+def test_warc_odd(spark, monkeypatch):
+    """Addresses that are none, rows that repeat, pages of all sizes, and no pages."""
+    monkeypatch.setattr(warc, "PAGES_PER_FILE", ((10, 3), (1000, 2)))
+    urls = ["http://a b/c", "http://[x/", "http://exämple.de/ü|x", "", "-", None, "no address: at all", "http://u:p@h:8/?a#b"]
+    rows = [(i, u, "x" * (i * 40)) for i, u in enumerate(urls)]
+    rows += [(1, "http://r/", "again")] * 5 + [(0, "http://r/", "again")] * 2 + [(2, "http://q/", "again")] * 2 + [(None, None, None)] * 3
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    s = scratch(spark)
+    warc.write_archives(pages, s.path("w"), s)
+    got = warc.captures(warc.read_records(spark, s.path("w"))).collect()
+    key = lambda r: tuple((x is not None, str(x)) for x in r)
+    assert sorted([(r.metadata.page_id, r.request.uri) for r in got], key=key) == sorted([(r[0], r[1]) for r in rows], key=key)
+    kinds = collections.Counter((r.metadata.page_id, r.response.kind) for r in got if r.response.uri in ("http://r/", "http://q/"))
+    assert kinds == {(0, "response"): 2, (1, "revisit"): 5, (2, "revisit"): 2}
+    responses = {r.capture_id for r in got if r.response.kind == "response"}
+    assert {r.response.refers_to for r in got if r.response.kind == "revisit"} <= responses
+    monkeypatch.setattr(C := common, "table", lambda *_: pages)
+    out = warc.op8_warc(spark, "").collect()
+    assert C and len(out) == len(rows) and sum(r.record_type == "revisit" for r in out) == 7 and {r.refers_to for r in out} == {None, 0}
+    monkeypatch.setattr(common, "table", lambda *_: pages.limit(0))
+    assert warc.op8_warc(spark, "").count() == 0
+
+
 # ---- 9: Jaccard join -------------------------------------------------------------------------------------------------
 
 
@@ -590,6 +650,16 @@ def test_jaccard_odd(spark):
     assert jaccard.jaccard_components(empty(spark), scratch(spark)).count() == 0
 
 
+def test_keep_one_of_an_id(spark):
+    """Texts that share a doc_id are told apart: none is lost, and near copies still go."""
+    a, b, c = (" ".join(prose(i, 60)) for i in (1, 2, 3))
+    rows = [(1, a, 1), (5, a + " z", 2), (5, b, 3), (5, b, 2), (7, b + " y", 4), (9, c, 5), (9, c, 5), (None, c, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node long")
+    got = {(r.doc_id, r.text, r.node) for r in jaccard.keep_one(docs, scratch(spark)).collect()}
+    assert (1, a, 1) in got and (9, c, 5) in got and (None, c, 6) in got and len(got) == 4
+    assert got - {(1, a, 1), (9, c, 5), (None, c, 6)} in ({(5, b, 2)}, {(7, b + " y", 4)})
+
+
 # ---- 10: top-k -------------------------------------------------------------------------------------------------------
 
 
