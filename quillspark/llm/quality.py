@@ -27,8 +27,9 @@ BUCKETS = WORDS + PAIRS
 WORD_SMOOTHING, PAIR_SMOOTHING = 5.0, 200.0
 #: Words of a window; a shorter text is one window.
 WINDOW = 50
-#: Keys are weight / TEMPERATURE + noise: low, so that noise decides between documents of nearly equal weight only.
-TEMPERATURE = 0.05
+#: Keys are weight / TEMPERATURE + noise. Weights are in nats (natural logarithms of likelihood ratios), so at 1 each draw
+#: takes a document with a probability in proportion to its likelihood ratio, at 0.5 to the ratio's square.
+TEMPERATURE = 0.5
 #: k counts the documents whose weight is at least this quantile of the target's weights. For that, the weight of a
 #: target document is taken without its own counts in the target, as for a document that has no label.
 TARGET_QUANTILE = 0.01
@@ -108,7 +109,7 @@ def weights(docs: DataFrame, target: np.ndarray, expected: np.ndarray) -> DataFr
     return C.as_bytes(docs, "doc_id", "good").mapInArrow(run, "doc_id long, good boolean, n_features long, log_weight double, unseen_weight double")
 
 
-def gumbel(*by: str) -> Column:
+def gumbel(*by: str | Column) -> Column:
     """Standard Gumbel noise, the same for the same values."""
     unit = (F.shiftrightunsigned(F.xxhash64(*by), 11).cast("double") + 0.5) * F.lit(2.0**-53)
     return -F.log(-F.log(unit))
@@ -136,18 +137,24 @@ def kth_highest(keys: DataFrame, k: int, column: str = "key") -> float | None:
     return low
 
 
-def resample(docs: DataFrame, labels: DataFrame, scratch: C.Scratch, k: int | None = None, temperature: float = TEMPERATURE) -> DataFrame:
+def sampling_key(temperature: float = TEMPERATURE, seed: Column | int = 0) -> Column:
+    """Of rows with doc_id, n_features and log_weight: the k rows with the highest keys are a sample without replacement,
+    drawn one by one with probabilities in proportion to exp(log_weight / temperature)."""
+    return F.col("log_weight") / temperature + gumbel(F.lit(seed) if isinstance(seed, int) else seed, "doc_id", "n_features")
+
+
+def resample(docs: DataFrame, labels: DataFrame, scratch: C.Scratch, k: int | None = None, temperature: float = TEMPERATURE, seed: int = 0) -> DataFrame:
     """doc_id, log_weight, key of the documents that stay: the k highest keys; equal ones at the end stay together.
 
     labels: doc_id, quality, toxic; where rows repeat a doc_id, any bad label counts. k: None counts the documents whose
-    weight is at least that of all but a hundredth of the target; without a target all stay. Null and
-    empty texts have weight 0. Rows that repeat a doc_id and text have equal keys and stay or go together. Extra columns
+    weight is at least that of all but TARGET_QUANTILE of the target; without a target all stay. Null and
+    empty texts have weight 0. Another seed draws another sample. Rows that repeat a doc_id and text have equal keys and stay or go together. Extra columns
     are ignored.
     """
     good = labels.groupBy("doc_id").agg(((F.min("quality") == 1) & (F.max("toxic") == 0)).alias("good"))
     good = scratch.save(good.where("doc_id is not null"), "labels")
     marked = docs.select("doc_id", "text").join(scratch.small(good, "labels"), "doc_id", "left")
-    rows = weights(marked, *models(marked, F.col("good"))).withColumn("key", F.col("log_weight") / temperature + gumbel("doc_id", "n_features"))
+    rows = weights(marked, *models(marked, F.col("good"))).withColumn("key", sampling_key(temperature, seed))
     rows = scratch.save(rows, "weights")
     if k is None:
         least = rows.where("good").agg(F.percentile_approx("unseen_weight", TARGET_QUANTILE, 10_000)).first()[0]

@@ -14,6 +14,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import tiktoken
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from compare import matches
@@ -125,6 +126,68 @@ def test_resampling_odd(spark):
     assert quality.resample(empty(spark), labels, scratch(spark)).count() == 0
 
 
+def plain_weights(docs, good):
+    """Of (doc_id, text) rows: weights and the target's weights without their own counts, counted in plain loops."""
+    def features(text):
+        words = [h for _, _, h, _ in common.hashed(pa.array([(text or "").encode()], pa.binary()), classes=common.PIECES)][0]
+        out = [[int(common.mix(words[i : i + 1])[0]) % quality.WORDS] for i in range(len(words))]
+        for i in range(1, len(words)):
+            out[i].append(quality.WORDS + int(common.shingle_hashes(words[i - 1 : i + 1], 2)[0]) % quality.PAIRS)
+        return out
+
+    each = [(d, features(t)) for d, t in docs]
+    raw, target = collections.Counter(), collections.Counter()
+    for d, fs in each:
+        raw.update(f for x in fs for f in x)
+        target.update(f for x in fs for f in x if d in good)
+    share = [sum(n for f, n in target.items() if (f < quality.WORDS) == word) / max(1, sum(n for f, n in raw.items() if (f < quality.WORDS) == word)) for word in (False, True)]
+
+    def weight(fs, own):
+        def ratio(f):
+            smooth = quality.WORD_SMOOTHING if f < quality.WORDS else quality.PAIR_SMOOTHING
+            return np.log((target[f] - own[f] + smooth) / (raw[f] * share[f < quality.WORDS] + smooth))
+        each = [sum(map(ratio, x)) for x in fs]
+        return min((sum(each[i : i + quality.WINDOW]) for i in range(max(1, len(each) - quality.WINDOW + 1))), default=0.0)
+
+    none = collections.Counter()
+    return [(d, weight(fs, none), weight(fs, collections.Counter(f for x in fs for f in x)) if d in good else None, sum(map(len, fs))) for d, fs in each]
+
+
+def plain_sample(spark, docs, good, seed=0):
+    """doc_ids that stay."""
+    rows = plain_weights(docs, good)
+    unseen = sorted(u for _, _, u, _ in rows if u is not None)
+    least = unseen[max(0, -(-len(unseen) * int(quality.TARGET_QUANTILE * 1000) // 1000) - 1)] if unseen else -np.inf
+    k = sum(w >= least for _, w, _, _ in rows)
+    table = spark.createDataFrame([(d, float(w), n) for d, w, _, n in rows], "doc_id long, log_weight double, n_features long")
+    noise = [r.x for r in table.select(quality.gumbel(F.lit(seed), "doc_id", "n_features").alias("x")).collect()]
+    return {d for _, d in sorted(((w / quality.TEMPERATURE + x, d) for (d, w, _, _), x in zip(rows, noise)), reverse=True)[:k]}
+
+
+def test_resampling_plain(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id % 3 = 0")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    good = {r.doc_id for r in labels.where("quality = 1 and toxic = 0").collect()}
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    for seed in (0, 1):
+        got = {r.doc_id: r.log_weight for r in quality.resample(docs, labels, scratch(spark), seed=seed).collect()}
+        assert set(got) == plain_sample(spark, rows, good, seed)
+    assert all(abs(got[d] - w) < 1e-6 for d, w, _, _ in plain_weights(rows, good) if d in got)
+
+
+def test_resampling_frequencies(spark):
+    """How often each document is among k draws without replacement, over many seeds, against the exact probabilities."""
+    weight, n, k = [0.0, 0.5, 1.0, 2.0, 3.0, -1.0], 6000, 2
+    rows = spark.createDataFrame([(i, 9, w) for i, w in enumerate(weight)], "doc_id long, n_features long, log_weight double")
+    keyed = rows.withColumn("seed", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("key", quality.sampling_key(1.0, F.col("seed")))
+    place = F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("key")))
+    got = {r.doc_id: r["count"] / n for r in keyed.withColumn("place", place).where(F.col("place") <= k).groupBy("doc_id").count().collect()}
+    p = np.exp(weight) / np.exp(weight).sum()
+    for i in range(6):
+        exact = p[i] + sum(p[j] * p[i] / (1 - p[j]) for j in range(6) if j != i)
+        assert abs(got.get(i, 0) - exact) < 0.02
+
+
 def test_kth_highest(spark):
     rng = random.Random(5)
     values = [rng.gauss(0, 1) for _ in range(3000)] + [0.5] * 200
@@ -704,7 +767,10 @@ def test_pipeline(spark):
         out = stage(spark, docs, SF)
         assert out.columns == docs.columns, name
         before, after = ({r.doc_id: r.text for r in df.collect()} for df in (docs, out))
-        if name == "ngram_jaccard_join":
+        if name == "quality_classifier":
+            good = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1 and toxic = 0").collect()}
+            assert set(after) == plain_sample(spark, sorted(before.items()), good) and len(after) > len(before) / 2
+        elif name == "ngram_jaccard_join":
             assert set(after) == {d for d, (_, c) in plain_components(before).items() if d == c}
         elif name == "substring_dedup":
             wanted = plain_repeats(before)
@@ -714,8 +780,6 @@ def test_pipeline(spark):
             shared = {s for t in items.values() for s in bag_of(words_of(t))}
             near = {d: t for d, t in before.items() if shared & set(bag_of(words_of(t)))}
             assert set(before) - set(after) == {d for d, _ in plain_contamination(near, items)}
-        else:
-            assert set(after) <= set(before) and len(after) > len(before) / 2
         docs = spark.createDataFrame(out.collect(), docs.schema)
     tokens = {r.doc_id: r for r in corpus_pipeline.STAGES[4][1](spark, docs, SF).collect()}
     assert {d: r.decoded_sha256 for d, r in tokens.items()} == {d: hashlib.sha256((t or "").encode()).hexdigest() for d, t in after.items()}
