@@ -1,11 +1,13 @@
 """Exact top-k search by inner product, over integer vectors.
 
-Vectors are rotated by the eigenvectors of their Gram matrix (its size is the dimension squared, whatever the number of
-rows), so that the first coordinates hold most of each product. The longest vectors give every query a first k-th best
-score. Candidates are then taken by descending length; a query is done with a stretch where its length times the
-stretch's longest vector can't reach its k-th best score. For the others the product over the first coordinates plus
-the product of the residual lengths (Cauchy-Schwarz) bounds each score, and pairs within the bound are computed in
-integers.
+Vectors are sorted by descending length over the whole table and packed into chunks in that order. They are rotated by the
+eigenvectors of their Gram matrix (its size is the dimension squared, whatever the number of rows), so that the first
+coordinates hold most of each product. The longest vectors give every query a first k-th best score, its floor. Queries
+that need vectors of about the same length to reach their floors share a block; a block goes down the groups of chunks
+only as far as the longest vector of a group can still reach one of its floors. Before any vector moves, headers are
+compared: a chunk's ranges of the first coordinates and its longest residual (Cauchy-Schwarz) bound all its scores, and
+only pairs of a block and a chunk within the bound are joined. There the product over the first coordinates plus the
+product of the residual lengths bounds each score, and pairs within that bound are computed in integers.
 """
 
 from __future__ import annotations
@@ -22,24 +24,31 @@ from . import common as C
 SCALE = 1024
 #: The longest vectors, which give first thresholds.
 SEEDS = 1024
-#: Mean number of queries in a block.
-QUERY_BLOCK = 512
+#: Most queries in a block.
+QUERY_BLOCK = 256
 #: Candidates that are compared at once.
 STRETCH = 1024
-#: Candidates in a chunk that meets the blocks of queries.
-CHUNK = 8192
+#: Bytes of a chunk's vectors, about, and chunks in a group of headers.
+CHUNK_BYTES, GROUP = 4 << 20, 256
 #: Share of the coordinates in the partial product.
 HEAD = 4
 #: Allowance for rounding in the bounds, relative to the product of lengths.
 ROUNDING = 1e-9
 
 
+#: Squared lengths from which on products might not fit into 64 bits.
+MOST_NORM2 = 2.0**62
+
+
 def quantised(vectors: DataFrame, id_column: str = "vec_id", column: str = "embedding", scale: int = SCALE) -> DataFrame:
-    """id, v (array<long>), norm2: rows with a null id, a null vector or a null or non-finite component are left out."""
+    """id, v (array<long>), norm2 (double). Rows with a null id, a null vector or a null or non-finite component are left
+    out, and so are vectors so long that their products might not fit into 64 bits (MOST_NORM2)."""
     whole = F.expr(f"forall({column}, x -> x is not null and not isnan(x) and abs(x) <> double('infinity'))")
-    v = F.transform(F.col(column), lambda x: F.floor(x.cast("double") * scale))
-    rows = vectors.where(F.col(id_column).isNotNull() & F.col(column).isNotNull()).where(whole).select(F.col(id_column).alias("id"), v.alias("v"))
-    return rows.withColumn("norm2", F.aggregate("v", F.lit(0).cast("long"), lambda s, x: s + x * x))
+    floors = F.transform(F.col(column), lambda x: x.cast("double") * scale)
+    rows = vectors.where(F.col(id_column).isNotNull() & F.col(column).isNotNull()).where(whole).select(F.col(id_column).alias("id"), floors.alias("x"))
+    length = F.aggregate("x", F.lit(0.0), lambda s, x: s + (F.abs(x) + 1) * (F.abs(x) + 1))
+    fit = rows.where(length < MOST_NORM2).select("id", F.transform("x", lambda x: F.floor(x)).alias("v"))
+    return fit.withColumn("norm2", F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
 
 def _matrix(column: pa.ListArray, dim: int) -> np.ndarray:
@@ -110,13 +119,72 @@ def _search(q_ids, q, x_ids, x, rotation, floor, k) -> _Best:
     return best
 
 
+def _bytes(*arrays: np.ndarray) -> list[pa.Array]:
+    return [pa.array([x.tobytes()], pa.binary()) for x in arrays]
+
+
+def _lengths(x: np.ndarray) -> np.ndarray:
+    return np.sqrt((x.astype(np.float64) ** 2).sum(1))
+
+
+def _packed(batches: Iterator[pa.RecordBatch], dim: int, rotation: np.ndarray, rows: int, group: int) -> Iterator[pa.RecordBatch]:
+    """Of rows (part, id, v) in descending length: chunks of so many rows with their headers. Of a chunk x: its longest length, the range
+    of each head coordinate, and the longest residual."""
+    head = max(1, dim // HEAD)
+    held: list[pa.RecordBatch] = []
+    number = 0
+
+    def chunk(t: pa.Table) -> pa.RecordBatch:
+        t = t.combine_chunks()
+        x = _matrix(t.column(2).combine_chunks(), dim)
+        xr = x @ rotation
+        part = t.column(0)[0].as_py()
+        low_high = np.concatenate([xr[:, :head].min(0), xr[:, :head].max(0)])
+        header = [pa.array([v], k) for v, k in ((part, pa.int64()), (number // group, pa.int64()), (number, pa.int64()), (float(_lengths(x).max()), pa.float64()), (float(_lengths(xr[:, head:]).max()), pa.float64()))]
+        return pa.RecordBatch.from_arrays([*header, *_bytes(low_high, t.column(1).to_numpy(), x)], [c.split()[0] for c in CHUNKS.split(", ")])
+
+    for batch in batches:
+        held.append(batch)
+        while sum(map(len, held)) >= rows:
+            t = pa.Table.from_batches(held)
+            yield chunk(t.slice(0, rows))
+            number += 1
+            held = t.slice(rows).to_batches()
+    if sum(map(len, held)):
+        yield chunk(pa.Table.from_batches(held))
+
+
+CHUNKS = "part long, band long, chunk long, longest double, residual double, ranges binary, x_ids binary, x binary"
+
+
+def _meeting(batches: Iterator[pa.RecordBatch], dim: int, rotation: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Of rows (block, q, floor, part, chunk numbers, longest, residual, ranges), a block and a group of chunk headers
+    each: the pairs of block and chunk of which some score may reach its query's floor."""
+    head = max(1, dim // HEAD)
+    for batch in batches:
+        out: list[tuple] = []
+        for block, q, floor, part, headers in zip(*(batch.column(c) for c in range(5))):
+            q, floor = np.frombuffer(q.as_buffer(), np.int64).reshape(-1, dim), np.frombuffer(floor.as_buffer(), np.float64)
+            qr, length = q @ rotation, _lengths(q)
+            up, down, rest = np.maximum(qr[:, :head], 0), np.minimum(qr[:, :head], 0), _lengths(qr[:, head:])
+            for h in headers.as_py():
+                low, high = np.frombuffer(h["ranges"], np.float64).reshape(2, head)
+                bound = up @ high + down @ low + rest * h["residual"]
+                bound = np.minimum(bound, length * h["longest"]) + ROUNDING * length * h["longest"] + 1e-6
+                if (bound >= floor).any():
+                    out.append((block.as_py(), part.as_py(), h["chunk"]))
+        cols = list(zip(*out)) or [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["block", "part", "chunk"])
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scratch: C.Scratch | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of queries the k rows of vectors with the highest inner product, all
     if there are fewer; both as quantised() gives them. Rows with the query's own id are no candidates. Ties go to the
     smaller id. Of queries that repeat an id the least vector counts; repeated candidates count each. Shorter vectors
-    count as filled up with zeros. Products must fit into 64 bits."""
+    count as filled up with zeros."""
     spark = vectors.sparkSession
     scratch = scratch or C.Scratch(spark, "topk")
+    vectors = scratch.save(vectors.select("id", "v", "norm2"), "vectors")
     queries = scratch.save(queries.groupBy("id").agg(F.min("v").alias("v")), "queries")
     dim, n = (vectors.agg(F.max(F.size("v"))).first()[0] or 0), queries.count()
     if not dim or not n:
@@ -125,35 +193,48 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scratch: C.Scratc
     seeds = vectors.orderBy(F.desc("norm2"), "id").limit(SEEDS).select("id", "v").collect()  # SEEDS rows
     seed_ids = np.array([r.id for r in seeds], np.int64)
     seed_rows = np.array([list(r.v) + [0] * (dim - len(r.v)) for r in seeds], np.int64)
-    blocks = -(-n // QUERY_BLOCK)
-
-    def thresholds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(len(batch)):
-                ids, q = batch.column(1)[r].values.to_numpy(), _matrix(batch.column(2)[r].values, dim)
-                best = _search(ids, q, seed_ids, seed_rows, rotation, np.full(len(q), -np.inf), k)
-                floor = np.array([best.worst(i) for i in range(len(q))])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(r, 1), *(pa.array([x.tobytes()], pa.binary()) for x in (ids, q, floor))], ["block", "q_ids", "q", "floor"])
-
-    # a block has about QUERY_BLOCK queries, which fits a task
-    block = F.expr(f"cast(pmod(xxhash64(id), {blocks}) as int)").alias("block")
-    grouped = queries.select(block, F.struct("id", "v").alias("r")).groupBy("block").agg(F.collect_list("r").alias("r")).select("block", F.col("r.id").alias("ids"), F.col("r.v").alias("vs"))
-    grouped = scratch.save(grouped.mapInArrow(thresholds, "block int, q_ids binary, q binary, floor binary"), "blocks")
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def chunk() -> pa.RecordBatch:
-            t = pa.Table.from_batches(held).combine_chunks()
-            return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (t.column(0).to_numpy(), _matrix(t.column(1).combine_chunks(), dim))], ["x_ids", "x"])
+    # the hash deals vectors of one length over several partitions
+    ordered = vectors.repartitionByRange(F.desc("norm2"), F.xxhash64("id", "v")).sortWithinPartitions(F.desc("norm2"), "id")
+    ordered = ordered.select(F.spark_partition_id().cast("long").alias("part"), "id", "v")
+    rows, group = max(1, CHUNK_BYTES // (8 * dim)), GROUP
+    chunks = scratch.save(ordered.mapInArrow(lambda it: _packed(it, dim, rotation, rows, group), CHUNKS), "chunks")
+    headers = chunks.groupBy("part", "band").agg(F.max("longest").alias("longest"), F.collect_list(F.struct("chunk", "longest", "residual", "ranges")).alias("headers"))  # GROUP at most
+    headers = scratch.save(headers, "headers")
 
+    def floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, q = batch.column(0).to_numpy(), _matrix(batch.column(1), dim)
+            best = _search(ids, q, seed_ids, seed_rows, rotation, np.full(len(q), -np.inf), k)
+            floor = np.array([best.worst(i) for i in range(len(q))])
+            length = _lengths(q)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                need = np.where(floor > 0, (floor - 1e-6) / (length * (1 + 2 * ROUNDING)), 0.0)  # a candidate's least length
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(floor), pa.array(np.nan_to_num(need))], ["id", "v", "floor", "need"])
+
+    floored = scratch.save(queries.mapInArrow(floors, "id long, v array<long>, floor double, need double"), "floors")
+
+    def blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = 0
         for batch in batches:
-            held.append(batch)
-            if sum(map(len, held)) >= CHUNK:
-                yield chunk()
-                held.clear()
-        if sum(map(len, held)):
-            yield chunk()
+            for at in range(0, len(batch), QUERY_BLOCK):
+                some = batch.slice(at, QUERY_BLOCK)
+                part, need = some.column(0)[0].as_py(), some.column(4).to_numpy().min()
+                block = (part << 32) + number
+                number += 1
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([need]), *_bytes(some.column(1).to_numpy(), _matrix(some.column(2), dim), some.column(3).to_numpy())], ["block", "need", "q_ids", "q", "floor"])
+
+    near = floored.repartitionByRange(max(1, -(-n // QUERY_BLOCK)), F.desc("need"), "id").sortWithinPartitions(F.desc("need"), "id")
+    near = near.select(F.spark_partition_id().cast("long").alias("part"), "id", "v", "floor", "need")
+    blocks = scratch.save(near.mapInArrow(blocked, "block long, need double, q_ids binary, q binary, floor binary"), "blocks")
+
+    # one row for each block and group of GROUP chunks that may matter, by lengths alone; a group stands for GROUP *
+    # CHUNK_BYTES of vectors
+    reach = scratch.save(headers.select("part", "band", "longest"), "reach")
+    reached = blocks.select("block", "need").join(scratch.small(reach, "reach"), F.col("longest") >= F.col("need")).select("block", "part", "band")
+    facing = reached.join(blocks.select("block", "q", "floor"), "block").join(headers.select("part", "band", "headers"), ["part", "band"])
+    pairs = facing.select("block", "q", "floor", "part", "headers").mapInArrow(lambda it: _meeting(it, dim, rotation), "block long, part long, chunk long")
+    pairs = scratch.save(pairs, "pairs")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,9 +244,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scratch: C.Scratc
                 each = [len(s) for s in best.scores]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, each)), pa.array(np.concatenate(best.ids)), pa.array(np.concatenate(best.scores))], ["query_id", "vec_id", "score"])
 
-    chunks = vectors.select("id", "v").mapInArrow(pack, "x_ids binary, x binary").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    met = chunks.join(scratch.small(grouped, "blocks"), "block").select("q_ids", "q", "floor", "x_ids", "x")
-    found = met.mapInArrow(search, "query_id long, vec_id long, score long")
+    met = pairs.join(chunks.select("part", "chunk", "x_ids", "x"), ["part", "chunk"]).join(blocks.select("block", "q_ids", "q", "floor"), "block")
+    found = met.select("q_ids", "q", "floor", "x_ids", "x").mapInArrow(search, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -739,6 +739,8 @@ def test_top_k(spark, monkeypatch, n, dim, same):
     monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
     monkeypatch.setattr(topk, "SEEDS", 16)
     monkeypatch.setattr(topk, "STRETCH", 32)
+    monkeypatch.setattr(topk, "CHUNK_BYTES", 300)
+    monkeypatch.setattr(topk, "GROUP", 2)
     rng = random.Random(n)
     rows = [(i, [rng.randint(-50, 50) * (1 if i % 9 else 10) for _ in range(dim)]) for i in range(n)]
     rows += [(n + i, [7] * dim) for i in range(same)]
@@ -748,7 +750,7 @@ def test_top_k(spark, monkeypatch, n, dim, same):
 
 
 def test_top_k_odd(spark):
-    rows = [(0, [1.0, 2.0]), (1, None), (2, [None, 1.0]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (None, [1.0, 1.0]), (5, [0.5, -0.25]), (6, [3.0]), (7, [])]
+    rows = [(8, [3e38, 1.0]), (9, [4.6e15, 0.0]), (0, [1.0, 2.0]), (1, None), (2, [None, 1.0]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (None, [1.0, 1.0]), (5, [0.5, -0.25]), (6, [3.0]), (7, [])]
     v = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
     assert {r.id: r.v for r in v.collect()} == {0: [1024, 2048], 5: [512, -256], 6: [3072], 7: []}
     got = topk.top_k(v, v.where("id = 0"), 10, scratch(spark))
@@ -756,6 +758,21 @@ def test_top_k_odd(spark):
     assert topk.top_k(v.limit(0), v.limit(0), 10, scratch(spark)).count() == 0
 
 
+def test_top_k_prunes(spark, monkeypatch):
+    """By descending length most chunks are never read; of equal lengths the first coordinates tell them apart."""
+    for name, value in (("QUERY_BLOCK", 8), ("SEEDS", 16), ("CHUNK_BYTES", 8 * 4 * 20), ("GROUP", 4)):
+        monkeypatch.setattr(topk, name, value)
+    rng = random.Random(8)
+    long = [(i, [rng.randint(500, 900) for _ in range(4)]) for i in range(60)]
+    rows = long + [(i, [rng.randint(0, 100) for _ in range(4)]) for i in range(60, 2000)]
+    df = spark.createDataFrame([(i, v, float(sum(x * x for x in v))) for i, v in rows], "id long, v array<long>, norm2 double").repartition(3)
+    s = scratch(spark)
+    got = topk.top_k(df, df.where("id % 50 = 0"), 10, s)
+    assert sorted(tuple(r) for r in got.collect()) == plain_top(rows, [r for r in rows if r[0] % 50 == 0], 10)
+    chunks, blocks, pairs = (spark.read.parquet(s.path(x)).count() for x in ("chunks", "blocks", "pairs"))
+    assert chunks >= 100 and pairs <= 0.1 * chunks * blocks
+
+
 # ---- pipeline --------------------------------------------------------------------------------------------------------
 
 
