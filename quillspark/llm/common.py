@@ -184,11 +184,12 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets, np.frombuffer(column.buffers()[2] or b"", np.uint8)
 
 
-def hashed(column: pa.Array, fold: bool = False, classes: np.ndarray = SPACES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def hashed(column: pa.Array, fold: bool = False, classes: np.ndarray = SPACES, keep: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Over stretches of rows a to b of a binary column: (a, b, hashes of all their words in order, words per row).
     fold lower-cases A-Z. A word's hash is a polynomial of its bytes modulo 2^64 together with its length, scrambled;
-    it is the same in every task. Null is empty."""
-    _kept.clear()
+    it is the same in every task. Null is empty. keep: what keep_in_worker() holds stays."""
+    if not keep:
+        _kept.clear()
     offsets, data = buffers(column)
     a = 0
     while a < len(column):

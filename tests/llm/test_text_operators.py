@@ -335,11 +335,45 @@ def test_hamming_blocks():
     rng = np.random.default_rng(1)
     texts = [" ".join(prose(i, 30)).encode() for i in range(60)]
     index = decontam.Index(list(range(60)), texts)
-    for _ in range(40):
-        f = index.prints[rng.integers(60)].copy()
+    prints = index.prints[rng.integers(60, size=80)]
+    for f in prints:
         for b in rng.integers(0, 128, rng.integers(0, 45)):
             f[b // 64] ^= np.uint64(1 << int(b % 64))
-        assert index.within(f) == [i for i, p in enumerate(index.prints) if np.bitwise_count(p ^ f).sum() <= decontam.RADIUS]
+    window, item = index.within(prints, np.full(80, 26))
+    far = np.bitwise_count(prints[:, None] ^ index.prints[None]).sum(2)
+    assert sorted(zip(window.tolist(), item.tolist())) == [tuple(x) for x in np.argwhere(far <= decontam.RADIUS).tolist()]
+    assert 0 < len(window) < far.size
+
+
+def test_hamming_blocks_of_many_items():
+    """With 20,000 items of 20 to 120 words few are candidates, and those that are alike are within the radius."""
+    rng = random.Random(2)
+    bag = prose(5, 3000, words=3000)
+    items = [" ".join(rng.choices(bag, k=rng.randint(20, 120))) for _ in range(20_000)]
+    index = decontam.Index(list(range(len(items))), [x.encode() for x in items])
+    alike = found = n = candidates = 0
+    for i in range(0, 4000, 10):
+        w = items[i].split()
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(len(w))] = "other"
+        (_, _, h, _), = common.hashed(pa.array([" ".join(w).encode()], pa.binary()), True, common.MARKS)
+        shingles = common.shingle_hashes(h)
+        prints, sizes = decontam.fingerprint(shingles)[None], np.array([len(shingles)])
+        n, candidates = n + 1, candidates + len(index.candidates(prints, sizes)[0])
+        if decontam.weighted_jaccard(decontam._bag(shingles), index.bags[i]) >= 0.8:
+            alike, found = alike + 1, found + (i in index.within(prints, sizes)[1])
+    assert alike > 100 and found >= 0.98 * alike
+    assert candidates <= 0.05 * n * len(items)
+
+
+def test_stock_phrase(spark):
+    """A phrase that many items share doesn't hide the one that a document holds, nor make others match."""
+    phrase = "what is the answer to this question about"
+    items = [f"{phrase} {' '.join(prose(500 + i, 12))}" for i in range(300)]
+    docs = [" ".join(prose(i, 40)) + f" {phrase} " + " ".join(prose(50 + i, 40)) for i in range(20)] + ["x y z " + items[7] + " u v w"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = [(r.doc_id, r.item_id, r.similarity, r.first_word) for r in decontam.contaminated(documents(spark, docs), bench).collect()]
+    assert got == [(20, 7, 1.0, 3)]
 
 
 # ---- 5: substrings ---------------------------------------------------------------------------------------------------
