@@ -5,7 +5,8 @@ start of a cell, and a cell belongs to the next virtual node clockwise. Loads ar
 shards, n mod k shards hold one row more than the others. A shard takes its own keys in ring order up to its bound;
 keys beyond it go on clockwise to the next virtual node whose shard has room. The law kept is `rows`.
 
-Only counts of cells (RING_CELLS rows) are looked at together; rows are numbered within their cell.
+Only counts of cells (RING_CELLS rows) are looked at together. Rows get their numbers within cells from one sort of the
+whole table by ranges, so that a cell with a third of all rows (one doc_id, or none) is dealt over many tasks.
 """
 
 from __future__ import annotations
@@ -68,11 +69,20 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, nodes: int = VIRTUAL_NODES
     rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     rows = rows.withColumn("k", F.md5(key)).withColumn("cell", F.expr(_place("coalesce(cast(doc_id as string), '')")))
-    in_cell = Window.partitionBy("cell").orderBy("k", "doc_id", "text_crc32", "size")
-    numbered = scratch.save(rows.withColumn("rn", F.row_number().over(in_cell).cast("long") - 1).drop("k"), "rows")
+    rows = scratch.save(rows.withColumn("tie", F.monotonically_increasing_id()), "rows")
+    # equal rows are told apart by where they were read, so that ranges can part them too
+    order = ("cell", "k", "doc_id", "text_crc32", "size", "tie")
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "size", "text_crc32", "cell", F.monotonically_increasing_id().alias("at"))
+    ordered = scratch.save(ordered, "ordered")  # at: the partition's number, then the row's place in it
+    part = F.shiftright("at", 33)
+    parts = ordered.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    parts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row a partition
+    ranked = ordered.withColumn("part", part).join(F.broadcast(parts), "part").withColumn("rank", F.col("before") + F.col("at").bitwiseAND((1 << 33) - 1))
+    firsts = ranked.groupBy("cell").agg(F.min("rank").alias("first"))  # RING_CELLS rows at most
+    numbered = ranked.join(F.broadcast(firsts), "cell").select("doc_id", "size", "text_crc32", "cell", (F.col("rank") - F.col("first")).alias("rn"))
 
     # from here on a row is a cell: RING_CELLS at most
-    counts = numbered.groupBy("cell").agg(F.count("*").alias("n"))
+    counts = ordered.groupBy("cell").agg(F.count("*").alias("n"))
     points = ring(spark, shards, nodes).withColumn("half", F.lit(0))
     onward = Window.orderBy(F.desc("cell"), F.desc("half")).rowsBetween(Window.unboundedPreceding, 0)
     first = points.groupBy().agg(F.min_by(F.struct("node", "shard"), "node").alias("first"))
