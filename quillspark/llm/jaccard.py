@@ -4,7 +4,7 @@ The incidence is cut to what size bounds leave: two sets with Jaccard t or more
 size - ceil(t * size) + 1 of each, in any order that both follow. Documents with equal sets are one row of the
 matrix. N-grams are dealt into blocks by hash; a block yields candidate pairs whose sizes allow a link, and the
 product is accumulated exactly for those pairs only. Groups of thousands of near copies are linked to one member of
-the group first; all pairs are then taken only between components that a shared n-gram still leaves apart, so that no
+the group first, a group of more than HOT documents in parts; all pairs are then taken only between components that a shared n-gram still leaves apart, so that no
 link that could join two components is lost. All links are then found by exact products of all sets of a component, as
 links never leave one.
 """
@@ -41,8 +41,13 @@ BEST_PAIRS = 6
 SET_BLOCK = 256
 #: N-grams whose products are added up at once.
 NGRAM_SLICE = 8192
-#: Turns of such comparisons, each in another order, before all pairs that are still apart are taken.
-TURNS = 1
+#: An n-gram of more documents is hot: its group is dealt into parts, and two documents that both have it so late in their
+#: order that it can't be the first one that they share, given equal sizes, aren't multiplied by it.
+HOT = 1 << 16
+
+# An entry of the incidence carries in one number its set's size, how many hot late n-grams the set's prefix has, and
+# whether the entry is one of those.
+_SIZE, _LATE_ONES, _LATE = (1 << 30) - 1, 30, 60
 
 
 def _least_overlap(n, percent: int):
@@ -50,8 +55,8 @@ def _least_overlap(n, percent: int):
     return -(-percent * n // 100)
 
 
-def frequent_ngrams(docs: DataFrame, k: int = SHINGLE_WORDS, most: int = FREQUENT) -> np.ndarray:
-    """Hashes of the n-grams in most documents, ascending by count; at most `most`. Counts come from all documents."""
+def frequent_ngrams(docs: DataFrame, k: int = SHINGLE_WORDS, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the n-grams in most documents and their counts, ascending; at most `most`. Counts come from all documents."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -66,77 +71,85 @@ def frequent_ngrams(docs: DataFrame, k: int = SHINGLE_WORDS, most: int = FREQUEN
 
     counts = C.as_bytes(docs).mapInArrow(local, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
     top = counts.orderBy(F.desc("n"), "g").limit(most).collect()  # bounded by `most`
-    return np.array([r.g for r in reversed(top)], np.int64).view(np.uint64)
+    return np.array([r.g for r in reversed(top)], np.int64).view(np.uint64), np.array([r.n for r in reversed(top)], np.int64)
 
 
-def _prefixes(docs: DataFrame, frequent: np.ndarray, k: int, percent: int) -> DataFrame:
-    """doc_id, n, sig (of the set), prefix: the n-grams of which any linked document shares one."""
+def _prefixes(docs: DataFrame, frequent: np.ndarray, hot: int, k: int, percent: int) -> DataFrame:
+    """doc_id, n, sig (of the set), prefix: the n-grams of which any linked document shares one, and entry: of each the
+    number that it carries. Of the frequent n-grams those from place hot on are hot."""
     place = np.argsort(frequent)
     ordered = frequent[place]
 
-    def cut(s: np.ndarray) -> np.ndarray:
-        p = len(s) - _least_overlap(len(s), percent) + 1
+    def cut(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = len(s)
+        p = n - _least_overlap(n, percent) + 1
         if not len(ordered):
-            return s[:p]
-        hot = ordered[np.minimum(np.searchsorted(ordered, s), len(ordered) - 1)] == s
-        rare = s[~hot][:p]
-        if len(rare) < p:
-            late = s[hot]
-            rank = place[np.searchsorted(ordered, late)]
-            rare = np.concatenate([rare, late[np.argsort(rank)[: p - len(rare)]]])
-        return rare
+            return s[:p], np.full(p, n)
+        often = ordered[np.minimum(np.searchsorted(ordered, s), len(ordered) - 1)] == s
+        prefix = s[~often][:p]
+        late = np.zeros(p, np.int64)
+        if len(prefix) < p:
+            last = s[often]
+            rank = place[np.searchsorted(ordered, last)]
+            order = np.argsort(rank)[: p - len(prefix)]
+            # of two sets of one size that share this n-gram and none before it, neither can have so many in common
+            beyond = (100 + percent) * (n - np.arange(len(prefix), p)) < 2 * percent * n
+            late[len(prefix) :] = (rank[order] >= hot) & beyond
+            prefix = np.concatenate([prefix, last[order]])
+        return prefix, n + (late.sum() << _LATE_ONES) + (late << _LATE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, h, sizes in C.hashed(batch.column(1), fold=True):
                 sets = [C.sorted_set(x) for x in C.shingle_lists(h, sizes, k)]
                 sigs = [C.digest16(s.tobytes()) if len(s) else None for s in sets]
-                cuts = [cut(s) if len(s) else s for s in sets]
-                prefix = C.list_column(np.concatenate(cuts).view(np.int64), np.array([len(c) for c in cuts]), pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int32()), pa.array(sigs, pa.binary()), prefix], ["doc_id", "n", "sig", "prefix"])
+                cuts = [cut(s) if len(s) else (s, s.view(np.int64)) for s in sets]
+                each = np.array([len(c) for c, _ in cuts])
+                lists = [C.list_column(np.concatenate(x).view(np.int64), each, pa.int64()) for x in zip(*cuts)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int32()), pa.array(sigs, pa.binary()), *lists], ["doc_id", "n", "sig", "prefix", "entry"])
 
-    return C.as_bytes(docs, "doc_id").mapInArrow(run, "doc_id long, n int, sig binary, prefix array<long>")
+    return C.as_bytes(docs, "doc_id").mapInArrow(run, "doc_id long, n int, sig binary, prefix array<long>, entry array<long>")
 
 
 def _shared(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Of rows (g, n, id, label) sorted by g: those whose n-gram two ids or more have, with partners: of the first PIVOTS
-    ids of the group, those before the row that have another label and a size that allows a link with it. Holds that
-    many ids and one row between batches, however large a group is."""
+    """Of rows (g, part, n, id) sorted by g and part: those whose n-gram two ids or more have or may have, with partners:
+    of the first PIVOTS ids of the part, those before the row that have a size that allows a link with it. part is 0 but
+    for parts of a larger group. Holds that many ids and one row between batches, however large a group is."""
     prev, given = None, False  # the last row of the batch before; whether it was given out
-    pivots: list[tuple[int, int, int]] = []
+    pivots: list[tuple[int, int]] = []
     for batch in batches:
         cols = [batch.column(c).to_numpy() for c in range(4)]
         if not len(cols[0]):
             continue
         if prev is not None:
             cols = [np.concatenate([[x], y]) for x, y in zip(prev, cols)]
-        g, n, i, label = cols
-        same = g[1:] == g[:-1]
-        member = np.concatenate([[prev is not None and given], same]) | np.concatenate([same, [False]])
+        g, part, n, i = cols
+        same = (g[1:] == g[:-1]) & (part[1:] == part[:-1])
+        member = np.concatenate([[prev is not None and given], same]) | np.concatenate([same, [False]]) | (part > 0)
         rows, ids, sizes, each = [], [], [], []
         begins = np.concatenate([[True], ~same]).tolist()
         for j in np.flatnonzero(member).tolist():
-            nj, ij, lj = int(n[j]), int(i[j]), int(label[j])
+            nj, ij = int(n[j]) & _SIZE, int(i[j])
             if j == 0 and prev is not None and given:
                 continue
             if begins[j]:
                 pivots = []
-            fit = [p for p in pivots if p[2] != lj and 100 * min(p[1], nj) >= percent * max(p[1], nj)]
+            fit = [p for p in pivots if 100 * min(p[1], nj) >= percent * max(p[1], nj)]
             if len(pivots) < PIVOTS:
-                pivots.append((ij, nj, lj))
+                pivots.append((ij, nj))
             rows.append(j)
             each.append(len(fit))
             ids += [p[0] for p in fit]
             sizes += [p[1] for p in fit]
-        prev, given = [c[-1] for c in cols], bool(len(g) > 1 and same[-1]) or (len(g) == 1 and given)
+        prev, given = [c[-1] for c in cols], bool(member[-1])
         if rows:
             lists = [C.list_column(np.array(x, t), np.array(each), k) for x, t, k in ((ids, np.int64, pa.int64()), (sizes, np.int32, pa.int32()))]
-            yield pa.RecordBatch.from_arrays([pa.array(g[rows]), pa.array(n[rows].astype(np.int32)), pa.array(i[rows]), *lists], ["g", "n", "id", "partners", "partner_ns"])
+            yield pa.RecordBatch.from_arrays([pa.array(g[rows]), pa.array(n[rows]), pa.array(i[rows]), *lists], ["g", "n", "id", "partners", "partner_ns"])
 
 
 def _product(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Of rows (x, nx, label, other, block, y, ny) sorted by x, other and block, y and ny being lists: how often each
-    pair (x, y) whose sizes allow a link comes, if it is often enough. Rows of about
+    """Of rows (x, nx, label, other, block, y, ny) sorted by x, other and block, y and ny being lists, nx and ny what their
+    entries carry: how often each pair (x, y) whose sizes allow a link comes, if it is often enough. Rows of about
     PRODUCT_ENTRIES entries are held, and those of one x and block: a list for each of its n-grams at most."""
 
     def counted(t: pa.Table) -> pa.RecordBatch:
@@ -146,6 +159,8 @@ def _product(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         row = np.repeat(np.arange(len(t)), each)
         x, y = t.column("x").to_numpy()[row], lists.flatten().to_numpy()
         nx, ny = t.column("nx").to_numpy()[row], t.column("ny").combine_chunks().flatten().to_numpy()
+        unmet = np.minimum(*(v >> _LATE_ONES & _SIZE for v in (nx, ny)))  # n-grams that may be common but weren't multiplied
+        nx, ny = nx & _SIZE, ny & _SIZE
         fits = np.flatnonzero(100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny))
         order = fits[np.lexsort((y[fits], x[fits]))]
         xs, ys = x[order], y[order]
@@ -153,10 +168,10 @@ def _product(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         n = np.diff(np.append(first, len(xs))).astype(np.int32)
         at = order[first]
         rest = np.maximum(percent * nx[at].astype(np.int64) + 99, percent * ny[at].astype(np.int64) + 99) // 100 - 1
-        some = (100 + percent) * (n + rest) >= percent * (nx[at].astype(np.int64) + ny[at])  # as _enough()
+        some = (100 + percent) * (n + rest + unmet[at]) >= percent * (nx[at].astype(np.int64) + ny[at])  # as _enough()
         at, n = at[some], n[some]
-        cols = [x[at], y[at], nx[at], ny[at], t.column("label").to_numpy()[row[at]], t.column("other").to_numpy()[row[at]], n]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["x", "y", "nx", "ny", "label", "other", "common"])
+        cols = [x[at], y[at], t.column("label").to_numpy()[row[at]], t.column("other").to_numpy()[row[at]], n]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["x", "y", "label", "other", "common"])
 
     held: list[pa.RecordBatch] = []  # whole rows of the keys not counted yet
     entries = 0
@@ -226,20 +241,29 @@ def _apart(shared: DataFrame, labels: DataFrame, scratch: C.Scratch, name: str)
     return out
 
 
-def _blocked_product(marked: DataFrame, sizes: DataFrame, one_block: bool, percent: int) -> DataFrame:
-    """x, y, nx, ny, label, other, common of pairs with different labels that can link. Rows of the smaller component
-    meet the members of the larger one in blocks of about COLUMN_BLOCK, so that a large component costs a row of the
-    join for a block. one_block: of components larger than a block only their first one, and no others."""
+def _blocked_product(marked: DataFrame, sizes: DataFrame, one_block: bool, percent: int, hot: DataFrame | None) -> DataFrame:
+    """x, y, label, other, common of pairs with different labels that can link. Rows of the smaller component meet the
+    members of the larger one in blocks of about COLUMN_BLOCK, so that a large component costs a row of the join for a
+    block. Entries that are late for a hot n-gram (hot: these, if any) don't meet each other. one_block: of components
+    larger than a block only their first one, and no others."""
     rows = marked.select("g", "n", "id", "label").join(sizes, "label")
     block = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / COLUMN_BLOCK)).cast("int").alias("block")
-    columns = rows.select("g", F.col("label").alias("other"), F.col("size").alias("other_size"), block, "id", "n")
+    late = lambda n: F.shiftright(n, _LATE) == 1
+    columns = rows.select("g", F.col("label").alias("other"), F.col("size").alias("other_size"), block, "id", "n", late("n").alias("late"))
     if one_block:
         columns = columns.where((F.col("other_size") > COLUMN_BLOCK) & (F.col("block") == 0))
-    columns = columns.groupBy("g", "other", "other_size", "block").agg(F.collect_list(F.struct("id", "n")).alias("y"))
-    met = rows.join(columns, "g").where("size < other_size or (size = other_size and label < other)")
+
+    def meet(rows: DataFrame, columns: DataFrame) -> DataFrame:
+        columns = columns.groupBy("g", "other", "other_size", "block").agg(F.collect_list(F.struct("id", "n")).alias("y"))
+        return rows.join(columns, "g").where("size < other_size or (size = other_size and label < other)")
+
+    if hot is None:
+        met = meet(rows, columns)
+    else:
+        met = meet(rows, columns.where(~F.col("late"))).unionByName(meet(rows.where(~late("n")).join(hot, "g", "left_semi"), columns.where("late")))
     met = met.select(F.col("id").alias("x"), F.col("n").alias("nx"), "label", "other", "block", F.col("y.id").alias("y"), F.col("y.n").alias("ny"))
     met = met.repartition("x", "other", "block").sortWithinPartitions("x", "other", "block")
-    return met.mapInArrow(lambda it: _product(it, percent), "x long, y long, nx int, ny int, label long, other long, common int")
+    return met.mapInArrow(lambda it: _product(it, percent), "x long, y long, label long, other long, common int")
 
 
 def _degrees(t: pa.Table, percent: int) -> pa.Table:
@@ -320,27 +344,28 @@ def jaccard_components(docs: DataFrame, scratch: C.Scratch, k: int = SHINGLE_WOR
 def _with_components(docs: DataFrame, scratch: C.Scratch, k: int, percent: int) -> DataFrame:
     """What jaccard_components() gives, and sig, a digest of the row's set (null without words)."""
     valid = docs.where(F.col("doc_id").isNotNull())
-    rows = scratch.save(_prefixes(docs, frequent_ngrams(valid, k), k, percent), "rows")
-    classes = rows.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.min_by("prefix", "doc_id").alias("prefix"))
-    incidence = classes.select(F.explode("prefix").alias("g"), "n", "id")
-    blocks = incidence.repartition("g").select("g", "n", "id", F.col("id").alias("label"))
-    links, done, labels = None, None, None
-    for turn in range(TURNS):
-        # likely links to the few that come first in every group, in another order each turn
-        ordered = blocks.sortWithinPartitions("g", F.xxhash64("id", F.lit(turn)), "id")
-        met = scratch.save(ordered.mapInArrow(lambda it: _shared(it, percent), "g long, n int, id long, partners array<long>, partner_ns array<int>"), f"shared{turn}")
-        if not turn:
-            shared = met.select("g", "n", "id")
-        met = met.select("id", "n", F.explode(F.arrays_zip("partners", "partner_ns")).alias("p")).select("id", "n", F.col("p.partners").alias("other"), F.col("p.partner_ns").alias("other_n"))
-        met = met.groupBy("id", "n", "other", "other_n").agg(F.count("*").alias("common")).where(_enough("common", "n", "other_n", percent))
-        stars = met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-        stars = scratch.save(stars if done is None else stars.join(done, ["a", "b"], "left_anti"), f"stars{turn}")
-        new = _link(valid, stars, scratch, f"turn{turn}", k, percent)
-        links, done = (new, stars) if done is None else (links.union(new), done.union(stars))
-        labels = C.components(links, scratch, f"near{turn}")
-        marked = _apart(shared, labels, scratch, f"{turn}")
-        scratch.drop(f"shared{turn}", *([f"marked{turn - 1}"] if turn else []))
-        shared, blocks = marked.select("g", "n", "id"), marked.repartition("g")
+    frequent, counts = frequent_ngrams(valid, k)
+    first_hot = int(np.searchsorted(counts, HOT, side="right"))
+    rows = scratch.save(_prefixes(docs, frequent, first_hot, k, percent), "rows")
+    classes = rows.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("id"), F.min_by(F.struct("prefix", "entry"), "doc_id").alias("p"))
+    incidence = classes.select(F.explode(F.arrays_zip("p.prefix", "p.entry")).alias("e"), "id").select(F.col("e.prefix").alias("g"), F.col("e.entry").alias("n"), "id")
+    hot, part = None, F.lit(0)
+    if first_hot < len(frequent):
+        hot = scratch.spark.createDataFrame([(g, -(-n // HOT)) for g, n in zip(frequent[first_hot:].view(np.int64).tolist(), counts[first_hot:].tolist())], "g long, parts long")
+        hot = F.broadcast(hot)  # FREQUENT rows at most
+        incidence, part = incidence.join(hot, "g", "left"), F.coalesce(F.pmod(F.xxhash64("id"), "parts") + 1, F.lit(0))
+    blocks = incidence.select("g", part.cast("long").alias("part"), "n", "id").repartition("g", "part")
+    # likely links, to the few that come first in every group
+    ordered = blocks.sortWithinPartitions("g", "part", F.xxhash64("id"), "id")
+    met = scratch.save(ordered.mapInArrow(lambda it: _shared(it, percent), "g long, n long, id long, partners array<long>, partner_ns array<int>"), "shared")
+    shared = met.select("g", "n", "id")
+    met = met.select("id", F.col("n").bitwiseAND(_SIZE).alias("n"), F.explode(F.arrays_zip("partners", "partner_ns")).alias("p")).select("id", "n", F.col("p.partners").alias("other"), F.col("p.partner_ns").alias("other_n"))
+    met = met.groupBy("id", "n", "other", "other_n").agg(F.count("*").alias("common")).where(_enough("common", "n", "other_n", percent))
+    done = scratch.save(met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct(), "stars")
+    links = _link(valid, done, scratch, "near", k, percent)
+    labels = C.components(links, scratch, "near")
+    marked = _apart(shared, labels, scratch, "")
+    scratch.drop("shared")
 
     # the product itself, for pairs in components still apart: first with one block of each large component, which
     # finds most of the links that join something to it, then with all
@@ -349,7 +374,7 @@ def _with_components(docs: DataFrame, scratch: C.Scratch, k: int, percent: int)
         sizes = scratch.save(sizes, f"sizes-{step}")
         if step == "one" and not sizes.where(F.col("size") > COLUMN_BLOCK).limit(1).count():
             continue
-        product = _blocked_product(marked, scratch.small(sizes, f"sizes-{step}"), step == "one", percent)
+        product = _blocked_product(marked, scratch.small(sizes, f"sizes-{step}"), step == "one", percent, hot and hot.select("g"))
         rest = product.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "label", "other", "common").join(done, ["a", "b"], "left_anti")
         rest = scratch.save(rest, f"rest-{step}")
         if not rest.limit(1).count():
@@ -360,7 +385,7 @@ def _with_components(docs: DataFrame, scratch: C.Scratch, k: int, percent: int)
         links, done = links.union(_link(valid, best, scratch, f"best-{step}", k, percent)), done.union(best)
         labels = C.components(links, scratch, f"closer-{step}")
         if step == "one":
-            marked = _apart(shared, labels, scratch, step)
+            marked = _apart(marked.select("g", "n", "id"), labels, scratch, step)
             continue
         # then all pairs in components still apart
         at = lambda c: labels.select(F.col("id").alias(c), F.col("label").alias(f"of_{c}"))
@@ -369,7 +394,7 @@ def _with_components(docs: DataFrame, scratch: C.Scratch, k: int, percent: int)
         if last.limit(1).count():
             links = scratch.save(links.union(_link(valid, last, scratch, "last", k, percent)), "links")
             labels = C.components(links, scratch, "final")
-    scratch.drop(f"marked{TURNS - 1}", "markedone", "rest-one", "rest-all", "last")
+    scratch.drop("marked", "markedone", "rest-one", "rest-all", "last")
 
     names = rows.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("id"))
     names = names.join(labels, "id", "left").select("sig", F.coalesce("label", "id").alias("component"))

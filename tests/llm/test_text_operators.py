@@ -508,7 +508,7 @@ def test_ring(spark, n, k):
 def test_ring_moves_little(spark):
     docs = documents(spark, ["text"] * 4000)
     one, two = ({r.doc_id: r.shard for r in sharding.shard_rows(docs, k).collect()} for k in (8, 9))
-    assert sum(one[i] != two[i] for i in one) < 0.45 * len(one)  # a plain modulo would move eight ninths
+    assert sum(one[i] != two[i] for i in one) < 0.2 * len(one)  # the least is a ninth; a plain modulo would move eight
 
 
 def test_ring_odd(spark):
@@ -672,9 +672,10 @@ def bag_space(text):
     return [tuple(w[i : i + 5]) for i in range(len(w) - 4)] if len(w) >= 5 else ([tuple(w)] if w else [])
 
 
-@pytest.mark.parametrize("block", [2, 256])
-def test_jaccard(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "hot"), [(2, 1 << 16), (256, 1 << 16), (256, 3)])
+def test_jaccard(spark, monkeypatch, block, hot):
     monkeypatch.setattr(jaccard, "COLUMN_BLOCK", block)  # used where plans are built
+    monkeypatch.setattr(jaccard, "HOT", hot)
     rng = random.Random(11)
     texts = []
     for group in range(12):
@@ -686,6 +687,7 @@ def test_jaccard(spark, monkeypatch, block):
             texts.append(" ".join(w))
     line = " ".join(prose(99, 60))  # a passage that many different documents share
     texts += [line + " " + " ".join(prose(100 + i, rng.choice([5, 40]))) for i in range(20)]
+    texts += [line + " " + " ".join(prose(200 + i // 3, 12)) + " x" * (i % 3) for i in range(20)]
     texts += [texts[0].upper(), "a b", "A  b", "a", "", None]
     rng.shuffle(texts)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(documents(spark, texts), scratch(spark)).collect()}
@@ -724,18 +726,20 @@ def test_jaccard_batches(monkeypatch, entries):
     """Streams over sorted rows give the same, however the rows are cut into batches."""
     monkeypatch.setattr(jaccard, "PRODUCT_ENTRIES", entries)
     rng = random.Random(4)
-    rows = sorted((rng.randrange(12), rng.randrange(5, 8), i, rng.randrange(9)) for i in range(80))
-    cut = lambda size: [pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[a : a + size]], pa.int64()) for c in range(4)], ["g", "n", "id", "label"]) for a in range(0, 80, size)]
+    rows = sorted((rng.randrange(12), rng.choice([0, 0, 1, 2]), rng.randrange(5, 8), i) for i in range(80))
+    cut = lambda size: [pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[a : a + size]], pa.int64()) for c in range(4)], ["g", "part", "n", "id"]) for a in range(0, 80, size)]
     give = lambda size: [x for b in jaccard._shared(iter(cut(size)), 80) for x in zip(*(b.column(c).to_pylist() for c in range(5)))]
     assert give(80) == give(1) == give(7)
+    groups = collections.Counter((g, p) for g, p, _, _ in rows)
+    assert len(give(80)) == sum(n for (_, p), n in groups.items() if p or n > 1)
     rows = sorted((rng.randrange(4), 10, rng.randrange(3), 1, 0, [rng.randrange(9) for _ in range(3)], [10] * 3) for _ in range(50))
     rows = [(x, nx, 5, o, b, [10 * o + i for i in y], ny) for x, nx, o, _, b, y, ny in sorted(rows, key=lambda r: (r[0], r[2], r[4]))]
     names = ["x", "nx", "label", "other", "block", "y", "ny"]
     cut = lambda size: [pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[a : a + size]]) for c in range(7)], names) for a in range(0, 50, size)]
-    give = lambda size: sorted(x for b in jaccard._product(iter(cut(size)), 80) for x in zip(*(b.column(c).to_pylist() for c in range(7))))
+    give = lambda size: sorted(x for b in jaccard._product(iter(cut(size)), 80) for x in zip(*(b.column(c).to_pylist() for c in range(5))))
     assert give(50) == give(1) == give(7)
     plain = {k: n for k, n in collections.Counter((x, o, y) for x, _, _, o, _, ys, _ in rows for y in ys).items() if 180 * (n + 7) >= 80 * 20}
-    assert {(r[0], r[5], r[1]): r[6] for r in give(50)} == plain
+    assert {(r[0], r[3], r[1]): r[4] for r in give(50)} == plain
 
 
 def test_jaccard_odd(spark):
