@@ -1,15 +1,17 @@
 """Substring dedup by recompression.
 
-Each document is a string of words. Rounds alternate: one replaces each maximal run of one symbol, the next each pair of
-a left and a right symbol, by a new symbol; neither has a bound on words. A symbol's name is a hash of what it replaces
+Each document is a string of words. Rounds replace each maximal run of one symbol, or each pair of a left and a right
+symbol, by a new symbol; neither has a bound on words. A symbol's name is a hash of what it replaces
 and its side in a round is a bit of its name, so both hold for the whole corpus: every task gives equal strings equal
 names, and no dictionary has to be shuffled. Whether two neighbours merge depends on these two alone.
 
 So the symbols inside a window are the same wherever it lies, but for those at its ends, which what is beside the window
-may change. Rounds go on until no window has an inner symbol left, WINDOW_WORDS / 2 rounds at most. Of the last ones the
-longest reveals the window: Spark groups these high-level symbols by name, and windows go on whose symbol two documents
-have. What each round leaves at a window's ends, with what is left in the last round, spells the window in a few symbols
-(a run counts as one with its length); Spark groups windows by that spelling, which verifies the repeat.
+may change. Rounds go on until no window has an inner symbol left, WINDOW_WORDS / 2 rounds at most. After REVEALING
+rounds the inner symbol of highest rank reveals a window, together with BESIDE symbols to both sides; of a window with too
+few symbols by then (long runs) its longest symbol in the last round does. Spark groups these by name, and windows go on
+whose symbols two documents have. What each round leaves at a window's ends, with what is left in the last round, spells
+the window in a few symbols (a run counts as one with its length); Spark groups windows by that spelling, which verifies
+the repeat.
 """
 
 from __future__ import annotations
@@ -24,10 +26,15 @@ from pyspark.sql import functions as F
 from . import common as C
 
 WINDOW_WORDS = 50
+#: Every so many rounds one is of runs, beginning with the first; the others are of pairs.
+RUN_ROUNDS = 4
+#: Rounds before a symbol reveals its window, and the symbols to each side of it that must agree as well.
+REVEALING, BESIDE = 4, 4
 #: Windows that are parsed at once, so that a round's arrays stay in the cache, and a long document takes no more memory.
 PIECE_WINDOWS = 1 << 14
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
+_LOW = np.uint64(0xFFFFFFFF)
 
 
 def rounds(h: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -36,7 +43,7 @@ def rounds(h: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.nd
     sym, length, number = h, np.ones(len(h), np.int64), 0
     while True:
         number += 1
-        if number % 2:
+        if number % RUN_ROUNDS == 1:
             merge = sym[1:] == sym[:-1]
         else:
             left = (C.mix(sym + np.uint64(number * int(_C) % (1 << 64))) & np.uint64(1)).astype(bool)
@@ -51,28 +58,61 @@ def rounds(h: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.nd
         sym, length, first = name, np.add.reduceat(length, begin), first[begin]
 
 
-def spell(h: np.ndarray, first: np.ndarray, begin: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the windows of h that start at begin, each within one document: the symbol that reveals the window, and two
-    independent hashes of its spelling."""
+def _highest(rank: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The largest of rank[lo] to rank[hi - 1]."""
+    out, size, block = np.empty(len(lo), np.uint64), 1, rank
+    power = np.frexp((hi - lo).astype(np.float64))[1] - 1
+    for k in range(int(power.max(initial=-1)) + 1):
+        own = np.flatnonzero(power == k)
+        out[own] = np.maximum(block[lo[own]], block[hi[own] - size])
+        block = np.maximum(block[:-size], block[size:])
+        size *= 2
+    return out
+
+
+def _revealed(sym: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of windows with inner symbols a to b - 1, more than 2 * BESIDE: the name of the revealing symbols."""
+    place = np.arange(len(sym), dtype=np.uint64)
+    rank = (C.mix(sym ^ _B) & ~_LOW) | (_LOW - place)  # of equal symbols the first
+    at = (_LOW - (_highest(rank, a + BESIDE, b - BESIDE) & _LOW)).astype(np.int64)
+    name = np.zeros(len(sym), np.uint64)
+    inside = slice(BESIDE, len(sym) - BESIDE)
+    for j in range(2 * BESIDE + 1):
+        name[inside] = name[inside] * _A + sym[j : len(sym) - 2 * BESIDE + j]
+    return C.mix(name[at])
+
+
+def spell(h: np.ndarray, first: np.ndarray, begin: np.ndarray, window: int, spelling: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the windows of h that start at begin, each within one document: the name of the symbols that reveal the window,
+    and two independent hashes of its spelling, unless that is not wanted."""
     a, b, live = begin, begin + window, np.arange(len(begin))  # the window's inner symbols are a to b - 1
     top, one, two = (np.zeros(len(begin), np.uint64) for _ in range(3))
-    for sym, length, keep in rounds(h, first):
+    late = np.ones(len(begin), bool)  # not revealed by the symbols after REVEALING rounds
+    for number, (sym, length, keep) in enumerate(rounds(h, first)):
+        if number == REVEALING:
+            many = b - a > 2 * BESIDE
+            if many.any():
+                top[live[many]] = _revealed(sym, a[many], b[many])
+                late[live[many]] = False
+            if not spelling:
+                a, b, live = a[~many], b[~many], live[~many]
         if not len(live):
-            return top, one, two
+            break
         n, i = len(sym), np.arange(len(sym))
         later = np.append(np.minimum.accumulate(np.where(keep, i, n)[::-1])[::-1], n)
         x, y = later[a + 1], np.maximum.accumulate(np.where(keep, i, 0))[b - 1]
         whole = x >= b  # the round makes one symbol of all
         x, y = np.where(whole, b, x), np.where(whole, a, y)
-        # a to x - 1 and y to b - 1 are parts of symbols that reach to the window's ends or beyond: one symbol, a pair or a run
-        left = C.mix(sym[a] * _A + sym[x - 1] * _B + (x - a).astype(np.uint64) * _C)
-        right = C.mix(sym[y] * _B + sym[b - 1] * _A + (b - y).astype(np.uint64) * _C)
-        one[live] = C.mix(one[live] * _A + left + right * _C)
-        two[live] = (two[live] ^ (left * _B + right)) * _C
+        if spelling:
+            # a to x - 1 and y to b - 1 are parts of symbols that reach to the window's ends or beyond: one, a pair or a run
+            left = C.mix(sym[a] * _A + sym[x - 1] * _B + (x - a).astype(np.uint64) * _C)
+            right = C.mix(sym[y] * _B + sym[b - 1] * _A + (b - y).astype(np.uint64) * _C)
+            one[live] = C.mix(one[live] * _A + left + right * _C)
+            two[live] = (two[live] ^ (left * _B + right)) * _C
         place = np.cumsum(keep) - 1
         next_a, next_b = place[np.minimum(x, n - 1)], place[y]
         on = ~whole & (next_a < next_b)
-        end = ~on
+        end = ~on & late[live]
         if end.any():
             ends = np.stack([a[end], x[end] - 1, y[end], b[end] - 1])
             rank = (length[ends] << 40) | (C.mix(sym[ends]) >> np.uint64(24)).astype(np.int64)
@@ -80,9 +120,10 @@ def spell(h: np.ndarray, first: np.ndarray, begin: np.ndarray, window: int) -> t
             run = np.where(whole[end], (b - a)[end], 0)  # the window may be one run
             top[live[end]] = C.mix(sym[longest] * _A + length[longest].astype(np.uint64) * _B + run.astype(np.uint64))
         a, b, live = next_a[on], next_b[on], live[on]
+    return top, one, two
 
 
-def windows(h: np.ndarray, sizes: np.ndarray, window: int) -> Iterator[tuple[np.ndarray, ...]]:
+def windows(h: np.ndarray, sizes: np.ndarray, window: int, spelling: bool = True) -> Iterator[tuple[np.ndarray, ...]]:
     """Of documents laid end to end in h, piece by piece: document and first word of each window, and what spell() gives."""
     if len(h) < window:
         return
@@ -94,7 +135,7 @@ def windows(h: np.ndarray, sizes: np.ndarray, window: int) -> Iterator[tuple[np.
         some = starts[k : k + PIECE_WINDOWS]
         lo, hi = some[0], some[-1] + window
         of = np.searchsorted(ends, some, side="right")
-        yield of, some - (ends - sizes)[of], *spell(h[lo:hi], first[lo:hi], some - lo, window)
+        yield of, some - (ends - sizes)[of], *spell(h[lo:hi], first[lo:hi], some - lo, window, spelling)
 
 
 def _symbol_rows(docs: DataFrame, window: int) -> DataFrame:
@@ -106,7 +147,7 @@ def _symbol_rows(docs: DataFrame, window: int) -> DataFrame:
                 ends = np.cumsum(sizes)
                 sig = [C.digest16(h[e - n : e].tobytes()) for e, n in zip(ends.tolist(), sizes.tolist())]
                 rows, keys = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
-                for of, _, top, _, _ in windows(h, sizes, window):
+                for of, _, top, _, _ in windows(h, sizes, window, False):
                     change = np.concatenate([[True], (top[1:] != top[:-1]) | (of[1:] != of[:-1])])
                     rows.append(of[change])
                     keys.append(top[change])
