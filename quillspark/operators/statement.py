@@ -5,7 +5,7 @@ A line (asset, line, section, kind, metric, weight, bucket, haircut, base, by_me
 - apportion: the same times the window sum of by_metric over that of over_metric, never over 0,
 - level: the level given, already a year's,
 - none: not measured.
-Sums of terms are added before they are brought to a year, so lines that cancel leave exactly 0.
+Lines whose (metric, weight) terms cancel leave exactly 0, whatever rounding their sums have.
 """
 
 from __future__ import annotations
@@ -82,24 +82,36 @@ def profit(found: DataFrame, days: int) -> DataFrame:
     return p.select("asset", F.col("revenue_total").alias("revenue"), zero("costs_measured").alias("costs"), "gross_profit", "base", "revenue_terms", zero("costs_terms").alias("costs_terms"))
 
 
-def uses(found: DataFrame, days: int, remainder: str | None = None) -> DataFrame:
+def cancelling(values: DataFrame) -> DataFrame:
+    """asset, cancels: whether the uses pass on exactly what comes in: each (metric, weight) is as often in revenue as in
+    costs and uses, and no level is among them."""
+    rows = values.where("section in ('revenue', 'cost', 'holders', 'protocol', 'operating') and kind <> 'none'")
+    weight = F.when(F.col("kind") != "level", F.col("weight") * F.when(F.col("kind") == "apportion", F.col("mix")).otherwise(1.0))
+    side = F.when(F.col("section") == "revenue", 1).otherwise(-1)
+    terms = rows.groupBy("asset", "metric", weight.alias("w")).agg(F.sum(side).alias("n"), F.bool_or(F.col("kind") == "level").alias("level"))
+    return terms.groupBy("asset").agg((F.bool_and(F.col("n") == 0) & ~F.bool_or("level")).alias("cancels"))
+
+
+def uses(found: DataFrame, days: int, remainder: str | None = None, cancels: DataFrame | None = None) -> DataFrame:
     """holders, protocol, operating and unreconciled for each asset. With a remainder section that section is revenue
-    less the rest and nothing is left; else unreconciled is what is left, exactly 0 where the terms cancel."""
+    less the rest and nothing is left; else unreconciled is what is left, exactly 0 where cancelling() says so."""
     p = profit(found, days)
     u = section_columns(found, {"holders": "holders", "protocol": "protocol", "operating": "operating"}, "terms", "total", "levels")
     out = p.join(u, "asset", "left")
     total = {n: F.when(F.col(f"has_{n}"), F.col(f"{n}_total")).otherwise(0.0) for n in ("holders", "protocol", "operating")}
     terms = {n: F.when(F.col(f"has_{n}"), F.col(f"{n}_terms")).otherwise(0.0) for n in total}
     level = {n: F.when(F.col(f"has_{n}"), F.col(f"{n}_levels")).otherwise(0.0) for n in total}
-    left = F.col("base") - to_year(sum(terms.values(), F.lit(0.0)), days) - sum(level.values(), F.lit(0.0))
-    known = F.col("base").isNotNull() & total["holders"].isNotNull() & total["protocol"].isNotNull() & total["operating"].isNotNull()
-    cancels = (F.col("revenue_terms") - F.col("costs_terms") - sum(terms.values(), F.lit(0.0))) == 0
     if remainder:
         others = [n for n in total if n != remainder]
-        total[remainder] = F.when(F.col("base").isNotNull() & total[others[0]].isNotNull() & total[others[1]].isNotNull(), F.col("base") - total[others[0]] - total[others[1]])
-        left, known = F.lit(0.0), F.col("base").isNotNull() & total[others[0]].isNotNull() & total[others[1]].isNotNull()
+        known = F.col("base").isNotNull() & total[others[0]].isNotNull() & total[others[1]].isNotNull()
+        total[remainder] = F.when(known, F.col("base") - total[others[0]] - total[others[1]])
+        left = F.lit(0.0)
     else:
-        left = F.when(cancels & (sum(level.values(), F.lit(0.0)) == 0), 0.0).otherwise(left)
+        known = F.col("base").isNotNull() & total["holders"].isNotNull() & total["protocol"].isNotNull() & total["operating"].isNotNull()
+        left = F.col("base") - to_year(sum(terms.values(), F.lit(0.0)), days) - sum(level.values(), F.lit(0.0))
+        if cancels is not None:
+            out = out.join(cancels, "asset", "left")
+            left = F.when(F.col("cancels"), 0.0).otherwise(left)
     return out.select("asset", *(c.alias(n) for n, c in total.items()), F.when(known, left).alias("unreconciled"))
 
 
@@ -148,10 +160,13 @@ def bucket_columns(buckets: DataFrame) -> DataFrame:
     return buckets.groupBy("asset").agg(*cols)
 
 
-def dilution(levels: DataFrame) -> DataFrame:
-    """Emissions and the release, which its cap bounds (null without one), against the supply."""
-    released = F.when(F.col("release_cap").isNotNull(), F.least("release_rate", "release_cap"))
-    rows = levels.withColumn("tokens", F.col("emission") + released)
+def dilution(levels: DataFrame, releases: DataFrame) -> DataFrame:
+    """Emissions and releases against the supply. releases: asset, rate, capped, cap; an asset may have none (nothing is
+    added) or several (they add up). A release counts as far as its cap allows, one that is not capped whole; a rate or a
+    cap that is declared but not known makes the asset's sum null."""
+    counted = F.when(~F.col("capped"), F.col("rate")).when(F.col("rate").isNotNull() & F.col("cap").isNotNull(), F.least("rate", "cap"))
+    released = releases.groupBy("asset").agg(F.when(F.count(counted) == F.count("*"), F.sum(counted)).alias("released"), F.lit(True).alias("declared"))
+    rows = levels.join(released, "asset", "left").withColumn("tokens", F.col("emission") + F.when(F.col("declared"), F.col("released")).otherwise(0.0))
     fdv = F.col("price") * F.col("total_supply")
     pct = F.when(F.col("total_supply") > 0, F.col("tokens") / F.col("total_supply"))
     return rows.select("asset", "tokens", pct.alias("pct"), (pct * fdv).alias("usd"))

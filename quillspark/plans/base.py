@@ -63,8 +63,11 @@ FROM {fx_events} WHERE NOT (event_type = 'click' AND user_id % 4 = 3 AND extract
     "fx_stmt_levels": """
 SELECT event_type AS asset, max(CASE WHEN user_id % 5 = 0 THEN v END) / 64 + 1 AS price, sum(v) * 4 AS total_supply,
   CASE WHEN min(event_id) % 2 = 0 THEN sum(v) END AS circulating, sum(CASE WHEN user_id % 3 = 0 THEN v END) AS staked, CASE WHEN min(event_id) % 3 = 0 THEN sum(v) / 2 END AS locked,
-  sum(CASE WHEN user_id % 10 = 0 THEN v END) AS emission, max(v) AS release_rate, CASE WHEN min(event_id) % 2 = 1 THEN min(v) + 8 END AS release_cap, count(*) / CAST(8 AS DOUBLE) AS run_rate
+  sum(CASE WHEN user_id % 10 = 0 THEN v END) AS emission, count(*) / CAST(8 AS DOUBLE) AS run_rate
 FROM {fx_events} GROUP BY event_type""",
+    "fx_stmt_releases": """
+SELECT event_type AS asset, user_id % 3 AS part, CASE WHEN min(event_id) % 11 <> 0 THEN max(v) END AS rate, user_id % 3 <> 0 AS capped, CASE WHEN min(event_id) % 3 <> 0 THEN min(v) + 8 END AS cap
+FROM {fx_events} WHERE event_type <> 'view' AND (event_type <> 'click' OR user_id % 3 = 0) GROUP BY event_type, user_id % 3""",
     "fx_transfers": """
 SELECT CAST(l_orderkey AS BIGINT) * 8 + l_linenumber AS transfer_id, l_returnflag AS token, l_linestatus AS sink, l_suppkey % 50 AS sender,
   CAST(l_shipdate AS DATE) AS day, CAST(l_orderkey % 24 AS INTEGER) AS hour, floor(l_extendedprice) / CAST(64 AS DOUBLE) AS amount

@@ -47,26 +47,27 @@ def price_hour(spark, sf):
 
 
 @query("swap_price", """
-s AS (SELECT event_type AS token_ref, hour, arg_max(v, event_id) AS price FROM fx_events WHERE user_id % 9 = 0 AND v > 10 GROUP BY 1, 2)
+s AS (SELECT event_type AS token_ref, hour, arg_max(v, event_id) AS price FROM fx_events WHERE v > 10 GROUP BY 1, 2)
 ---
 SELECT e.token_ref, e.hour, (SELECT price FROM s WHERE s.token_ref = e.token_ref AND s.hour <= e.hour AND s.hour >= e.hour - 6 ORDER BY s.hour DESC LIMIT 1) AS price FROM (SELECT DISTINCT token_ref, hour FROM fx_prices) e""")
 def swap_price(spark, sf):
     """The last swap above the dust floor, at most six hours old."""
-    swaps = fx(spark, sf, "fx_events").where("user_id % 9 = 0 and v > 10").groupBy(F.col("event_type").alias("token_ref"), "hour").agg(F.max_by("v", "event_id").alias("price"))
+    swaps = fx(spark, sf, "fx_events").where("v > 10").groupBy(F.col("event_type").alias("token_ref"), "hour").agg(F.max_by("v", "event_id").alias("price"))
     hours = fx(spark, sf, "fx_prices").select("token_ref", "hour").distinct()
     return hours.join(asof.forward_prices(swaps, 6), ["token_ref", "hour"], "left")
 
 
 @query("hour_blocks", """
-b AS (SELECT event_type AS chain, hour AS ts, min(event_id) AS block FROM fx_events WHERE event_id % 3 = 0 GROUP BY 1, 2)
+b AS (SELECT event_type AS chain, hour AS ts, min(event_id) AS block FROM fx_events GROUP BY 1, 2), c AS (SELECT chain, min(ts) AS lo, max(ts) AS hi FROM b GROUP BY chain),
+h AS (SELECT chain, unnest(generate_series(lo, hi + 3)) AS hour FROM c)
 ---
 SELECT h.chain, h.hour, (SELECT ts FROM b WHERE b.chain = h.chain AND b.ts >= h.hour ORDER BY ts LIMIT 1) AS ts, (SELECT block FROM b WHERE b.chain = h.chain AND b.ts >= h.hour ORDER BY ts LIMIT 1) AS block
-FROM (SELECT DISTINCT event_type AS chain, hour FROM fx_events WHERE event_id % 7 = 0) h""")
+FROM h""")
 def hour_blocks(spark, sf):
-    """The first block at or after each hour, by one sweep in time order."""
+    """The first block at or after each hour of a chain, and of three hours more, by one sweep in time order."""
     e = fx(spark, sf, "fx_events").withColumnRenamed("event_type", "chain")
-    blocks = e.where("event_id % 3 = 0").groupBy("chain", "hour").agg(F.min("event_id").alias("block"))
-    hours = e.where("event_id % 7 = 0").select("chain", "hour").distinct()
+    blocks = e.groupBy("chain", "hour").agg(F.min("event_id").alias("block"))
+    hours = blocks.groupBy("chain").agg(F.min("hour").alias("lo"), F.max("hour").alias("hi")).select("chain", F.explode(F.expr("sequence(lo, hi + 3)")).alias("hour"))
     both = hours.withColumn("mark", F.lit(None).cast("struct<ts:bigint,block:bigint>")).withColumn("asked", F.lit(True))
     both = both.unionByName(blocks.select("chain", "hour", F.struct(F.col("hour").alias("ts"), "block").alias("mark"), F.lit(False).alias("asked")))
     w = Window.partitionBy("chain").orderBy("hour").rangeBetween(0, Window.unboundedFollowing)

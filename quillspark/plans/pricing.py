@@ -132,25 +132,25 @@ def previous_level(spark, sf):
 
 
 @query("nearest_within", """
-o AS (SELECT asset_id, hour, id, value FROM fx_readings WHERE metric_key = 'level.3' AND id % 25 = 0), p AS (SELECT DISTINCT asset_id, hour AS at_hour FROM fx_readings WHERE id % 40 = 1),
+o AS (SELECT asset_id, hour, id, value FROM fx_readings WHERE metric_key = 'level.3' AND value > 97), p AS (SELECT DISTINCT asset_id, hour AS at_hour FROM fx_readings),
 n AS (SELECT p.asset_id, p.at_hour, arg_min(struct_pack(h := o.hour, v := o.value), struct_pack(d := abs(o.hour - p.at_hour), h := o.hour, i := o.id)) AS x FROM p JOIN o ON o.asset_id = p.asset_id AND abs(o.hour - p.at_hour) <= 12 GROUP BY 1, 2),
 f AS (SELECT asset_id, arg_min(struct_pack(h := hour, v := value), struct_pack(h := hour, i := id)) AS x FROM o GROUP BY asset_id)
 ---
 SELECT p.asset_id, p.at_hour AS "at", coalesce(n.x, f.x).h AS base_hour, coalesce(n.x, f.x).v AS base, CASE WHEN n.x IS NOT NULL THEN 'near' ELSE 'earliest' END AS basis FROM p LEFT JOIN n USING (asset_id, at_hour) LEFT JOIN f USING (asset_id)""")
 def nearest_within(spark, sf):
     rows = fx(spark, sf, "fx_readings")
-    points = rows.where("id % 40 = 1").select("asset_id", F.col("hour").alias("at")).distinct()
-    return asof.nearest(points, rows.where("metric_key = 'level.3' and id % 25 = 0").select("asset_id", "hour", "id", "value"), "asset_id", 12)
+    points = rows.select("asset_id", F.col("hour").alias("at")).distinct()
+    return asof.nearest(points, rows.where("metric_key = 'level.3' and value > 97").select("asset_id", "hour", "id", "value"), "asset_id", 12)
 
 
 @query("interval_overlap", """
-p AS (SELECT id, asset_id, hour AS start, hour + 1 + id % 40 AS stop FROM fx_readings WHERE id % 10 = 0), q AS (SELECT id, asset_id, hour AS start, hour + 1 + id % 30 AS stop FROM fx_readings WHERE id % 15 = 1)
+p AS (SELECT id, asset_id, hour AS start, hour + 1 + id % 4 AS stop FROM fx_readings WHERE id % 2 = 0), q AS (SELECT id, asset_id, hour AS start, hour + 1 + id % 3 AS stop FROM fx_readings WHERE id % 2 = 1)
 ---
 SELECT p.asset_id, p.id AS a_id, q.id AS b_id, least(p.stop, q.stop) - greatest(p.start, q.start) AS overlap_hours FROM p JOIN q ON p.asset_id = q.asset_id AND least(p.stop, q.stop) > greatest(p.start, q.start)""")
 def interval_overlap(spark, sf):
     rows = fx(spark, sf, "fx_readings")
-    p = rows.where("id % 10 = 0").select("id", "asset_id", F.col("hour").alias("start"), F.expr("hour + 1 + id % 40").alias("stop"))
-    q = rows.where("id % 15 = 1").select("id", "asset_id", F.col("hour").alias("start"), F.expr("hour + 1 + id % 30").alias("stop"))
+    p = rows.where("id % 2 = 0").select("id", "asset_id", F.col("hour").alias("start"), F.expr("hour + 1 + id % 4").alias("stop"))
+    q = rows.where("id % 2 = 1").select("id", "asset_id", F.col("hour").alias("start"), F.expr("hour + 1 + id % 3").alias("stop"))
     return asof.overlaps(p, q, "asset_id")
 
 

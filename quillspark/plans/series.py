@@ -110,11 +110,11 @@ def burns_by_day(spark, sf):
 
 
 _PAY = """
-pay AS (SELECT metric, day, 1 + n % 5 AS period_days, value, id FROM fx_daily WHERE extract(day FROM day) % 6 = 0 AND day < DATE '1996-01-01')"""
+pay AS (SELECT metric, day, 1 + n % 5 AS period_days, value, id FROM fx_daily)"""
 
 
 def _payments(spark, sf):
-    return fx(spark, sf, "fx_daily").where("day(day) % 6 = 0 and day < date'1996-01-01'").select("metric", "day", (1 + F.col("n") % 5).alias("period_days"), "value", "id")
+    return fx(spark, sf, "fx_daily").select("metric", "day", (1 + F.col("n") % 5).alias("period_days"), "value", "id")
 
 
 @query("periodic_spread", _PAY + """,
@@ -122,9 +122,9 @@ c AS (SELECT metric, unnest(generate_series(day - (period_days::INTEGER - 1), da
 x AS (SELECT metric, d AS day, arg_max(rate, struct_pack(a := paid, b := id)) AS value, false AS provisional FROM c GROUP BY metric, d),
 l AS (SELECT metric, max(day) AS hi, arg_max(value / period_days, struct_pack(a := day, b := id)) AS rate FROM pay GROUP BY metric)
 ---
-SELECT * FROM x UNION ALL SELECT metric, unnest(generate_series(hi + 1, DATE '1996-01-20', INTERVAL 1 DAY))::DATE, rate, true FROM l""")
+SELECT * FROM x UNION ALL SELECT metric, unnest(generate_series(hi + 1, DATE '2001-09-10', INTERVAL 1 DAY))::DATE, rate, true FROM l""")
 def periodic_spread(spark, sf):
-    return T.periodic_spread(_payments(spark, sf), "1996-01-20", "metric")
+    return T.periodic_spread(_payments(spark, sf), "2001-09-10", "metric")
 
 
 @query("accrual_check", _PAY + """,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import report as P
 from ..operators import statement as I
 from .base import fx, query
 
@@ -55,7 +56,8 @@ hl AS (SELECT h.asset, line, section, kind, bucket, own, unit, gross, gross * (1
 bu AS (SELECT asset, bucket, CASE WHEN count(*) FILTER (WHERE unit AND gross IS NULL) = 0 THEN sum(gross ORDER BY line) FILTER (WHERE unit) END AS gross, CASE WHEN count(*) FILTER (WHERE unit AND net IS NULL) = 0 THEN sum(net ORDER BY line) FILTER (WHERE unit) END AS net,
   CASE WHEN count(*) FILTER (WHERE unit AND yield IS NULL) = 0 THEN sum(yield ORDER BY line) FILTER (WHERE unit) END AS yield,
   CASE WHEN count(*) FILTER (WHERE section = 'below') > 0 THEN sum(own ORDER BY line) FILTER (WHERE section = 'below') ELSE 0 END AS from_below FROM hl WHERE NOT (section = 'below' AND kind = 'none') GROUP BY asset, bucket),
-di AS (SELECT asset, emission + CASE WHEN release_cap IS NOT NULL THEN least(release_rate, release_cap) END AS tokens, price, total_supply FROM fx_stmt_levels),
+rl AS (SELECT asset, CASE WHEN count(x) = count(*) THEN sum(x) END AS released FROM (SELECT asset, CASE WHEN NOT capped THEN rate WHEN rate IS NOT NULL AND cap IS NOT NULL THEN least(rate, cap) END AS x FROM fx_stmt_releases) GROUP BY asset),
+di AS (SELECT l.asset, emission + CASE WHEN r.asset IS NULL THEN 0 ELSE r.released END AS tokens, price, total_supply FROM fx_stmt_levels l LEFT JOIN rl r ON r.asset = l.asset),
 dl AS (SELECT asset, tokens, CASE WHEN total_supply > 0 THEN tokens / total_supply END AS pct, CASE WHEN total_supply > 0 THEN tokens / total_supply END * (price * total_supply) AS usd FROM di)
 ---
 """
@@ -75,6 +77,10 @@ def _sections(spark, sf):
     return I.sections(_values(spark, sf), DAYS)
 
 
+def _dilution(spark, sf):
+    return I.dilution(fx(spark, sf, "fx_stmt_levels"), fx(spark, sf, "fx_stmt_releases"))
+
+
 def _holder(spark, sf):
     return I.holder_lines(_values(spark, sf), fx(spark, sf, "fx_stmt_levels"), DAYS)
 
@@ -121,7 +127,31 @@ FROM pf JOIN st h ON h.asset = pf.asset AND h.section = 'holders' JOIN st p ON p
 
 @query("stmt_uses", _USES.format(prot="round(p.total, 6)", left=f"round(base - (h.terms + p.terms + o.terms) * 365 / {DAYS} - h.levels - p.levels - o.levels, 6)"))
 def stmt_uses(spark, sf):
-    return _r(I.uses(_sections(spark, sf), DAYS), "holders", "protocol", "operating", "unreconciled")
+    return _r(I.uses(_sections(spark, sf), DAYS, cancels=I.cancelling(_values(spark, sf))), "holders", "protocol", "operating", "unreconciled")
+
+
+#: Uses that pass on revenue whole, with weights that doubles don't hold exactly.
+PASSED_ON = [
+    ("rev_a", "revenue", "terms", "m0", 0.1, None, None, None, None, None, False),
+    ("rev_b", "revenue", "terms", "m1", 0.3, None, None, None, None, None, False),
+    ("rev_c", "revenue", "terms", "m1", 0.7, None, None, None, None, None, False),
+    ("hold_a", "holders", "terms", "m1", 0.3, "burn", 0.0, "all", None, None, False),
+    ("prot_a", "protocol", "terms", "m0", 0.1, None, None, None, None, None, False),
+    ("oper_a", "operating", "terms", "m1", 0.7, None, None, None, None, None, False),
+]
+
+
+@query("stmt_cancels", f"""
+w AS (SELECT asset, count(*) FILTER (WHERE metric = 'm0') AS n0, count(*) FILTER (WHERE metric = 'm1') AS n1 FROM fx_stmt_daily WHERE day <= DATE '{END}' AND day > DATE '{END}' - {DAYS} GROUP BY asset)
+---
+SELECT l.asset, CASE WHEN n0 = {DAYS} AND n1 = {DAYS} THEN 0.0::DOUBLE END AS unreconciled FROM fx_stmt_levels l LEFT JOIN w USING (asset)""")
+def stmt_cancels(spark, sf):
+    """Exactly 0, not about 0: terms cancel before any sum is rounded."""
+    daily = fx(spark, sf, "fx_stmt_daily").withColumn("value", F.col("value") * 0.1)
+    cfg = F.broadcast(spark.createDataFrame(PASSED_ON, _SCHEMA))  # configuration, a few rows
+    lines = fx(spark, sf, "fx_stmt_levels").select("asset", F.lit(None).cast("double").alias("level")).join(cfg, F.lit(True)).drop("run_rate_level")
+    values = I.line_values(lines, I.window_sums(daily, END, DAYS))
+    return I.uses(I.sections(values, DAYS), DAYS, cancels=I.cancelling(values)).select("asset", "unreconciled")
 
 
 @query("stmt_remainder", _USES.format(prot="round(base - h.total - o.total, 6)", left="CASE WHEN base IS NOT NULL AND h.total IS NOT NULL AND o.total IS NOT NULL THEN 0.0::DOUBLE END"))
@@ -142,7 +172,7 @@ def stmt_by_bucket(spark, sf):
 
 @query("stmt_dilution", CTE + "SELECT asset, tokens, round(pct, 9) AS pct, round(usd, 5) AS usd FROM dl")
 def stmt_dilution(spark, sf):
-    return I.dilution(fx(spark, sf, "fx_stmt_levels")).select("asset", "tokens", F.round("pct", 9).alias("pct"), F.round("usd", 5).alias("usd"))
+    return _dilution(spark, sf).select("asset", "tokens", F.round("pct", 9).alias("pct"), F.round("usd", 5).alias("usd"))
 
 
 @query("stmt_supply_flow", CTE + f"""
@@ -150,7 +180,7 @@ SELECT di.asset, round(total * 365 / {DAYS}, 5) AS burned, tokens AS added, roun
 def stmt_supply_flow(spark, sf):
     levels = fx(spark, sf, "fx_stmt_levels")
     burned = I.window_sums(fx(spark, sf, "fx_stmt_daily"), END, DAYS).where("metric = 'm3'").select("asset", I.to_year(F.col("total"), DAYS).alias("burned"))
-    rows = I.dilution(levels).join(levels.select("asset", "total_supply"), "asset").join(burned, "asset", "left").withColumn("net", F.col("tokens") - F.col("burned"))
+    rows = _dilution(spark, sf).join(levels.select("asset", "total_supply"), "asset").join(burned, "asset", "left").withColumn("net", F.col("tokens") - F.col("burned"))
     return rows.select("asset", F.round("burned", 5).alias("burned"), F.col("tokens").alias("added"), F.round("net", 5).alias("net"), F.round(F.when(F.col("total_supply") > 0, F.col("net") / F.col("total_supply")), 9).alias("net_pct"))
 
 
@@ -166,7 +196,7 @@ SELECT asset, round(cash, 9) AS cash, round(buyback, 9) AS buyback, round(cash +
 def stmt_yields(spark, sf):
     s = I.sections(_values(spark, sf).where("line = 'rev_a'"), DAYS)
     growth = s.select("asset", F.when(F.col("prior") > 0, F.pow(F.col("terms") / F.col("prior"), F.lit(365 / DAYS)) - 1).alias("annualized"))
-    y = I.yields(I.by_bucket(_holder(spark, sf)), I.dilution(fx(spark, sf, "fx_stmt_levels")), growth)
+    y = I.yields(I.by_bucket(_holder(spark, sf)), _dilution(spark, sf), growth)
     return y.withColumns({c: F.round(c, 6 if c in ("multiple", "peg") else 9) for c in y.columns if c != "asset"})
 
 
@@ -200,7 +230,7 @@ SELECT l.asset, s.supply, round(CASE WHEN s.n > 0 THEN revenue / s.n END, 9) AS
 FROM (SELECT asset, 'circulating' AS supply, circulating AS n FROM fx_stmt_levels UNION ALL SELECT asset, 'total', total_supply FROM fx_stmt_levels) s JOIN fx_stmt_levels l USING (asset) JOIN gp USING (asset) JOIN dl USING (asset)""")
 def stmt_per_token(spark, sf):
     levels = fx(spark, sf, "fx_stmt_levels")
-    p = I.per_token(levels, I.profit(_sections(spark, sf), DAYS), I.dilution(levels))
+    p = I.per_token(levels, I.profit(_sections(spark, sf), DAYS), _dilution(spark, sf))
     return p.withColumns({c: F.round(c, 9) for c in ("revenue", "gross_profit", "usd")})
 
 
@@ -242,3 +272,46 @@ SELECT asset, metric, CASE WHEN n = {2 * DAYS} AND pri > 0 THEN cur / pri - 1 EN
 def stmt_reported_growth(spark, sf):
     sums = I.window_sums(fx(spark, sf, "fx_stmt_daily"), END, DAYS)
     return sums.select("asset", "metric", F.when(F.col("prior") > 0, F.col("total") / F.col("prior") - 1).alias("change"))
+
+
+@query("stmt_summary", _YIELD.rpartition("---")[0] + f"""---
+SELECT l.asset, DATE '{END}' AS day, {DAYS} AS window_days, price, price * circulating AS market_cap, price * l.total_supply AS fdv, round(revenue, 6) AS revenue, round(gross_profit, 6) AS gross_profit, round(b.net, 5) AS burn_net, round(h.net, 5) AS hold_net, round(c.net, 5) AS cash_net,
+  round(cash + buyback, 9) AS shareholder, round(pct, 9) AS dilution, round(cash + buyback - pct, 9) AS net_shareholder, round(CASE WHEN cash + buyback > 0 THEN 1 / (cash + buyback) END, 6) AS multiple, round(CASE WHEN revenue > 0 THEN price * circulating / revenue END, 9) AS mcap_to_revenue
+FROM fx_stmt_levels l JOIN gp USING (asset) JOIN yi USING (asset) JOIN bu b ON b.asset = l.asset AND b.bucket = 'burn' JOIN bu h ON h.asset = l.asset AND h.bucket = 'hold' JOIN bu c ON c.asset = l.asset AND c.bucket = 'cash'""")
+def stmt_summary(spark, sf):
+    levels, found = fx(spark, sf, "fx_stmt_levels"), _sections(spark, sf)
+    p, b = I.profit(found, DAYS), I.by_bucket(_holder(spark, sf))
+    none = levels.select("asset", F.lit(None).cast("double").alias("annualized"))
+    s = P.summary(levels, p, b, I.yields(b, _dilution(spark, sf), none), I.multiples(levels, p, _net(spark, sf)), END, DAYS)
+    s = s.select("asset", "day", "window_days", "price", F.col("mcap").alias("market_cap"), "fdv", "revenue", "gross_profit", "burn_net", "hold_net", "cash_net", "shareholder", "dilution", "net_shareholder", "multiple", "mcap_to_revenue")
+    places = {"revenue": 6, "gross_profit": 6, "burn_net": 5, "hold_net": 5, "cash_net": 5, "shareholder": 9, "dilution": 9, "net_shareholder": 9, "multiple": 6, "mcap_to_revenue": 9}
+    return s.withColumns({c: F.round(c, n) for c, n in places.items()})
+
+
+#: What the metrics of the readings are, for narrow(); level.4 is not declared.
+KINDS = [("level.0", "level", None), ("level.1", "schedule", None), ("level.2", "event", None), ("level.3", "flow", 3)]
+
+
+@query("narrow_usable", """
+n AS (SELECT asset_id, metric_key, max(hour) AS hi, arg_max(id, struct_pack(h := hour, i := id)) AS newest FROM fx_readings WHERE hour <= 400 GROUP BY asset_id, metric_key)
+---
+SELECT r.id, r.asset_id, r.metric_key, r.hour, r.value FROM fx_readings r LEFT JOIN n USING (asset_id, metric_key)
+WHERE metric_key = 'level.0' AND id = newest OR metric_key = 'level.1' AND (id = newest OR hour > 400) OR metric_key = 'level.2' AND hour > 400 OR metric_key = 'level.3' AND hour <= 400 AND hour > hi - 96""")
+def narrow_usable(spark, sf):
+    rows = fx(spark, sf, "fx_readings")
+    cfg = F.broadcast(spark.createDataFrame(KINDS, "metric_key string, kind string, window_days int"))  # configuration, a few rows
+    metrics = rows.select("asset_id").distinct().join(cfg, F.lit(True))
+    return P.narrow(rows, metrics, 400).select("id", "asset_id", "metric_key", "hour", "value")
+
+
+@query("report_levels", """
+d AS (SELECT asset, day, count(DISTINCT metric) AS n FROM fx_stmt_daily GROUP BY asset, day), l AS (SELECT asset, max(day) AS day FROM d WHERE n = 4 GROUP BY asset)
+---
+SELECT l.asset AS asset_id, l.day, r.metric_key, arg_max(r.value, struct_pack(h := r.hour, i := r.id)) AS value, max(r.hour) AS hour, count(*) AS n FROM l JOIN fx_readings r ON r.asset_id = l.asset
+WHERE r.status = 'confirmed' AND r.superseded_by IS NULL AND r.hour < extract(doy FROM l.day) * 24 + 24 GROUP BY l.asset, l.day, r.metric_key""")
+def report_levels(spark, sf):
+    """Levels as of the report day of each asset, the last one on which all its series have a value."""
+    daily = fx(spark, sf, "fx_stmt_daily")
+    series = fx(spark, sf, "fx_stmt_levels").select("asset", F.explode(F.array(*map(F.lit, ("m0", "m1", "m2", "m3")))).alias("metric"))
+    days = P.report_day(daily, series).select(F.col("asset").alias("asset_id"), "day", (F.dayofyear("day") * 24).cast("long").alias("end_hour"))
+    return P.levels_as_of(fx(spark, sf, "fx_readings"), days).join(days.select("asset_id", "day"), "asset_id").select("asset_id", "day", "metric_key", "value", "hour", "n")

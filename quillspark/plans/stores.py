@@ -177,14 +177,14 @@ def retention_keep(spark, sf):
     return S.keep_newest(fx(spark, sf, "fx_events").select(F.col("event_id").alias("id"), F.col("event_type").alias("event_kind")), "event_kind", "id", {"view": 7, "click": 1})
 
 
-@query("union_ids", "SELECT c_custkey AS id FROM customer WHERE c_custkey % 3 = 0 UNION SELECT o_custkey FROM orders WHERE o_custkey % 5 = 0")
+@query("union_ids", "SELECT c_custkey AS id FROM customer UNION SELECT o_custkey FROM orders")
 def union_ids(spark, sf):
-    return fx(spark, sf, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("id")).union(fx(spark, sf, "orders").where("o_custkey % 5 = 0").select("o_custkey")).distinct()
+    return fx(spark, sf, "customer").select(F.col("c_custkey").alias("id")).union(fx(spark, sf, "orders").select("o_custkey")).distinct()
 
 
-@query("set_difference", "SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderkey % 3 = 0")
+@query("set_difference", "SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders")
 def set_difference(spark, sf):
-    return fx(spark, sf, "customer").select(F.col("c_custkey").alias("id")).join(fx(spark, sf, "orders").where("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("id")), "id", "left_anti").distinct()
+    return fx(spark, sf, "customer").select(F.col("c_custkey").alias("id")).join(fx(spark, sf, "orders").select(F.col("o_custkey").alias("id")), "id", "left_anti").distinct()
 
 
 @query("registry_diff", """
@@ -238,9 +238,9 @@ def pending_duplicate(spark, sf):
     return rows.groupBy("asset_id", "metric_key", "value").agg(F.min("id").alias("id"), F.count("*").alias("n")).where("n > 1")
 
 
-@query("fetch_runs_top", "SELECT event_id, user_id, event_type FROM fx_events WHERE user_id % 10 = 3 ORDER BY event_id DESC LIMIT 20")
+@query("fetch_runs_top", "SELECT event_id, user_id, event_type FROM fx_events WHERE event_type = 'click' ORDER BY event_id DESC LIMIT 20")
 def fetch_runs_top(spark, sf):
-    return S.newest(fx(spark, sf, "fx_events").where("user_id % 10 = 3"), 20, "event_id").select("event_id", "user_id", "event_type")
+    return S.newest(fx(spark, sf, "fx_events").where("event_type = 'click'"), 20, "event_id").select("event_id", "user_id", "event_type")
 
 
 @query("newest_day_checks", "SELECT asset_id, metric_key, day, count(*) AS n FROM fx_readings r WHERE day = (SELECT max(day) FROM fx_readings q WHERE q.asset_id = r.asset_id) GROUP BY asset_id, metric_key, day")
