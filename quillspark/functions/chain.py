@@ -72,7 +72,6 @@ def stepped_rate(rate: Column, epochs: Column, numerator: int, denominator: int,
     return F.when(epochs <= 0, rate).otherwise(F.aggregate(steps, rate, lambda r, _: F.floor(r * numerator / denominator)))
 
 
-def scrubbed(url: Column) -> Column:
-    """An address without user names, and with the values of keys, tokens and secrets hidden."""
-    bare = F.regexp_replace(url, "//[^/@]*@", "//")
-    return F.regexp_replace(bare, "((?:api_?key|key|token|secret|ref)=)[^&#]*", "$1***")
+def bin_price(active: Column, step: int) -> Column:
+    """Price at a bin of a pool whose bins are `step` hundredths of a percent apart."""
+    return F.pow(F.lit(1 + step / 10000), active)

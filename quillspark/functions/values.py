@@ -50,6 +50,16 @@ def origin_of(method: Column, source_type: Column) -> Column:
     return F.when(method == "disclosed", "manual").when(source_type == "chain", "onchain").otherwise("api")
 
 
+def move_pct(value: Column, in_force: Column) -> Column:
+    """Move from the value in force in percent, to four decimals; null from none or from 0."""
+    return F.when(in_force != 0, F.round((value - in_force) / in_force * 100, 4))
+
+
+def input_tenths(uncached: Column, written: Column, read: Column) -> Column:
+    """Input tokens weighted by kind (1, 1.25 and 0.1), in tenths, so that sums are exact."""
+    return 10 * uncached + 12.5 * written + read
+
+
 def newest_slot(hour: Column, every: int) -> Column:
     """Beginning of the slot of so many hours that an hour number lies in."""
     return hour - F.pmod(hour, F.lit(every))

@@ -36,6 +36,13 @@ def ref_digest(rows: DataFrame, ref: str, most: int, *by: str) -> DataFrame:
     return whole.join(some, list(by))
 
 
+def day_digest(rows: DataFrame, ref: str, *by: str) -> DataFrame:
+    """n, digest of each group's references: the SHA-256 of their ordered list as JSON. by names the day of the row that
+    keeps the digest, so a group is a day's; larger groups have ref_digest()."""
+    refs = F.array_sort(F.collect_list(F.col(ref).cast("string")))
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.sha2(F.to_json(refs), 256).alias("digest"))
+
+
 def share_of_total(rows: DataFrame, part: Column, value: str, *by: str) -> DataFrame:
     """Share of the rows of `part` in a group's total; null values are 0; null where nothing is of `part` or the total
     is 0."""

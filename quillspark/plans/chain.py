@@ -144,11 +144,6 @@ def basis_of_line(spark, sf):
     return rows.groupBy("asset", "metric").agg(F.when(F.count_distinct(F.col("n") % 3) == 1, F.min(F.col("n") % 3).cast("string")).otherwise("mixed").alias("basis"))
 
 
-@query("scrub_urls", r"SELECT page_id, regexp_replace(regexp_replace(url, '//[^/@]*@', '//', 'g'), '((?:api_?key|key|token|secret|ref)=)[^&#]*', '\1***', 'g') AS url FROM pages")
-def scrub_urls(spark, sf):
-    return fx(spark, sf, "pages").select("page_id", X.scrubbed(F.col("url")).alias("url"))
-
-
 @query("covered_days", "SELECT id, CAST(observed_hour - 1 AS BIGINT) // 24 - CAST(observed_hour - 24 * (1 + id % 3) AS BIGINT) // 24 + 1 AS n FROM fx_flow_rows WHERE observed_hour >= 72")
 def covered_days(spark, sf):
     from ..operators.series import covered_days as days

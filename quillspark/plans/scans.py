@@ -100,20 +100,24 @@ def threshold_crossing(spark, sf):
     return S.crossing(p, 5000.0, "k").withColumn("at", F.round("at", 6))
 
 
-_RUNS = "SELECT event_id AS id, user_id, CASE WHEN event_id % 5 < 2 THEN 'failed' WHEN event_id % 5 = 2 THEN 'skipped' ELSE 'ok' END AS status FROM fx_events"
+RUNS = "SELECT event_id AS id, user_id, CASE WHEN event_id % 5 < 2 THEN 'failed' WHEN event_id % 5 = 2 THEN 'skipped' ELSE 'ok' END AS status FROM fx_events"
+
+
+def runs(spark, sf):
+    return spark.sql(RUNS.replace("fx_events", "{e}"), e=fx(spark, sf, "fx_events"))
 
 
 @query("failure_streak", f"""
-r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY id DESC) AS r FROM ({_RUNS}) WHERE status <> 'skipped')
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY id DESC) AS r FROM ({RUNS}) WHERE status <> 'skipped')
 ---
 SELECT user_id, count(*) = 3 AND bool_and(status = 'failed') AS failing FROM r WHERE r <= 3 GROUP BY user_id""")
 def failure_streak(spark, sf):
-    return S.failure_streaks(spark.sql(_RUNS.replace("fx_events", "{e}"), e=fx(spark, sf, "fx_events")), 3, "user_id")
+    return S.failure_streaks(runs(spark, sf), 3, "user_id")
 
 
-@query("outcome_rollup", f"SELECT user_id, CASE WHEN bool_and(status <> 'failed') THEN 'ok' WHEN bool_and(status = 'failed') THEN 'failed' ELSE 'partial' END AS outcome FROM ({_RUNS}) GROUP BY user_id")
+@query("outcome_rollup", f"SELECT user_id, CASE WHEN bool_and(status <> 'failed') THEN 'ok' WHEN bool_and(status = 'failed') THEN 'failed' ELSE 'partial' END AS outcome FROM ({RUNS}) GROUP BY user_id")
 def outcome_rollup(spark, sf):
-    return S.outcomes(spark.sql(_RUNS.replace("fx_events", "{e}"), e=fx(spark, sf, "fx_events")), "user_id")
+    return S.outcomes(runs(spark, sf), "user_id")
 
 
 _W = "w AS (SELECT asset_id, metric_key, id, hour, value, lag(value) OVER (PARTITION BY asset_id, metric_key ORDER BY hour, id) AS previous FROM fx_readings)\n---\n"

@@ -31,9 +31,9 @@ def _sql(x: object) -> str:
     return "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x)
 
 
-_VALUES = ", ".join("(" + ", ".join(map(_sql, r)) + ")" for r in LINES)
+VALUES = ", ".join("(" + ", ".join(map(_sql, r)) + ")" for r in LINES)
 CTE = f"""
-cfg(line, section, kind, metric, weight, bucket, haircut, base, by_metric, over_metric, rr) AS (VALUES {_VALUES}),
+cfg(line, section, kind, metric, weight, bucket, haircut, base, by_metric, over_metric, rr) AS (VALUES {VALUES}),
 ws AS (SELECT asset, metric, CASE WHEN count(*) FILTER (WHERE day > DATE '{END}' - {DAYS}) = {DAYS} THEN sum(value) FILTER (WHERE day > DATE '{END}' - {DAYS}) END AS total,
   CASE WHEN count(*) FILTER (WHERE day <= DATE '{END}' - {DAYS}) = {DAYS} THEN sum(value) FILTER (WHERE day <= DATE '{END}' - {DAYS}) END AS prior
   FROM fx_stmt_daily WHERE day <= DATE '{END}' AND day > DATE '{END}' - {2 * DAYS} GROUP BY asset, metric),

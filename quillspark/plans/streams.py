@@ -26,10 +26,17 @@ r AS (SELECT {_READINGS} FROM events), w AS (SELECT *, lag(value) OVER (PARTITIO
 SELECT asset_id, part, id, CASE WHEN value > 70 THEN 'fired' ELSE 'cleared' END AS change FROM w WHERE (value > 70) <> coalesce(previous > 70, false)""")
 def stream_watch(spark, sf):
     readings = W.landed(spark, f"{sf}/events.parquet").selectExpr(*(x.strip() for x in _READINGS.replace("extract(doy FROM ts)", "dayofyear(ts)").replace("extract(hour FROM ts)", "hour(ts)").split(", ")))
-    return W.run(W.watch_stream(readings, 70.0, "asset_id", "part"), spark, W.shared_folder(spark, "stream-watch"))
+    return W.watch_table(readings, spark, W.shared_folder(spark, "stream-watch"), 70.0, "asset_id", "part")
 
 
 @query("stream_latest", "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id")
 def stream_latest(spark, sf):
     events = W.landed(spark, f"{sf}/events.parquet").select("user_id", "event_id", "event_type", "value")
     return W.latest_table(events, spark, W.shared_folder(spark, "stream-latest"), ["user_id"], "event_id")
+
+
+@query("stream_unique", "SELECT DISTINCT user_id, event_type FROM events")
+def stream_unique(spark, sf):
+    """One row for each key, whatever is sent again."""
+    events = W.landed(spark, f"{sf}/events.parquet").select("user_id", "event_type", "ts")
+    return W.run(W.first_of_each(events, "400 days", "user_id", "event_type"), spark, W.shared_folder(spark, "stream-unique"))

@@ -4,20 +4,29 @@ is there (availableNow) and ends; its checkpoint is the cursor, so that a later
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; below the warehouse where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A new folder below spark.checkpoint.dir, which driver and executors share. Only a local session may do without that
+    setting: there the warehouse serves."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def saved(rows: DataFrame, spark: SparkSession, name: str) -> DataFrame:
+    """rows by way of a table in the shared folder, for what is read more than once."""
+    folder = shared_folder(spark, name)
+    rows.write.parquet(folder)
+    return spark.read.schema(rows.schema).parquet(folder)
+
+
 def landed(spark: SparkSession, path: str) -> DataFrame:
     """A table's files as a stream, with the schema they have: the path is of a file, or of a folder of files."""
     folder, _, name = path.rstrip("/").rpartition("/")
@@ -39,22 +48,31 @@ def closed_days(events: DataFrame, late: str, *by: str) -> DataFrame:
     return rows.groupBy(F.window("at", "1 day"), *by).agg(F.sum("value").alias("value"), F.count("*").alias("n")).select(day.alias("day"), *by, "value", "n")
 
 
-def watch_stream(readings: DataFrame, above: float, *by: str) -> DataFrame:
-    """Readings (id, hour, value) at which the rule begins to fire or clears; the state of each key is one flag."""
-    schema = readings.schema
+def first_of_each(events: DataFrame, late: str, *key: str) -> DataFrame:
+    """The first row of each key that comes within the delay; a key that is sent again is dropped, after a restart too."""
+    return events.withColumn("at", F.to_timestamp("ts")).withWatermark("at", late).dropDuplicatesWithinWatermark(list(key)).select(*key)
+
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        firing = state.get[0] if state.exists else False
-        rows = pd.concat(list(batches)).sort_values(["hour", "id"])  # of one key in one micro-batch
-        now = rows["value"] > above
-        was = now.shift(1, fill_value=firing).astype(bool)
-        changed = rows[now != was]
-        state.update((bool(now.iloc[-1]),))
-        out = {b: [k] * len(changed) for b, k in zip(by, key)}
-        yield pd.DataFrame({**out, "id": changed["id"].to_numpy(), "change": ["fired" if x else "cleared" for x in now[now != was]]})
+def watch_table(readings: DataFrame, spark: SparkSession, folder: str, above: float, *by: str) -> DataFrame:
+    """Readings (id, hour, value) at which the rule begins to fire or clears. What is kept from one micro-batch to the next
+    is a table with one flag for each key; Spark sorts a batch's readings, so a key's need not fit into memory. Batches are
+    numbered, so that one that is repeated after a failure writes the same again."""
+    types = {f.name: f.dataType.simpleString() for f in readings.schema}
+    kept, out = ", ".join(f"{b} {types[b]}" for b in by) + ", firing boolean", ", ".join(f"{b} {types[b]}" for b in by) + f", id {types['id']}, change string"
+    spark.createDataFrame([], out).write.parquet(f"{folder}/out/none")
 
-    fields = ", ".join(f"{b} {schema[b].dataType.simpleString()}" for b in by)
-    return readings.groupBy(*by).applyInPandasWithState(step, f"{fields}, id long, change string", "firing boolean", "append", GroupStateTimeout.NoTimeout)
+    def step(batch: DataFrame, number: int) -> None:
+        before = spark.read.schema(kept).parquet(f"{folder}/flags-{number - 1}") if number else spark.createDataFrame([], kept)
+        w = Window.partitionBy(*by).orderBy("hour", "id")
+        rows = batch.withColumn("now", F.col("value") > above).withColumn("was", F.lag("now").over(w)).join(before, list(by), "left")
+        changed = rows.where(F.col("now") != F.coalesce("was", "firing", F.lit(False)))
+        changed.select(*by, "id", F.when(F.col("now"), "fired").otherwise("cleared").alias("change")).write.mode("overwrite").parquet(f"{folder}/out/{number}")
+        last = batch.groupBy(*by).agg(F.max_by(F.col("value") > above, F.struct("hour", "id")).alias("firing"))
+        before.join(last, list(by), "left_anti").unionByName(last).write.mode("overwrite").parquet(f"{folder}/flags-{number}")
+
+    q = readings.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/cursor").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(out).parquet(f"{folder}/out/*")
 
 
 def latest_table(readings: DataFrame, spark: SparkSession, folder: str, key: list[str], *order: str) -> DataFrame:

@@ -35,6 +35,12 @@ def test_stepped_rate(spark):
 
 
 def test_scrubbed(spark):
-    urls = [("https://u:p@h.example/a?x=1&api_key=s3&y=2",), ("https://h.example/?token=t#f",), (None,)]
-    got = [r.v for r in spark.createDataFrame(urls, "u string").select(X.scrubbed(F.col("u")).alias("v")).collect()]
-    assert got == ["https://h.example/a?x=1&api_key=***&y=2", "https://h.example/?token=***#f", None]
+    from quillspark.functions import text as T
+
+    pairs = [
+        ("https://user:pw@host/path?apiKey=S1&ref=2#frag", "https://host/path?ref=2"), ("https://h?password=S2&X-Api-Key=1", "https://h/"), ("https://eth.drpc.org/network/abc", "https://eth.drpc.org/"),
+        ("https://eth-mainnet.g.alchemy.com/v2/abc", "https://eth-mainnet.g.alchemy.com/v2"), ("https://h/v2/secret_9", "https://h/v2"), ("https://h/v2/plainword", "https://h/v2/plainword"),
+        ("https://h/abcdefghij0123456789/x", "https://h/x"), ("https://h/0x" + "a1" * 20, "https://h/0x" + "a1" * 20), ("no address?key=1", "no address?key=1"), (None, None),
+    ]
+    got = [r.v for r in spark.createDataFrame([(p[0],) for p in pairs], "u string").select(T.scrubbed(F.col("u")).alias("v")).collect()]
+    assert got == [p[1] for p in pairs]
