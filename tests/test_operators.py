@@ -153,3 +153,97 @@ def test_read_only(spark):
 def test_same_multiset(spark):
     a = spark.createDataFrame([(1,), (1,), (2,)], "x int")
     assert store.same_multiset(a, a) and not store.same_multiset(a, a.distinct())
+
+
+def test_dilution(spark):
+    """No release: emissions alone. Several add up, a cap bounds its own, and what is declared but not known leaves nothing."""
+    from quillspark.operators import statement as I
+
+    levels = spark.createDataFrame([(a, 2.0, 1000.0, 50.0) for a in ("none", "open", "two", "capless", "rateless")], "asset string, price double, total_supply double, emission double")
+    rows = [("open", 30.0, False, None), ("two", 30.0, False, None), ("two", 40.0, True, 10.0), ("capless", 30.0, True, None), ("rateless", None, False, None)]
+    releases = spark.createDataFrame(rows, "asset string, rate double, capped boolean, cap double")
+    got = {r.asset: (r.tokens, r.pct, r.usd) for r in I.dilution(levels, releases).collect()}
+    assert got == {"none": (50, 0.05, 100), "open": (80, 0.08, 160), "two": (90, 0.09, 180), "capless": (None, None, None), "rateless": (None, None, None)}
+
+
+def test_cancelling(spark):
+    """By metric and weight, each as often; sums of doubles don't decide."""
+    from quillspark.operators import statement as I
+
+    columns = "asset string, section string, kind string, metric string, weight double, mix double"
+    rows = [("same", "revenue", "terms", "m", 0.1, None), ("same", "revenue", "terms", "n", 0.2, None), ("same", "holders", "terms", "n", 0.2, None), ("same", "protocol", "terms", "m", 0.1, None)]
+    rows += [("split", "revenue", "terms", "m", 0.3, None), ("split", "holders", "terms", "m", 0.1, None), ("split", "protocol", "terms", "m", 0.2, None)]
+    rows += [("level", "revenue", "level", None, None, None), ("twice", "revenue", "terms", "m", 0.1, None), ("twice", "cost", "terms", "m", 0.1, None), ("twice", "holders", "terms", "m", 0.1, None)]
+    got = {r.asset: r.cancels for r in I.cancelling(spark.createDataFrame(rows, columns)).collect()}
+    assert got == {"same": True, "split": False, "level": False, "twice": False}
+
+
+def test_narrow(spark):
+    from quillspark.operators import report
+
+    rows = [("a", m, h, i, 1.0) for i, (m, h) in enumerate([("lv", 5), ("lv", 9), ("lv", 9), ("lv", 11), ("sc", 3), ("sc", 8), ("sc", 12), ("ev", 9), ("ev", 11), ("fl", 10), ("fl", -85), ("fl", -86), ("fl", 11), ("no", 1), ("un", 1)])]
+    kinds = [("a", "lv", "level", None), ("a", "sc", "schedule", None), ("a", "ev", "event", None), ("a", "fl", "flow", 3), ("a", "un", "flow", None)]
+    readings = spark.createDataFrame(rows, "asset_id string, metric_key string, hour long, id long, value double")
+    metrics = spark.createDataFrame(kinds, "asset_id string, metric_key string, kind string, window_days int")
+    assert sorted(r.id for r in report.narrow(readings, metrics, 10).collect()) == [2, 5, 6, 8, 9, 10]
+
+
+def test_report_day(spark):
+    from quillspark.operators import report
+
+    daily = spark.createDataFrame([("a", "m", "2023-12-31"), ("a", "n", "2023-12-31"), ("a", "m", "2024-01-01"), ("a", "x", "2024-01-01"), ("b", "m", "2024-01-01")], "asset string, metric string, day string").selectExpr("asset", "metric", "cast(day as date) as day")
+    series = spark.createDataFrame([("a", "m"), ("a", "n"), ("b", "m"), ("b", "n")], "asset string, metric string")
+    assert [(r.asset, str(r.day)) for r in report.report_day(daily, series).collect()] == [("a", "2023-12-31")]
+
+
+def test_decoded(spark):
+    """Readings of each kind, their refusals, and time that wraps around."""
+    from quillspark.functions import prices as D
+
+    base = {"kind": "", "token": "0x0a", "quote": "0x0b", "decimals": 18, "quote_decimals": 6, "size": 1.0, "seconds": 1800, "flavor": None, "start_at": 1000, "end_at": 4600}
+    q96, q112 = 2**96, 2**112
+    cases = [
+        ("chainlink", [250000000000, 7], {}, (2500.0, None)), ("chainlink", [0, 7], {}, (None, "not_positive")), ("chainlink", [], {}, (None, "bad_read")),
+        ("curve_oracle", [1500000000000000000], {}, (1.5, None)), ("curve_get_dy", [996000, 40000000], {}, (1.0, None)),
+        ("v3_spot", [10, 11, q96 * 2], {"quote_decimals": 18}, (4.0, None)), ("v3_spot", [11, 10, q96 * 2], {"quote_decimals": 18}, (0.25, None)), ("v3_spot", [10, 12, q96], {}, (None, "bad_read")), ("v3_spot", [10, 11, 0], {}, (None, "bad_read")),
+        ("v4_spot", [q96 * 3, 1], {"quote_decimals": 18}, (9.0, None)), ("v4_spot", [q96, 0], {}, (None, "zero_liquidity")),
+        ("v3_twap", [10, 11, 0, 1800 * 1000], {"quote_decimals": 18}, (1.0001**1000, None)), ("v3_twap", [11, 10, 0, 2**256 - 1800 * 1000], {"quote_decimals": 18}, (1.0001**1000, None)),
+        ("v2_twap", [10, 11, 7200, 7200 * 3, 4600, 0, 0, 1000], {"flavor": "reserves", "quote_decimals": 18}, (3.0, None)), ("v2_twap", [10, 11, 1, 1, 5, 0, 0, 5], {"flavor": "reserves"}, (None, "bad_read")),
+        # touched 600 seconds before the end: the cumulative goes on at the reserves
+        ("v2_twap", [10, 11, 3000 * 2 * q112 - q112, 0, 5, 10, 4000, 2**256 - q112, 0, 5, 10, 1000], {"flavor": "prices", "quote_decimals": 18}, (2.0, None)),
+        ("v2_twap", [10, 11, 0, 0, 1, 1, 0, 0, 0, 1, 1, 0], {"flavor": "prices", "end_at": 1000}, (None, "bad_read")), ("bound", [], {}, (1.0, None)),
+    ]
+    rows = [(i, [hex(w) for w in words], {**base, "kind": kind, **more}) for i, (kind, words, more, _) in enumerate(cases)]
+    df = spark.createDataFrame(rows, f"i int, words array<string>, p {D.PARAMETERS}")
+    got = [tuple(r.d) for r in df.select("i", D.decoded("words", "p").alias("d")).orderBy("i").collect()]
+    for (value, reason), (_, _, _, (wanted, why)) in zip(got, cases):
+        assert reason == why and value == (None if wanted is None else pytest.approx(wanted, rel=1e-12))
+
+
+def test_fill_prices(spark, tmp_path):
+    """A budget at a time, newest first; a run that is repeated adds nothing."""
+    from quillspark.operators import backfill as B
+
+    wanted = spark.createDataFrame([("a", 0), ("b", 40)], "token_ref string, valid_from long")
+    price = lambda hours: hours.withColumn("price", F.lit(1.0))
+    path = f"file://{tmp_path}/prices"
+    first = {(r.token_ref, r.hour) for r in B.fill_prices(spark, wanted, price, path, 24, 50, 4).collect()}
+    assert first == {("a", 49), ("b", 49), ("a", 48), ("b", 48)} or not first  # the rows are missing no more once they are written
+    sizes = [spark.read.parquet(path).count()]
+    while B.fill_prices(spark, wanted, price, path, 24, 50, 9, dry=True).limit(1).count():
+        B.fill_prices(spark, wanted, price, path, 24, 50, 9)
+        sizes.append(spark.read.parquet(path).count())
+    assert sizes == [4, 13, 22, 31, 36] and spark.read.parquet(path).distinct().count() == 36
+
+
+def test_quotes_and_details(spark):
+    from quillspark.functions import text as T
+
+    page = "<div>Revenue grew by <b>12&nbsp;percent</b> to $4 million in&#8203; May.<br>and it held</div><td>Fees</td><td>900 of them, in all</td>\nplain &amp; “simple” text — here"
+    rows = [("grew by 12 percent to $4 million in", "found"), ("in May. and it held Fees", "not found"), ("Fees 900 of them, in all", "not found"), ("900 of them", "too short"), ('plain & "simple" text - here', "found")]
+    df = spark.createDataFrame([(i, q, page.replace("&#8203;", "")) for i, (q, _) in enumerate(rows)], "i int, q string, page string")
+    got = [r.v for r in df.select("i", T.quote_verdict(F.col("q"), T.text_blocks(F.col("page"))).alias("v")).orderBy("i").collect()]
+    assert got == [v for _, v in rows]
+    details = ['{"a":1,"note":"x","day":"2024-01-01","list":["a",2,{"tx":"0x1","y":"z"}]}', '"text"', "3", "no json", None]
+    got = [r.v for r in spark.createDataFrame([(i, d) for i, d in enumerate(details)], "i int, d string").select("i", T.reading_of("d").alias("v")).orderBy("i").collect()]
+    assert got == ['{"a":1,"day":"2024-01-01","list":[2,{"tx":"0x1"}]}', None, "3", None, None]
