@@ -219,3 +219,11 @@ def digests(docs: DataFrame) -> DataFrame:
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(C.table(spark, sf_dir, "documents"))
+
+
+def op2_byte_bpe_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op2_byte_bpe that SQL can tell: decoding what was encoded gives the text."""
+    return op2_byte_bpe(spark, sf_dir).select("doc_id", "decoded_sha256")
+
+
+ORACLE_DECODED = "SELECT doc_id, sha256(coalesce(text, '')) AS decoded_sha256 FROM documents"

@@ -239,3 +239,22 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(C.table(spark, sf_dir, "documents"))
+
+
+BASE_COLUMNS = ("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def op3_license_scan_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op3_license_scan that SQL can tell."""
+    return op3_license_scan(spark, sf_dir).select(*BASE_COLUMNS)
+
+
+ORACLE_BASE = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+h AS (
+  SELECT doc_id, 'cc-by' AS label, unnest(list_filter(range(1, len(ws) + 1), lambda i: ws[i] = 'cc' AND ws[i + 1] = 'by')) - 1 AS i FROM w
+  UNION ALL SELECT doc_id, 'gpl', unnest(list_filter(range(1, len(ws) + 1), lambda i: ws[i] = 'general' AND ws[i + 1] = 'public' AND ws[i + 2] = 'license')) - 1 FROM w
+  UNION ALL SELECT doc_id, 'reserved', unnest(list_filter(range(1, len(ws) + 1), lambda i: ws[i] = 'all' AND ws[i + 1] = 'rights' AND ws[i + 2] = 'reserved')) - 1 FROM w),
+g AS (SELECT doc_id, count(*) AS n, min(i) AS lo, max(i) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM h GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, lo::BIGINT AS first_word, hi::BIGINT AS last_word, coalesce(labels, '') AS base_labels FROM w LEFT JOIN g USING (doc_id)
+"""

@@ -14,9 +14,15 @@ QUERIES = {
     "op9_ngram_jaccard_join": jaccard.op9_ngram_jaccard_join,
     "op9_ngram_jaccard_links": jaccard.op9_ngram_jaccard_links,
     "op10_exact_topk": topk.op10_exact_topk,
+    # parts of results, for their SQL
+    "op2_byte_bpe_decoded": bpe.op2_byte_bpe_decoded,
+    "op3_license_scan_base": licenses.op3_license_scan_base,
 }
 ORACLES = {
+    "op2_byte_bpe_decoded": bpe.ORACLE_DECODED,
+    "op3_license_scan_base": licenses.ORACLE_BASE,
     "op5_substring_dedup": substrings.ORACLE,
+    "op6_bounded_ring": sharding.ORACLE,
     "op8_warc": warc.ORACLE,
     "op9_ngram_jaccard_join": jaccard.ORACLE,
     "op10_exact_topk": topk.ORACLE,

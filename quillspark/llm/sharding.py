@@ -128,3 +128,29 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, nodes: int = VIRTUAL_NODES
 def op6_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard_rows(C.table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: The same ring: CRC-32 by its table of bytes, and the walk of the overflowing rows step by step.
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+c AS (SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS tab),
+b AS (SELECT doc_id, strlen(t) + 1 AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k,
+  CASE WHEN t = '' THEN 0 ELSE xor(list_reduce(list_concat([4294967295], list_transform(string_split(trim(regexp_replace(hex(encode(t)), '(..)', '\1 ', 'g')), ' '), lambda x: ('0x' || x)::BIGINT)),
+    lambda x, y: xor(x >> 8, tab[(xor(x, y) & 255)::INTEGER + 1])), 4294967295) END AS crc FROM d, c),
+p AS (SELECT cell, min(shard) AS shard, row_number() OVER (ORDER BY cell) - 1 AS node FROM (SELECT s AS shard, ('0x' || substr(md5(concat('shard ', s, ' node ', v)), 1, 4))::INTEGER // 4 AS cell FROM range(8) x(s), range(32) y(v)) GROUP BY cell),
+n AS (SELECT count(*) AS n FROM b),
+r AS (SELECT b.*, ('0x' || substr(k, 1, 4))::INTEGER // 4 AS cell FROM b),
+o AS (SELECT r.*, coalesce(q.shard, f.shard) AS own, coalesce(q.node, f.node) AS node, CASE WHEN q.node IS NULL THEN 0 ELSE 1 END AS lap FROM r ASOF LEFT JOIN p q ON r.cell <= q.cell, (SELECT * FROM p WHERE node = 0) f),
+i AS (SELECT o.*, row_number() OVER (PARTITION BY own ORDER BY lap, cell, k, doc_id, crc, size) - 1 AS idx, n // 8 + CASE WHEN own < n % 8 THEN 1 ELSE 0 END AS bound FROM o, n),
+v AS (SELECT *, row_number() OVER (ORDER BY lap, cell, k, doc_id, crc, size) - 1 AS waiting FROM i WHERE idx >= bound),
+a AS (SELECT s AS shard, n // 8 + CASE WHEN s < n % 8 THEN 1 ELSE 0 END - coalesce(taken, 0) AS room, coalesce(taken, 0) AS taken FROM range(8) x(s), n LEFT JOIN (SELECT own, count(*) AS taken FROM i WHERE idx < bound GROUP BY own) ON own = s),
+w AS (SELECT p.node, p.shard, coalesce(x.n, 0) AS new FROM p LEFT JOIN (SELECT node, count(*) AS n FROM v GROUP BY node) x USING (node)),
+m AS (SELECT max(node) + 1 AS nodes FROM p),
+g AS (SELECT -1::BIGINT AS t, (SELECT list(room ORDER BY shard) FROM a)::BIGINT[] AS rooms, 0::BIGINT AS waiting, 0::BIGINT AS done, 0::BIGINT AS took, 0::BIGINT AS shard
+  UNION ALL
+  SELECT g.t + 1, list_transform(rooms, lambda x, j: CASE WHEN j = w.shard + 1 THEN x - least(x, g.waiting + z.new) ELSE x END), g.waiting + z.new - least(rooms[w.shard + 1], g.waiting + z.new), g.done + least(rooms[w.shard + 1], g.waiting + z.new), least(rooms[w.shard + 1], g.waiting + z.new), w.shard
+  FROM g, m JOIN w ON w.node = (g.t + 1) % nodes, LATERAL (SELECT CASE WHEN g.t + 1 < nodes THEN w.new ELSE 0 END AS new) z WHERE g.t + 1 < 2 * nodes),
+h AS (SELECT done - took AS lo, done AS hi, g.shard, a.taken + sum(took) OVER (PARTITION BY g.shard ORDER BY t) - took AS slot FROM g JOIN a USING (shard) WHERE took > 0)
+SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'rows' AS law, own::INTEGER AS shard, idx::BIGINT AS slot, NULL::INTEGER AS grown_shard FROM i WHERE idx < bound
+UNION ALL SELECT doc_id, size::BIGINT, crc::BIGINT, 'rows', h.shard::INTEGER, (h.slot + waiting - lo)::BIGINT, NULL FROM v JOIN h ON waiting >= lo AND waiting < hi
+"""
