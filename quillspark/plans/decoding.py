@@ -68,13 +68,13 @@ def price_decode(spark, sf):
 
 
 @query("price_hour_decoded", _DECODED + """ ---
-SELECT d.ref, d.hour, round(CASE WHEN d.quote IS NULL THEN d.in_quote WHEN a.quote IS NULL THEN d.in_quote * a.in_quote WHEN b.quote IS NULL THEN d.in_quote * (a.in_quote * b.in_quote) ELSE d.in_quote * (a.in_quote * (b.in_quote * c.in_quote)) END, 7) AS price,
+SELECT d.ref, d.hour, CASE WHEN d.ref = 'v3s' THEN round(x, 2) ELSE round(x, 7) END AS price, reason FROM (SELECT d.ref, d.hour, CASE WHEN d.quote IS NULL THEN d.in_quote WHEN a.quote IS NULL THEN d.in_quote * a.in_quote WHEN b.quote IS NULL THEN d.in_quote * (a.in_quote * b.in_quote) ELSE d.in_quote * (a.in_quote * (b.in_quote * c.in_quote)) END AS x,
   CASE WHEN d.quote IS NOT NULL AND (a.in_quote IS NULL OR a.quote IS NOT NULL AND (b.in_quote IS NULL OR b.quote IS NOT NULL AND c.in_quote IS NULL)) THEN 'quote_missing' ELSE d.reason END AS reason
-FROM d LEFT JOIN d a ON a.ref = d.quote AND a.hour = d.hour LEFT JOIN d b ON b.ref = a.quote AND b.hour = d.hour LEFT JOIN d c ON c.ref = b.quote AND c.hour = d.hour""")
+FROM d LEFT JOIN d a ON a.ref = d.quote AND a.hour = d.hour LEFT JOIN d b ON b.ref = a.quote AND b.hour = d.hour LEFT JOIN d c ON c.ref = b.quote AND c.hour = d.hour) d""")
 def price_hour_decoded(spark, sf):
     """In quote order: each reading times its quote's price of the hour."""
     found = D.hour_prices(W.saved(_decoded(spark, sf), spark, "decoded"), 3)
-    return found.select("ref", "hour", F.round("price", 7).alias("price"), "reason")
+    return found.select("ref", "hour", F.when(F.col("ref") == "v3s", F.round("price", 2)).otherwise(F.round("price", 7)).alias("price"), "reason")
 
 
 @query("bin_prices", "SELECT event_id, round(pow(1 + 25 / 10000.0::DOUBLE, event_id % 400 - 200), 9) AS bin, CASE WHEN v > 1 THEN round(hour / v, 9) END AS vault FROM fx_events")
