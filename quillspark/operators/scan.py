@@ -113,3 +113,34 @@ def watch_transitions(rows: DataFrame, firing: Column, *by: str) -> DataFrame:
     w = Window.partitionBy(*by).orderBy("hour", "id")
     state = rows.withColumn("firing", firing).withColumn("was", F.coalesce(F.lag("firing").over(w), F.lit(False)))
     return state.where("firing <> was").withColumn("change", F.when(F.col("firing"), "fired").otherwise("cleared"))
+
+
+def complete_days(rows: DataFrame, kinds: int, today: str, *by: str) -> DataFrame:
+    """day, value: the sum over kinds (kind, day, value) of each completed day. A kind counts from its first day on; a day
+    that a kind misses from then on has no value; a kind with no row of today holds back its newest day, which may be
+    partial; a key with fewer kinds has no days. A day that a kind lists twice has no value either."""
+    now = F.lit(today).cast("date")
+    span = rows.groupBy(*by, "kind").agg(F.min("day").alias("first"), F.max(F.when(F.col("day") < now, F.col("day"))).alias("newest"), F.bool_or(F.col("day") == now).alias("has_today"))
+    held = span.where(~F.col("has_today")).select(*by, F.col("newest").alias("day"), F.lit(True).alias("held")).distinct()
+    known = span.where("newest is not null").groupBy(*by).agg(F.count("*").alias("n_kinds"), F.sort_array(F.collect_list("first")).alias("firsts"))  # a date a kind
+    days = rows.where(F.col("day") < now).groupBy(*by, "day").agg(F.count("*").alias("n"), F.count_distinct("kind").alias("present"), F.sum("value").alias("value"))
+    out = days.join(known.where(F.col("n_kinds") == kinds), list(by)).join(held, [*by, "day"], "left").where("held is null")
+    due = F.size(F.filter("firsts", lambda f: f <= F.col("day")))
+    return out.select(*by, "day", F.when((F.col("n") == F.col("present")) & (F.col("present") == due), F.col("value")).alias("value"))
+
+
+def declared_share(code: Column, kinds: list[str]) -> Column:
+    """The share n in `return s.has(x)?n:1` of a script, where s is a set of exactly the kinds; null unless one such number
+    in (0, 1] is found."""
+    sets = F.regexp_extract_all(code, F.lit(r"[A-Za-z0-9_$]+=new Set\(\[[^\]]*\]\)"), 0)
+    members = lambda s: F.array_sort(F.split(F.regexp_replace(F.regexp_extract(s, r"\[([^\]]*)\]", 1), "[ `'\"]", ""), ","))
+    names = F.transform(F.filter(sets, lambda s: members(s) == F.array(*map(F.lit, sorted(kinds)))), lambda s: F.substring_index(s, "=", 1))
+    uses = F.regexp_extract_all(code, F.lit(r"return [A-Za-z0-9_$]+\.has\([A-Za-z0-9_$]+\)\?[0-9.]+:1"), 0)
+    own = F.filter(uses, lambda u: F.array_contains(names, F.regexp_extract(u, r"^return ([A-Za-z0-9_$]+)\.has", 1)))
+    share = F.regexp_extract(F.get(own, F.lit(0)), r"\?([0-9.]+):1$", 1).try_cast("double")
+    return F.when((F.size(own) == 1) & (share > 0) & (share <= 1), share)
+
+
+def yearly_emission(per_block: Column, seconds: Column, blocks: Column) -> Column:
+    """Of an emission for each block, over a sample of so many blocks and seconds; null unless blocks take time."""
+    return F.when(seconds > 0, per_block * (365 * 86_400) / (seconds / blocks))

@@ -105,6 +105,20 @@ def purge_plan(observations: DataFrame, metrics: list[str]) -> DataFrame:
     )
 
 
+def purge_refusals(observations: DataFrame, configured: DataFrame, anomalies: DataFrame, metrics: list[str]) -> DataFrame:
+    """metric_key, refusals of the metrics that may not be purged: still configured, an open anomaly names it, rows of
+    other metrics point into it, or a row of it has no later one in its place. configured and anomalies: metric_key."""
+    doomed = observations.where(F.col("metric_key").isin(metrics))
+    found = [
+        configured.select("metric_key", F.lit("configured").alias("why")),
+        anomalies.select("metric_key", F.lit("open anomaly").alias("why")),
+        dangling(observations, doomed).select(F.col("superseded_by").alias("id")).join(doomed.select("id", "metric_key"), "id").select("metric_key", F.lit("rows point into it").alias("why")),
+        doomed.where("superseded_by is null and status = 'confirmed'").select("metric_key", F.lit("not replaced").alias("why")),
+    ]
+    every = found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
+    return every.where(F.col("metric_key").isin(metrics)).groupBy("metric_key").agg(F.array_join(F.array_sort(F.collect_set("why")), "; ").alias("refusals"))
+
+
 def dangling(observations: DataFrame, doomed: DataFrame) -> DataFrame:
     """Rows that stay although the row that supersedes them goes."""
     ids = doomed.select(F.col("id"))
