@@ -14,8 +14,9 @@ def hour_price_dedupe(prices: DataFrame) -> DataFrame:
 
 def asof_value(left: DataFrame, right: DataFrame, by: str, on: str, value: str, back: int) -> DataFrame:
     """left with the value of right's latest row of the key at or before `on`, at most `back` hours before; null if
-    there is none. right has a row for each key and hour at most. Both sides are dealt by the key and swept in order;
-    a key that holds too many rows is cut by time with span_asof()."""
+    there is none. right has a row for each key and hour at most. Both sides are dealt by the key and swept in order, so
+    one key's rows are one task's, sorted on disk if need be; where a key may hold a third of all rows, forward_prices()
+    makes the join one of equality."""
     marks = right.select(by, F.col(on).alias(on), F.col(value).alias("_v"), F.lit(0).alias("_side"))
     rows = left.withColumn("_row", F.struct(*left.columns)).select(by, on, "_row", F.lit(1).alias("_side"))
     both = marks.unionByName(rows, allowMissingColumns=True)
@@ -24,7 +25,7 @@ def asof_value(left: DataFrame, right: DataFrame, by: str, on: str, value: str,
     return found.where("_side = 1").select("_row.*", value)
 
 
-def forward_prices(prices: DataFrame, back: int, span: int = 24 * 14) -> DataFrame:
+def forward_prices(prices: DataFrame, back: int) -> DataFrame:
     """The price in force at each hour: every price is valid for `back` hours after its own, the latest one counts.
     Spreading prices forward (back + 1 rows each) makes the as-of join an equality join on token and hour, which Spark
     can split however many rows one token has."""

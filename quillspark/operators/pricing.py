@@ -54,11 +54,14 @@ def _basis(daily: bool) -> tuple[Column, Column]:
 def flow_usd(observations: DataFrame, prices: DataFrame, market: str = "coingecko") -> DataFrame:
     """Hourly pricing that prefers the market source within the lookback over a newer price of another source."""
     flows = usd_flows(observations)
-    forward = lambda p: asof.forward_prices(asof.hour_price_dedupe(p), LOOKBACK)
-    first = forward(prices.where(F.col("source") == market)).withColumnRenamed("price", "first")
-    other = forward(prices.where(F.col("source") != market)).withColumnRenamed("price", "other")
-    hours = _hours(flows).join(first, ["token_ref", "hour"], "left").join(other, ["token_ref", "hour"], "left")
-    out = flows.join(_hourly(hours.withColumn("price", F.coalesce("first", "other"))), "id", "left")
+    of_market = F.col("source") == market
+    newest = F.struct((-F.col("fetched_at")).alias("a"), F.col("source").alias("b"))
+    both = prices.groupBy("token_ref", "hour").agg(F.min_by("price", F.when(of_market, newest)).alias("first"), F.min_by("price", F.when(~of_market, newest)).alias("other"))
+    # every price is valid for the hours behind it; the latest of each kind counts
+    spread = both.select("token_ref", F.explode(F.expr(f"sequence(hour, hour + {LOOKBACK})")).alias("at"), "hour", "first", "other")
+    latest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("hour")))
+    known = spread.groupBy("token_ref", F.col("at").alias("hour")).agg(F.coalesce(latest("first"), latest("other")).alias("price"))
+    out = flows.join(_hourly(_hours(flows).join(known, ["token_ref", "hour"], "left")), "id", "left")
     usd, basis = _basis(False)
     return out.withColumns({"usd": usd, "usd_basis": basis, "hours_priced": F.coalesce("hours_priced", F.lit(0)), "hours_needed": F.coalesce("hours_needed", F.lit(0))})
 
