@@ -75,3 +75,18 @@ def stepped_rate(rate: Column, epochs: Column, numerator: int, denominator: int,
 def bin_price(active: Column, step: int) -> Column:
     """Price at a bin of a pool whose bins are `step` hundredths of a percent apart."""
     return F.pow(F.lit(1 + step / 10000), active)
+
+
+@F.pandas_udf(DoubleType())
+def net_units(total: pd.Series, balances: pd.Series, decimals: pd.Series) -> pd.Series:
+    """total less the balances (base units as text), then in whole units; null if one of them is no number."""
+
+    def one(t: str | None, others: object, d: int) -> float | None:
+        try:
+            left = int(t) - sum(int(b) for b in (others if others is not None else []))
+        except (TypeError, ValueError):
+            return None
+        whole, part = divmod(abs(left), 10**d)
+        return (float(whole) + part / 10**d) * (-1 if left < 0 else 1)
+
+    return pd.Series([one(*x) for x in zip(total, balances, decimals.astype(int))], dtype="float64")

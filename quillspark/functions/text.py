@@ -98,6 +98,20 @@ def reading_of(detail: pd.Series) -> pd.Series:
     return detail.map(one, na_action=None)
 
 
+@pandas_udf(StringType())
+def canonical_json(text: pd.Series) -> pd.Series:
+    """The JSON with keys in order at every depth and no spaces, so that equal values have equal digests; null if it is no
+    JSON."""
+
+    def one(t: str | None) -> str | None:
+        try:
+            return None if t is None else json.dumps(json.loads(t), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+        except ValueError:
+            return None
+
+    return text.map(one, na_action=None)
+
+
 def origin(method: Column, source_type: Column, adapter: Column, adapter_origin: Column, formula: Column, input_origin: Column) -> Column:
     """onchain, api or manual. A disclosed value is manual unless it is a constant or an adapter gave it; a derived one is
     manual by its formula, else as its inputs; a measured one is onchain where a chain was read, unless its adapter reads

@@ -63,3 +63,8 @@ def input_tenths(uncached: Column, written: Column, read: Column) -> Column:
 def newest_slot(hour: Column, every: int) -> Column:
     """Beginning of the slot of so many hours that an hour number lies in."""
     return hour - F.pmod(hour, F.lit(every))
+
+
+def hour_number(ts: Column) -> Column:
+    """Hours since 1970 of an instant: no time zone, daylight saving or turn of the year moves it."""
+    return F.floor(F.unix_seconds(ts) / 3600)

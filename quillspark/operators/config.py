@@ -65,3 +65,31 @@ def read_config(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def market_values(body: Column) -> Column:
     """Rows (id, current_price, market_cap, circulating_supply, total_supply) of a markets reply; null if it is no list."""
     return F.from_json(body, "array<struct<id:string,current_price:double,market_cap:double,circulating_supply:double,total_supply:double>>")
+
+
+def line_issues(lines: DataFrame, metrics: DataFrame, parts: DataFrame) -> DataFrame:
+    """line, issue of every rule that a statement's lines (line, section, metric, level, not_measured, weight, by_metric,
+    over_metric) break against the declared metrics (metric, kind, unit) and the parts of totals (total, part):
+    ids are unique, each line has one source of its value, metrics are declared and flows in usd, levels are levels, a
+    series is read once as revenue, weights lie in (0, 1], and lines that share a total cover its parts, each once."""
+    say = lambda rows, issue: rows.select("line", F.lit(issue).alias("issue"))
+    sources = sum((F.col(c).isNotNull().cast("int") for c in ("metric", "level")), F.coalesce(F.col("not_measured"), F.lit(False)).cast("int"))
+    named = lines.select("line", F.explode(F.array_compact(F.array("metric", "by_metric", "over_metric"))).alias("metric")).join(metrics, "metric", "left")
+    level = lines.where("level is not null").join(metrics.select(F.col("metric").alias("level"), "kind"), "level", "left")
+    twice = lines.where("section = 'revenue' and metric is not null and over_metric is null").groupBy("metric").agg(F.count("*").alias("n"), F.max("line").alias("line"))
+    shared = lines.where("over_metric is not null").groupBy(F.col("over_metric").alias("total"), "metric").agg(F.sort_array(F.collect_list("by_metric")).alias("given"), F.min("line").alias("line"))  # lines of a total
+    whole = parts.groupBy("total").agg(F.sort_array(F.collect_list("part")).alias("due"))
+    found = [
+        say(lines.groupBy("line").agg(F.count("*").alias("n")).where("n > 1"), "id is not unique"),
+        say(lines.where(sources != 1), "needs one source of its value"),
+        say(named.where("kind is null"), "metric is not declared"),
+        say(named.where("kind is not null and (kind <> 'flow' or unit <> 'usd')"), "metric is no flow in usd"),
+        say(level.where("kind is null or kind <> 'level'"), "level is no level"),
+        say(twice.where("n > 1"), "series is read twice"),
+        say(lines.where("weight is not null and not (weight > 0 and weight <= 1)"), "weight outside (0, 1]"),
+        say(shared.join(whole, "total", "left").where(~F.col("given").eqNullSafe(F.col("due"))), "parts do not make up the total"),
+    ]
+    out = found[0]
+    for rows in found[1:]:
+        out = out.unionByName(rows)
+    return out.distinct()

@@ -144,6 +144,19 @@ def young_weight(daily: DataFrame, days: int, *by: str) -> DataFrame:
     return daily.groupBy(*by).agg(F.count_distinct("day").alias("n_days")).withColumn("weight", F.greatest(F.lit(1.0), F.lit(float(days)) / F.col("n_days")))
 
 
+def with_start(daily: DataFrame, started: DataFrame, end: str, days: int, *by: str) -> DataFrame:
+    """daily with 0 on the days of the two windows to end that lie before a series began (by, started) and have no reading,
+    and weight: what its window sum is taken times, days / n for a series that is n < days days old, else 1. Series that
+    name no start stay as they are, with weight 1."""
+    last = F.lit(end).cast("date")
+    ages = started.withColumn("_age", F.datediff(last, "started") + 1)
+    weight = F.when((F.col("_age") > 0) & (F.col("_age") < days), F.lit(float(days)) / F.col("_age")).otherwise(1.0)
+    window = ages.select(*by, "started", F.explode(F.sequence(F.date_sub(last, 2 * days - 1), last)).alias("day")).where("day < started")
+    zeros = window.select(*by, "day", F.lit(0.0).alias("value")).join(daily, [*by, "day"], "left_anti")
+    rows = daily.select(*by, "day", "value").unionByName(zeros)
+    return rows.join(ages.select(*by, weight.alias("_weight")), list(by), "left").select(*by, "day", "value", F.coalesce("_weight", F.lit(1.0)).alias("weight"))
+
+
 def flow_total(daily: DataFrame, first: str, last: str, *by: str) -> DataFrame:
     """Sum of the days in a range, with the number of days missing and the first and last id."""
     lo, hi = F.lit(first).cast("date"), F.lit(last).cast("date")

@@ -16,6 +16,15 @@ def units_to_number(spark, sf):
     return fx(spark, sf, "orders").select("o_orderkey", X.units_to_number(raw, F.lit(43)).alias("value"))
 
 
+@query("net_supply", "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(o_orderkey AS DOUBLE) * 3 - o_custkey * 2 END AS supply, 5 + 2 * CAST(o_orderkey AS DOUBLE) AS reading FROM orders")
+def net_supply(spark, sf):
+    """A supply less two balances, in 18 decimals; and a contract's reading, scaled and moved."""
+    raw = lambda c: F.concat(c.cast("string"), F.lit("0" * 18))
+    total = F.when(F.col("o_orderkey") % 7 == 0, "0x").otherwise(raw(F.col("o_orderkey") * 3))
+    net = X.net_units(total, F.array(raw(F.col("o_custkey")), raw(F.col("o_custkey"))), F.lit(18))
+    return fx(spark, sf, "orders").select("o_orderkey", F.when(~F.isnan(net), net).alias("supply"), (5 + 2 * X.units_to_number(raw(F.col("o_orderkey")), F.lit(18))).alias("reading"))
+
+
 @query("wrapped_counter", "SELECT event_id, CAST((hour * 7 + 5) AS DOUBLE) AS moved FROM fx_events")
 def wrapped_counter(spark, sf):
     e = fx(spark, sf, "fx_events")

@@ -152,6 +152,26 @@ def young_weight(spark, sf):
     return T.young_weight(fx(spark, sf, "fx_daily"), 3000, "metric")
 
 
+@query("young_streams", """
+s(metric, started) AS (VALUES ('1', DATE '2000-03-20'), ('2', DATE '2000-04-10'), ('5', DATE '2001-01-01'), ('low', DATE '1999-01-01')),
+d AS (SELECT metric, day::DATE AS day FROM s, unnest(generate_series(DATE '2000-04-15' - 59, DATE '2000-04-15', INTERVAL 1 DAY)) t(day) WHERE day < started),
+a AS (SELECT metric, day, value FROM fx_daily UNION ALL SELECT metric, day, 0 FROM d WHERE NOT EXISTS (SELECT 1 FROM fx_daily f WHERE f.metric = d.metric AND f.day = d.day))
+---
+SELECT metric, count(*) AS n, sum(value) AS total, round(max(CASE metric WHEN '1' THEN 30 / 27.0::DOUBLE WHEN '2' THEN 30 / 6.0::DOUBLE ELSE 1 END), 9) AS weight FROM a GROUP BY metric""")
+def young_streams(spark, sf):
+    """Series that began within the window, or after it: zeros before their start, and the weight of their age."""
+    rows = [("1", "2000-03-20"), ("2", "2000-04-10"), ("5", "2001-01-01"), ("low", "1999-01-01")]
+    started = spark.createDataFrame(rows, "metric string, started string").withColumn("started", F.col("started").cast("date"))
+    filled = T.with_start(fx(spark, sf, "fx_daily"), started, "2000-04-15", 30, "metric")
+    return filled.groupBy("metric").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.round(F.max("weight"), 9).alias("weight"))
+
+
+@query("report_stale", "SELECT metric, max(day) AS day, datediff('day', max(day), DATE '2001-08-03')::INTEGER AS days_behind FROM fx_daily GROUP BY metric HAVING datediff('day', max(day), DATE '2001-08-03') > 3")
+def report_stale(spark, sf):
+    last = fx(spark, sf, "fx_daily").groupBy("metric").agg(F.max("day").alias("day"))
+    return last.withColumn("days_behind", F.datediff(F.lit("2001-08-03").cast("date"), "day")).where("days_behind > 3")
+
+
 @query("flow_total", """
 SELECT metric, sum(value) AS total, 90 - count(DISTINCT day) AS missing_days, min(id) AS first_id, max(id) AS last_id FROM fx_daily WHERE day BETWEEN DATE '1998-01-01' AND DATE '1998-03-31' GROUP BY metric""")
 def flow_total(spark, sf):

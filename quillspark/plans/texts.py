@@ -220,3 +220,29 @@ def tx_refs_digest(spark, sf):
     from ..operators import scan
 
     return scan.day_digest(fx(spark, sf, "fx_transfers"), "transfer_id", "token", "sink", "day").select("token", "sink", "day", "n", "digest")
+
+
+@query("canonical_digest", """SELECT event_id, sha256(concat('{"a":[', user_id, ',{"x":true,"y":null}],"k":', json_extract_string(props, '$.k'), ',"z":"', event_type, '"}')) AS digest FROM events""")
+def canonical_digest(spark, sf):
+    e = fx(spark, sf, "events")
+    parts = ['{ "z": "', F.col("event_type"), '", "k": ', F.get_json_object("props", "$.k"), ', "a": [', F.col("user_id").cast("string"), ', {"y": null, "x": true}]}']
+    return e.select("event_id", F.sha2(T.canonical_json(F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))), 256).alias("digest"))
+
+
+#: Lines with a fault each: line, section, metric, level, not_measured, weight, by_metric, over_metric.
+FAULTY = [
+    ("good", "revenue", "a", None, None, 1.0, None, None), ("again", "revenue", "b", None, None, 0.5, None, None), ("again", "holders", "b", None, None, 0.5, None, None),
+    ("none", "revenue", None, None, None, None, None, None), ("both", "holders", "a", "lv", None, 1.0, None, None), ("ghost", "holders", "nowhere", None, None, 1.0, None, None),
+    ("ratio", "holders", "r", None, None, 1.0, None, None), ("flat", "below", None, "a", None, None, None, None), ("twin", "revenue", "a", None, None, 1.5, None, None),
+    ("p1", "holders", "c", None, None, 1.0, "t1", "t"), ("p2", "holders", "c", None, None, 1.0, "t2", "t"), ("q1", "holders", "d", None, None, 1.0, "t1", "t"), ("blank", "below", None, None, True, None, None, None),
+]
+
+
+@query("line_issues", """
+SELECT * FROM (VALUES ('again', 'id is not unique'), ('none', 'needs one source of its value'), ('both', 'needs one source of its value'), ('ghost', 'metric is not declared'), ('ratio', 'metric is no flow in usd'),
+  ('flat', 'level is no level'), ('twin', 'series is read twice'), ('twin', 'weight outside (0, 1]'), ('q1', 'parts do not make up the total')) v(line, issue)""")
+def line_issues(spark, sf):
+    lines = spark.createDataFrame(FAULTY, "line string, section string, metric string, level string, not_measured boolean, weight double, by_metric string, over_metric string")
+    metrics = spark.createDataFrame([(m, "flow", "usd") for m in ("a", "b", "c", "d", "t", "t1", "t2")] + [("r", "ratio", None), ("lv", "level", "usd")], "metric string, kind string, unit string")
+    parts = spark.createDataFrame([("t", "t1"), ("t", "t2")], "total string, part string")
+    return C.line_issues(lines, metrics, parts)

@@ -247,3 +247,24 @@ def test_quotes_and_details(spark):
     details = ['{"a":1,"note":"x","day":"2024-01-01","list":["a",2,{"tx":"0x1","y":"z"}]}', '"text"', "3", "no json", None]
     got = [r.v for r in spark.createDataFrame([(i, d) for i, d in enumerate(details)], "i int, d string").select("i", T.reading_of("d").alias("v")).orderBy("i").collect()]
     assert got == ['{"a":1,"day":"2024-01-01","list":[2,{"tx":"0x1"}]}', None, "3", None, None]
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Australia/Lord_Howe"])
+@pytest.mark.parametrize("end", ["2024-01-01", "2024-03-11", "2024-11-04", "2024-04-07"])
+def test_hours_of_real_days(spark, zone, end):
+    """A day's 24 amounts meet the prices of their hours over a turn of the year and changes to and from daylight saving,
+    in whatever zone the session is."""
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        last = dt.datetime.fromisoformat(f"{end}T00:00:00+00:00")
+        prices = [("t", last - dt.timedelta(hours=30 - i), "coingecko", 10.0 + i, i) for i in range(30) if i not in (8, 9)]
+        prices = spark.createDataFrame(prices, "token_ref string, ts timestamp, source string, price double, fetched_at long").withColumn("hour", V.hour_number(F.col("ts")))
+        amounts = [float(h % 3) for h in range(24)]
+        flows = spark.createDataFrame([(1, "flow_usd.x", last, 1.0, 5.0, "t", 24.0, amounts, "confirmed", None)], "id long, metric_key string, at timestamp, period_days double, value double, token_ref string, amount double, hourly_amounts array<double>, status string, superseded_by long")
+        got = pricing.flow_usd(flows.withColumn("observed_hour", V.hour_number(F.col("at"))), prices).first()
+        # hour h of the day is price number h + 6; 8 and 9 are missing, so the one before counts
+        wanted = sum(a * (10 + (7 if h + 6 in (8, 9) else h + 6)) for h, a in enumerate(amounts))
+        assert (got.usd, got.usd_basis, got.hours_priced, got.hours_needed) == (wanted, "hourly", 24, 16)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
