@@ -557,6 +557,57 @@ def test_language_odd(spark):
     assert langid.markup_text(b"<p>a &amp; b<script>x</script><!-- c -->d").split() == [b"a", b"&", b"b", b"d"]
 
 
+def plain_languages(docs, pages):
+    """(doc_id, page_id): language, probability and the text's own language, all in plain loops."""
+    def grams(text):
+        b = text if isinstance(text, bytes) else (text or "").encode()
+        return langid._trigrams(np.array([0, len(b)]), np.frombuffer(b, np.uint8))[0].tolist()
+
+    names = sorted({d.lang for d in docs if d.lang is not None and d.text is not None})
+    counts = {x: collections.Counter() for x in names}
+    for d in docs:
+        if d.lang in counts:
+            counts[d.lang].update(grams(d.text))
+    size = {x: sum(c.values()) + langid.SMOOTHING * langid.BUCKETS for x, c in counts.items()}
+    rows = [((d.doc_id, None), grams(d.text), d.source, None, None, None) for d in docs]
+    for p in pages:
+        m = re.match(r"[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", p.url or "")
+        host = m[1].lower() if m else None
+        found = re.search(r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]+)", p.html or "")
+        rows.append(((None, p.page_id), grams(langid.markup_text((p.html or "").encode())), host, host and ".".join(host.split(".")[-2:]), host and host.split(".")[-1], found and found[1].lower()))
+    lls = [[sum(np.log((counts[x][g] + langid.SMOOTHING) / size[x]) for g in gs) / langid.TRIGRAMS_PER_EVIDENCE for x in names] for _, gs, *_ in rows]
+    guess = [None if not gs else max(range(len(names)), key=lambda j, ll=ll: ll[j]) for (_, gs, *_), ll in zip(rows, lls)]
+    tally = lambda k, value: [sum(g == j and (k is None or r[k] == value) for r, g in zip(rows, guess)) for j in range(len(names))]
+    out = {}
+    for r, ll, g in zip(rows, lls, guess):
+        own = lambda c: [x - (j == g) for j, x in enumerate(c)]
+        world = own(tally(None, None))
+        base = [(x + 1) / (sum(world) + len(names)) for x in world]
+
+        def lean(k, above):
+            c = own(tally(k, r[k])) if r[k] is not None else None
+            if c is None or not any(tally(k, r[k])):
+                return above
+            return [(x + langid.PRIOR_STRENGTH * p) / (sum(c) + langid.PRIOR_STRENGTH) for x, p in zip(c, above)]
+
+        share, suffix, declared = lean(2, lean(3, base)), lean(4, base), lean(5, base)
+        score = [a + np.log(s) + np.log(x / b) + np.log(d / b) for a, s, x, d, b in zip(ll, share, suffix, declared, base)]
+        best = int(np.argmax(score))
+        out[r[0]] = (names[best], 1 / sum(np.exp(s - score[best]) for s in score), None if g is None else names[g])
+    return out
+
+
+def test_language_plain(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id % 4 = 0").withColumn("text", F.substring("text", 1, 400))
+    docs = docs.union(docs.limit(1).withColumns({"text": F.lit(None).cast("string"), "doc_id": F.lit(9001).cast("long")}).select(docs.columns))
+    pages = spark.read.parquet(f"{SF}/pages.parquet").withColumn("html", F.when(F.col("page_id") % 5 != 0, F.substring("html", 1, 700)))
+    want = plain_languages(docs.collect(), pages.collect())
+    got = {(r.doc_id, r.page_id): (r.lang, r.probability, r.text_lang) for r in langid.identify(docs, pages, scratch(spark)).collect()}
+    assert set(got) == set(want)
+    for k, (lang, p, own) in want.items():
+        assert got[k][2] == own and abs(got[k][1] - p) < 1e-9 and (got[k][0] == lang or abs(p - 0.5) < 1e-6), k
+
+
 def test_language_blocks(spark, monkeypatch):
     """However many languages there are, and however few a task holds at once."""
     rng = random.Random(6)
