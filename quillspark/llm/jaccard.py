@@ -4,7 +4,7 @@ The incidence is cut to what size bounds leave: two sets with Jaccard t or more
 size - ceil(t * size) + 1 of each, in any order that both follow. Documents with equal sets are one row of the
 matrix. N-grams are dealt into blocks by hash; a block yields candidate pairs whose sizes allow a link, and the
 product is accumulated exactly for those pairs only. Groups of thousands of near copies are linked to one member of
-the group first, a group of more than HOT documents in parts; all pairs are then taken only between components that a shared n-gram still leaves apart, so that no
+the group first, a group of more than PART documents in parts; all pairs are then taken only between components that a shared n-gram still leaves apart, so that no
 link that could join two components is lost. All links are then found by exact products of all sets of a component, as
 links never leave one.
 """
@@ -41,9 +41,11 @@ BEST_PAIRS = 6
 SET_BLOCK = 256
 #: N-grams whose products are added up at once.
 NGRAM_SLICE = 8192
-#: An n-gram of more documents is hot: its group is dealt into parts, and two documents that both have it so late in their
-#: order that it can't be the first one that they share, given equal sizes, aren't multiplied by it.
-HOT = 1 << 16
+#: An n-gram of more documents is hot: two documents that both have it so late in their order that it can't be the first one
+#: that they share, given equal sizes, aren't multiplied by it.
+HOT = 512
+#: Most documents, about, of an n-gram's group that are one part of it.
+PART = 1 << 16
 
 # An entry of the incidence carries in one number its set's size, how many hot late n-grams the set's prefix has, and
 # whether the entry is one of those.
@@ -351,9 +353,11 @@ def _with_components(docs: DataFrame, scratch: C.Scratch, k: int, percent: int)
     incidence = classes.select(F.explode(F.arrays_zip("p.prefix", "p.entry")).alias("e"), "id").select(F.col("e.prefix").alias("g"), F.col("e.entry").alias("n"), "id")
     hot, part = None, F.lit(0)
     if first_hot < len(frequent):
-        hot = scratch.spark.createDataFrame([(g, -(-n // HOT)) for g, n in zip(frequent[first_hot:].view(np.int64).tolist(), counts[first_hot:].tolist())], "g long, parts long")
-        hot = F.broadcast(hot)  # FREQUENT rows at most
-        incidence, part = incidence.join(hot, "g", "left"), F.coalesce(F.pmod(F.xxhash64("id"), "parts") + 1, F.lit(0))
+        hot = F.broadcast(scratch.spark.createDataFrame([(g,) for g in frequent[first_hot:].view(np.int64).tolist()], "g long"))  # FREQUENT rows at most
+    if counts.max(initial=0) > PART:
+        large = counts > PART
+        parts = scratch.spark.createDataFrame([(g, -(-n // PART)) for g, n in zip(frequent[large].view(np.int64).tolist(), counts[large].tolist())], "g long, parts long")
+        incidence, part = incidence.join(F.broadcast(parts), "g", "left"), F.coalesce(F.pmod(F.xxhash64("id"), "parts") + 1, F.lit(0))  # FREQUENT rows at most
     blocks = incidence.select("g", part.cast("long").alias("part"), "n", "id").repartition("g", "part")
     # likely links, to the few that come first in every group
     ordered = blocks.sortWithinPartitions("g", "part", F.xxhash64("id"), "id")
@@ -374,7 +378,7 @@ def _with_components(docs: DataFrame, scratch: C.Scratch, k: int, percent: int)
         sizes = scratch.save(sizes, f"sizes-{step}")
         if step == "one" and not sizes.where(F.col("size") > COLUMN_BLOCK).limit(1).count():
             continue
-        product = _blocked_product(marked, scratch.small(sizes, f"sizes-{step}"), step == "one", percent, hot and hot.select("g"))
+        product = _blocked_product(marked, scratch.small(sizes, f"sizes-{step}"), step == "one", percent, hot)
         rest = product.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "label", "other", "common").join(done, ["a", "b"], "left_anti")
         rest = scratch.save(rest, f"rest-{step}")
         if not rest.limit(1).count():

@@ -727,6 +727,7 @@ def bag_space(text):
 def test_jaccard(spark, monkeypatch, block, hot):
     monkeypatch.setattr(jaccard, "COLUMN_BLOCK", block)  # used where plans are built
     monkeypatch.setattr(jaccard, "HOT", hot)
+    monkeypatch.setattr(jaccard, "PART", hot)
     rng = random.Random(11)
     texts = []
     for group in range(12):
