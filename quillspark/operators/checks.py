@@ -13,8 +13,8 @@ BOUNDARY_HOURS = 6
 
 def judge(sides: DataFrame, tolerances: DataFrame) -> DataFrame:
     """sides (asset, check_id, lhs, rhs) and tolerances (check_id, tolerance_pct, tolerance_abs) to gap_pct and status.
-    tolerances are configuration."""
-    rows = sides.join(F.broadcast(tolerances), "check_id")
+    tolerances are configuration; Spark sees their size and picks the join."""
+    rows = sides.join(tolerances, "check_id")
     rows = rows.withColumn("gap_pct", F.when(F.col("lhs").isNotNull() & F.col("rhs").isNotNull(), gap_pct(F.col("lhs"), F.col("rhs"))))
     within = F.coalesce(F.abs(F.col("lhs") - F.col("rhs")) <= F.col("tolerance_abs"), F.lit(False))
     status = F.when(F.col("gap_pct").isNull(), "incomplete").when((F.col("gap_pct") > F.col("tolerance_pct")) & ~within, "breach").otherwise("ok")
@@ -26,7 +26,7 @@ def window_sides(daily: DataFrame, assets: DataFrame, terms: DataFrame, end: str
     """Sides of checks between sums of flows. terms (check_id, side: lhs | rhs, metric, factor, days) are configuration;
     a side is null if any of its metrics misses any day of the window."""
     day = F.lit(end).cast("date")
-    wanted = assets.join(F.broadcast(terms), F.lit(True))
+    wanted = assets.join(F.broadcast(terms), F.lit(True))  # the declared terms, some rows a check, whatever the data's size
     most = terms.agg(F.max("days")).first()[0]  # configuration
     recent = daily.where((F.col("day") <= day) & (F.col("day") > F.date_sub(day, most)))
     met = wanted.join(recent.select("asset", "metric", "day", "value"), ["asset", "metric"], "left")

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 
 def classify_transfers(transfers: DataFrame, listed: DataFrame, ignored: DataFrame, dust: float) -> DataFrame:
-    """transfers with kind: listed, ignored, dust or unlisted, by sender. Both lists are configuration."""
-    rows = transfers.join(F.broadcast(listed.select("sender", F.lit(True).alias("_l"))), "sender", "left").join(F.broadcast(ignored.select("sender", F.lit(True).alias("_i"))), "sender", "left")
+    """transfers with kind: listed, ignored, dust or unlisted, by sender. Both lists have a sender once; Spark
+    sees their size and picks the join."""
+    rows = transfers.join(listed.select("sender", F.lit(True).alias("_l")), "sender", "left").join(ignored.select("sender", F.lit(True).alias("_i")), "sender", "left")
     kind = F.when(F.col("amount") == 0, "zero").when(F.col("_i"), "ignored").when(F.col("_l"), "listed").when(F.col("amount") <= dust, "dust").otherwise("unlisted")
     return rows.withColumn("kind", kind).drop("_l", "_i")
 

@@ -53,7 +53,7 @@ AND EXISTS (SELECT 1 FROM (VALUES ('click', 'chain:a'), ('view', 'first_party:b'
 def stored_hours(spark, sf):
     methods = spark.createDataFrame([("click", "chain:a"), ("view", "first_party:b")], "token_ref string, source string")
     prices = fx(spark, sf, "fx_prices").where("hour between 48 and 200")
-    return prices.join(F.broadcast(methods), ["token_ref", "source"], "left_semi").select("token_ref", "hour").distinct()
+    return prices.join(methods, ["token_ref", "source"], "left_semi").select("token_ref", "hour").distinct()
 
 
 @query("supersede", """
