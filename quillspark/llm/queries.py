@@ -1,6 +1,6 @@
 """The text operators' queries by name, and the SQL that checks them."""
 
-from . import bpe, decontam, jaccard, langid, licenses, quality, sharding, substrings, topk, warc
+from . import bpe, clustering, decontam, jaccard, langid, lexical, licenses, quality, sharding, simhash, substrings, topk, warc
 
 QUERIES = {
     "op1_importance_resampling": quality.op1_importance_resampling,
@@ -14,6 +14,9 @@ QUERIES = {
     "op9_ngram_jaccard_join": jaccard.op9_ngram_jaccard_join,
     "op9_ngram_jaccard_links": jaccard.op9_ngram_jaccard_links,
     "op10_exact_topk": topk.op10_exact_topk,
+    "op11_centroid_clustering": clustering.op11_centroid_clustering,
+    "op12_simhash": simhash.op12_simhash,
+    "op13_lexical_search": lexical.op13_lexical_search,
     # parts of results, for their SQL
     "op2_byte_bpe_decoded": bpe.op2_byte_bpe_decoded,
     "op3_license_scan_base": licenses.op3_license_scan_base,
@@ -26,4 +29,6 @@ ORACLES = {
     "op8_warc": warc.ORACLE,
     "op9_ngram_jaccard_join": jaccard.ORACLE,
     "op10_exact_topk": topk.ORACLE,
+    "op11_centroid_clustering": clustering.ORACLE,
+    "op13_lexical_search": lexical.ORACLE,
 }
