@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import diff, store
 from ..operators import scan as S
+from ..sources import adapters as A
+from ..streaming.flows import shared_folder
 from .base import fx, query
 
 _FEES = "SELECT event_type AS market, user_id % 3 AS kind, day, sum(v) AS value FROM fx_events WHERE NOT (event_type = 'click' AND user_id % 3 = 1 AND day = DATE '2024-01-09') AND NOT (event_type = 'view' AND user_id % 3 = 0 AND day >= DATE '2024-01-20') GROUP BY event_type, user_id % 3, day"
@@ -77,3 +79,49 @@ SELECT k AS dedupe_key, max(t) FILTER (WHERE NOT res) AS last_seen FROM l GROUP
 def open_anomalies(spark, sf):
     e = fx(spark, sf, "fx_events").select(F.col("user_id").alias("dedupe_key"), F.col("event_id").alias("at"), F.expr("if(event_type = 'purchase', 'resolve', 'raise')").alias("kind"), F.col("event_type").alias("severity"))
     return store.fold_anomalies(e).where("open").select("dedupe_key", "last_seen")
+
+
+def _landed(spark, rows, reply, name, **parameters):
+    """Raw files of replies, read by the adapter of that name."""
+    folder = shared_folder(spark, name)
+    A.land(rows, reply, folder)
+    return A.table(spark, name, path=folder, **parameters)
+
+
+@query("adapter_fills", """
+d AS (SELECT event_type AS asset, day, sum(v * 2) AS value FROM fx_events WHERE user_id % 3 = 1 AND event_id % 2 = 0 GROUP BY ALL)
+---
+SELECT asset, day, value FROM d x WHERE day > (SELECT min(day) FROM d y WHERE y.asset = x.asset)""")
+def adapter_fills(spark, sf):
+    """Replies list the fills of a user and day; the adapter gives those of one pair and side."""
+    fill = F.struct(F.col("event_id").alias("time"), F.concat(F.lit("@"), F.col("user_id") % 3).alias("coin"), F.when(F.col("event_id") % 2 == 0, "B").otherwise("A").alias("side"), F.col("v").cast("string").alias("px"), F.lit("2").alias("sz"))
+    replies = fx(spark, sf, "fx_events").groupBy("day", F.col("event_type").alias("asset"), "user_id").agg(F.collect_list(fill).alias("fills"))  # a user's fills of a day
+    return S.buys_by_day(_landed(spark, replies, F.col("fills"), "landed_fills", pair="@1"), "asset")
+
+
+def _read(function, value, ok=True):
+    return F.struct(F.lit(function).alias("function"), value.alias("value"), F.lit(ok).alias("ok"))
+
+
+@query("adapter_counter", """
+c AS (SELECT event_type AS asset, hour, event_id AS id, CAST(hour * 1000 AS DOUBLE) + 0.25 AS value FROM fx_events WHERE event_id % 11 <> 0), a AS (SELECT asset, max(hour) AS h, arg_max(value, struct_pack(h := hour, i := id)) AS v FROM c WHERE hour <= 200 GROUP BY asset), b AS (SELECT asset, max(hour) AS h, arg_max(value, struct_pack(h := hour, i := id)) AS v FROM c WHERE hour <= 500 GROUP BY asset)
+---
+SELECT asset, CASE WHEN b.h > a.h AND b.v >= a.v THEN (b.v - a.v) / (b.h - a.h) * 24 * 365 * (1 + CAST(0.5 AS DOUBLE)) END AS rate FROM a JOIN b USING (asset)""")
+def adapter_counter(spark, sf):
+    """Hexadecimal reads of a counter at blocks, some of which failed, and its rate for a year."""
+    rows = fx(spark, sf, "fx_events").withColumn("asset", F.col("event_type"))
+    word = F.concat(F.lit("0x"), F.lower(F.hex(F.col("hour") * 100_000 + 25)))
+    reply = F.struct(F.lit("minter").alias("contract"), F.col("event_id").alias("block"), F.col("hour").alias("time"), F.array(_read("minted", word, F.col("event_id") % 11 != 0)).alias("results"))
+    levels = _landed(spark, rows, reply, "landed_counter", contract="minter", function="minted", decimals="2")
+    return S.counter_rate(levels.selectExpr("asset", "time as hour", "block as id", "value"), 200, 500, 0.5, "asset")
+
+
+@query("adapter_views", "SELECT event_type AS asset, day, count(*) AS n, sum(v * 64 + user_id - event_id) AS total FROM fx_events WHERE event_id % 7 <> 0 GROUP BY event_type, day")
+def adapter_views(spark, sf):
+    """Sums of three reads of each block, of those blocks at which all three answered."""
+    rows = fx(spark, sf, "fx_events").withColumn("asset", F.col("event_type"))
+    word = lambda c: F.col(c).cast("long").cast("string")
+    rows = rows.withColumn("w", F.col("v") * 64)
+    reads = F.array(_read("held", word("w")), _read("locked", word("user_id"), F.col("event_id") % 7 != 0), _read("owed", word("event_id")))
+    found = _landed(spark, rows, F.struct(F.col("event_id").alias("block"), F.col("hour").alias("time"), reads.alias("results")), "landed_views", plus="held,locked", minus="owed", decimals="0")
+    return found.groupBy("asset", "day").agg(F.count("*").alias("n"), F.sum("value").alias("total"))

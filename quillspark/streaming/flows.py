@@ -1,12 +1,13 @@
-"""Structured Streaming over landed files: daily sums of closed days, watch states, latest readings. Each run takes what
-is there (availableNow) and ends; its checkpoint is the cursor, so that a later run goes on from it."""
+"""Structured Streaming over landed files: daily sums of closed days, first and latest readings. Each run takes what is there
+(availableNow) and ends; its checkpoint is the cursor, so that a later run goes on from it."""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -27,6 +28,25 @@ def saved(rows: DataFrame, spark: SparkSession, name: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(folder)
 
 
+def all_changes(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
+    """What runs have written in numbered folders below the folder; nothing if there is none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/out")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{folder}/out/*")
+
+
+def land(rows: DataFrame, folder: str, part: int) -> None:
+    """Adds rows to the landed files of a folder, as its part number so and so."""
+    rows.write.mode("overwrite").parquet(f"{folder}/landed/{part:06}")
+
+
+def landed_parts(spark: SparkSession, folder: str, schema: StructType, files: int | None = None) -> DataFrame:
+    """What land() has added and adds later as a stream; so many files a micro-batch, all that are there by default."""
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(f"{folder}/landed/*")
+
+
 def landed(spark: SparkSession, path: str) -> DataFrame:
     """A table's files as a stream, with the schema they have: the path is of a file, or of a folder of files."""
     folder, _, name = path.rstrip("/").rpartition("/")
@@ -53,39 +73,15 @@ def first_of_each(events: DataFrame, late: str, *key: str) -> DataFrame:
     return events.withColumn("at", F.to_timestamp("ts")).withWatermark("at", late).dropDuplicatesWithinWatermark(list(key)).select(*key)
 
 
-def watch_table(readings: DataFrame, spark: SparkSession, folder: str, above: float, *by: str) -> DataFrame:
-    """Readings (id, hour, value) at which the rule begins to fire or clears. What is kept from one micro-batch to the next
-    is a table with one flag for each key; Spark sorts a batch's readings, so a key's need not fit into memory. Batches are
-    numbered, so that one that is repeated after a failure writes the same again."""
-    types = {f.name: f.dataType.simpleString() for f in readings.schema}
-    kept, out = ", ".join(f"{b} {types[b]}" for b in by) + ", firing boolean", ", ".join(f"{b} {types[b]}" for b in by) + f", id {types['id']}, change string"
-    spark.createDataFrame([], out).write.parquet(f"{folder}/out/none")
-
-    def step(batch: DataFrame, number: int) -> None:
-        before = spark.read.schema(kept).parquet(f"{folder}/flags-{number - 1}") if number else spark.createDataFrame([], kept)
-        w = Window.partitionBy(*by).orderBy("hour", "id")
-        rows = batch.withColumn("now", F.col("value") > above).withColumn("was", F.lag("now").over(w)).join(before, list(by), "left")
-        changed = rows.where(F.col("now") != F.coalesce("was", "firing", F.lit(False)))
-        changed.select(*by, "id", F.when(F.col("now"), "fired").otherwise("cleared").alias("change")).write.mode("overwrite").parquet(f"{folder}/out/{number}")
-        last = batch.groupBy(*by).agg(F.max_by(F.col("value") > above, F.struct("hour", "id")).alias("firing"))
-        before.join(last, list(by), "left_anti").unionByName(last).write.mode("overwrite").parquet(f"{folder}/flags-{number}")
-
-    q = readings.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/cursor").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema(out).parquet(f"{folder}/out/*")
-
-
 def latest_table(readings: DataFrame, spark: SparkSession, folder: str, key: list[str], *order: str) -> DataFrame:
-    """The latest row of each key, kept in a table that each micro-batch merges into; batches are numbered, so that one
-    that is repeated after a failure writes the same table again."""
+    """The latest row of each key of all that the folder's runs have read. Each micro-batch adds its latest rows in a
+    numbered folder, so that one that is repeated after a failure writes the same again; nothing is rewritten, and a run
+    without new data reads what is there."""
     rest = [c for c in readings.columns if c not in key]
 
-    def merge(batch: DataFrame, number: int) -> None:
-        rows = batch if number == 0 else batch.unionByName(spark.read.schema(readings.schema).parquet(f"{folder}/latest-{number - 1}"))
-        last = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("r")).select(*key, "r.*")
-        last.select(readings.columns).write.mode("overwrite").parquet(f"{folder}/latest-{number}")
+    def last(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("r")).select(*key, "r.*").select(readings.columns)
 
-    q = readings.writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/cursor").trigger(availableNow=True).start()
-    q.awaitTermination()
-    last = (q.lastProgress or {}).get("batchId", 0)
-    return spark.read.schema(readings.schema).parquet(f"{folder}/latest-{last}")
+    q = readings.writeStream.foreachBatch(lambda batch, n: last(batch).write.mode("overwrite").parquet(f"{folder}/out/batch={n}"))
+    q.option("checkpointLocation", f"{folder}/cursor").trigger(availableNow=True).start().awaitTermination()
+    return last(all_changes(spark, folder, readings.schema))
