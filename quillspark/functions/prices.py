@@ -6,8 +6,6 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -111,21 +109,3 @@ def decoded(words: pd.Series, parameters: pd.DataFrame) -> pd.DataFrame:
     bad_read, not_positive or zero_liquidity."""
     rows = [_decode(w, p) for w, p in zip(words, parameters.to_dict("records"))]
     return pd.DataFrame(rows, columns=["in_quote", "reason"])
-
-
-def hour_prices(readings: DataFrame, depth: int) -> DataFrame:
-    """ref, hour, price, reason of readings (ref, hour, quote_ref, in_quote, reason). A price is in units of the quote's
-    price of the same hour, which is found first: one join for each of the depth steps of the configured quotes. Without
-    the quote's price there is none (quote_missing), never an older one."""
-    known = readings.where("quote_ref is null").select("ref", "hour", F.col("in_quote").alias("price"), "reason")
-    waiting = readings.where("quote_ref is not null")
-    for step in range(depth):
-        unit = known.select(F.col("ref").alias("quote_ref"), "hour", F.col("price").alias("unit"), F.lit(True).alias("tried"))
-        met = waiting.join(unit, ["quote_ref", "hour"], "left")
-        last = step == depth - 1
-        done = met if last else met.where("tried")
-        price = F.col("in_quote") * F.col("unit")
-        reason = F.when(F.col("unit").isNull(), "quote_missing").otherwise(F.col("reason"))
-        known = known.unionByName(done.select("ref", "hour", price.alias("price"), reason.alias("reason")))
-        waiting = met.where("tried is null").select(readings.columns)
-    return known

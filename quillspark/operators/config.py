@@ -25,12 +25,6 @@ def closure(spark: SparkSession, start: DataFrame, edges: DataFrame) -> DataFram
         near.join(seen, ["origin", "node"], "left_anti").write.parquet(f"{folder}/step={step:06}")
 
 
-def circular(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    """Nodes that are computed from themselves, over any number of inputs."""
-    start = edges.where("input is not null").select(F.col("node").alias("origin"), F.col("input").alias("node"))
-    return closure(spark, start, edges).where("origin = node").select("node")
-
-
 def failing_lines(lines: DataFrame, metrics: DataFrame, allowed: list[str]) -> DataFrame:
     """line, source_type of the lines (line, metrics: array) that miss the listing bar: no metric, or a metric whose type
     (metric, source_type) isn't allowed; source_type is that of the first such metric, null without any."""

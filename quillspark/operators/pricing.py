@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import asof
+from . import asof, graphs
 from .store import is_active
 
 LOOKBACK = 6
@@ -136,3 +136,21 @@ def reprice_class(source_type: Column, method: Column, basis: Column) -> Column:
         F.when(basis == "usd_native", "skip: usd_native").when(source_type == "third_party", "skip: third_party").when(method == "disclosed", "skip: disclosed")
         .when(method == "derived", "skip: derived").when(basis == "legacy_unpriced", "refuse: hours without a price").when(basis.isin("hourly", "daily_mean"), "price").otherwise("skip: no tokens")
     )
+
+
+def hour_prices(readings: DataFrame) -> DataFrame:
+    """ref, hour, price, reason of readings (ref, hour, quote_ref, in_quote, reason). A price is in units of the quote's price of
+    the same hour, so references are priced in the order of their quotes, a join for each level. Without the quote's
+    price there is none (quote_missing), never an older one. Quotes that form a cycle are refused."""
+    spark = readings.sparkSession
+    order = graphs.levels(spark, readings.select(F.col("ref").alias("node"), F.col("quote_ref").alias("input")).distinct())
+    order = {r.node: r.level for r in order.collect()}  # configured references
+    if loop := sorted(ref for ref, level in order.items() if level is None):
+        raise ValueError(f"quotes form a cycle among {', '.join(map(str, loop))}")
+    known = readings.where("quote_ref is null").select("ref", "hour", F.col("in_quote").alias("price"), "reason")
+    for level in range(1, max(order.values(), default=0) + 1):
+        rows = readings.where(F.col("quote_ref").isNotNull() & F.col("ref").isin([ref for ref, at in order.items() if at == level]))
+        met = rows.join(known.select(F.col("ref").alias("quote_ref"), "hour", F.col("price").alias("unit")), ["quote_ref", "hour"], "left")
+        reason = F.when(F.col("unit").isNull(), "quote_missing").otherwise(F.col("reason"))
+        known = known.unionByName(met.select("ref", "hour", (F.col("in_quote") * F.col("unit")).alias("price"), reason.alias("reason")))
+    return known

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import chain as X
 from ..functions import prices as D
 from ..operators import backfill as B
+from ..operators import pricing as P
 from ..streaming import flows as W
 from .base import fx, query
 
@@ -73,7 +74,7 @@ SELECT d.ref, d.hour, CASE WHEN d.ref = 'v3s' THEN round(x, 2) ELSE round(x, 7)
 FROM d LEFT JOIN d a ON a.ref = d.quote AND a.hour = d.hour LEFT JOIN d b ON b.ref = a.quote AND b.hour = d.hour LEFT JOIN d c ON c.ref = b.quote AND c.hour = d.hour) d""")
 def price_hour_decoded(spark, sf):
     """In quote order: each reading times its quote's price of the hour."""
-    found = D.hour_prices(W.saved(_decoded(spark, sf), spark, "decoded"), 3)
+    found = P.hour_prices(W.saved(_decoded(spark, sf), spark, "decoded"))
     return found.select("ref", "hour", F.when(F.col("ref") == "v3s", F.round("price", 2)).otherwise(F.round("price", 7)).alias("price"), "reason")
 
 

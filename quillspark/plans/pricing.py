@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from ..operators import asof, pricing as P
+from ..operators import asof, graphs, pricing as P
 from .base import fx, query
 
 
@@ -199,9 +199,9 @@ r AS (SELECT ref, 0 AS depth FROM c WHERE quote IS NULL UNION ALL SELECT c.ref,
 ---
 SELECT ref, depth FROM r""")
 def quote_order(spark, sf):
-    """Depth of each quoted reference; recursive SQL over the small configuration table."""
-    c = fx(spark, sf, "nation").selectExpr("cast(n_nationkey as bigint) as ref", "if(n_nationkey > 4, cast(n_nationkey div 2 as bigint), null) as quote")
-    return spark.sql("with recursive r(ref, depth) as (select ref, 0 from {c} where quote is null union all select c.ref, r.depth + 1 from {c} c join r on c.quote = r.ref) select ref, depth from r", c=c)
+    """The order in which quoted references can be priced, by trimming."""
+    c = fx(spark, sf, "nation").selectExpr("cast(n_nationkey as bigint) as node", "if(n_nationkey > 4, cast(n_nationkey div 2 as bigint), null) as input")
+    return graphs.levels(spark, c).withColumnsRenamed({"node": "ref", "level": "depth"})
 
 
 @query("gap_functions", """

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import graphs
 from ..operators import scan as S
 from .base import fx, query
 
@@ -148,15 +149,35 @@ def origin_of(spark, sf):
     return fx(spark, sf, "fx_readings").groupBy(rule(F.col("method"), F.col("source_type")).alias("origin")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
-@query("source_taint", """
-e AS (SELECT p_partkey AS metric, CASE WHEN p_partkey > 10 THEN p_partkey // 3 END AS input, p_partkey IN (1, 5) AS third FROM part),
-r AS (SELECT metric FROM e WHERE third UNION SELECT e.metric FROM e JOIN r ON e.input = r.metric)
+_METRICS = "SELECT CAST(p_partkey AS BIGINT) AS metric, CASE WHEN p_partkey > 10 OR p_partkey IN (1, 4) THEN 'derived' WHEN p_partkey = 5 THEN 'third_party' WHEN p_partkey = 7 THEN NULL ELSE 'log_scan' END AS source_type FROM {part}"
+_INPUTS = """SELECT CAST(p_partkey AS BIGINT) AS metric, CAST(CASE WHEN p_partkey > 10 THEN {third} WHEN p_partkey = 1 THEN 4 WHEN p_partkey = 4 THEN 1 END AS BIGINT) AS input FROM {part}
+  UNION ALL SELECT CAST(p_partkey AS BIGINT), CAST({half} AS BIGINT) FROM {part} WHERE p_partkey > 10 AND p_partkey % 6 = 0"""
+
+
+@query("source_taint", f"""
+m AS ({_METRICS.format(part="part")}), e AS ({_INPUTS.format(third="p_partkey // 3", half="p_partkey // 2", part="part")}),
+r AS (SELECT metric FROM m WHERE source_type = 'third_party' UNION SELECT e.metric FROM e JOIN r ON e.input = r.metric)
 ---
-SELECT metric FROM r""")
+SELECT metric, CASE WHEN source_type = 'derived' AND metric IN (SELECT metric FROM r) THEN 'third_party' ELSE source_type END AS rung FROM m""")
 def source_taint(spark, sf):
-    """Metrics that lean on a third-party one through any number of inputs; recursive SQL over configuration."""
-    e = fx(spark, sf, "part").selectExpr("cast(p_partkey as bigint) as metric", "if(p_partkey > 10, cast(p_partkey div 3 as bigint), null) as input", "p_partkey in (1, 5) as third")
-    return spark.sql("with recursive r(metric) as (select metric from {e} where third union all select x.metric from {e} x join r on x.input = r.metric) select distinct metric from r", e=e)
+    """The rung of every metric: a derived one that leans on a third-party one through any number of inputs is third-party
+    itself; two lean on each other."""
+    part = fx(spark, sf, "part")
+    metrics, inputs = spark.sql(_METRICS, part=part), spark.sql(_INPUTS.format(third="p_partkey div 3", half="p_partkey div 2", part="{part}"), part=part)
+    return graphs.source_rungs(spark, metrics, inputs).select("metric", "rung")
+
+
+@query("source_ladder", f"""
+m AS ({_METRICS.format(part="part")}), e AS ({_INPUTS.format(third="p_partkey // 3", half="p_partkey // 2", part="part")}),
+r AS (SELECT metric AS origin, metric AS node FROM m UNION SELECT r.origin, e.input FROM r JOIN e ON e.metric = r.node WHERE e.input IS NOT NULL),
+k AS (SELECT origin, min(CASE source_type WHEN 'third_party' THEN 0 WHEN 'derived' THEN 3 WHEN 'log_scan' THEN 7 END) AS k FROM r JOIN m ON m.metric = r.node GROUP BY origin)
+---
+SELECT metric, CASE k WHEN 0 THEN 'third_party' WHEN 3 THEN 'derived' WHEN 7 THEN 'log_scan' END AS weakest FROM m LEFT JOIN k ON origin = metric""")
+def source_ladder(spark, sf):
+    """The weakest rung that each metric leans on."""
+    part = fx(spark, sf, "part")
+    metrics, inputs = spark.sql(_METRICS, part=part), spark.sql(_INPUTS.format(third="p_partkey div 3", half="p_partkey div 2", part="{part}"), part=part)
+    return graphs.source_rungs(spark, metrics, inputs).select("metric", "weakest")
 
 
 @query("rule_violations", """

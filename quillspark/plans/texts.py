@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import values as V
-from ..operators import asof, backfill, store
+from ..operators import asof, backfill, graphs, store
 from ..operators import config as C
 from ..streaming import flows as W
 from .base import fx, query
@@ -95,11 +95,16 @@ def price_closure(spark, sf):
     return C.closure(spark, start, part.selectExpr("cast(p_partkey as bigint) as node", "cast(case when p_partkey = 1 then 4 when p_partkey > 10 then p_partkey div 3 when p_partkey = 4 then 1 end as bigint) as input"))
 
 
-@query("circular_metrics", "SELECT CAST(p_partkey AS BIGINT) AS node FROM part WHERE p_partkey IN (1, 4, 13)")
+_LEANS = "SELECT CAST(p_partkey AS BIGINT) AS node, CAST(CASE WHEN p_partkey = 1 THEN 13 WHEN p_partkey > 10 THEN {third} WHEN p_partkey = 4 THEN 1 WHEN p_partkey = 9 THEN 9 WHEN p_partkey = 8 THEN 4 END AS BIGINT) AS input FROM {part}"
+
+
+@query("circular_metrics", f"""
+e AS ({_LEANS.format(third="p_partkey // 3", part="part")}), r AS (SELECT node AS origin, input AS node FROM e WHERE input IS NOT NULL UNION SELECT r.origin, e.input FROM r JOIN e USING (node) WHERE e.input IS NOT NULL)
+---
+SELECT node FROM r WHERE origin = node""")
 def circular_metrics(spark, sf):
-    """1 leans on 13, 13 on 4 and 4 on 1; the others only on these."""
-    edges = fx(spark, sf, "part").selectExpr("cast(p_partkey as bigint) as node", "cast(case when p_partkey = 1 then 13 when p_partkey > 10 then p_partkey div 3 when p_partkey = 4 then 1 end as bigint) as input")
-    return C.circular(spark, edges)
+    """1 leans on 13, 13 on 4 and 4 on 1, and 9 on itself; the others only on these."""
+    return graphs.circular(spark, spark.sql(_LEANS.format(third="p_partkey div 3", part="{part}"), part=fx(spark, sf, "part")))
 
 
 _CFG = f"cfg(line, section, kind, metric, weight, bucket, haircut, base, by_metric, over_metric, rr) AS (VALUES {VALUES})"
