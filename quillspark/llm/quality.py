@@ -84,15 +84,15 @@ def models(docs: DataFrame, target: Column) -> tuple[np.ndarray, np.ndarray]:
 
 
 def weights(docs: DataFrame, target: np.ndarray, expected: np.ndarray) -> DataFrame:
-    """doc_id, good, n_features, log_weight (0 without words) and unseen_weight of each row of (doc_id, good, text): of
-    target documents (good) the weight without their own counts, else null. n_features counts words and pairs."""
+    """doc_id, good, whole, n_features, log_weight (0 without words) and unseen_weight of each row of (doc_id, good, whole,
+    text): of target documents (good) the weight without their own counts, else null. n_features counts words and pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         smoothing = np.repeat([WORD_SMOOTHING, PAIR_SMOOTHING], (WORDS, PAIRS))
         ratios = np.append(np.log((target + smoothing) / (expected + smoothing)), 0.0)
         for batch in batches:
             chosen = batch.column(1).fill_null(False).to_numpy(zero_copy_only=False).astype(bool)
-            for a, b, h, sizes in C.hashed(batch.column(2), classes=C.PIECES):
+            for a, b, h, sizes in C.hashed(batch.column(3), classes=C.PIECES):
                 f, row = _features(h, sizes)
                 n = np.bincount(row[np.newaxis].repeat(2, 0)[f < BUCKETS], minlength=b - a)
                 own = f < BUCKETS
@@ -103,10 +103,10 @@ def weights(docs: DataFrame, target: np.ndarray, expected: np.ndarray) -> DataFr
                 without[own] = np.log((target[bucket] - count + smoothing[bucket]) / (expected[bucket] + smoothing[bucket]))[place]
                 w, unseen = _worst(ratios[f].sum(0), row, sizes), _worst(without.sum(0), row, sizes)
                 yield pa.RecordBatch.from_arrays(
-                    [*(c.slice(a, b - a) for c in batch.columns[:2]), pa.array(n), pa.array(w), pa.array(unseen, mask=~chosen[a:b])], ["doc_id", "good", "n_features", "log_weight", "unseen_weight"]
+                    [*(c.slice(a, b - a) for c in batch.columns[:3]), pa.array(n), pa.array(w), pa.array(unseen, mask=~chosen[a:b])], ["doc_id", "good", "whole", "n_features", "log_weight", "unseen_weight"]
                 )
 
-    return C.as_bytes(docs, "doc_id", "good").mapInArrow(run, "doc_id long, good boolean, n_features long, log_weight double, unseen_weight double")
+    return C.as_bytes(docs, "doc_id", "good", "whole").mapInArrow(run, "doc_id long, good boolean, whole long, n_features long, log_weight double, unseen_weight double")
 
 
 def gumbel(*by: str | Column) -> Column:
@@ -144,7 +144,8 @@ def sampling_key(temperature: float = TEMPERATURE, seed: Column | int = 0) -> Co
 
 
 def resample(docs: DataFrame, labels: DataFrame, scratch: C.Scratch, k: int | None = None, temperature: float = TEMPERATURE, seed: int = 0) -> DataFrame:
-    """doc_id, log_weight, key of the documents that stay: the k highest keys; equal ones at the end stay together.
+    """doc_id, log_weight, key of the documents that stay: the k highest keys; equal ones at the end stay together. whole, a
+    hash of the text, tells rows that share a doc_id apart.
 
     labels: doc_id, quality, toxic; where rows repeat a doc_id, any bad label counts. k: None counts the documents whose
     weight is at least that of all but TARGET_QUANTILE of the target; without a target all stay. Null and
@@ -153,7 +154,7 @@ def resample(docs: DataFrame, labels: DataFrame, scratch: C.Scratch, k: int | No
     """
     good = labels.groupBy("doc_id").agg(((F.min("quality") == 1) & (F.max("toxic") == 0)).alias("good"))
     good = scratch.save(good.where("doc_id is not null"), "labels")
-    marked = docs.select("doc_id", "text").join(scratch.small(good, "labels"), "doc_id", "left")
+    marked = docs.select("doc_id", "text", F.xxhash64("text").alias("whole")).join(scratch.small(good, "labels"), "doc_id", "left")
     rows = weights(marked, *models(marked, F.col("good"))).withColumn("key", sampling_key(temperature, seed))
     rows = scratch.save(rows, "weights")
     if k is None:
@@ -164,15 +165,17 @@ def resample(docs: DataFrame, labels: DataFrame, scratch: C.Scratch, k: int | No
         rows = rows.where(F.col("key") >= bar)
     elif k <= 0:
         rows = rows.limit(0)
-    return rows.select("doc_id", "log_weight", "key")
+    return rows.select("doc_id", "log_weight", "key", "whole")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, scratch: C.Scratch) -> DataFrame:
-    """The documents that resample() keeps, with their own columns. Rows with a null doc_id stay or go by their key."""
-    kept = scratch.save(resample(docs, labels, scratch).distinct(), "kept")
-    ids = scratch.save(kept.select("doc_id").distinct(), "ids")
-    return docs.join(scratch.small(ids, "ids"), docs.doc_id.eqNullSafe(ids.doc_id), "left_semi")
+    """The documents that resample() keeps, with their own columns. A document is a doc_id, null or not, and a text: rows that
+    repeat both stay or go together, rows that share only the doc_id each by their own key."""
+    kept = resample(docs, labels, scratch).select(F.col("doc_id").alias("kept"), "whole").distinct()
+    kept = scratch.save(kept, "kept")
+    same = docs["doc_id"].eqNullSafe(kept["kept"]) & (F.xxhash64(docs["text"]) == kept["whole"])
+    return docs.join(scratch.small(kept, "kept"), same, "left_semi")
 
 
 def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resample(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels"), C.Scratch(spark, "quality"))
+    return resample(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels"), C.Scratch(spark, "quality")).drop("whole")
