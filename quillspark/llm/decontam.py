@@ -221,9 +221,12 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARI
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, scratch: C.Scratch) -> DataFrame:
-    """The documents that hold no item; rows with a null doc_id stay."""
-    found = scratch.save(contaminated(docs.where("doc_id is not null"), items).select("doc_id").distinct(), "found")
-    return docs.join(scratch.small(found, "found"), "doc_id", "left_anti").select(docs.columns)
+    """The documents that hold no item. Rows go by their own text, also those that share a doc_id or have none: a document is
+    told by a hash of both."""
+    own = F.xxhash64(docs["doc_id"], docs["text"])
+    found = contaminated(docs.select(own.alias("doc_id"), docs["text"].alias("text")), items)
+    found = scratch.save(found.select(F.col("doc_id").alias("found")).distinct(), "found")
+    return docs.join(scratch.small(found, "found"), own == found["found"], "left_anti")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
