@@ -43,7 +43,9 @@ NOTICE_PHRASES = {
 }
 #: The words of the identifier tag; an expression follows it in the text.
 TAG = "spdx license identifier"
-_TAG = re.compile(rb"spdx[^0-9a-z\x80-\xff]+license[^0-9a-z\x80-\xff]+identifier[ \t]*:?[ \t]*([^\r\n]*)")
+_WORD, _LINE = re.compile(rb"[0-9a-z\x80-\xff]+"), re.compile(rb"[ \t]*:?[ \t]*([^\r\n]*)")
+#: An expression's tokens. A slash right between two identifiers means or, as older notices have it.
+_TOKEN = re.compile(r"[()]|(?<=[0-9a-z.+)-])/(?=[0-9a-z(])|[0-9a-z.+-]+")
 
 #: How freely text under a licence may be used, 0 to 1, by the beginning of its identifier; the longest one counts.
 FREEDOM = {
@@ -80,7 +82,8 @@ def parse_expression(text: str) -> tuple[list[str], float] | None:
             out.append((left[0] + right[0], (min if op == "and" else max)(left[1], right[1])))
 
     operand = True  # whether one is due
-    for token in re.findall(r"[()]|[0-9a-z.+-]+", text.lower()):
+    for token in _TOKEN.findall(text.lower()):
+        token = "or" if token == "/" else token
         if operand:
             if token == "(":
                 waiting.append(token)
@@ -186,6 +189,17 @@ def _outermost(hits: list[tuple[int, int]], phrases: list[list[str]]) -> set[int
     return out
 
 
+def _tagged(text: bytes, places: list[int]) -> Iterator[str]:
+    """What stands behind each identifier tag, given the words at which tags begin, ascending: up to the line's end or the next
+    tag. One pass over the words."""
+    n = len(TAG.split())
+    wanted = {*places, *(p + n - 1 for p in places)}
+    spans = {i: m.span() for i, m in enumerate(_WORD.finditer(text)) if i in wanted}
+    for p, after in zip(places, [*places[1:], None]):
+        end = spans[after][0] if after is not None else len(text)
+        yield _LINE.match(text, spans[p + n - 1][1], end)[1].decode(errors="replace").strip()
+
+
 COLUMNS = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, expressions array<string>"
 
 
@@ -194,7 +208,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
     A null or empty text has no words and no labels. score is the freedom of all that was found taken together (and),
     NO_NOTICE if nothing was; a phrase inside a longer one gives its label, but the longer one's freedom counts.
-    expressions: those after identifier tags, in order. Labels of an expression are its identifiers. Extra columns are
+    expressions: those after identifier tags, in order, each up to its line's end or the next tag. Labels of an expression are its identifiers. Extra columns are
     ignored.
     """
     phrases = [*BASE_PHRASES, *NOTICE_PHRASES, TAG]
@@ -220,12 +234,12 @@ def scan(docs: DataFrame) -> DataFrame:
                     base_labels[r] = ",".join(sorted({labels[k] for _, k in hits if k < base}))
                     names = {labels[k] for _, k in hits} - {None}
                     worth = [freedom(labels[k]) for k in _outermost(hits, scanner.phrases) if labels[k]]
-                    if any(labels[k] is None for _, k in hits):
-                        for m in _TAG.finditer((text[a + r].as_py() or b"").lower()):
-                            if got := parse_expression(m[1].decode(errors="replace")):
+                    if tags := sorted(p for p, k in hits if labels[k] is None):
+                        for expression in _tagged((text[a + r].as_py() or b"").lower(), tags):
+                            if got := parse_expression(expression):
                                 names |= set(got[0])
                                 worth.append(got[1])
-                                expressions[r].append(m[1].decode(errors="replace").strip())
+                                expressions[r].append(expression)
                     all_labels[r] = ",".join(sorted(names))
                     if worth:
                         score[r] = min(worth)
