@@ -29,12 +29,42 @@ PRIOR_STRENGTH = 5.0
 #: Languages whose model a task holds at once; more languages take more passes over the texts.
 LANGUAGE_BLOCK = 256
 
-_DROP = re.compile(rb"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^<>]*>")
+_RAW = re.compile(rb"(?i)<(script|style)\b")
+_CLOSE = {name: re.compile(rb"(?i)</%s\s*>" % name) for name in (b"script", b"style")}
 
 
 def markup_text(page: bytes) -> bytes:
-    """The text of a page, without comments, scripts, styles and tags; entities are resolved."""
-    text = _DROP.sub(b" ", page)
+    """The text of a page, without comments, scripts, styles and tags; entities are resolved. One scan from tag to tag: what is
+    looked for ahead is looked for again only behind the place where it was found, and not at all if it never follows."""
+    kept, at, close = [], 0, 0
+    gone: set[bytes] = set()  # ends that don't follow any more
+    while (tag := page.find(b"<", at)) >= 0:
+        kept.append(page[at:tag])
+        at = tag
+        if page.startswith(b"<!--", tag) and b"-->" not in gone:
+            end = page.find(b"-->", tag + 4)
+            if end < 0:
+                gone.add(b"-->")
+            else:
+                at = end + 3
+        elif (raw := _RAW.match(page, tag)) and (name := raw[1].lower()) not in gone:
+            end = _CLOSE[name].search(page, raw.end())
+            if end is None:
+                gone.add(name)
+            else:
+                at = end.end()
+        if at == tag:  # an ordinary tag, or no tag
+            if 0 <= close <= tag:
+                close = page.find(b">", tag)
+            again = page.find(b"<", tag + 1)
+            if 0 <= close and (again < 0 or close < again):
+                at = close + 1
+            else:
+                kept.append(b"<")
+                at = tag + 1
+                continue
+        kept.append(b" ")
+    text = b"".join([*kept, page[at:]])
     return html.unescape(text.decode(errors="replace")).encode() if b"&" in text else text
 
 
