@@ -5,8 +5,10 @@ import bisect
 import collections
 import hashlib
 import json
+import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -119,6 +121,17 @@ def test_resampling_held_out_toxic(spark):
     assert np.mean([r.doc_id in kept for r in rest if not r.quality]) <= 0.1
 
 
+def test_keep_good_tells_texts_apart(spark):
+    """Rows that share a doc_id, or have none, stay or go each by their own text."""
+    good, bad = " ".join(prose(1, 60)), [" ".join(f"{w}***{i}" for w in prose(1, 60)) for i in range(5)]
+    docs = documents(spark, [good] * 20, first=100)
+    labels = spark.createDataFrame([(100 + i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    for own in (7, None):
+        same = spark.createDataFrame([(own, t, "en", "s", 1) for t in [good, *bad]], DOCS)
+        kept = quality.keep_good(docs.union(same), labels, scratch(spark)).where(F.col("doc_id").eqNullSafe(F.lit(own).cast("long"))).collect()
+        assert [r.text for r in kept] == [good]
+
+
 def test_resampling_odd(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality.resample(odd_table(spark), labels, scratch(spark)).count() == odd_table(spark).count()
@@ -245,6 +258,54 @@ def plain_scan(text):
     return len(w), len(hits), min((i for i, _ in hits), default=None), max((i for i, _ in hits), default=None), ",".join(sorted({x for _, x in hits}))
 
 
+def plain_tags(text):
+    """Expressions by words and lines: behind each tag up to the line's end or the next tag."""
+    text = (text or "").encode().lower()
+    words = [(m[0], m.start(), m.end()) for m in re.finditer(rb"[0-9a-z\x80-\xff]+", text)]
+    at = [i for i in range(len(words) - 2) if [w for w, _, _ in words[i : i + 3]] == [b"spdx", b"license", b"identifier"]]
+    out = []
+    for k, i in enumerate(at):
+        end = words[at[k + 1]][1] if k + 1 < len(at) else len(text)
+        rest = text[words[i + 2][2] : end].lstrip(b" \t").removeprefix(b":").lstrip(b" \t")
+        out.append(re.split(rb"[\r\n]", rest)[0].decode(errors="replace").strip())
+    return out
+
+
+def plain_names(expression):
+    """Identifiers of an expression without parentheses or exceptions."""
+    names = []
+    for x in re.split(r" and | or |(?<=[0-9a-z])/(?=[0-9a-z])", expression):
+        m = re.match(r"\s*([0-9a-z.+-]+)", x)
+        names.append(m[1].strip(".").removesuffix("-only").removesuffix("-or-later").rstrip("+"))
+        if x.strip() != m[0].strip():
+            break
+    return names
+
+
+def test_license_tags(spark):
+    """All tags of a line, old slashes, labels and score against plain versions."""
+    rng = random.Random(12)
+    names, filler = ["MIT", "Apache-2.0", "GPL-2.0-only", "BSD-3-Clause", "foo"], ["all rights reserved", "// x", "\n", "see the MIT License", "no", "/* */", "\t"]
+    texts = ["SPDX-License-Identifier: MIT  // SPDX-License-Identifier: GPL-2.0", "xspdx-license-identifier: MIT", "SPDX License Identifier MIT/Apache-2.0\nmore", "spdx-license-identifier:"]
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randint(1, 6)):
+            if rng.random() < 0.6:
+                parts.append("SPDX-License-Identifier: " + rng.choice([" AND ", " OR ", "/"]).join(rng.sample(names, rng.randint(1, 3))))
+            parts.append(rng.choice(filler))
+        texts.append(" ".join(parts))
+    got = {r.doc_id: r for r in licenses.scan(documents(spark, texts)).collect()}
+    phrases = licenses.BASE_PHRASES | licenses.NOTICE_PHRASES
+    for i, text in enumerate(texts):
+        tags = [t for t in plain_tags(text) if re.match(r"[0-9a-z.+-]", t)]
+        assert got[i].expressions == tags, text
+        words = [w.decode() for w in re.findall(rb"[0-9a-z\x80-\xff]+", text.lower().encode())]
+        labels = {v for p, v in phrases.items() if any(words[k : k + len(p.split())] == p.split() for k in range(len(words)))}
+        assert got[i].labels == ",".join(sorted(labels.union(*map(plain_names, tags)))), text
+    assert got[0].expressions == ["mit  //", "gpl-2.0"] and got[0].labels == "gpl-2.0,mit" and got[1].expressions == [] and got[2].labels == "apache-2.0,mit"
+    assert got[0].score == 0.4 and got[2].score == 0.9
+
+
 def test_license_scan(spark):
     texts = ["CC-BY cc by CC--BY-NC", "gnu lesser general public license é cc by", "by cc by", "cc", "SPDX-License-Identifier: MIT OR (GPL-2.0-only AND BSD-3-Clause)\nAll rights reserved, all"]
     for docs in (spark.read.parquet(f"{SF}/documents.parquet"), odd_table(spark), documents(spark, texts)):
@@ -330,6 +391,15 @@ def test_contamination_odd(spark):
     assert decontam.keep_clean(odd_table(spark), bench, scratch(spark)).columns == odd_table(spark).columns
 
 
+def test_keep_clean_tells_texts_apart(spark):
+    item = " ".join(prose(3, 40))
+    docs = documents(spark, ["before " + item, " ".join(prose(4, 60)), " ".join(prose(5, 60)) + " " + item])
+    docs = docs.withColumn("doc_id", F.expr("if(doc_id = 2, null, 0L)")).withColumn("a.b", F.lit(1))
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    kept = decontam.keep_clean(docs, items, scratch(spark))
+    assert kept.columns == docs.columns and [r.text for r in kept.collect()] == [" ".join(prose(4, 60))]
+
+
 def test_hamming_blocks():
     """All fingerprints within the radius are found, and none beyond it."""
     rng = np.random.default_rng(1)
@@ -548,6 +618,19 @@ def test_language_evidence(spark):
     assert all(0 < r.probability <= 1 for r in got.values())
 
 
+def test_markup_text():
+    """Against one pattern, on random markup; and pages of nothing but openings take no time."""
+    pattern = re.compile(rb"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^<>]*>")
+    rng = random.Random(9)
+    for _ in range(4000):
+        page = "".join(rng.choice(["<", ">", "<!--", "-->", "<script", "</script>", "<STYLE>", "</style >", "</", "x", " ", "\n", "scripts", "--", "!"]) for _ in range(rng.randint(0, 14))).encode()
+        assert langid.markup_text(page) == pattern.sub(b" ", page), page
+    for unit in (b"<script>x", b"<!-- x", b"<style", b"<", b"<a ", b"<!--<script></style>", b"</script "):
+        began = time.time()
+        langid.markup_text(unit * (2_000_000 // len(unit)))
+        assert time.time() - began < 2, unit
+
+
 def test_language_odd(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert langid.identify(odd_table(spark), pages, scratch(spark)).count() == odd_table(spark).count()
@@ -840,7 +923,7 @@ def test_top_k(spark, monkeypatch, n, dim, same):
 
 
 def test_top_k_odd(spark):
-    rows = [(8, [3e38, 1.0]), (9, [4.6e15, 0.0]), (0, [1.0, 2.0]), (1, None), (2, [None, 1.0]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (None, [1.0, 1.0]), (5, [0.5, -0.25]), (6, [3.0]), (7, [])]
+    rows = [(0, [1.0, 2.0]), (1, None), (2, [None, 1.0]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (None, [1.0, 1.0]), (5, [0.5, -0.25]), (6, [3.0]), (7, [])]
     v = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
     assert {r.id: r.v for r in v.collect()} == {0: [1024, 2048], 5: [512, -256], 6: [3072], 7: []}
     got = topk.top_k(v, v.where("id = 0"), 10, scratch(spark))
@@ -848,6 +931,24 @@ def test_top_k_odd(spark):
     assert topk.top_k(v.limit(0), v.limit(0), 10, scratch(spark)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_top_k_of_long_vectors(spark, kind):
+    """Vectors of any finite length take part; scores beyond 64 bits keep their place and are null."""
+    rng = random.Random(6)
+    powers = [0, 3, 6, 9, 15, 17, 30] + ([200, 304] if kind == "double" else [38])
+    given = [(i, [rng.uniform(-3, 3) * 10.0 ** rng.choice(powers) for _ in range(3)]) for i in range(150)]
+    given += [(200, [3e6, 0.0, 0.0]), (201, [1.0, 2.0, 0.0]), (202, [0.0, 0.0, 0.0]), (203, [4.6e15, 0.0, 0.0])]
+    table = spark.createDataFrame(given, f"vec_id long, embedding array<{kind}>")
+    rows = [(r.vec_id, [math.floor(1024 * x) for x in r.embedding]) for r in table.collect()]
+    v = topk.quantised(table)
+    got = topk.top_k(v, v.where("id % 10 = 0 or id > 199"), 10, scratch(spark)).collect()
+    want = plain_top(rows, [r for r in rows if r[0] % 10 == 0 or r[0] > 199], 10)
+    assert sorted(tuple(r)[:3] for r in got) == [r[:3] for r in want]
+    assert {(r.query_id, r.rank): r.score for r in got} == {(q, k): s if -(1 << 63) <= s < 1 << 63 else None for q, k, _, s in want}
+    small = topk.top_k(v.where("id > 199"), v.where("id = 201"), 2, scratch(spark)).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in small] == [(203, None), (200, 3 * 10**6 * 1024 * 1024)]
+
+
 def test_top_k_prunes(spark, monkeypatch):
     """By descending length most chunks are never read; of equal lengths the first coordinates tell them apart."""
     for name, value in (("QUERY_BLOCK", 8), ("SEEDS", 16), ("CHUNK_BYTES", 8 * 4 * 20), ("GROUP", 4)):
