@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -45,3 +45,37 @@ def summary(levels: DataFrame, profit: DataFrame, buckets: DataFrame, yields: Da
     for part in (net, yields.select("asset", "cash", "buyback", "shareholder", "dilution", "net_shareholder", "multiple"), multiples.select("asset", "mcap", "mcap_to_revenue", "mcap_to_net")):
         rows = rows.join(part, "asset", "left")
     return rows.withColumns({"day": F.lit(day).cast("date"), "window_days": F.lit(days), "fdv": F.col("price") * F.col("total_supply")}).drop("total_supply")
+
+
+def window_totals(daily: DataFrame, windows: list[int], *by: str) -> DataFrame:
+    """day, window, total of every day and window length (in days) whose days all have a value. Running sums of each series
+    are made once; a window is the difference of two of them, at its last and its first day, whatever its length."""
+    w = Window.partitionBy(*by).orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    sums = daily.where("value is not null").select(*by, "day", "value", F.sum("value").over(w).alias("sum"), F.count("*").over(w).alias("n"))
+    last = sums.withColumn("window", F.explode(F.array(*map(F.lit, windows))))
+    last = last.select(*by, F.expr("date_sub(day, window - 1)").alias("first"), F.col("day").alias("last"), "window", "sum", "n")
+    first = sums.select(*by, F.col("day").alias("first"), F.col("value").alias("_v"), F.col("sum").alias("_sum"), F.col("n").alias("_n"))
+    both = last.join(first, [*by, "first"]).where(F.col("n") - F.col("_n") + 1 == F.col("window"))
+    return both.select(*by, F.col("last").alias("day"), "window", (F.col("sum") - F.col("_sum") + F.col("_v")).alias("total"))
+
+
+def sums_at(daily: DataFrame, reports: DataFrame, days: int) -> DataFrame:
+    """What statement.window_sums() gives, for many reports at once: asset (the report), metric, total and prior of the windows
+    to each report's own day. reports: report, asset, day; daily: asset, metric, day, value."""
+    totals = window_totals(daily, [days], "asset", "metric").drop("window")
+    rows = reports.join(daily.select("asset", "metric").distinct(), "asset")
+    now = totals.select("asset", "metric", "day", "total")
+    before = totals.select("asset", "metric", F.date_add("day", days).alias("day"), F.col("total").alias("prior"))
+    found = rows.join(now, ["asset", "metric", "day"], "left").join(before, ["asset", "metric", "day"], "left")
+    return found.select(F.col("report").alias("asset"), "metric", "total", "prior")
+
+
+def levels_at(readings: DataFrame, reports: DataFrame) -> DataFrame:
+    """What levels_as_of() gives, for many reports at once: report, metric_key, value, hour, n of every metric with a reading by
+    then. reports: report, asset_id, end_hour. One sweep over readings and reports of each metric."""
+    rows = readings.where("status = 'confirmed' and superseded_by is null").select("asset_id", "metric_key", "hour", "id", "value")
+    marks = reports.join(rows.select("asset_id", "metric_key").distinct(), "asset_id").select("asset_id", "metric_key", (F.col("end_hour") + 24).alias("hour"), "report")
+    both = rows.withColumn("_side", F.lit(1)).unionByName(marks.withColumn("_side", F.lit(0)), allowMissingColumns=True)
+    w = Window.partitionBy("asset_id", "metric_key").orderBy("hour", "_side", "id").rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.select("report", "metric_key", "_side", F.last(F.when(F.col("_side") == 1, F.struct("value", "hour")), ignorenulls=True).over(w).alias("r"), F.count_if(F.col("_side") == 1).over(w).alias("n"))
+    return seen.where("_side = 0 and n > 0").select("report", "metric_key", "r.value", "r.hour", "n")

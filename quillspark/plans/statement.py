@@ -315,3 +315,46 @@ def report_levels(spark, sf):
     series = fx(spark, sf, "fx_stmt_levels").select("asset", F.explode(F.array(*map(F.lit, ("m0", "m1", "m2", "m3")))).alias("metric"))
     days = P.report_day(daily, series).select(F.col("asset").alias("asset_id"), "day", (F.dayofyear("day") * 24).cast("long").alias("end_hour"))
     return P.levels_as_of(fx(spark, sf, "fx_readings"), days).join(days.select("asset_id", "day"), "asset_id").select("asset_id", "day", "metric_key", "value", "hour", "n")
+
+
+@query("window_totals", "SELECT metric, day, w AS window, round(t, 6) AS total FROM (" + " UNION ALL ".join(f"SELECT metric, day, {n} AS w, CASE WHEN count(*) OVER w = {n} THEN sum(value) OVER w END AS t FROM fx_daily WINDOW w AS (PARTITION BY metric ORDER BY day RANGE BETWEEN INTERVAL {n - 1} DAY PRECEDING AND CURRENT ROW)" for n in (7, 30, 91)) + ") WHERE t IS NOT NULL")
+def window_totals(spark, sf):
+    """Windows of three lengths to every day of every series."""
+    return P.window_totals(fx(spark, sf, "fx_daily"), [7, 30, 91], "metric").withColumn("total", F.round("total", 6))
+
+
+_LEVELS = ("price", "total_supply", "circulating", "staked", "locked", "emission", "run_rate")
+_STMT_READINGS = "SELECT event_id AS id, event_type AS asset_id, " + "CASE user_id % 7 " + " ".join(f"WHEN {i} THEN '{m}'" for i, m in enumerate(_LEVELS)) + """ END AS metric_key, hour, v + 1 AS value,
+  CASE WHEN event_id % 9 = 0 THEN 'rejected' ELSE 'confirmed' END AS status, CASE WHEN event_id % 10 = 3 THEN event_id + 7 END AS superseded_by FROM {fx_events}"""
+_REPORTS = "SELECT DISTINCT asset, day FROM {fx_stmt_daily} WHERE day >= DATE '2024-01-14'"
+
+
+@query("statement_days", f"""
+w AS ({_REPORTS.replace("{fx_stmt_daily}", "fx_stmt_daily")}),
+sd AS (SELECT concat(w.asset, '@', w.day) AS asset, d.metric, DATE '{END}' - (w.day - d.day)::INTEGER AS day, d.value FROM w JOIN fx_stmt_daily d ON d.asset = w.asset AND d.day <= w.day AND d.day > w.day - {2 * DAYS}),
+rr AS ({_STMT_READINGS.replace("{fx_events}", "fx_events")}),
+lr AS (SELECT concat(w.asset, '@', w.day) AS asset, metric_key, arg_max(value, struct_pack(h := hour, i := id)) AS value FROM w JOIN rr ON asset_id = w.asset AND status = 'confirmed' AND superseded_by IS NULL AND hour < extract(doy FROM w.day) * 24 + 24 GROUP BY 1, 2),
+lv AS (SELECT concat(w.asset, '@', w.day) AS asset, {", ".join(f"max(value) FILTER (WHERE metric_key = '{m}') AS {m}" for m in _LEVELS)} FROM w LEFT JOIN lr ON lr.asset = concat(w.asset, '@', w.day) GROUP BY 1),
+""" + CTE.replace("fx_stmt_levels", "lv").replace("fx_stmt_daily", "sd").replace(", rl AS", ", rl0 AS").replace("---", "") .rsplit("rl AS", 1)[0].rstrip().rstrip(",") + f""",
+od AS (SELECT asset, max(day) AS day FROM (SELECT asset, day FROM fx_stmt_daily GROUP BY asset, day HAVING count(DISTINCT metric) = 4) GROUP BY asset)
+---
+SELECT w.asset, w.day, w.day = od.day AS own_day, round(gp.revenue, 6) AS revenue, round(gp.gross_profit, 6) AS gross_profit, round(h.total, 6) AS holders, round(p.total, 6) AS protocol, round(o.total, 6) AS operating,
+  round(gp.base - (h.terms + p.terms + o.terms) * 365 / {DAYS} - h.levels - p.levels - o.levels, 6) AS unreconciled, round(lv.price * lv.circulating, 6) AS mcap, round(lv.price * lv.total_supply, 6) AS fdv
+FROM w JOIN od USING (asset) JOIN lv ON lv.asset = concat(w.asset, '@', w.day) JOIN gp ON gp.asset = lv.asset JOIN st h ON h.asset = lv.asset AND h.section = 'holders' JOIN st p ON p.asset = lv.asset AND p.section = 'protocol' JOIN st o ON o.asset = lv.asset AND o.section = 'operating'""")
+def statement_days(spark, sf):
+    """Statements as of every day of every asset in one plan, with levels as of each; own_day marks the asset's report day."""
+    daily = fx(spark, sf, "fx_stmt_daily")
+    reports = spark.sql(_REPORTS, fx_stmt_daily=daily).select(F.concat_ws("@", "asset", "day").alias("report"), "asset", "day")
+    series = daily.select("asset").distinct().select("asset", F.explode(F.array(*map(F.lit, ("m0", "m1", "m2", "m3")))).alias("metric"))
+    own = P.report_day(daily, series).select("asset", F.col("day").alias("own"))
+    read = P.levels_at(spark.sql(_STMT_READINGS, fx_events=fx(spark, sf, "fx_events")), reports.select("report", F.col("asset").alias("asset_id"), (F.dayofyear("day") * 24).alias("end_hour")))
+    levels = read.groupBy(F.col("report").alias("asset")).agg(*(F.max(F.when(F.col("metric_key") == m, F.col("value"))).alias(m) for m in _LEVELS))
+    levels = reports.select(F.col("report").alias("asset")).join(levels, "asset", "left")
+    cfg = F.broadcast(spark.createDataFrame(LINES, _SCHEMA))  # configuration, a few rows
+    lines = levels.select("asset", "run_rate").join(cfg, F.lit(True)).withColumn("level", F.when(F.col("run_rate_level"), F.col("run_rate"))).drop("run_rate", "run_rate_level")
+    found = I.sections(I.line_values(lines, P.sums_at(daily, reports, DAYS)), DAYS)
+    out = reports.join(own, "asset").join(levels.withColumnRenamed("asset", "report"), "report")
+    for part in (I.profit(found, DAYS).select("asset", "revenue", "gross_profit"), I.uses(found, DAYS)):
+        out = out.join(part.withColumnRenamed("asset", "report"), "report")
+    out = out.withColumns({"own_day": F.col("day") == F.col("own"), "mcap": F.col("price") * F.col("circulating"), "fdv": F.col("price") * F.col("total_supply")})
+    return _r(out, "revenue", "gross_profit", "holders", "protocol", "operating", "unreconciled", "mcap", "fdv").select("asset", "day", "own_day", "revenue", "gross_profit", "holders", "protocol", "operating", "unreconciled", "mcap", "fdv")
