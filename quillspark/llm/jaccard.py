@@ -31,8 +31,10 @@ FREQUENT_IN_STRETCH = 2
 #: Members of an n-gram's group, least by a hash of the id, that all of the group are first compared with.
 PIVOTS = 5
 
-#: Members of a component in a block of the product's columns.
+#: Members of a component in a block of the product's columns; smaller components share blocks.
 COLUMN_BLOCK = 256
+#: Columns that one row of the product meets at once in blocks of small components, about.
+POOL = 1 << 16
 #: Entries of the product's rows that are counted together.
 PRODUCT_ENTRIES = 400_000
 #: Pairs of two components that are compared before all of them.
@@ -43,7 +45,7 @@ SET_BLOCK = 256
 NGRAM_SLICE = 8192
 #: An n-gram of more documents is hot: two documents that both have it so late in their order that it can't be the first one
 #: that they share, given equal sizes, aren't multiplied by it.
-HOT = 512
+HOT = 1 << 16
 #: Most documents, about, of an n-gram's group that are one part of it.
 PART = 1 << 16
 
@@ -150,20 +152,22 @@ def _shared(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
 
 
 def _product(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Of rows (x, nx, label, other, block, y, ny) sorted by x, other and block, y and ny being lists, nx and ny what their
-    entries carry: how often each pair (x, y) whose sizes allow a link comes, if it is often enough. Rows of about
+    """Of rows (x, nx, label, other, block, y, ny, ly) sorted by x, other and block, y, ny and ly being lists, nx and ny what
+    their entries carry, ly the labels: how often each pair (x, y) whose sizes allow a link comes, if it is often enough. A
+    pair in a block of small components (block under 0) counts in the row of the lesser label. Rows of about
     PRODUCT_ENTRIES entries are held, and those of one x and block: a list for each of its n-grams at most."""
 
     def counted(t: pa.Table) -> pa.RecordBatch:
         t = t.combine_chunks()
-        lists = t.column("y").combine_chunks()
-        each = lists.value_lengths().to_numpy(zero_copy_only=False)
+        flat = lambda c: t.column(c).combine_chunks().flatten().to_numpy()
+        each = t.column("y").combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
         row = np.repeat(np.arange(len(t)), each)
-        x, y = t.column("x").to_numpy()[row], lists.flatten().to_numpy()
-        nx, ny = t.column("nx").to_numpy()[row], t.column("ny").combine_chunks().flatten().to_numpy()
+        x, y, label, other = t.column("x").to_numpy()[row], flat("y"), t.column("label").to_numpy()[row], flat("ly")
+        nx, ny = t.column("nx").to_numpy()[row], flat("ny")
         unmet = np.minimum(*(v >> _LATE_ONES & _SIZE for v in (nx, ny)))  # n-grams that may be common but weren't multiplied
         nx, ny = nx & _SIZE, ny & _SIZE
-        fits = np.flatnonzero(100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny))
+        mine = (t.column("block").to_numpy()[row] >= 0) | (label < other)
+        fits = np.flatnonzero(mine & (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)))
         order = fits[np.lexsort((y[fits], x[fits]))]
         xs, ys = x[order], y[order]
         first = np.flatnonzero(np.concatenate([[True], (xs[1:] != xs[:-1]) | (ys[1:] != ys[:-1])])) if len(xs) else np.empty(0, np.int64)
@@ -172,8 +176,7 @@ def _product(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         rest = np.maximum(percent * nx[at].astype(np.int64) + 99, percent * ny[at].astype(np.int64) + 99) // 100 - 1
         some = (100 + percent) * (n + rest + unmet[at]) >= percent * (nx[at].astype(np.int64) + ny[at])  # as _enough()
         at, n = at[some], n[some]
-        cols = [x[at], y[at], t.column("label").to_numpy()[row[at]], t.column("other").to_numpy()[row[at]], n]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["x", "y", "label", "other", "common"])
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (x[at], y[at], label[at], other[at], n)], ["x", "y", "label", "other", "common"])
 
     held: list[pa.RecordBatch] = []  # whole rows of the keys not counted yet
     entries = 0
@@ -243,27 +246,36 @@ def _apart(shared: DataFrame, labels: DataFrame, scratch: C.Scratch, name: str)
     return out
 
 
-def _blocked_product(marked: DataFrame, sizes: DataFrame, one_block: bool, percent: int, hot: DataFrame | None) -> DataFrame:
+def _blocked_product(marked: DataFrame, sizes: DataFrame, one_block: bool, percent: int, hot: DataFrame | None, scratch: C.Scratch, name: str) -> DataFrame:
     """x, y, label, other, common of pairs with different labels that can link. Rows of the smaller component meet the
     members of the larger one in blocks of about COLUMN_BLOCK, so that a large component costs a row of the join for a
-    block. Entries that are late for a hot n-gram (hot: these, if any) don't meet each other. one_block: of components
-    larger than a block only their first one, and no others."""
+    block. Components of no more members share blocks, so that many small ones in one n-gram's group cost no more. Entries
+    that are late for a hot n-gram (hot: these, if any) don't meet each other. one_block: of components larger than a block
+    only their first one, and no others."""
     rows = marked.select("g", "n", "id", "label").join(sizes, "label")
-    block = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / COLUMN_BLOCK)).cast("int").alias("block")
+    # groups with more members of small components than a block holds
+    crowded = rows.where(F.col("size") <= COLUMN_BLOCK).groupBy("g").agg(F.count("*").alias("members")).where(F.col("members") > COLUMN_BLOCK)
+    crowded = scratch.save(crowded, f"crowded-{name}")
+    pools = -(-(crowded.agg(F.max("members")).first()[0] or 1) // POOL)
     late = lambda n: F.shiftright(n, _LATE) == 1
-    columns = rows.select("g", F.col("label").alias("other"), F.col("size").alias("other_size"), block, "id", "n", late("n").alias("late"))
+    pooled = F.col("size") <= COLUMN_BLOCK
+    block = F.when(pooled, -1 - F.pmod(F.xxhash64("id", F.lit(1)), F.lit(pools))).otherwise(F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / COLUMN_BLOCK)))
+    columns = rows.join(scratch.small(crowded, f"crowded-{name}"), "g", "left")
+    slice_ = F.when(pooled, F.pmod(F.xxhash64("id"), F.ceil(F.coalesce("members", F.lit(1)) / COLUMN_BLOCK))).otherwise(0)
+    columns = columns.select("g", F.when(pooled, 0).otherwise(F.col("label")).alias("other"), F.when(pooled, 0).otherwise(F.col("size")).alias("other_size"), block.cast("int").alias("block"), slice_.cast("int").alias("slice"), "id", "n", F.col("label").alias("l"), late("n").alias("late"))
     if one_block:
-        columns = columns.where((F.col("other_size") > COLUMN_BLOCK) & (F.col("block") == 0))
+        columns = columns.where("block = 0")
 
     def meet(rows: DataFrame, columns: DataFrame) -> DataFrame:
-        columns = columns.groupBy("g", "other", "other_size", "block").agg(F.collect_list(F.struct("id", "n")).alias("y"))
-        return rows.join(columns, "g").where("size < other_size or (size = other_size and label < other)")
+        columns = columns.groupBy("g", "other", "other_size", "block", "slice").agg(F.collect_list(F.struct("id", "n", "l")).alias("y"))  # about COLUMN_BLOCK
+        larger = F.expr("block >= 0 and (size < other_size or (size = other_size and label < other))")
+        return rows.join(columns, "g").where(larger | ((F.col("block") < 0) & pooled))
 
     if hot is None:
         met = meet(rows, columns)
     else:
         met = meet(rows, columns.where(~F.col("late"))).unionByName(meet(rows.where(~late("n")).join(hot, "g", "left_semi"), columns.where("late")))
-    met = met.select(F.col("id").alias("x"), F.col("n").alias("nx"), "label", "other", "block", F.col("y.id").alias("y"), F.col("y.n").alias("ny"))
+    met = met.select(F.col("id").alias("x"), F.col("n").alias("nx"), "label", "other", "block", F.col("y.id").alias("y"), F.col("y.n").alias("ny"), F.col("y.l").alias("ly"))
     met = met.repartition("x", "other", "block").sortWithinPartitions("x", "other", "block")
     return met.mapInArrow(lambda it: _product(it, percent), "x long, y long, label long, other long, common int")
 
@@ -378,7 +390,7 @@ def _with_components(docs: DataFrame, scratch: C.Scratch, k: int, percent: int)
         sizes = scratch.save(sizes, f"sizes-{step}")
         if step == "one" and not sizes.where(F.col("size") > COLUMN_BLOCK).limit(1).count():
             continue
-        product = _blocked_product(marked, scratch.small(sizes, f"sizes-{step}"), step == "one", percent, hot)
+        product = _blocked_product(marked, scratch.small(sizes, f"sizes-{step}"), step == "one", percent, hot, scratch, step)
         rest = product.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "label", "other", "common").join(done, ["a", "b"], "left_anti")
         rest = scratch.save(rest, f"rest-{step}")
         if not rest.limit(1).count():

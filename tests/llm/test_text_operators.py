@@ -868,12 +868,12 @@ def test_jaccard_batches(monkeypatch, entries):
     groups = collections.Counter((g, p) for g, p, _, _ in rows)
     assert len(give(80)) == sum(n for (_, p), n in groups.items() if p or n > 1)
     rows = sorted((rng.randrange(4), 10, rng.randrange(3), 1, 0, [rng.randrange(9) for _ in range(3)], [10] * 3) for _ in range(50))
-    rows = [(x, nx, 5, o, b, [10 * o + i for i in y], ny) for x, nx, o, _, b, y, ny in sorted(rows, key=lambda r: (r[0], r[2], r[4]))]
-    names = ["x", "nx", "label", "other", "block", "y", "ny"]
-    cut = lambda size: [pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[a : a + size]]) for c in range(7)], names) for a in range(0, 50, size)]
+    rows = [(x, nx, 5, o, b, [10 * o + i for i in y], ny, [o] * 3) for x, nx, o, _, b, y, ny in sorted(rows, key=lambda r: (r[0], r[2], r[4]))]
+    names = ["x", "nx", "label", "other", "block", "y", "ny", "ly"]
+    cut = lambda size: [pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[a : a + size]]) for c in range(8)], names) for a in range(0, 50, size)]
     give = lambda size: sorted(x for b in jaccard._product(iter(cut(size)), 80) for x in zip(*(b.column(c).to_pylist() for c in range(5))))
     assert give(50) == give(1) == give(7)
-    plain = {k: n for k, n in collections.Counter((x, o, y) for x, _, _, o, _, ys, _ in rows for y in ys).items() if 180 * (n + 7) >= 80 * 20}
+    plain = {k: n for k, n in collections.Counter((x, o, y) for x, _, _, o, _, ys, _, _ in rows for y in ys).items() if 180 * (n + 7) >= 80 * 20}
     assert {(r[0], r[3], r[1]): r[4] for r in give(50)} == plain
 
 
