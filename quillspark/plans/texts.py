@@ -8,27 +8,44 @@ from ..functions import text as T
 from ..functions import values as V
 from ..operators import asof, backfill, graphs, store
 from ..operators import config as C
+from ..operators import quotes as Q
 from ..streaming import flows as W
 from .base import fx, query
 from .scans import RUNS, runs
 from .statement import LINES, VALUES
 
 _LIST = lambda xs: "(" + ", ".join(f"'{x}'" for x in xs) + ")"
-_URL = "concat(url, CASE page_id % 4 WHEN 0 THEN '?apiKey=S1&ref=7&Access-Token=x#top' WHEN 1 THEN '/v2/secret_9?a=1&PASSWORD=p' WHEN 2 THEN '/0123456789abcdefghij_k/0x00112233445566778899aabbccddeeff00112233' ELSE '' END)"
+_URL = """concat(CASE WHEN page_id % 3 = 0 THEN replace(replace(url, 'https://', 'HTTPS://'), 'http://', 'Http://u:p@') ELSE url END, CASE page_id % 4
+  WHEN 0 THEN '?api%4Bey=S1&ref=7&Access-Token=x#top' WHEN 1 THEN '/v2/secret_9?a=1&PASSWORD=p' WHEN 2 THEN '/0123456789abcdefghij_k/0x00112233445566778899aabbccddeeff00112233' ELSE '' END)"""
 
 
-@query("scrub_urls", f"""
-u AS (SELECT page_id, {_URL} AS url FROM pages), p AS (SELECT page_id, url, regexp_extract(url, '^((?:https?|wss?)://)', 1) AS scheme, regexp_extract(url, '^(?:https?|wss?)://(?:[^/?#@]*@)?([^/?#]*)', 1) AS host,
-  list_filter(string_split(regexp_extract(url, '^(?:https?|wss?)://[^/?#]*([^?#]*)', 1), '/'), lambda s: s <> '') AS seg, list_filter(string_split(regexp_extract(url, '^[^?#]*\\?([^#]*)', 1), '&'), lambda q: q <> '') AS pars FROM u),
-k AS (SELECT *, list_filter(seg, lambda s, i: regexp_full_match(s, '0x([0-9a-fA-F]{{40}}|[0-9a-fA-F]{{64}})') OR NOT (
+def _scrub_sql(u):
+    """CTEs that scrub addresses: u has id and url; k gives id and clean."""
+    return f"""
+u AS ({u}), p AS (SELECT id, url, regexp_extract(url, '^((?i:https?|wss?)://)', 1) AS scheme, regexp_extract(url, '^(?i:https?|wss?)://(?:[^/?#@]*@)?([^/?#]*)', 1) AS host,
+  list_filter(string_split(regexp_extract(url, '^(?i:https?|wss?)://[^/?#]*([^?#]*)', 1), '/'), lambda s: s <> '') AS seg, string_split(regexp_extract(url, '^[^?#]*\\?([^#]*)', 1), '&') AS pars, regexp_matches(url, '^[^?#]*\\?') AS has FROM u),
+q AS (SELECT *, list_filter(seg, lambda s, i: regexp_full_match(s, '0x([0-9a-fA-F]{{40}}|[0-9a-fA-F]{{64}})') OR NOT (
     (i = len(seg) AND i > 1 AND coalesce(regexp_full_match(seg[i - 1], 'v[0-9]+'), false) AND regexp_full_match(s, '[A-Za-z0-9_-]{{8,}}') AND regexp_matches(s, '[0-9_]'))
-    OR regexp_full_match(s, '[A-Za-z0-9_-]{{20,}}') AND regexp_matches(s, '[0-9]'))) AS kept, list_filter(pars, lambda q: regexp_replace(lower(string_split(q, '=')[1]), '[-_]', '', 'g') NOT IN {_LIST(T.SECRET_PARAMETERS)}) AS shown FROM p)
----
-SELECT page_id, CASE WHEN scheme = '' THEN url ELSE scheme || host || '/' || array_to_string(kept, '/') || CASE WHEN len(shown) > 0 THEN '?' || array_to_string(shown, '&') ELSE '' END END AS url FROM k""")
+    OR regexp_full_match(s, '[A-Za-z0-9_-]{{20,}}') AND regexp_matches(s, '[0-9]'))) AS kept, list_filter(pars, lambda x: regexp_replace(lower(url_decode(string_split(x, '=')[1])), '[-_]', '', 'g') NOT IN {_LIST(T.SECRET_PARAMETERS)}) AS open FROM p),
+r AS (SELECT *, CASE WHEN len(open) = len(pars) THEN open ELSE list_transform(open, lambda x: url_encode(url_decode(string_split(x, '=')[1])) || '=' || url_encode(url_decode(regexp_replace(x, '^[^=]*=?', '')))) END AS shown FROM q),
+k AS (SELECT id, CASE WHEN scheme = '' THEN url ELSE lower(scheme) || lower(host) || '/' || array_to_string(kept, '/') || CASE WHEN has AND len(shown) > 0 THEN '?' || array_to_string(shown, '&') ELSE '' END END AS clean FROM r)"""
+
+
+@query("scrub_urls", _scrub_sql(f"SELECT page_id AS id, {_URL} AS url FROM pages") + " --- SELECT id AS page_id, clean AS url FROM k")
 def scrub_urls(spark, sf):
     return fx(spark, sf, "pages").selectExpr("page_id", f"{_URL} AS url").select("page_id", T.scrubbed(F.col("url")).alias("url"))
 
 
+@query("scrub_locators", _scrub_sql(f"SELECT page_id AS id, {_URL} AS url FROM pages") + """ ---
+SELECT id AS page_id, concat('{"endpoint":"', clean, '","headers":{},"auth":"","token":"kept","params":[{"note":"see ', clean, ' twice ', clean, '","n":', id, '}]}') AS shown FROM k""")
+def scrub_locators(spark, sf):
+    """Locators with addresses at several depths, secret entries, headers and auth."""
+    url = F.expr(_URL)
+    parts = ['{"endpoint":"', url, '","headers":{"x":"', url, '"},"auth":"a","Api-Key":"k","token":"kept","params":[{"note":"see ', url, " twice ", url, '","n":', F.col("page_id").cast("string"), ',"private_key":["', url, '"]}]}']
+    locator = F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    return fx(spark, sf, "pages").select("page_id", T.scrubbed_locator(locator).alias("shown"))
+
+
 @query("reading_detail", """SELECT event_id, concat('{"k":', json_extract_string(props, '$.k'), ',"source":"', event_type, '","list":[1,true,null],"deep":{"day":"d', user_id, '","n":[', user_id, ']}}') AS shown FROM events""")
 def reading_detail(spark, sf):
     """Texts that are not ours are dropped at any depth."""
@@ -39,21 +56,97 @@ def reading_detail(spark, sf):
     return e.select("event_id", T.reading_of(detail).alias("shown"))
 
 
-_PAGE = "concat('<div><p>Page number ', page_id, ' of the <b>shop</b> reports sales of ', page_id * 3, ' units<br>and more</p><ul><li>First &ndash; “item” ', page_id, '</li><li>Second</li></ul><script>Page number x</script>see [our list](http://x/y) of goods</div>')"
+_INLINE = "|".join(T.INLINE_TAGS)
+_SPLIT = "'\n[ \t\r]*\n'"
+
+
+def _plain(x):
+    """SQL of a text without tags, entities, typographic marks and runs of white space."""
+    x = f"regexp_replace({x}, '<[^>]*>', ' ', 'g')"
+    x = rf"regexp_replace({x}, '!?\[((?:[^\[\]]|\[[^\[\]]*\])*)\]\([^\s()]*(?:\([^\s()]*\)[^\s()]*)*\)', '\1', 'g')"
+    x = f"replace({x}, '&#233;', 'é')"
+    for entity, character in T.ENTITIES.items():
+        x = f"regexp_replace({x}, '(?i)&{entity};', '{character.replace(chr(39), chr(39) * 2)}', 'g')"
+    x = f"translate({x}, '‘’‚′“”„″‐‑‒–—―−', '{chr(39) * 8}\"\"\"\"-------')"
+    return rf"trim(regexp_replace({x}, '[\s\x{{00A0}}]+', ' ', 'g'))"
+
+
+#: bl: page_id, block of the real pages, whose é are written as numeric entities; wh: page_id, url and the whole plain text.
+_BLOCKS = rf"""
+pg AS (SELECT page_id, url, html, regexp_replace(replace(html, 'é', '&#233;'), '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>', chr(10) || chr(10), 'g') AS body FROM pages),
+c1 AS (SELECT page_id, unnest(range(1, len(x) + 1)) AS c, unnest(x) AS chunk FROM (SELECT page_id, regexp_split_to_array(body, {_SPLIT}) AS x FROM pg)),
+c2 AS (SELECT page_id, c, regexp_replace(regexp_replace(chunk, '\s+', ' ', 'g'), '(?i)<(/?(?:{_INLINE})(?:[^a-z0-9>-][^>]*)?)>', chr(1) || '\1' || chr(2), 'g') AS x FROM c1),
+c3 AS (SELECT page_id, c, translate(regexp_replace(regexp_replace(x, '(?i)</?br(?:[^a-z0-9>-][^>]*)?>', chr(10), 'g'), '(?i)</?[a-z][a-z0-9-]*\b[^>]*>', chr(10) || chr(10), 'g'), chr(1) || chr(2), '<>') AS x FROM c2),
+c4 AS (SELECT page_id, c, unnest(range(1, len(x) + 1)) AS h, unnest(x) AS part FROM (SELECT page_id, c, regexp_split_to_array(x, {_SPLIT}) AS x FROM c3)),
+c5 AS (SELECT page_id, c, h, unnest(range(1, len(x) + 1)) AS l, unnest(x) AS line FROM (SELECT page_id, c, h, string_split(part, chr(10)) AS x FROM c4)),
+c6 AS (SELECT page_id, c, h, l, {_plain("line")} AS line FROM c5),
+c7 AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^[a-z]') THEN 0 ELSE 1 END) OVER (PARTITION BY page_id, c, h ORDER BY l) AS g FROM c6 WHERE line <> ''),
+bl AS (SELECT page_id, string_agg(line, ' ' ORDER BY l) AS block FROM c7 GROUP BY page_id, c, h, g),
+wh AS (SELECT page_id, url, {_plain("body")} AS whole FROM pg)"""
+
+
+def _pages(spark, sf):
+    return fx(spark, sf, "pages").selectExpr("page_id", "url", "html", "replace(html, 'é', '&#233;') as text")
 
 
-@query("page_blocks", """SELECT page_id, unnest([concat('Page number ', page_id, ' of the shop reports sales of ', page_id * 3, ' units and more'), concat('First - "item" ', page_id), 'Second', 'see our list of goods']) AS block FROM pages""")
+@query("page_blocks", _BLOCKS + " --- SELECT page_id, block FROM bl")
 def page_blocks(spark, sf):
-    pages = fx(spark, sf, "pages").selectExpr("page_id", f"{_PAGE} AS page")
-    return pages.select("page_id", F.explode(T.text_blocks(F.col("page"))).alias("block"))
+    """The blocks of the whole pages."""
+    return Q.page_pieces(_pages(spark, sf), "page_id").select("page_id", F.col("text").alias("block"))
 
 
-@query("quote_verdicts", """SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'found' WHEN 1 THEN 'not found' WHEN 2 THEN 'too short' ELSE 'not found' END AS verdict FROM pages""")
+_AD = "regexp_extract(html, '<div class=\"ad\">([^<]*)<', 1)"
+_QUOTES = f"""
+SELECT page_id AS quote_id, CASE page_id % 5 WHEN 4 THEN concat(url, '/nowhere') WHEN 3 THEN concat(replace(url, 'http', 'HTTP'), '#part') ELSE url END AS url,
+  CASE page_id % 5 WHEN 1 THEN concat(regexp_extract(html, '<h1>([^<]*)<', 1), ' ', substr(regexp_extract(html, '<p><b>([^<]*)<', 1), 1, 30)) WHEN 2 THEN substr({_AD}, 1, 15) WHEN 3 THEN lead({_AD}) OVER (ORDER BY page_id) ELSE {_AD} END AS quote
+FROM {{pages}}"""
+_NURL = "regexp_replace(lower(regexp_extract(url, '^[^:]*://[^/?#]*')) || regexp_replace(regexp_replace(url, '^[^:]*://[^/?#]*', ''), '#.*', ''), '/$', '')"
+
+
+@query("quote_verdicts", _BLOCKS + f""",
+qs AS ({_QUOTES.replace("{pages}", "pages")}), qp AS (SELECT quote_id, {_NURL} AS u, {_plain("coalesce(quote, '')")} AS quote FROM qs), pu AS (SELECT page_id, whole, {_NURL} AS u FROM wh)
+---
+SELECT quote_id, CASE WHEN length(quote) < 20 THEN 'quote_too_short' WHEN NOT EXISTS (SELECT 1 FROM pu WHERE pu.u = qp.u) THEN 'not_fetched' WHEN EXISTS (SELECT 1 FROM pu JOIN bl USING (page_id) WHERE pu.u = qp.u AND contains(block, quote)) THEN 'found'
+  WHEN EXISTS (SELECT 1 FROM pu WHERE pu.u = qp.u AND contains(whole, quote)) THEN 'quote_spans_blocks' ELSE 'quote_not_found' END AS verdict FROM qp""")
 def quote_verdicts(spark, sf):
-    """Quotes in one block are found, in other dashes and quotation marks too; spliced from two blocks they aren't."""
-    quote = """CASE page_id % 4 WHEN 0 THEN concat('the shop  reports sales of ', page_id * 3, ' units and') WHEN 1 THEN concat('sales of ', page_id * 3, ' units and more First') WHEN 2 THEN 'the shop' ELSE concat('the shop reports sales of ', page_id * 3 + 1, ' units') END AS quote"""
-    pages = fx(spark, sf, "pages").selectExpr("page_id", f"{_PAGE} AS page", quote)
-    return pages.select("page_id", T.quote_verdict(F.col("quote"), T.text_blocks(F.col("page"))).alias("verdict"))
+    """Quotes of each page's own words, spliced from two blocks, too short, of another page, and of a page not fetched."""
+    quotes = spark.sql(_QUOTES, pages=fx(spark, sf, "pages")).withColumn("quote", F.coalesce("quote", F.lit("")))
+    return Q.cited(quotes, _pages(spark, sf).select("url", "text"))
+
+
+@query("quote_places", _BLOCKS + f""",
+qs AS (SELECT min(page_id) AS quote_id, quote FROM (SELECT page_id, {_plain(_AD)} AS quote FROM pages) WHERE length(quote) >= 20 GROUP BY quote)
+---
+SELECT quote_id, page_id, count(*) AS n FROM qs JOIN bl ON contains(block, quote) GROUP BY quote_id, page_id""")
+def quote_places(spark, sf):
+    """Every advertisement's words, looked for in the blocks of all pages."""
+    pages = _pages(spark, sf)
+    quotes = pages.select("page_id", T.plain_text(F.expr(_AD)).alias("quote")).where("char_length(quote) >= 20").groupBy("quote").agg(F.min("page_id").alias("quote_id"))
+    pieces = W.saved(Q.page_pieces(pages, "page_id"), spark, "pieces")
+    return Q.found_in(W.saved(quotes, spark, "quotes"), pieces, "page_id").groupBy("quote_id", "page_id").agg(F.count("*").alias("n"))
+
+
+_LINE = "concat('[', lpad(CAST(turn AS VARCHAR(9)), 2, '0'), ':00] ', replace(text, chr(10), ' '))"
+
+
+@query("transcript_quotes", f"""
+sg AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, turn, replace(text, chr(10), ' ') AS t FROM conversations),
+x AS (SELECT conv_id, max(t) FILTER (WHERE i = 0) AS t0, max(t) FILTER (WHERE i = 1) AS t1, max(t) FILTER (WHERE i = 2) AS t2, max(t) FILTER (WHERE i = 3) AS t3, string_agg(t, ' ' ORDER BY i) AS whole FROM sg GROUP BY conv_id),
+q AS (SELECT conv_id, {_plain("whole")} AS whole, {_plain("coalesce(CASE conv_id % 4 WHEN 0 THEN right(t0, 25) || ' ' || left(t1, 25) WHEN 1 THEN left(t1, 60) WHEN 2 THEN right(t0, 9) || ' ' || t1 || ' ' || t2 || ' ' || left(t3, 9) ELSE '[01:00] ' || left(t1, 30) END, '')")} AS quote FROM x),
+w AS (SELECT conv_id, turn, i, unnest([1, 2, 3]) AS n, unnest([t, concat(t, ' ', lead(t) OVER v), concat(t, ' ', lead(t) OVER v, ' ', lead(t, 2) OVER v)]) AS t, unnest([true, lead(t) OVER v IS NOT NULL, lead(t, 2) OVER v IS NOT NULL]) AS ok FROM sg WINDOW v AS (PARTITION BY conv_id ORDER BY i)),
+f AS (SELECT q.conv_id, arg_min(w.turn, struct_pack(n := n, i := i)) AS turn FROM q JOIN (SELECT conv_id, turn, i, n, {_plain("t")} AS t FROM w WHERE ok) w ON w.conv_id = q.conv_id AND contains(w.t, q.quote) WHERE length(q.quote) >= 20 GROUP BY q.conv_id)
+---
+SELECT q.conv_id AS quote_id, CASE WHEN length(quote) < 20 THEN 'quote_too_short' WHEN f.conv_id IS NOT NULL THEN 'found' WHEN contains(whole, quote) THEN 'quote_spans_blocks' ELSE 'quote_not_found' END AS verdict,
+  CASE WHEN f.conv_id IS NOT NULL THEN concat(lpad(CAST(f.turn AS VARCHAR), 2, '0'), ':00') END AS locator FROM q LEFT JOIN f USING (conv_id)""")
+def transcript_quotes(spark, sf):
+    """Quotes over one, two and four segments of each conversation, and one that copies a stamp."""
+    turns = fx(spark, sf, "conversations").withColumn("t", F.expr("replace(text, chr(10), ' ')"))
+    line = F.expr(_LINE)
+    lists = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line"), "t"))).alias("s"))  # a conversation's turns
+    t = lambda i: f"get(s, {i}).t"
+    quote = f"coalesce(case conv_id % 4 when 0 then concat(right({t(0)}, 25), ' ', left({t(1)}, 25)) when 1 then left({t(1)}, 60) when 2 then concat(right({t(0)}, 9), ' ', {t(1)}, ' ', {t(2)}, ' ', left({t(3)}, 9)) else concat('[01:00] ', left({t(1)}, 30)) end, '')"
+    lists = W.saved(lists.selectExpr("conv_id", "array_join(transform(s, x -> x.line), '\n') as text", f"{quote} as quote"), spark, "transcripts")
+    return Q.cited_transcripts(lists.selectExpr("conv_id as quote_id", "conv_id as doc_id", "quote"), lists.selectExpr("conv_id as doc_id", "text"))
 
 
 _SOURCES = "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'measured' WHEN 1 THEN 'derived' ELSE 'disclosed' END AS method, CASE user_id % 6 WHEN 0 THEN 'log_scan' WHEN 1 THEN 'contract_state' WHEN 2 THEN 'third_party' WHEN 3 THEN 'constant' WHEN 4 THEN 'first_party_api' ELSE 'pool_scan' END AS source_type, CASE WHEN event_id % 5 = 0 THEN 'chain.supply' WHEN event_id % 5 = 1 THEN 'api.book' END AS adapter, CASE WHEN event_id % 7 = 0 THEN 'manual_sum' WHEN event_id % 7 = 1 THEN 'ratio' END AS formula, CASE WHEN event_id % 11 = 0 THEN 'api' END AS input_origin FROM fx_events"

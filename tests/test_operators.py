@@ -236,14 +236,9 @@ def test_fill_prices(spark, tmp_path):
     assert sizes == [4, 13, 22, 31, 36] and spark.read.parquet(path).distinct().count() == 36
 
 
-def test_quotes_and_details(spark):
+def test_details(spark):
     from quillspark.functions import text as T
 
-    page = "<div>Revenue grew by <b>12&nbsp;percent</b> to $4 million in&#8203; May.<br>and it held</div><td>Fees</td><td>900 of them, in all</td>\nplain &amp; “simple” text — here"
-    rows = [("grew by 12 percent to $4 million in", "found"), ("in May. and it held Fees", "not found"), ("Fees 900 of them, in all", "not found"), ("900 of them", "too short"), ('plain & "simple" text - here', "found")]
-    df = spark.createDataFrame([(i, q, page.replace("&#8203;", "")) for i, (q, _) in enumerate(rows)], "i int, q string, page string")
-    got = [r.v for r in df.select("i", T.quote_verdict(F.col("q"), T.text_blocks(F.col("page"))).alias("v")).orderBy("i").collect()]
-    assert got == [v for _, v in rows]
     details = ['{"a":1,"note":"x","day":"2024-01-01","list":["a",2,{"tx":"0x1","y":"z"}]}', '"text"', "3", "no json", None]
     got = [r.v for r in spark.createDataFrame([(i, d) for i, d in enumerate(details)], "i int, d string").select("i", T.reading_of("d").alias("v")).orderBy("i").collect()]
     assert got == ['{"a":1,"day":"2024-01-01","list":[2,{"tx":"0x1"}]}', None, "3", None, None]
