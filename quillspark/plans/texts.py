@@ -9,6 +9,7 @@ from ..functions import values as V
 from ..operators import asof, backfill, graphs, store
 from ..operators import config as C
 from ..operators import quotes as Q
+from ..sources import strict as S
 from ..streaming import flows as W
 from .base import fx, query
 from .scans import RUNS, runs
@@ -344,3 +345,51 @@ def line_issues(spark, sf):
     metrics = spark.createDataFrame([(m, "flow", "usd") for m in ("a", "b", "c", "d", "t", "t1", "t2")] + [("r", "ratio", None), ("lv", "level", "usd")], "metric string, kind string, unit string")
     parts = spark.createDataFrame([("t", "t1"), ("t", "t2")], "total string, part string")
     return C.line_issues(lines, metrics, parts)
+
+
+#: The schema of the derived config files.
+RULES = [
+    S.Rule("", "object"), S.Rule("id", "string", True, pattern="^n[0-9]+$"), S.Rule("chain", "string", choices=("a", "b")), S.Rule("metrics", "object", True, fewest=1),
+    S.Rule("metrics.*", "object"), S.Rule("metrics.*.type", "string", True, choices=("flow", "level")), S.Rule("metrics.*.unit", "string", True), S.Rule("metrics.*.share", "number", low=0.0, high=1.0),
+    S.Rule("metrics.*.inputs", "list", fewest=1), S.Rule("metrics.*.inputs[]", "string|integer"),
+]
+_FACTS = "SELECT c_custkey, c_nationkey, c_custkey % 13 = 0 AS typed, c_custkey % 17 = 0 AS odd, c_custkey % 19 <> 0 AS has_unit, floor(c_acctbal) / 8192 AS share, c_custkey % 23 = 0 AS bare, c_custkey % 29 = 0 AS other FROM {customer}"
+
+
+@query("strict_config", f"""
+f AS ({_FACTS.replace("{customer}", "customer")}), g AS (SELECT concat('n', c_nationkey) AS name, concat('metrics.m', c_custkey) AS p, * FROM f), b AS (SELECT c_nationkey, max(c_acctbal) < 9990 AS low FROM customer GROUP BY c_nationkey)
+---
+SELECT name, p || '.type' AS path, 'is not string' AS issue FROM g WHERE typed UNION ALL SELECT name, p || '.units', 'is not known' FROM g WHERE odd UNION ALL SELECT name, p || '.unit', 'is missing' FROM g WHERE NOT has_unit
+UNION ALL SELECT name, p || '.share', 'is out of bounds' FROM g WHERE share < 0 OR share > 1 UNION ALL SELECT name, p || '.inputs', 'has too few entries' FROM g WHERE bare
+UNION ALL SELECT name, p || '.inputs[1]', 'is not string or integer' FROM g WHERE other AND NOT bare UNION ALL SELECT name, p || '.type', 'is none of flow, level' FROM g WHERE c_custkey % 31 = 0 AND NOT typed
+UNION ALL SELECT concat('n', c_nationkey), 'chain', 'is none of a, b' FROM b WHERE low UNION ALL SELECT concat('n', c_nationkey), 'id', 'has another form' FROM b WHERE c_nationkey % 7 = 3""")
+def strict_config(spark, sf):
+    """A config file for each nation, JSON and YAML, with a metric for each of its customers, some of them faulty."""
+    rows = spark.sql(_FACTS, customer=fx(spark, sf, "customer"))
+    kind = F.when(F.col("typed"), F.lit("7")).when(F.col("c_custkey") % 31 == 0, F.lit('"ratio"')).otherwise(F.lit('"flow"'))
+    unit = F.when(F.col("has_unit"), F.lit(',"unit":"usd"')).otherwise("")
+    inputs = F.when(F.col("bare"), F.lit("[]")).when(F.col("other"), F.lit('["a",true]')).otherwise(F.lit('["a",3]'))
+    metric = F.concat(F.lit('"m'), "c_custkey", F.lit('":{"type":'), kind, unit, F.when(F.col("odd"), F.lit(',"units":"eur"')).otherwise(""), F.lit(',"share":'), "share", F.lit(',"inputs":'), inputs, F.lit("}"))
+    files = rows.groupBy("c_nationkey").agg(F.array_join(F.array_sort(F.collect_list(metric)), ",").alias("metrics"))  # a file's
+    chains = fx(spark, sf, "customer").groupBy("c_nationkey").agg(F.when(F.max("c_acctbal") < 9990, "x").otherwise("a").alias("chain"))
+    own = F.when(F.col("c_nationkey") % 7 == 3, "who").otherwise(F.concat(F.lit("n"), "c_nationkey"))
+    text = F.concat(F.lit('{"id":"'), own, F.lit('","chain":"'), "chain", F.lit('","metrics":{'), "metrics", F.lit("}}"))
+    text = F.when(F.col("c_nationkey") % 2 == 0, F.concat(F.lit("# a note\n"), text)).otherwise(text)  # JSON with a comment is YAML
+    files = files.join(chains, "c_nationkey").select(F.concat(F.lit("n"), "c_nationkey").alias("name"), F.when(F.col("c_nationkey") % 2 == 0, "yaml").otherwise("json").alias("form"), text.alias("text"))
+    return S.issues(W.saved(S.parsed(files), spark, "configs"), RULES)
+
+
+@query("partition_proofs", """
+l AS (SELECT c_nationkey AS asset, c_custkey AS line, c_mktsegment AS metric, concat('s', c_custkey % 4) AS "by", CASE WHEN c_custkey % 50 = 0 THEN 't2' ELSE 't1' END AS total FROM customer WHERE c_custkey % 3 = 0),
+c AS (SELECT c_nationkey AS asset, list_sort(list(DISTINCT concat('s', c_custkey % 4))) AS parts, min(c_custkey) % 2 = 0 AS tight FROM customer WHERE c_mktsegment = 'BUILDING' GROUP BY c_nationkey),
+s AS (SELECT asset, metric, count(DISTINCT total) AS totals, count(*) AS n, list_sort(list(DISTINCT "by")) AS parts, min(total) AS total FROM l GROUP BY asset, metric)
+---
+SELECT asset, metric, CASE WHEN totals > 1 THEN 'lines name different totals' WHEN len(s.parts) < n THEN 'a part is named twice' WHEN tight IS NULL THEN 'needs a sum check of its parts' ELSE 'its sum check must be daily and tight' END AS issue
+FROM s LEFT JOIN c USING (asset, parts) WHERE totals > 1 OR len(s.parts) < n OR total <> 't1' OR tight IS NULL OR NOT tight""")
+def partition_proofs(spark, sf):
+    c = fx(spark, sf, "customer")
+    part = F.concat(F.lit("s"), F.col("c_custkey") % 4)
+    lines = c.where("c_custkey % 3 = 0").select(F.col("c_nationkey").alias("asset"), F.col("c_custkey").alias("line"), F.col("c_mktsegment").alias("metric"), part.alias("by"), F.when(F.col("c_custkey") % 50 == 0, "t2").otherwise("t1").alias("total"))
+    checks = c.where("c_mktsegment = 'BUILDING'").groupBy(F.col("c_nationkey").alias("asset")).agg(F.collect_set(part).alias("parts"), F.when(F.min("c_custkey") % 2 == 0, 0.0).otherwise(0.5).alias("tolerance_pct"))  # four parts
+    checks = checks.select("asset", F.lit("c").alias("check"), F.array(F.lit("t1")).alias("total"), "parts", F.lit(1).alias("window_days"), "tolerance_pct", F.lit(1.0).alias("tolerance_abs"))
+    return S.partition_issues(lines, checks)
