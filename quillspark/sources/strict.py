@@ -82,8 +82,9 @@ def parsed(files: DataFrame) -> DataFrame:
 
 
 def _kind(value: str) -> Column:
-    shape = F.schema_of_variant(value)
-    whole = shape == "BIGINT"
+    shape, number = F.schema_of_variant(value), F.try_variant_get(value, "$", "double")
+    # a written VARIANT may come back as another type of number; 30.0 is whole too
+    whole = (shape == "BIGINT") | (shape.startswith("DECIMAL") & (number == F.floor(number)))
     return (
         F.when(shape.startswith("OBJECT"), "object").when(shape.startswith("ARRAY"), "list").when(shape == "STRING", "string").when(shape == "BOOLEAN", "boolean")
         .when(whole, "integer").when(shape.startswith("DECIMAL") | shape.isin("DOUBLE", "FLOAT"), "number").otherwise("null")
