@@ -46,6 +46,15 @@ def base58_bytes(text: pd.Series) -> pd.Series:
     return pd.Series([one(t) for t in text], dtype="Int32")
 
 
+def base58(data: bytes) -> str:
+    """A leading zero byte is a leading one; the rest are the digits of the number."""
+    value, digits = int.from_bytes(data, "big"), ""
+    while value:
+        value, rest = divmod(value, 58)
+        digits = BASE58[rest] + digits
+    return "1" * (len(data) - len(data.lstrip(b"\0"))) + digits
+
+
 def tick_price(tick: Column, decimals_in: int, decimals_out: int) -> Column:
     """Price of a pool at a tick."""
     return F.pow(F.lit(1.0001), tick) * F.lit(float(10 ** (decimals_in - decimals_out)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import chain as X
 from ..operators import asof
+from ..operators import offchain as O
 from .base import fx, query
 
 
@@ -172,3 +173,54 @@ def calendar_functions(spark, sf):
 def retire_guard(spark, sf):
     gone = F.count_if(F.col("c_custkey") % 3 == 0)
     return fx(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("registry")).agg(gone.alias("gone"), ((gone > 2) | (gone == F.count("*"))).alias("refused"))
+
+
+@query("candle_closes", """
+c AS (SELECT event_type AS market, hour, arg_max(round(v + 1, 4), event_id) AS close FROM fx_events WHERE event_id % 6 <> 0 AND v > 1 GROUP BY event_type, hour)
+---
+SELECT market, hour + 473352 AS hour, close FROM c""")
+def candle_closes(spark, sf):
+    """Candle lists of two forms, in seconds and milliseconds, with closes as numbers and texts, some of them none."""
+    e = fx(spark, sf, "fx_events").withColumns({"s": (F.col("hour") + 473_352) * 3600 + F.when(F.col("event_id") % 6 == 0, 1800).otherwise(0), "x": F.when(F.col("v") > 1, F.round(F.col("v") + 1, 4)).otherwise(-1.0)})
+    text = F.col("event_type").isin("click", "view")
+    number = F.format_string("%.4f", "x")
+    candle = F.when(text, F.concat(F.lit('{"t":'), (F.col("s") * 1000).cast("string"), F.lit(',"c":"'), number, F.lit('"}'))).otherwise(F.concat(F.lit('{"timestamp":'), F.col("s").cast("string"), F.lit(',"close":'), number, F.lit("}")))
+    lists = e.groupBy(F.col("event_type").alias("market"), F.expr("hour div 100").alias("page")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", candle.alias("c")))), lambda x: x["c"]), ",").alias("c"))  # a reply's
+    reply = F.when(F.col("market").isin("click", "view"), F.concat(F.lit("["), "c", F.lit("]"))).otherwise(F.concat(F.lit('{"candlesticks":['), "c", F.lit("]}")))
+    return O.candle_closes(lists.select("market", reply.alias("reply")), "market")
+
+
+@query("vault_swap_prices", """
+t AS (SELECT event_type AS pool, hour * 3600 + event_id % 3600 AS ts, event_id AS seq, event_id % 5 = 0 AS failed, CASE WHEN user_id % 4 <> 0 AND event_id % 7 <> 0 THEN (event_id + 1)::DOUBLE / (floor(v * 64) + 1) END AS price FROM fx_events),
+h AS (SELECT pool, unnest(range(0, 730)) AS hour FROM (SELECT DISTINCT pool FROM t)), o AS (SELECT pool, min(ts) AS oldest FROM t GROUP BY pool),
+r AS (SELECT h.pool, h.hour, t.ts, t.price, row_number() OVER (PARTITION BY h.pool, h.hour ORDER BY t.ts DESC, seq DESC) AS r FROM h JOIN t ON t.pool = h.pool AND NOT failed AND t.ts < (h.hour + 1) * 3600 AND t.ts >= (h.hour - 5) * 3600),
+g AS (SELECT pool, hour, arg_min(price, r) FILTER (WHERE price IS NOT NULL AND r <= 2) AS price, arg_min(ts, r) FILTER (WHERE price IS NOT NULL AND r <= 2) AS ts, max(r) AS n FROM r GROUP BY pool, hour)
+---
+SELECT h.pool, h.hour, round(price, 9) AS price, (h.hour + 1) * 3600 - ts AS age, CASE WHEN price IS NOT NULL THEN NULL WHEN n > 2 THEN 'read_budget_spent' WHEN oldest < (h.hour - 5) * 3600 THEN 'stale_swap' ELSE 'no_swap' END AS reason
+FROM h JOIN o USING (pool) LEFT JOIN g USING (pool, hour)""")
+def vault_swap_prices(spark, sf):
+    """Prices of every hour from the newest usable swap, two reads an hour; hours go on behind the last swap."""
+    e = fx(spark, sf, "fx_events")
+    base = F.when(F.col("user_id") % 4 == 0, "0").otherwise(F.concat((F.floor(F.col("v") * 64) + 1).cast("string"), F.lit("000000000")))
+    quote = F.when(F.col("event_id") % 7 == 0, "none").otherwise(F.concat((F.col("event_id") + 1).cast("string"), F.lit("000000")))
+    t = e.select(F.col("event_type").alias("pool"), (F.col("hour") * 3600 + F.col("event_id") % 3600).alias("at"), F.col("event_id").alias("seq"), (F.col("event_id") % 5 == 0).alias("failed"), O.vault_price(base, quote, F.lit(9), F.lit(6)).alias("price"))
+    hours = e.select(F.col("event_type").alias("pool")).distinct().select("pool", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(729).cast("long"))).alias("hour"))
+    return O.last_swaps(t, hours, budget=2).withColumn("price", F.round("price", 9))
+
+
+def _b58(n):
+    """SQL of the base-58 text of a key of 32 bytes that is the number n, of three bytes at most."""
+    digit = lambda power: f"substr('{X.BASE58}', ({n} // {58**power}) % 58 + 1, 1)"
+    more = " || ".join(f"CASE WHEN {n} >= {58**p} THEN {digit(p)} ELSE '' END" for p in (3, 2, 1))
+    return f"repeat('1', CASE WHEN {n} < 256 THEN 31 WHEN {n} < 65536 THEN 30 ELSE 29 END) || {more} || {digit(0)}"
+
+
+@query("pair_accounts", f"""
+SELECT p_partkey, CASE WHEN p_partkey % 9 <> 0 THEN {_b58("(p_partkey * 7)")} END AS mint_x, CASE WHEN p_partkey % 9 <> 0 THEN {_b58("(p_partkey * 131)")} END AS reserve_y, CASE WHEN p_partkey % 9 = 0 THEN 'too short' END AS reason FROM part""")
+def pair_accounts(spark, sf):
+    """Accounts of pairs as base-64 bytes, with mints and reserves as big-endian keys of 32 bytes."""
+    k = F.col("p_partkey").cast("long")
+    key = lambda x: F.lpad(F.hex(x), 64, "0")
+    data = F.concat(F.lit("00" * O.MINT_X), key(k * 7), key(k * 11), key(k * 13), key(k * 131))
+    data = F.base64(F.unhex(F.when(k % 9 == 0, F.substring(data, 1, 400)).otherwise(data)))
+    return fx(spark, sf, "part").select("p_partkey", O.pair_account(F.regexp_replace(data, r"[\r\n]", "")).alias("p")).select("p_partkey", "p.mint_x", "p.reserve_y", "p.reason")
