@@ -19,6 +19,8 @@ def stream_daily(spark, sf):
 
 
 _HOUR = "CAST((extract(doy FROM ts) - 1) * 24 + extract(hour FROM ts) AS BIGINT)"
+#: Hours from 1970 to the first hour of the derived tables.
+_EPOCH = 473_352
 #: Landed parts, each taken by a run of its own.
 _PARTS = 3
 
@@ -76,9 +78,10 @@ SELECT token_ref, hour FROM b WHERE k = 2 AND fr = 1""")
 def stream_breaches(spark, sf):
     """Every seventh hour comes with the next part only, so that runs are joined and cut afterwards."""
     g = fx(spark, sf, "fx_prices").groupBy("token_ref", "hour").agg(F.when(F.count("*") % 5 != 0, F.max("price") - F.min("price")).alias("gap")).withColumn("fresh", F.col("hour") % 3 == 0)
-    part = F.expr("least(2, hour div 250 + if(hour % 7 = 3, 1, 0))")
+    part = F.expr(f"least(2, (hour - {_EPOCH}) div 250 + if((hour - {_EPOCH}) % 7 = 3, 1, 0))")
+    g = g.withColumn("hour", F.col("hour") + _EPOCH)
     take = lambda stream, folder: S.numbered(S.breach_changes(stream, 20.0, 2, "token_ref", late="700 hours"), spark, folder)
-    return S.open_breaches(_runs(spark, g, part, "stream-breaches", take), "token_ref")
+    return S.open_breaches(_runs(spark, g, part, "stream-breaches", take), "token_ref").select("token_ref", (F.col("hour") - _EPOCH).alias("hour"))
 
 
 @query("stream_latest", "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id")
