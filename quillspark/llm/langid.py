@@ -56,8 +56,10 @@ def markup_text(page: bytes) -> bytes:
         if at == tag:  # an ordinary tag, or no tag
             if 0 <= close <= tag:
                 close = page.find(b">", tag)
+            if close < 0:  # nothing ends any more, so the rest is text
+                break
             again = page.find(b"<", tag + 1)
-            if 0 <= close and (again < 0 or close < again):
+            if again < 0 or close < again:
                 at = close + 1
             else:
                 kept.append(b"<")
