@@ -1,5 +1,10 @@
 """Strict config files and proofs of partitions."""
 
+import json
+
+import pytest
+import yaml
+
 from quillspark.sources import strict as S
 
 RULES = [
@@ -33,6 +38,37 @@ def test_files(spark, tmp_path):
     }
 
 
+def test_long_file(spark, monkeypatch):
+    """A level's rows are as long as its values: none carries the names of its whole file, as VARIANT does."""
+    names = [f"entry {i:05}" for i in range(3000)]
+    text = json.dumps({"id": "a", "metrics": {n: {"type": "flow" if i % 1000 else "other", "own": i} for i, n in enumerate(names)}})
+    files = spark.createDataFrame([("j", "json", text), ("y", "yaml", "# a note\n" + text)], "name string, form string, text string")
+    written = []
+
+    def saved(rows, spark, name, real=S.saved):
+        written.append(real(rows, spark, name))
+        return written[-1]
+
+    monkeypatch.setattr(S, "saved", saved)
+    got = [tuple(r) for r in S.issues(S.parsed(files), RULES).collect()]
+    due = {(f, f"metrics.{n}.own", "is not known") for f in "jy" for n in names} | {(f, f"metrics.{n}.type", "is none of flow, level") for f in "jy" for n in names[::1000]}
+    assert set(got) == due and len(got) == len(due)
+    assert all(dict(w.dtypes)["value"] == "string" for w in written)
+
+
+def test_yaml_values():
+    """As yaml.safe_load() reads them."""
+    texts = [
+        "", "---\n...\n", "a: &x {b: 1, c: [1, 2.5, ~, yes, 2024-01-02, 0x1f, 1_000, '7', !!str 8]}\nd: *x\n", "x: &p {k: 1, l: 2}\ny: &q {k: 3}\nz: {<<: [*p, *q], l: 4}\nw:\n  <<: *q\n  m: |\n    text\n    more\n", "- a\n- [b, {c: d}]\n",
+        "1: a\nnull: b\ntrue: c\n", "=: 1\n", "plain", "k: 'it''s'\nk: 2\n", '{"a": "\\u00e9\\n", "b": -0.0}',
+    ]
+    for text in texts:
+        assert S._yaml_value(text) == yaml.safe_load(text), text
+    for text in ("a: *no", "a: [1\nb: 2", "--- 1\n--- 2\n", "a: !own 1", "<<: 3", "a: &x 1\nb: =", "? [a]\n: 1"):
+        with pytest.raises((yaml.YAMLError, TypeError)):
+            S._yaml_value(text)
+
+
 def test_no_configs(spark):
     assert S.issues(S.parsed(spark.createDataFrame([], "name string, form string, text string")), RULES).count() == 0
 
