@@ -20,9 +20,10 @@ def closure(spark: SparkSession, start: DataFrame, edges: DataFrame) -> DataFram
         if not last.limit(1).count():
             return spark.read.schema(schema).parquet(f"{folder}/step=*")
         seen = spark.read.schema(schema).parquet(f"{folder}/step=*")
-        near = last.join(edges.where("input is not null"), "node").select("origin", F.col("input").alias("node")).distinct()
+        near = last.join(edges.where("input is not null").hint("merge"), "node")  # a broadcast would go through the driver once a step
+        near = near.select("origin", F.col("input").alias("node")).distinct()
         step += 1
-        near.join(seen, ["origin", "node"], "left_anti").write.parquet(f"{folder}/step={step:06}")
+        near.join(seen.hint("merge"), ["origin", "node"], "left_anti").write.parquet(f"{folder}/step={step:06}")
 
 
 def failing_lines(lines: DataFrame, metrics: DataFrame, allowed: list[str]) -> DataFrame:

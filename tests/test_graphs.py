@@ -74,3 +74,19 @@ def test_hour_prices(spark):
     loop = spark.createDataFrame([("a", 1, "b", 1.0, None), ("b", 1, "a", 1.0, None)], readings.schema)
     with pytest.raises(ValueError, match="a, b"):
         pricing.hour_prices(loop)
+
+
+def test_rounds_send_nothing_to_the_driver(spark, monkeypatch):
+    """Rounds join by shuffles: each broadcast would pass the driver, in every round."""
+    plans = []
+
+    def saved(rows, spark, name, real=graphs.saved):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return real(rows, spark, name)
+
+    monkeypatch.setattr(graphs, "saved", saved)
+    nodes = spark.createDataFrame([(i, 9 - i) for i in range(10)], "node long, rank long")
+    edges = spark.createDataFrame([(i, i - 1) for i in range(1, 10)] + [(9, 3), (8, 2)], "node long, input long")
+    assert {(r.node, r.least) for r in graphs.least_reached(spark, nodes, edges).collect()} == {(i, 9 - i) for i in range(10)}
+    assert {(r.node, r.level) for r in graphs.levels(spark, edges).collect()} == {(i, i) for i in range(10)}
+    assert len(plans) > 10 and not any("Broadcast" in p for p in plans)
