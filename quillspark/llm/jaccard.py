@@ -39,6 +39,9 @@ POOL = 1 << 16
 PRODUCT_ENTRIES = 400_000
 #: Pairs of two components that are compared before all of them.
 BEST_PAIRS = 6
+#: Pairs that a row of the product gives for another component before all of them are asked for: the best ones, some of which
+#: may have been compared with pivots.
+ROW_PAIRS = BEST_PAIRS + PIVOTS
 #: Sets in a block of the products within components.
 SET_BLOCK = 256
 #: N-grams whose products are added up at once.
@@ -151,11 +154,12 @@ def _shared(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([pa.array(g[rows]), pa.array(n[rows]), pa.array(i[rows]), *lists], ["g", "n", "id", "partners", "partner_ns"])
 
 
-def _product(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+def _product(batches: Iterator[pa.RecordBatch], percent: int, most: int | None = None) -> Iterator[pa.RecordBatch]:
     """Of rows (x, nx, label, other, block, y, ny, ly) sorted by x, other and block, y, ny and ly being lists, nx and ny what
     their entries carry, ly the labels: how often each pair (x, y) whose sizes allow a link comes, if it is often enough. A
     pair in a block of small components (block under 0) counts in the row of the lesser label. Rows of about
-    PRODUCT_ENTRIES entries are held, and those of one x and block: a list for each of its n-grams at most."""
+    PRODUCT_ENTRIES entries are held, and those of one x and block: a list for each of its n-grams at most. most: of an x, a
+    block and another component only so many pairs, those with most in common."""
 
     def counted(t: pa.Table) -> pa.RecordBatch:
         t = t.combine_chunks()
@@ -176,6 +180,12 @@ def _product(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         rest = np.maximum(percent * nx[at].astype(np.int64) + 99, percent * ny[at].astype(np.int64) + 99) // 100 - 1
         some = (100 + percent) * (n + rest + unmet[at]) >= percent * (nx[at].astype(np.int64) + ny[at])  # as _enough()
         at, n = at[some], n[some]
+        if most is not None and len(at):
+            best = np.lexsort((y[at], -n, other[at], x[at]))
+            xs, ls = x[at][best], other[at][best]
+            first = np.flatnonzero(np.concatenate([[True], (xs[1:] != xs[:-1]) | (ls[1:] != ls[:-1])]))
+            best = best[np.arange(len(best)) - np.repeat(first, np.diff(np.append(first, len(best)))) < most]
+            at, n = at[best], n[best]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in (x[at], y[at], label[at], other[at], n)], ["x", "y", "label", "other", "common"])
 
     held: list[pa.RecordBatch] = []  # whole rows of the keys not counted yet
@@ -246,12 +256,12 @@ def _apart(shared: DataFrame, labels: DataFrame, scratch: C.Scratch, name: str)
     return out
 
 
-def _blocked_product(marked: DataFrame, sizes: DataFrame, one_block: bool, percent: int, hot: DataFrame | None, scratch: C.Scratch, name: str) -> DataFrame:
+def _blocked_product(marked: DataFrame, sizes: DataFrame, one_block: bool, most: int | None, percent: int, hot: DataFrame | None, scratch: C.Scratch, name: str) -> DataFrame:
     """x, y, label, other, common of pairs with different labels that can link. Rows of the smaller component meet the
     members of the larger one in blocks of about COLUMN_BLOCK, so that a large component costs a row of the join for a
     block. Components of no more members share blocks, so that many small ones in one n-gram's group cost no more. Entries
     that are late for a hot n-gram (hot: these, if any) don't meet each other. one_block: of components larger than a block
-    only their first one, and no others."""
+    only their first one, and no others. most: as _product() has it."""
     rows = marked.select("g", "n", "id", "label").join(sizes, "label")
     # groups with more members of small components than a block holds
     crowded = rows.where(F.col("size") <= COLUMN_BLOCK).groupBy("g").agg(F.count("*").alias("members")).where(F.col("members") > COLUMN_BLOCK)
@@ -277,7 +287,7 @@ def _blocked_product(marked: DataFrame, sizes: DataFrame, one_block: bool, perce
         met = meet(rows, columns.where(~F.col("late"))).unionByName(meet(rows.where(~late("n")).join(hot, "g", "left_semi"), columns.where("late")))
     met = met.select(F.col("id").alias("x"), F.col("n").alias("nx"), "label", "other", "block", F.col("y.id").alias("y"), F.col("y.n").alias("ny"), F.col("y.l").alias("ly"))
     met = met.repartition("x", "other", "block").sortWithinPartitions("x", "other", "block")
-    return met.mapInArrow(lambda it: _product(it, percent), "x long, y long, label long, other long, common int")
+    return met.mapInArrow(lambda it: _product(it, percent, most), "x long, y long, label long, other long, common int")
 
 
 def _degrees(t: pa.Table, percent: int) -> pa.Table:
@@ -384,13 +394,14 @@ def _with_components(docs: DataFrame, scratch: C.Scratch, k: int, percent: int)
     scratch.drop("shared")
 
     # the product itself, for pairs in components still apart: first with one block of each large component, which
-    # finds most of the links that join something to it, then with all
-    for step in ("one", "all"):
+    # finds most of the links that join something to it, then with all, but only the best pairs of each row, which join most
+    # of the rest; so all pairs are given only for what stays apart
+    for step in ("one", "best", "all"):
         sizes = marked.select("id", "label").distinct().groupBy("label").agg(F.count("*").alias("size"))
         sizes = scratch.save(sizes, f"sizes-{step}")
-        if step == "one" and not sizes.where(F.col("size") > COLUMN_BLOCK).limit(1).count():
+        if step != "all" and not sizes.where(F.col("size") > COLUMN_BLOCK).limit(1).count():
             continue
-        product = _blocked_product(marked, scratch.small(sizes, f"sizes-{step}"), step == "one", percent, hot, scratch, step)
+        product = _blocked_product(marked, scratch.small(sizes, f"sizes-{step}"), step == "one", None if step == "all" else ROW_PAIRS, percent, hot, scratch, step)
         rest = product.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "label", "other", "common").join(done, ["a", "b"], "left_anti")
         rest = scratch.save(rest, f"rest-{step}")
         if not rest.limit(1).count():
@@ -400,7 +411,7 @@ def _with_components(docs: DataFrame, scratch: C.Scratch, k: int, percent: int)
         best = scratch.save(rest.select("a", "b", place.alias("place")).where(F.col("place") <= BEST_PAIRS).select("a", "b"), f"best-{step}")
         links, done = links.union(_link(valid, best, scratch, f"best-{step}", k, percent)), done.union(best)
         labels = C.components(links, scratch, f"closer-{step}")
-        if step == "one":
+        if step != "all":
             marked = _apart(marked.select("g", "n", "id"), labels, scratch, step)
             continue
         # then all pairs in components still apart
@@ -410,7 +421,7 @@ def _with_components(docs: DataFrame, scratch: C.Scratch, k: int, percent: int)
         if last.limit(1).count():
             links = scratch.save(links.union(_link(valid, last, scratch, "last", k, percent)), "links")
             labels = C.components(links, scratch, "final")
-    scratch.drop("marked", "markedone", "rest-one", "rest-all", "last")
+    scratch.drop("marked", "markedone", "markedbest", "rest-one", "rest-best", "rest-all", "last")
 
     names = rows.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("id"))
     names = names.join(labels, "id", "left").select("sig", F.coalesce("label", "id").alias("component"))

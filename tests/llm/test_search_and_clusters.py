@@ -256,3 +256,18 @@ def test_search_odd(spark):
     rows = [(r.doc_id, r.text) for r in odd_table(spark).collect()]
     items = ["one two three", "w", "x" * 300_000, "é ß", "copy of a text a a"]
     assert searched(spark, odd_table(spark), bench(spark, items), 20) == plain_search(rows, list(enumerate(items)), 20)
+
+
+def test_jaccard_best_pairs_of_a_row():
+    """A row that meets many members of another component gives its best pairs only, until all are asked for."""
+    import pyarrow as pa
+
+    from quillspark.llm import jaccard
+
+    meets = [y for y in range(40) for _ in range(2 + (y in (7, 11, 30)))]
+    row = {"x": [1000], "nx": [10], "label": [1000], "other": [5], "block": [0], "y": [meets], "ny": [[10] * len(meets)], "ly": [[5] * len(meets)]}
+    batch = pa.RecordBatch.from_pydict(row)
+    every = pa.Table.from_batches(jaccard._product(iter([batch]), 80)).to_pydict()
+    best = pa.Table.from_batches(jaccard._product(iter([batch]), 80, 3)).to_pydict()
+    assert sorted(every["y"]) == list(range(40)) and every["common"].count(3) == 3
+    assert sorted(best["y"]) == [7, 11, 30] and best["common"] == [3, 3, 3]
