@@ -263,3 +263,17 @@ def test_hours_of_real_days(spark, zone, end):
         assert (got.usd, got.usd_basis, got.hours_priced, got.hours_needed) == (wanted, "hourly", 24, 16)
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_overlaps_of_all_kinds(spark):
+    """Against every pair, in bins of an hour, of a day and between; periods may be long, empty or before hour 0."""
+    import random
+
+    from quillspark.operators import asof
+
+    pick = random.Random(5)
+    sides = [[(i, pick.choice("ab"), s, s + pick.choice([-1, 0, 1, 1, 2, 3, 30, 100])) for i, s in enumerate(pick.choices(range(-40, 90), k=60))] for _ in range(2)]
+    due = sorted((k, i, j, min(t, v) - max(s, u)) for i, k, s, t in sides[0] for j, m, u, v in sides[1] if k == m and s < t and u < v and min(t, v) > max(s, u))
+    a, b = (spark.createDataFrame(x, "id long, k string, start long, stop long") for x in sides)
+    for width in (1, 5, 24):
+        assert sorted(tuple(r) for r in asof.overlaps(a, b, "k", width).collect()) == due
