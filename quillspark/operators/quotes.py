@@ -60,7 +60,7 @@ def cited(quotes: DataFrame, pages: DataFrame) -> DataFrame:
     fetched several times; one page that holds the quote in a block is enough."""
     given = quotes.select("quote_id", T.normalized_url("url").alias("_url"), T.plain_text("quote").alias("quote"))
     fetched = pages.where("text is not null").select(T.normalized_url("url").alias("_url"), T.text_blocks("text").alias("blocks"), T.plain_text("text").alias("whole"))
-    both = given.join(fetched, "_url", "left").select(
+    both = given.join(fetched.hint("merge"), "_url", "left").select(  # pages are long; their estimate isn't
         "quote_id", "quote", F.col("whole").isNotNull().alias("there"), F.coalesce(F.exists("blocks", lambda b: F.contains(b, F.col("quote"))), F.lit(False)).alias("within"), F.coalesce(F.contains("whole", "quote"), F.lit(False)).alias("in_whole")
     )
     found = both.groupBy("quote_id").agg(F.first("quote").alias("quote"), F.bool_or("there").alias("there"), F.bool_or("within").alias("within"), F.bool_or("in_whole").alias("in_whole"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -87,6 +88,9 @@ wh AS (SELECT page_id, url, {_plain("body")} AS whole FROM pg)"""
 
 
 def _pages(spark, sf):
+    """Pages as texts. Python takes them in batches of 1,000 in a session that has Spark's default: a page may be long."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return fx(spark, sf, "pages").selectExpr("page_id", "url", "html", "replace(html, 'é', '&#233;') as text")
 
 
@@ -101,6 +105,21 @@ _QUOTES = f"""
 SELECT page_id AS quote_id, CASE page_id % 5 WHEN 4 THEN concat(url, '/nowhere') WHEN 3 THEN concat(replace(url, 'http', 'HTTP'), '#part') ELSE url END AS url,
   CASE page_id % 5 WHEN 1 THEN concat(regexp_extract(html, '<h1>([^<]*)<', 1), ' ', substr(regexp_extract(html, '<p><b>([^<]*)<', 1), 1, 30)) WHEN 2 THEN substr({_AD}, 1, 15) WHEN 3 THEN lead({_AD}) OVER (ORDER BY page_id) ELSE {_AD} END AS quote
 FROM {{pages}}"""
+_NEXT = f"lead({_AD}) OVER (ORDER BY page_id)"
+
+
+def _quotes(spark, pages):
+    """The rows of _QUOTES; the next page's advertisement is found in ranges of pages, not in one window over all."""
+    marks = pages.select("page_id", F.struct(F.expr(_AD).alias("ad")).alias("m")).repartitionByRange("page_id").withColumn("part", F.spark_partition_id())
+    marks = W.saved(marks, spark, "page-marks")
+    firsts = marks.groupBy("part").agg(F.min_by("m", "page_id").alias("m"))
+    behind = firsts.select("part", F.lead("m").over(Window.orderBy("part")).alias("behind"))  # a row for each range
+    next_ = F.coalesce(F.lead("m").over(Window.partitionBy("part").orderBy("page_id")), F.col("behind"))["ad"]
+    following = marks.join(behind, "part").select("page_id", next_.alias("next_ad")).where("page_id % 5 = 3")
+    rows = pages.join(following.hint("merge"), "page_id", "left")
+    return spark.sql(_QUOTES.replace(_NEXT, "next_ad"), pages=rows).withColumn("quote", F.coalesce("quote", F.lit("")))
+
+
 _NURL = "regexp_replace(lower(regexp_extract(url, '^[^:]*://[^/?#]*')) || regexp_replace(regexp_replace(url, '^[^:]*://[^/?#]*', ''), '#.*', ''), '/$', '')"
 
 
@@ -111,8 +130,7 @@ SELECT quote_id, CASE WHEN length(quote) < 20 THEN 'quote_too_short' WHEN NOT EX
   WHEN EXISTS (SELECT 1 FROM pu WHERE pu.u = qp.u AND contains(whole, quote)) THEN 'quote_spans_blocks' ELSE 'quote_not_found' END AS verdict FROM qp""")
 def quote_verdicts(spark, sf):
     """Quotes of each page's own words, spliced from two blocks, too short, of another page, and of a page not fetched."""
-    quotes = spark.sql(_QUOTES, pages=fx(spark, sf, "pages")).withColumn("quote", F.coalesce("quote", F.lit("")))
-    return Q.cited(quotes, _pages(spark, sf).select("url", "text"))
+    return Q.cited(_quotes(spark, fx(spark, sf, "pages")), _pages(spark, sf).select("url", "text"))
 
 
 @query("quote_places", _BLOCKS + f""",

@@ -83,3 +83,21 @@ def test_locators(spark):
     got = [r.v for r in spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, x string").select("i", T.scrubbed_locator("x").alias("v")).orderBy("i").collect()]
     assert got[1:] == ['"https://h/"', "3", None, None]
     assert got[0] == want
+
+
+def test_quotes_of_pages(spark):
+    """The next page's words are found in ranges as in one window over all pages; Python takes pages in short batches."""
+    from quillspark.plans import texts
+
+    pages = spark.createDataFrame([(3 * i, f"http://h/{i}", f'<h1>t</h1><p><b>{i}</b></p><div class="ad">words of page {i}</div>') for i in range(200)], "page_id long, url string, html string").repartition(7)
+    due = spark.sql(texts._QUOTES, pages=pages).selectExpr("quote_id", "url", "coalesce(quote, '') as quote")
+    got = texts._quotes(spark, pages)
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in due.collect()}
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "10000")
+    try:
+        texts._pages(spark, "/root/testdata/sf0.001")
+        assert spark.conf.get(key) == "1000"
+    finally:
+        spark.conf.set(key, before)
