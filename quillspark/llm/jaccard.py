@@ -3,10 +3,11 @@
 The incidence is cut to what size bounds leave: two sets with Jaccard t or more share an n-gram among the first
 size - ceil(t * size) + 1 of each, in any order that both follow. Documents with equal sets are one row of the
 matrix. N-grams are dealt into blocks by hash; a block yields candidate pairs whose sizes allow a link, and the
-product is accumulated exactly for those pairs only. Groups of thousands of near copies are linked to one member of
-the group first, a group of more than PART documents in parts; all pairs are then taken only between components that a shared n-gram still leaves apart, so that no
-link that could join two components is lost. All links are then found by exact products of all sets of a component, as
-links never leave one.
+product is accumulated exactly for those pairs only. Of an n-gram's group of SMALL documents or fewer all pairs are
+counted where the group is read. Larger groups are first compared with a few of their members, a group of more than PART
+documents in parts; all pairs of them are then taken only between components that a shared n-gram still leaves apart, so
+that no link that could join two components is lost. All links are then found by exact products of all sets of a
+component, as links never leave one.
 """
 
 from __future__ import annotations
@@ -28,7 +29,10 @@ FREQUENT = 100_000
 FREQUENT_IN_STRETCH = 2
 
 
-#: Members of an n-gram's group, least by a hash of the id, that all of the group are first compared with.
+#: Members of an n-gram's group of which all pairs are counted at once; text of few different words shares most of its
+#: n-grams by chance, with few other documents each.
+SMALL = 64
+#: Members of a larger group, least by a hash of the id, that all of the group are first compared with.
 PIVOTS = 5
 
 #: Members of a component in a block of the product's columns; smaller components share blocks.
@@ -118,40 +122,66 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, hot: int, k: int, percent:
     return C.as_bytes(docs, "doc_id").mapInArrow(run, "doc_id long, n int, sig binary, prefix array<long>, entry array<long>")
 
 
-def _shared(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Of rows (g, part, n, id) sorted by g and part: those whose n-gram two ids or more have or may have, with partners:
-    of the first PIVOTS ids of the part, those before the row that have a size that allows a link with it. part is 0 but
-    for parts of a larger group. Holds that many ids and one row between batches, however large a group is."""
-    prev, given = None, False  # the last row of the batch before; whether it was given out
-    pivots: list[tuple[int, int]] = []
+def _shared(batches: Iterator[pa.RecordBatch], percent: int, small: int = SMALL) -> Iterator[pa.RecordBatch]:
+    """Of rows (g, part, n, id) sorted by g and part: those whose n-gram two ids or more have or may have, with partners
+    of a size that allows a link: in a group of up to small ids all those before the row, in a larger one those of the
+    first PIVOTS ids. part is 0 but for parts of a larger group. Holds small rows or PIVOTS between batches at most, however
+    large a group is."""
+
+    def given_out(cols: list[np.ndarray], begin: np.ndarray, large: np.ndarray, skip: int) -> pa.RecordBatch:
+        """The groups that begin at begin, without the first skip rows, which were given out before."""
+        g, _, n, i = cols
+        n_rows, size = len(g), n & _SIZE
+        count = np.diff(np.append(begin, n_rows))
+        of = np.repeat(np.arange(len(begin)), count)
+        rank = np.arange(n_rows) - begin[of]
+        rows, others = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+
+        def fit(row: np.ndarray, other: np.ndarray) -> None:
+            ok = 100 * np.minimum(size[row], size[other]) >= percent * np.maximum(size[row], size[other])
+            rows.append(row[ok])
+            others.append(other[ok])
+
+        row = np.flatnonzero(~large[of] & (rank > 0))
+        for d in range(1, small):
+            row = row[rank[row] >= d]
+            if not len(row):
+                break
+            fit(row, row - d)
+        for p in range(PIVOTS):
+            row = np.flatnonzero(large[of] & (rank > p))
+            fit(row, begin[of[row]] + p)
+        row, other = np.concatenate(rows), np.concatenate(others)
+        order = np.lexsort((other, row))
+        row, other = row[order], other[order]
+        out = np.flatnonzero((large | (count > 1))[of] & (np.arange(n_rows) >= skip))
+        new = row >= skip
+        row, other = row[new], other[new]
+        each = np.bincount(row, minlength=n_rows)[out]
+        lists = [C.list_column(i[other], each, pa.int64()), C.list_column(size[other].astype(np.int32), each, pa.int32())]
+        return pa.RecordBatch.from_arrays([pa.array(g[out]), pa.array(n[out]), pa.array(i[out]), *lists, pa.array(large[of[out]])], ["g", "n", "id", "partners", "partner_ns", "large"])
+
+    held = [np.empty(0, np.int64)] * 4  # of the last group: all rows while it may be small, else the pivots
+    skip = 0  # those of them that were given out
     for batch in batches:
-        cols = [batch.column(c).to_numpy() for c in range(4)]
-        if not len(cols[0]):
+        if not len(batch):
             continue
-        if prev is not None:
-            cols = [np.concatenate([[x], y]) for x, y in zip(prev, cols)]
-        g, part, n, i = cols
-        same = (g[1:] == g[:-1]) & (part[1:] == part[:-1])
-        member = np.concatenate([[prev is not None and given], same]) | np.concatenate([same, [False]]) | (part > 0)
-        rows, ids, sizes, each = [], [], [], []
-        begins = np.concatenate([[True], ~same]).tolist()
-        for j in np.flatnonzero(member).tolist():
-            nj, ij = int(n[j]) & _SIZE, int(i[j])
-            if j == 0 and prev is not None and given:
-                continue
-            if begins[j]:
-                pivots = []
-            fit = [p for p in pivots if 100 * min(p[1], nj) >= percent * max(p[1], nj)]
-            if len(pivots) < PIVOTS:
-                pivots.append((ij, nj))
-            rows.append(j)
-            each.append(len(fit))
-            ids += [p[0] for p in fit]
-            sizes += [p[1] for p in fit]
-        prev, given = [c[-1] for c in cols], bool(member[-1])
-        if rows:
-            lists = [C.list_column(np.array(x, t), np.array(each), k) for x, t, k in ((ids, np.int64, pa.int64()), (sizes, np.int32, pa.int32()))]
-            yield pa.RecordBatch.from_arrays([pa.array(g[rows]), pa.array(n[rows]), pa.array(i[rows]), *lists], ["g", "n", "id", "partners", "partner_ns"])
+        cols = [np.concatenate([x, batch.column(c).to_numpy()]) for c, x in enumerate(held)]
+        g, part = cols[:2]
+        begin = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (part[1:] != part[:-1])]))
+        large = (np.diff(np.append(begin, len(g))) > small) | (part[begin] > 0)
+        large[0] |= skip > 0
+        last = int(begin[-1])
+        if large[-1]:
+            yield given_out(cols, begin, large, skip)
+            held = [x[last : last + PIVOTS] for x in cols]
+            skip = len(held[0])
+        else:
+            if last:
+                yield given_out([x[:last] for x in cols], begin[:-1], large[:-1], skip)
+            held, skip = [x[last:] for x in cols], 0
+    if len(held[0]) and not skip:
+        yield given_out(held, np.zeros(1, np.int64), np.zeros(1, bool), 0)
 
 
 def _product(batches: Iterator[pa.RecordBatch], percent: int, most: int | None = None) -> Iterator[pa.RecordBatch]:
@@ -231,7 +261,7 @@ def _enough(common: str, n_a: str, n_b: str, percent: int) -> Column:
 
 def _link(docs: DataFrame, pairs: DataFrame, scratch: C.Scratch, name: str, k: int, percent: int) -> DataFrame:
     """The pairs (a, b), which were saved, that link."""
-    ids = scratch.save(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), f"{name}-ids")
+    ids = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{name}-ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,15 +274,33 @@ def _link(docs: DataFrame, pairs: DataFrame, scratch: C.Scratch, name: str, k: i
     both = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("set_b")), "b").join(sets.select(F.col("id").alias("a"), F.col("s").alias("set_a")), "a")
     links = scratch.save(both.select("a", "b", "set_a", "set_b").mapInArrow(lambda it: _overlaps(it, percent), "a long, b long, common int").distinct(), f"{name}-links")
     scratch.drop(f"{name}-ids", f"{name}-sets")
-    return links
+    return scratch.few(links, f"{name}-links")
+
+
+def _joined(labels: DataFrame, links: DataFrame, scratch: C.Scratch, name: str) -> DataFrame:
+    """The labels (id, label) after the links (a, b), which were saved; an id without a label is its own."""
+    across = scratch.save(_ends(links, labels).select("of_a", "of_b").where("of_a <> of_b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct(), f"{name}-across")
+    if not across.limit(1).count():
+        return labels
+    up = C.components(scratch.few(across, f"{name}-across"), scratch, name).withColumnRenamed("label", "least")
+    both = labels.join(up.select(F.col("id").alias("label"), "least"), "label", "left").select("id", F.coalesce("least", "label").alias("label"))
+    new = both.union(up.join(labels, "id", "left_anti").select("id", "least"))
+    return scratch.few(scratch.save(new, f"{name}-labels"), f"{name}-labels")
+
+
+def _ends(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the labels of both."""
+    at = lambda c: labels.select(F.col("id").alias(c), F.col("label").alias(f"of_{c}"))
+    return pairs.join(at("a"), "a", "left").join(at("b"), "b", "left").withColumns({f"of_{c}": F.coalesce(f"of_{c}", c) for c in "ab"})
 
 
 def _apart(shared: DataFrame, labels: DataFrame, scratch: C.Scratch, name: str) -> DataFrame:
     """(g, n, id, label) of the n-grams whose group has more than one label; an id without one is its own."""
-    marked = scratch.save(shared.join(labels, "id", "left").select("g", "n", "id", F.coalesce("label", "id").alias("label")), f"labelled{name}")
-    mixed = scratch.save(marked.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("g"), f"mixed{name}")
+    marked = shared.join(labels, "id", "left").select("g", "n", "id", F.coalesce("label", "id").alias("label"))
+    marked = scratch.save(marked, f"labelled{name}")
+    mixed = marked.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("g")
     out = scratch.save(marked.join(mixed, "g"), f"marked{name}")
-    scratch.drop(f"labelled{name}", f"mixed{name}")
+    scratch.drop(f"labelled{name}")
     return out
 
 
@@ -381,47 +429,66 @@ def _with_components(docs: DataFrame, scratch: C.Scratch, k: int, percent: int)
         parts = scratch.spark.createDataFrame([(g, -(-n // PART)) for g, n in zip(frequent[large].view(np.int64).tolist(), counts[large].tolist())], "g long, parts long")
         incidence, part = incidence.join(F.broadcast(parts), "g", "left"), F.coalesce(F.pmod(F.xxhash64("id"), "parts") + 1, F.lit(0))  # FREQUENT rows at most
     blocks = incidence.select("g", part.cast("long").alias("part"), "n", "id").repartition("g", "part")
-    # likely links, to the few that come first in every group
     ordered = blocks.sortWithinPartitions("g", "part", F.xxhash64("id"), "id")
-    met = scratch.save(ordered.mapInArrow(lambda it: _shared(it, percent), "g long, n long, id long, partners array<long>, partner_ns array<int>"), "shared")
-    shared = met.select("g", "n", "id")
-    met = met.select("id", F.col("n").bitwiseAND(_SIZE).alias("n"), F.explode(F.arrays_zip("partners", "partner_ns")).alias("p")).select("id", "n", F.col("p.partners").alias("other"), F.col("p.partner_ns").alias("other_n"))
-    met = met.groupBy("id", "n", "other", "other_n").agg(F.count("*").alias("common")).where(_enough("common", "n", "other_n", percent))
-    done = scratch.save(met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct(), "stars")
-    links = _link(valid, done, scratch, "near", k, percent)
-    labels = C.components(links, scratch, "near")
+    small = SMALL
+    met = ordered.mapInArrow(lambda it: _shared(it, percent, small), "g long, n long, id long, partners array<long>, partner_ns array<int>, large boolean")
+    met = scratch.save(met.where("large or size(partners) > 0"), "shared")
+    shared = met.where("large").select("g", "n", "id")
+    # a pair that meets in small groups has common what it has there, and no more than either has in large groups; other
+    # pairs are found by the few that come first in every large group, or by the product
+    over = scratch.save(shared.groupBy("id").agg(F.count("*").alias("over")), "over")
+    over = scratch.small(over, "over")
+    met = met.select("id", F.col("n").bitwiseAND(_SIZE).alias("n"), "large", F.explode(F.arrays_zip("partners", "partner_ns")).alias("p")).select("id", "n", F.col("p.partners").alias("other"), F.col("p.partner_ns").alias("other_n"), "large")
+    met = met.groupBy("id", "n", "other", "other_n").agg(F.count("*").alias("all"), F.count_if(~F.col("large")).alias("small"))
+    met = met.join(over, "id", "left").join(over.select(F.col("id").alias("other"), F.col("over").alias("other_over")), "other", "left")
+    most = F.when(F.col("small") > 0, F.col("small") + F.least(F.coalesce("over", F.lit(0)), F.coalesce("other_over", F.lit(0)))).otherwise(F.col("all"))
+    met = met.withColumn("common", most).where(_enough("common", "n", "other_n", percent))
+    # likely links, each id's best ones; then those of the others that join components still apart
+    done = scratch.save(met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"), "id", "common"), "pairs")
+    done = scratch.few(done, "pairs")
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("common"), "a", "b"))
+    near = scratch.save(done.withColumn("place", place).where(F.col("place") <= BEST_PAIRS).select("a", "b"), "near")
+    near, done = scratch.few(near, "near"), done.select("a", "b")
+    labels = C.components(_link(valid, near, scratch, "near", k, percent), scratch, "near")
+    rest = scratch.save(_ends(done, labels).where("of_a <> of_b").select("a", "b").join(near, ["a", "b"], "left_anti"), "others")
+    rest = scratch.few(rest, "others")
+    if rest.limit(1).count():
+        labels = _joined(labels, _link(valid, rest, scratch, "others", k, percent), scratch, "with-others")
     marked = _apart(shared, labels, scratch, "")
-    scratch.drop("shared")
+    scratch.drop("shared", "over", "near", "others")
 
     # the product itself, for pairs in components still apart: first with one block of each large component, which
     # finds most of the links that join something to it, then with all, but only the best pairs of each row, which join most
     # of the rest; so all pairs are given only for what stays apart
+    last_step = ""
     for step in ("one", "best", "all"):
-        sizes = marked.select("id", "label").distinct().groupBy("label").agg(F.count("*").alias("size"))
-        sizes = scratch.save(sizes, f"sizes-{step}")
+        members = scratch.few(marked, f"marked{last_step}").select("id", "label").distinct()
+        sizes = scratch.save(members.groupBy("label").agg(F.count("*").alias("size")), f"sizes-{step}")
         if step != "all" and not sizes.where(F.col("size") > COLUMN_BLOCK).limit(1).count():
             continue
         product = _blocked_product(marked, scratch.small(sizes, f"sizes-{step}"), step == "one", None if step == "all" else ROW_PAIRS, percent, hot, scratch, step)
         rest = product.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "label", "other", "common").join(done, ["a", "b"], "left_anti")
-        rest = scratch.save(rest, f"rest-{step}")
+        rest = scratch.few(scratch.save(rest, f"rest-{step}"), f"rest-{step}")
         if not rest.limit(1).count():
             continue
         # the best pairs of every two components first
         place = F.row_number().over(Window.partitionBy("label", "other").orderBy(F.desc("common"), "a", "b"))
         best = scratch.save(rest.select("a", "b", place.alias("place")).where(F.col("place") <= BEST_PAIRS).select("a", "b"), f"best-{step}")
-        links, done = links.union(_link(valid, best, scratch, f"best-{step}", k, percent)), done.union(best)
-        labels = C.components(links, scratch, f"closer-{step}")
+        best = scratch.few(best, f"best-{step}")
+        done = done.union(best)
+        closer = _joined(labels, _link(valid, best, scratch, f"best-{step}", k, percent), scratch, f"closer-{step}")
         if step != "all":
-            marked = _apart(marked.select("g", "n", "id"), labels, scratch, step)
+            if closer is not labels:
+                marked, last_step = _apart(marked.select("g", "n", "id"), closer, scratch, step), step
+            labels = closer
             continue
         # then all pairs in components still apart
-        at = lambda c: labels.select(F.col("id").alias(c), F.col("label").alias(f"of_{c}"))
-        apart = rest.select("a", "b").join(at("a"), "a", "left").join(at("b"), "b", "left").where("coalesce(of_a, a) <> coalesce(of_b, b)")
-        last = scratch.save(apart.select("a", "b").join(best, ["a", "b"], "left_anti"), "last")
+        labels = closer
+        apart = _ends(rest.select("a", "b"), labels).where("of_a <> of_b")
+        last = scratch.few(scratch.save(apart.select("a", "b").join(best, ["a", "b"], "left_anti"), "last"), "last")
         if last.limit(1).count():
-            links = scratch.save(links.union(_link(valid, last, scratch, "last", k, percent)), "links")
-            labels = C.components(links, scratch, "final")
-    scratch.drop("marked", "markedone", "markedbest", "rest-one", "rest-best", "rest-all", "last")
+            labels = _joined(labels, _link(valid, last, scratch, "last", k, percent), scratch, "final")
+    scratch.drop("pairs", "marked", "markedone", "markedbest", "rest-one", "rest-best", "rest-all", "last")
 
     names = rows.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("id"))
     names = names.join(labels, "id", "left").select("sig", F.coalesce("label", "id").alias("component"))

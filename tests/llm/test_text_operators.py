@@ -877,6 +877,56 @@ def test_jaccard_batches(monkeypatch, entries):
     assert {(r[0], r[3], r[1]): r[4] for r in give(50)} == plain
 
 
+def test_jaccard_pairs_of_groups():
+    """Of a small group all pairs come, of a larger one those with its first members, however the rows are cut."""
+    rows = [(1, 0, 10, i) for i in range(9)] + [(2, 0, 10, i) for i in range(8)] + [(3, 0, 10, 1)] + [(4, p, 10, i) for p in (1, 2) for i in (p, p + 5)] + [(5, 0, 10, 3), (5, 0, 20, 4)]
+    cut = lambda size: [pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[a : a + size]], pa.int64()) for c in range(4)], ["g", "part", "n", "id"]) for a in range(0, len(rows), size)]
+    give = lambda size: [x for b in jaccard._shared(iter(cut(size)), 80, 8) for x in zip(*(b.column(c).to_pylist() for c in range(6)))]
+    got = give(100)
+    assert all(give(size) == got for size in (1, 2, 5, 9))
+    assert [(g, i, partners, large) for g, _, i, partners, _, large in got] == [
+        *((1, i, list(range(min(i, jaccard.PIVOTS))), True) for i in range(9)),
+        *((2, i, list(range(i)), False) for i in range(8)),
+        *((4, i, partners, True) for i, partners in ((1, []), (6, [1]), (2, []), (7, [2]))),
+        (5, 3, [], False),
+        (5, 4, [], False),
+    ]
+
+
+@pytest.mark.parametrize(("small", "block"), [(1, 2), (2, 256), (6, 2), (6, 256)])
+def test_jaccard_small_and_large_groups(spark, monkeypatch, small, block):
+    """Pairs that share n-grams of small groups, of large ones and of both."""
+    monkeypatch.setattr(jaccard, "SMALL", small)  # used where plans are built
+    monkeypatch.setattr(jaccard, "COLUMN_BLOCK", block)
+    rng = random.Random(small)
+    lines = [" ".join(prose(300 + i, 25)) for i in range(4)]
+    texts = []
+    for group in range(14):
+        base = prose(group, rng.choice([12, 40, 90]))
+        for _ in range(rng.choice([1, 2, 3, 9])):
+            w = list(base)
+            for _ in range(rng.choice([0, 1, 2, 3])):
+                w[rng.randrange(len(w))] = rng.choice("xyz")
+            texts.append(" ".join([*w, *rng.sample(lines, rng.choice([0, 1, 1, 3]))]))
+    texts += [rng.choice(lines) + " " + " ".join(prose(400 + i // 2, 9)) + " y" * (i % 2) for i in range(16)]
+    rng.shuffle(texts)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(documents(spark, texts), scratch(spark)).collect()}
+    assert got == plain_components(dict(enumerate(texts)))
+
+
+def test_jaccard_product_without_small_groups(spark, monkeypatch):
+    """N-grams that few documents share by chance cost no row of the product."""
+    met = []
+    product = jaccard._blocked_product
+    monkeypatch.setattr(jaccard, "_blocked_product", lambda marked, *rest: met.append(marked.count()) or product(marked, *rest))
+    words = [f"w{i}" for i in range(4)]
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices(words, k=40)) for _ in range(60)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(documents(spark, texts), scratch(spark)).collect()}
+    assert got == plain_components(dict(enumerate(texts)))
+    assert met == [0]
+
+
 def test_jaccard_odd(spark):
     got = {str(r.doc_id): r.component_id for r in jaccard.jaccard_components(odd_table(spark), scratch(spark)).collect()}
     assert got["13"] == got["12"] == got["11"] == 11 and got["0"] == 0 and got["1"] == 1 and got["None"] is None
