@@ -517,10 +517,11 @@ def keep_one(docs: DataFrame, scratch: C.Scratch) -> DataFrame:
     row = F.struct(*(docs[f"`{c}`"] for c in docs.columns))
     repeated = docs.join(several, docs["doc_id"] == several["again"]).select(node.alias("node"), docs["text"].alias("text"), row.alias("row"))
     nodes = single.select(single["doc_id"], single["text"]).union(repeated.select("node", "text"))
-    kept = jaccard_components(nodes, scratch).where("doc_id = component_id").select(F.col("doc_id").alias("kept"))
-    kept = scratch.save(kept.distinct(), "kept")
-    one = single.join(kept, single["doc_id"] == kept["kept"], "left_semi")
-    rest = repeated.join(kept, F.col("node") == F.col("kept"), "left_semi").groupBy("node").agg(F.min("row").alias("row"))
+    # what goes is the shorter list; while it can be broadcast, no text is shuffled
+    kept = jaccard_components(nodes, scratch).groupBy(F.col("doc_id").alias("copy")).agg(F.bool_or(F.expr("doc_id = component_id")).alias("kept"))
+    copies = scratch.small(scratch.save(kept.where("not kept").select("copy"), "copies"), "copies")
+    one = single.join(copies, single["doc_id"] == copies["copy"], "left_anti")
+    rest = repeated.join(copies, F.col("node") == F.col("copy"), "left_anti").groupBy("node").agg(F.min("row").alias("row"))
     return one.unionByName(rest.select("row.*")).unionByName(docs.where("doc_id is null"))
 
 

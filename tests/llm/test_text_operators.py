@@ -946,6 +946,21 @@ def test_keep_one_of_an_id(spark):
     assert got - {(1, a, 1), (9, c, 5), (None, c, 6)} in ({(5, b, 2)}, {(7, b + " y", 4)})
 
 
+def test_keep_one_moves_no_texts(spark):
+    """Texts meet the list of copies where they are read, also where Spark itself would shuffle both."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        texts = [" ".join(prose(i // 2, 60)) for i in range(40)]
+        out = jaccard.keep_one(documents(spark, texts), scratch(spark))
+        assert sorted(r.doc_id for r in out.collect()) == list(range(0, 40, 2))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") >= 2
+    finally:
+        spark.conf.set(key, before)
+
+
 # ---- 10: top-k -------------------------------------------------------------------------------------------------------
 
 
