@@ -2,6 +2,7 @@
 
 import json
 
+import pandas as pd
 import pytest
 import yaml
 
@@ -69,6 +70,26 @@ def test_yaml_values():
             S._yaml_value(text)
 
 
+def test_failures(spark, monkeypatch):
+    """A file is read to its end, an odd value costs no whole file, and what fails is an error, not an unreadable file."""
+    one = {
+        "rest.json": '{"id":"a","metrics":{}} rest', "two.json": '{"id":"a","metrics":{}}{"id":3}', "closed.json": '{"id":"a","metrics":{}}]', "twice.json": '{"id":"a","id":"b","metrics":{}}', "nan.json": '{"id":NaN,"metrics":{}}', "spaces.json": ' {"id":"a","metrics":{}}\r\n',
+        "nan.yaml": "id: .nan\nwindow_days: .inf\nmetrics: {}\n", "dates.yaml": "id: a\nmetrics: {}\n2024-01-02: 1\n", "same.yaml": "id: a\nmetrics: {}\n1: a\n'1': b\n", "tag.yaml": "id: !!bool maybe\nmetrics: {}\n", "itself.yaml": "&a [*a]",
+    }
+    found = lambda files: {(r.name, r.path, r.issue) for r in S.issues(S.parsed(spark.createDataFrame(files, "name string, form string, text string")), RULES).collect()}
+    assert found([(n, n.split(".")[1], t) for n, t in one.items()]) == {(n, "", "cannot be read") for n in ("rest.json", "two.json", "closed.json", "twice.json", "nan.json", "tag.yaml", "itself.yaml")} | {
+        ("nan.yaml", "id", "is not string"), ("nan.yaml", "window_days", "is not integer"), ("dates.yaml", "2024-01-02", "is not known"), ("same.yaml", "1", "is not known"),
+    }
+    for form, text in (("json", '{"id":"' + "a" * 21_000_000 + '","metrics":{}}'), ("json", '{"id":' + "[" * 1001 + "]" * 1001 + "}"), ("toml", "id = 1")):
+        with pytest.raises(Exception, match="MALFORMED_RECORD|can't be read"):
+            found([("a", form, text)])
+    monkeypatch.setattr(S, "yaml", None)  # the driver needs none, a task does
+    assert found([("a", "yaml", "id: a\nmetrics: {}\n")]) == set()
+    assert list(S._as_json.func(pd.Series(["json"]), pd.Series(["[]"]))) == ["[]"]
+    with pytest.raises(ImportError):
+        S._as_json.func(pd.Series(["yaml"]), pd.Series(["id: a"]))
+
+
 def test_no_configs(spark):
     assert S.issues(S.parsed(spark.createDataFrame([], "name string, form string, text string")), RULES).count() == 0
 
