@@ -277,3 +277,24 @@ def test_overlaps_of_all_kinds(spark):
     a, b = (spark.createDataFrame(x, "id long, k string, start long, stop long") for x in sides)
     for width in (1, 5, 24):
         assert sorted(tuple(r) for r in asof.overlaps(a, b, "k", width).collect()) == due
+
+
+def test_overlaps_of_one_hour(spark):
+    """Periods of one hour are shared by many tasks, each with few of them; every pair is there once."""
+    from quillspark.operators import asof
+
+    a, b = (spark.range(n).select("id", F.expr("concat('k', id % 1)").alias("k"), F.expr("5 + id % 1").alias("start"), F.expr("6 + id % 3").alias("stop")) for n in (150, 240))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = asof.overlaps(a, b, "k", 1, most=20).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted((r.a_id, r.b_id) for r in rows) == [(i, j) for i in range(150) for j in range(240)]
+    assert all(r.overlap_hours == min(r.a_id % 3, r.b_id % 3) + 1 for r in rows)
+    assert len({r.task for r in rows}) == 4
+    mixed = spark.createDataFrame([(i, "ab"[i % 7 == 0], i % 5, i % 5 + 1 + i % 4) for i in range(200)], "id long, k string, start long, stop long")
+    plain = sorted(tuple(r) for r in asof.overlaps(mixed, mixed, "k", 2).collect())
+    assert plain and plain == sorted(tuple(r) for r in asof.overlaps(mixed, mixed, "k", 2, most=7).collect())
